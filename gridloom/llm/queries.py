@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm.common import documents
+from gridloom.llm.common import benchmark, documents
+from gridloom.llm.decontaminate import op4_decontaminate
 from gridloom.llm.hilbert import op1_hilbert_shards
+from gridloom.llm.mixing import op10_source_mix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_hilbert_shards": lambda spark, sf_dir: op1_hilbert_shards(documents(spark, sf_dir)),
+        "op4_decontaminate": lambda spark, sf_dir: op4_decontaminate(documents(spark, sf_dir), benchmark(spark, sf_dir)),
+        "op10_source_mix": lambda spark, sf_dir: op10_source_mix(documents(spark, sf_dir)),
     }
 
 
