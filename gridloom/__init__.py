@@ -1 +1,8 @@
 """Error-bounded time-series grids on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in tasks travel with the job, so that workers need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
