@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gridloom.llm.common import benchmark, documents
 from gridloom.llm.decontaminate import op4_decontaminate
 from gridloom.llm.hilbert import op1_hilbert_shards
+from gridloom.llm.line_frequency import op2_line_frequency
 from gridloom.llm.mixing import op10_source_mix
 from gridloom.llm.substring import op3_substring_dedup
 
@@ -16,6 +17,7 @@ from gridloom.llm.substring import op3_substring_dedup
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_hilbert_shards": lambda spark, sf_dir: op1_hilbert_shards(documents(spark, sf_dir)),
+        "op2_line_frequency": lambda spark, sf_dir: op2_line_frequency(documents(spark, sf_dir)),
         "op3_substring_dedup": lambda spark, sf_dir: op3_substring_dedup(documents(spark, sf_dir)),
         "op4_decontaminate": lambda spark, sf_dir: op4_decontaminate(documents(spark, sf_dir), benchmark(spark, sf_dir)),
         "op10_source_mix": lambda spark, sf_dir: op10_source_mix(documents(spark, sf_dir)),
