@@ -11,6 +11,7 @@ from gridloom.llm.decontaminate import op4_decontaminate
 from gridloom.llm.hilbert import op1_hilbert_shards
 from gridloom.llm.line_frequency import op2_line_frequency
 from gridloom.llm.mixing import op10_source_mix
+from gridloom.llm.near_dedup import op7_near_duplicates
 from gridloom.llm.secrets import op9_secret_scan
 from gridloom.llm.substring import op3_substring_dedup
 
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_frequency": lambda spark, sf_dir: op2_line_frequency(documents(spark, sf_dir)),
         "op3_substring_dedup": lambda spark, sf_dir: op3_substring_dedup(documents(spark, sf_dir)),
         "op4_decontaminate": lambda spark, sf_dir: op4_decontaminate(documents(spark, sf_dir), benchmark(spark, sf_dir)),
+        "op7_near_duplicates": lambda spark, sf_dir: op7_near_duplicates(documents(spark, sf_dir)),
         "op9_secret_scan": lambda spark, sf_dir: op9_secret_scan(documents(spark, sf_dir)),
         "op10_source_mix": lambda spark, sf_dir: op10_source_mix(documents(spark, sf_dir)),
     }
