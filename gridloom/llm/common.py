@@ -29,3 +29,16 @@ def n_words(text: Column) -> Column:
 def id_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, allowed: Column, limit: int) -> DataFrame:
+    """doc_id, text and label of at most about ``limit`` labelled documents.
+
+    ``allowed`` is a condition on doc_id.  A document labelled more than once has its largest label.  The
+    rows are chosen by a hash of doc_id, so reruns agree; their ids, bounded by ``limit``, are broadcast.
+    """
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).filter(allowed).groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
+    n = known.count()
+    if n > limit:
+        known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("labelled sample")), F.lit(1_000_000)) < int(1_000_000 * limit / n))
+    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm.common import benchmark, documents
+from gridloom.llm.common import benchmark, documents, labels
 from gridloom.llm.decontaminate import op4_decontaminate
 from gridloom.llm.hilbert import op1_hilbert_shards
 from gridloom.llm.language_id import op5_language_id
 from gridloom.llm.line_frequency import op2_line_frequency
 from gridloom.llm.mixing import op10_source_mix
 from gridloom.llm.near_dedup import op7_near_duplicates
+from gridloom.llm.quality_gam import op6_quality_gam
 from gridloom.llm.secrets import op9_secret_scan
 from gridloom.llm.substring import op3_substring_dedup
 
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_substring_dedup": lambda spark, sf_dir: op3_substring_dedup(documents(spark, sf_dir)),
         "op4_decontaminate": lambda spark, sf_dir: op4_decontaminate(documents(spark, sf_dir), benchmark(spark, sf_dir)),
         "op5_language_id": lambda spark, sf_dir: op5_language_id(documents(spark, sf_dir)),
+        "op6_quality_gam": lambda spark, sf_dir: op6_quality_gam(documents(spark, sf_dir), labels(spark, sf_dir)),
         "op7_near_duplicates": lambda spark, sf_dir: op7_near_duplicates(documents(spark, sf_dir)),
         "op9_secret_scan": lambda spark, sf_dir: op9_secret_scan(documents(spark, sf_dir)),
         "op10_source_mix": lambda spark, sf_dir: op10_source_mix(documents(spark, sf_dir)),
