@@ -16,6 +16,7 @@ from gridloom.llm.near_dedup import op7_near_duplicates
 from gridloom.llm.quality_gam import op6_quality_gam
 from gridloom.llm.secrets import op9_secret_scan
 from gridloom.llm.substring import op3_substring_dedup
+from gridloom.llm.toxicity import op8_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -27,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_id": lambda spark, sf_dir: op5_language_id(documents(spark, sf_dir)),
         "op6_quality_gam": lambda spark, sf_dir: op6_quality_gam(documents(spark, sf_dir), labels(spark, sf_dir)),
         "op7_near_duplicates": lambda spark, sf_dir: op7_near_duplicates(documents(spark, sf_dir)),
+        "op8_toxicity": lambda spark, sf_dir: op8_toxicity(documents(spark, sf_dir), labels(spark, sf_dir)),
         "op9_secret_scan": lambda spark, sf_dir: op9_secret_scan(documents(spark, sf_dir)),
         "op10_source_mix": lambda spark, sf_dir: op10_source_mix(documents(spark, sf_dir)),
     }
