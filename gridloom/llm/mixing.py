@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import n_words
+from gridloom.llm.common import WORD, n_words
 from gridloom.plans.durable import keep
 
 SMALL_ROWS = 50_000
@@ -109,38 +109,84 @@ def offsets(meta: DataFrame) -> DataFrame:
     return meta.withColumn("__inside", F.coalesce(inside, F.lit(0))).join(sums, ["sid", "__bucket"]).withColumn("offset", F.col("__before") + F.col("__inside")).drop("__bucket", "__inside", "__before")
 
 
+def _source_table(meta: DataFrame, block_words: int) -> DataFrame:
+    """One row for each source of ``meta`` (source, size): sid, sizes, target, blocks and quota of blocks."""
+    sizes = targets(meta.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs")))
+    quota = F.least(F.col("blocks") * 2, F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long"))
+    return keep(
+        sizes.withColumn("blocks", F.expr(f"cast(ceil(source_size / {float(block_words)}) as long)"))
+        .withColumn("quota", F.when(F.col("source_size") > 0, quota).otherwise(F.lit(0).cast("long")))
+        .withColumn("n_all", F.sum("docs").over(Window.partitionBy(F.lit(0))))
+    )
+
+
+def _with_source(meta: DataFrame, sizes: DataFrame) -> DataFrame:
+    return meta.join(small(sizes.withColumnRenamed("source", "__source")), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+
+
+def _chosen(sizes: DataFrame, seed: int, shard_blocks: int) -> DataFrame:
+    """sid, block and how often the mix takes it."""
+    return draw_slots(sizes, seed, shard_blocks).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("__times"))
+
+
+def _pieces(placed: DataFrame, kept: list[str], block_words: int) -> DataFrame:
+    """A row for each block that a document of some size reaches into, with its first and last word + 1."""
+    first, last = F.expr(f"offset div {block_words}"), F.expr(f"(offset + size - 1) div {block_words}")
+    cut = placed.select(*kept, F.explode(F.sequence(first, last)).alias("block"))
+    low = F.greatest(F.lit(0).cast("long"), F.col("block") * block_words - F.col("offset"))
+    return cut.withColumn("__from", low).withColumn("__to", F.least(F.col("size"), (F.col("block") + 1) * block_words - F.col("offset")))
+
+
 def mix(docs: DataFrame, seed: int = 17, block_words: int = 256, shard_blocks: int = 16_384) -> DataFrame:
     """doc_id, source, size, source_size, target, taken and crc (of the text) for every row of ``docs``.
 
     Null and empty texts have size 0 and are never taken; a null source is a source of its own, last in
     order.  Repeated rows are packed one after another, each with its own taken words; an empty table gives
     an empty table.  No row is taken more than twice, as a source's quota is at most twice its blocks.
-    Runs agree: every draw is a hash of ``seed`` and an index.
+    Runs agree: every draw is a hash of ``seed`` and an index.  Other columns aren't read.
     """
     meta = keep(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("crc")))
-    sizes = targets(meta.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs")))
-    blocks = F.expr(f"cast(ceil(source_size / {float(block_words)}) as long)")
-    sizes = (
-        sizes.withColumn("blocks", blocks)
-        .withColumn("quota", F.when(F.col("source_size") > 0, F.least(F.col("blocks") * 2, F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long"))).otherwise(F.lit(0).cast("long")))
-        .withColumn("n_all", F.sum("docs").over(Window.partitionBy(F.lit(0))))
-    )
-    sizes = keep(sizes)
-    meta = meta.join(small(sizes.withColumnRenamed("source", "__source")), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    taken = draw_slots(sizes, seed, shard_blocks).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("__times"))
-    full = offsets(meta.filter("size > 0"))
+    sizes = _source_table(meta, block_words)
+    meta = _with_source(meta, sizes)
     kept = ["doc_id", "source", "size", "source_size", "target", "crc"]
-    last = F.col("offset") + F.col("size")
-    pieces = full.select(*kept, "sid", "offset", F.explode(F.sequence(F.expr(f"offset div {block_words}"), F.expr(f"(offset + size - 1) div {block_words}"))).alias("block"))
-    words = F.least(last, (F.col("block") + 1) * block_words) - F.greatest(F.col("offset"), F.col("block") * block_words)
+    words = (F.col("__to") - F.col("__from")) * F.coalesce("__times", F.lit(0))
     mixed = (
-        pieces.join(taken, ["sid", "block"], "left")
-        .groupBy("sid", "offset", *kept)
-        .agg(F.sum(words * F.coalesce("__times", F.lit(0))).cast("long").alias("taken"))
+        _pieces(offsets(meta.filter("size > 0")), [*kept, "sid", "offset"], block_words)
+        .join(_chosen(sizes, seed, shard_blocks), ["sid", "block"], "left")
+        .groupBy("sid", "offset", *kept).agg(F.sum(words).cast("long").alias("taken"))
     )
     none = meta.filter("size = 0").select(*kept, F.lit(0).cast("long").alias("taken"))
     return mixed.select(*kept, "taken").unionByName(none)
 
 
+def mixed_documents(docs: DataFrame, seed: int = 17, block_words: int = 256, shard_blocks: int = 16_384) -> DataFrame:
+    """The mix itself: ``docs`` with ``text`` cut to the words that the mix takes; columns unchanged.
+
+    A document whose blocks are taken twice gives a second row with the words that are.  Rows without taken
+    words go; ``n_chars``, if there is such a column, is that of the new text.
+    """
+    names = docs.columns
+    own = docs.withColumn("size", n_words(F.col("text"))).withColumn("crc", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))) if not {"size", "crc", "sid", "offset"} & set(names) else None
+    if own is None:
+        raise ValueError("documents to be mixed may not have columns named size, crc, sid or offset")
+    sizes = _source_table(keep(own.select("source", "size")), block_words)
+    placed = offsets(_with_source(own, sizes).filter("size > 0"))
+    span = F.struct(F.col("__from").alias("from"), F.col("__to").alias("to"), F.col("__times").alias("times"))
+    taken = (
+        _pieces(placed.select("sid", "offset", "size"), ["sid", "offset", "size"], block_words)
+        .join(_chosen(sizes, seed, shard_blocks), ["sid", "block"])
+        .groupBy("sid", "offset").agg(F.array_sort(F.collect_list(span)).alias("__spans"))
+    )
+    tokens = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    rows = placed.select(*names, "sid", "offset").join(taken, ["sid", "offset"])
+    rows = rows.withColumn("__tokens", tokens).withColumn("__pass", F.explode(F.array(F.lit(1), F.lit(2))))
+    used = F.filter("__spans", lambda s: s["times"] >= F.col("__pass"))
+    words = F.flatten(F.transform(used, lambda s: F.slice(F.col("__tokens"), (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int"))))
+    rows = rows.filter(F.size(used) > 0).withColumn("text", F.rtrim(F.array_join(words, "")))
+    if "n_chars" in names:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*names)
+
+
 def op10_source_mix(docs: DataFrame) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), "taken", "source")
