@@ -4,11 +4,11 @@ Words covered by a run of 13 words that also starts in a document with a smaller
 
 1. Documents are dealt by a hash of doc_id into chunks of a few megabytes of text.  Each chunk makes its
    count-min sketch: for each of ``DEPTH`` rows the cells that its windows fall into, once or more often.
-   It is sparse, stored as gaps between sorted cells (about a byte for each window and row).
+   It is sparse, stored as coded gaps between sorted cells (11 bits for each window and row).
 2. Sketches are merged by ranges of cells: counts are added up, and each chunk gets back those of its cells
    whose count is two or more.  Counts are never too small, so no repeated window is lost.
 3. Each chunk's windows whose cells are repeated in every row are the candidates.  They alone are grouped
-   exactly, by 128-bit hash: a chunk sends each distinct candidate once with its smallest doc_id and gets
+   exactly, by 96-bit hash: a chunk sends each distinct candidate once with its smallest doc_id and gets
    back the smallest doc_id over all chunks where that is smaller than its own largest.
 4. Each chunk removes the covered words of its documents.
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.text import Texts, U, covered, mixed, packed, texts, unpacked, windows
+from gridloom.llm.text import Texts, U, covered, mixed, packed, texts, windows
 
 WINDOW = 13
 DEPTH = 2
@@ -56,32 +56,39 @@ class Plan:
         return ((x >> U(32)) * U(self.cells) >> U(32)).astype(np.int64) if self.cells < 1 << 32 else (x % U(self.cells)).astype(np.int64)
 
 
-def _gaps(values: np.ndarray) -> bytes:
-    """Sorted numbers as gaps, in the narrowest of one, two, four or eight bytes."""
+def _coded(values: np.ndarray) -> bytes:
+    """Sorted numbers as Rice-coded gaps: low bits as they are, the rest in unary."""
     gaps = np.diff(values, prepend=0)
-    for kind in (np.uint8, np.uint16, np.uint32, np.uint64):
-        if not len(gaps) or gaps.max() <= np.iinfo(kind).max:
-            return np.dtype(kind).char.encode() + gaps.astype(kind).tobytes()
-    raise AssertionError
+    low = max(int(gaps.mean()).bit_length() - 1, 0) if len(gaps) else 0
+    high = gaps >> low
+    unary = np.zeros(int(high.sum()) + len(gaps), np.uint8)
+    unary[np.cumsum(high + 1) - 1] = 1
+    bits = ((gaps[:, None] >> np.arange(low)) & 1).astype(np.uint8)
+    return np.array([len(gaps), low, len(unary)], np.int64).tobytes() + np.packbits(unary).tobytes() + np.packbits(bits).tobytes()
 
 
-def _small_gaps(values: np.ndarray) -> bytes:
-    """As ``_gaps``, but with gaps of over 254 written as steps of 255 with no number behind them."""
-    gaps = np.diff(values, prepend=0)
-    if not len(gaps) or gaps.max() > 255 * 8:
-        return _gaps(values)
-    steps = gaps // 255
-    out = np.full(len(gaps) + int(steps.sum()), 255, np.uint8)
-    out[np.cumsum(steps + 1) - 1] = gaps - steps * 255
-    return b"-" + out.tobytes()
+def _numbers(data: bytes) -> np.ndarray:
+    n, low, length = np.frombuffer(data, np.int64, 3).tolist()
+    cut = 24 + -(-length // 8)
+    high = np.diff(np.flatnonzero(np.unpackbits(np.frombuffer(data[24:cut], np.uint8), count=length)), prepend=-1) - 1
+    bits = np.unpackbits(np.frombuffer(data[cut:], np.uint8), count=n * low).reshape(n, low)
+    gaps = high << low
+    for k in range(low):
+        gaps += bits[:, k].astype(np.int64) << k
+    return np.cumsum(gaps)
 
 
-def _numbers(data: bytes) -> np.ndarray:
-    kind, rest = data[:1], data[1:]
-    if kind == b"-":
-        x = np.frombuffer(rest, np.uint8)
-        return np.cumsum(x, dtype=np.int64)[x != 255]
-    return np.cumsum(np.frombuffer(rest, kind.decode()).astype(np.int64))
+def _narrow(ids: np.ndarray) -> bytes:
+    """Ids above their smallest, in as few bytes as hold the largest."""
+    base = int(ids.min()) if len(ids) else 0
+    above = ids.astype(U) - np.int64(base).astype(U)
+    kind = next(k for k in ("u1", "u2", "u4", "u8") if not len(ids) or above.max() <= U(np.iinfo(k).max))
+    return kind.encode() + np.int64(base).tobytes() + above.astype(kind).tobytes()
+
+
+def _ids(data: bytes) -> np.ndarray:
+    base = np.frombuffer(data, U, 1, 2)[0]
+    return (np.frombuffer(data, data[:2].decode(), -1, 10).astype(U) + base).astype(np.int64)
 
 
 def _hashed(t: Texts, window: int):
@@ -89,7 +96,7 @@ def _hashed(t: Texts, window: int):
     starts, ends, owner = t.words()
     one, first = windows(t.hashes(starts, ends, 1), owner, window)
     two, _ = windows(t.hashes(starts, ends, 2), owner, window)
-    return starts, ends, owner, one, two, first
+    return starts, ends, owner, one, (two >> U(32)).astype(np.uint32), first
 
 
 def _chunk_windows(table: pa.Table, window: int):
@@ -105,7 +112,7 @@ def _chunk_windows(table: pa.Table, window: int):
         twos.append(two[keep])
         ids.append(numbers[row + owner[first]][keep])
     cat = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
-    return cat(ones, U), cat(twos, U), cat(ids, np.int64)
+    return cat(ones, U), cat(twos, np.uint32), cat(ids, np.int64)
 
 
 def _sketch(plan: Plan):
@@ -122,7 +129,7 @@ def _sketch(plan: Plan):
             cut = np.searchsorted(cells, np.arange(plan.ranges + 1) * plan.range_cells)
             for r in np.flatnonzero(np.diff(cut)):
                 part = slice(cut[r], cut[r + 1])
-                rows.append((int(d * plan.ranges + r), _small_gaps(cells[part] - r * plan.range_cells), np.packbits(often[part]).tobytes()))
+                rows.append((int(d * plan.ranges + r), _coded(cells[part] - r * plan.range_cells), np.packbits(often[part]).tobytes()))
         n = len(rows)
         chunk = table.column("chunk")[0].as_py()
         return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([chunk] * n, pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["range", "chunk", "cells", "often"])
@@ -139,7 +146,7 @@ def _merge(table: pa.Table) -> pa.Table:
         counts[c] = np.minimum(counts[c] + 1 + m, 2)
     back = [c[counts[c] > 1] for c in lists]
     full = [i for i, c in enumerate(back) if len(c)]
-    return pa.table([table.column("range").take(full), table.column("chunk").take(full), pa.array([_gaps(back[i]) for i in full], pa.binary())], ["range", "chunk", "cells"])
+    return pa.table([table.column("range").take(full), table.column("chunk").take(full), pa.array([_coded(back[i]) for i in full], pa.binary())], ["range", "chunk", "cells"])
 
 
 def _candidates(plan: Plan):
@@ -166,18 +173,19 @@ def _candidates(plan: Plan):
         cut = np.searchsorted(one, [U(r * (1 << 64) // plan.ranges) for r in range(1, plan.ranges)])
         cut = np.concatenate([[0], cut, [len(one)]])
         parts = [int(r) for r in np.flatnonzero(np.diff(cut))]
-        blobs = [packed(*(x[cut[r] : cut[r + 1]] for x in (one, two, low, high))) for r in parts]
+        blobs = [[f(x[cut[r] : cut[r + 1]]) for r in parts] for x, f in ((one, packed), (two, packed), (low, _narrow), (high, _narrow))]
         chunk = docs.column("chunk")[0].as_py() if docs.num_rows else 0
-        return pa.table([pa.array(parts, pa.int64()), pa.array([chunk] * len(parts), pa.int64()), pa.array(blobs, pa.binary())], ["range", "chunk", "found"])
+        return pa.table([pa.array(parts, pa.int64()), pa.array([chunk] * len(parts), pa.int64()), *(pa.array(x, pa.binary()) for x in blobs)], ["range", "chunk", "one", "two", "low", "high"])
 
     return run
 
 
 def _exact(table: pa.Table) -> pa.Table:
     """Smallest doc_id of each candidate of a hash range, to the chunks that have a larger one."""
-    lists = [unpacked(x, "<u8", "<u8", "<i8", "<i8") for x in table.column("found").to_pylist()]
-    one, two, low, high = (np.concatenate([x[i] for x in lists]) for i in range(4))
-    chunk = np.repeat(np.asarray(table.column("chunk")), [len(x[0]) for x in lists])
+    read = {"one": lambda x: np.frombuffer(x, U), "two": lambda x: np.frombuffer(x, np.uint32), "low": _ids, "high": _ids}
+    lists = {k: [f(x) for x in table.column(k).to_pylist()] for k, f in read.items()}
+    one, two, low, high = (np.concatenate(x) for x in lists.values())
+    chunk = np.repeat(np.asarray(table.column("chunk")), [len(x) for x in lists["one"]])
     order = np.lexsort((low, two, one))
     one, two, low, high, chunk = (x[order] for x in (one, two, low, high, chunk))
     new = np.ones(len(one), bool)
@@ -186,14 +194,16 @@ def _exact(table: pa.Table) -> pa.Table:
     keep = np.flatnonzero(high > least)
     keep = keep[np.argsort(chunk[keep], kind="stable")]
     names, at = np.unique(chunk[keep], return_index=True)
-    blobs = [packed(one[k], two[k], least[k]) for k in np.split(keep, at[1:])] if len(names) else []
-    return pa.table([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], ["chunk", "repeats"])
+    groups = np.split(keep, at[1:]) if len(names) else []
+    blobs = [[f(x[k]) for k in groups] for x, f in ((one, packed), (two, packed), (least, _narrow))]
+    return pa.table([pa.array(names, pa.int64()), *(pa.array(x, pa.binary()) for x in blobs)], ["chunk", "one", "two", "least"])
 
 
 def _apply(plan: Plan, with_text: bool):
     def run(docs: pa.Table, repeats: pa.Table) -> pa.Table:
-        lists = [unpacked(x, "<u8", "<u8", "<i8") for x in repeats.column("repeats").to_pylist()]
-        one, two, least = (np.concatenate([x[i] for x in lists]) if lists else np.zeros(0, U) for i in range(3))
+        read = {"one": lambda x: np.frombuffer(x, U), "two": lambda x: np.frombuffer(x, np.uint32), "least": _ids}
+        lists = [[f(x) for x in repeats.column(k).to_pylist()] for k, f in read.items()]
+        one, two, least = (np.concatenate(x) if x else np.zeros(0, U) for x in lists)
         order = np.lexsort((two, one))
         one, two, least = one[order], two[order], least[order]
         doc_ids = docs.column("doc_id").combine_chunks()
@@ -203,7 +213,7 @@ def _apply(plan: Plan, with_text: bool):
             starts, ends, owner, w1, w2, first = _hashed(t, plan.window)
             hit = np.zeros(0, np.int64)
             if len(one) and len(first):
-                # A hash of 64 bits finds the place, the other 64 bits confirm it; equal first halves are stepped through.
+                # 64 bits of the hash find the place, the other 32 confirm it; equal first halves are stepped through.
                 i, hits, todo = np.searchsorted(one, w1), np.zeros(len(w1), bool), np.arange(len(w1))
                 while len(todo):
                     todo = todo[(i[todo] < len(one))]
@@ -251,8 +261,8 @@ def deduplicate_substrings(docs: DataFrame, window: int = WINDOW, with_text: boo
     by_chunk = lambda df: df.groupBy("chunk")
     sketches = by_chunk(dealt).applyInArrow(_sketch(plan), "range long, chunk long, cells binary, often binary")
     merged = sketches.groupBy("range").applyInArrow(_merge, "range long, chunk long, cells binary")
-    found = by_chunk(dealt).cogroup(by_chunk(merged)).applyInArrow(_candidates(plan), "range long, chunk long, found binary")
-    repeats = found.groupBy("range").applyInArrow(_exact, "chunk long, repeats binary")
+    found = by_chunk(dealt).cogroup(by_chunk(merged)).applyInArrow(_candidates(plan), "range long, chunk long, one binary, two binary, low binary, high binary")
+    repeats = found.groupBy("range").applyInArrow(_exact, "chunk long, one binary, two binary, least binary")
     columns = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return by_chunk(dealt).cogroup(by_chunk(repeats)).applyInArrow(_apply(plan, with_text), columns)
 

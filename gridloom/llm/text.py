@@ -2,7 +2,7 @@
 
 A column's texts lie one after another in one byte buffer.  Words, lines and windows are found and hashed
 for the whole buffer with NumPy, in slices of a few megabytes of text, so that a task's memory doesn't grow
-with its partition.  Hashes mix eight bytes at a time; two seeds give the 128-bit keys of exact grouping.
+with its partition.  Hashes mix eight bytes at a time; two seeds give the keys of exact grouping.
 """
 
 from __future__ import annotations
