@@ -8,16 +8,18 @@ of their weighted shingles.  Documents that agree in a whole band of registers a
 verified: five-word-shingle Jaccard of 0.8 or more, computed from the sets.
 
 Documents with equal shingle sets are one class from the start, and only the one with the smallest doc_id
-goes on.  Pairs within a bucket aren't spelled out.  Every member is compared with the bucket's leader;
-those that match are in its class.  Who didn't match is compared with a leader of those left, and so on,
-together with the matched ones that could still link to one of them: Jaccard distance is a metric, so with
-leader L a matched x and an unmatched y can be linked only if d(L,y) - d(L,x) <= 0.2.  So each pair of a
-bucket is compared, or known to be in one class, or known to be too far apart: no link between different
-classes is lost, whatever the bucket's size.
-
-Scale: signatures are 25 numbers for each document; shingle sets are built only for documents in candidate
-pairs.  Minima over hot buckets are combined before the shuffle; what joins on hot keys are plain joins of
-stored tables that adaptive execution splits.
+goes on.  Pairs within a bucket aren't spelled out: each member is tied to the bucket's smallest doc_id, and
+what hangs together through such ties is a family.  A family is verified as a whole where its shingle sets
+meet, by products of 0/1 matrices, and gives one link for each document that has any.  A family that is too
+large for one task is first thinned: members are compared with their buckets' leaders, and a matched member
+goes on only if it could still link to an unmatched one (Jaccard distance is a metric, so with leader L a
+matched x and an unmatched y are linked only if d(L,y) - d(L,x) <= 0.2).  The rest is cut into blocks, and
+each pair of blocks is a task.  So every pair of a bucket is compared, or known to be in one class, or known
+to be too far apart: no link between different classes is lost, whatever the bucket's size.
+
+Scale: signatures are 25 numbers for each document; shingle sets are built only for documents with a
+candidate.  A task holds two blocks of bounded cost.  Minima over hot buckets are combined before the
+shuffle; what joins on hot keys are plain joins of stored tables that adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.text import Texts, U, mixed, texts, windows
@@ -36,6 +38,8 @@ SHINGLE = 5
 BANDS, ROWS = 25, 4
 REGISTERS = BANDS * ROWS
 THRESHOLD = 0.8
+#: A block of a family: so many shingles, with as many for each document, at about ten bytes each.
+BLOCK_COST, DOC_COST = 600_000, 1500
 #: Most ids whose table is broadcast to pick documents (counted first); more are joined by shuffle.
 MAX_BROADCAST = 1_000_000
 
@@ -124,7 +128,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, own, _, _ = distinct(*shingles(t, 11))
             cut = np.searchsorted(own, np.arange(t.n + 1))
             blobs = [h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, t.n), pa.array(blobs, pa.binary())], ["doc_id", "shingles"])
+            names = [x for x in batch.schema.names if x != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x).slice(row, t.n) for x in names), pa.array(blobs, pa.binary())], [*names, "shingles"])
 
 
 def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,28 +154,83 @@ def similarities(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(_jaccard, "a long, b long, similarity double")
 
 
-def verified_links(docs: DataFrame, members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Links a, b (a matched leader b) that connect what the buckets (key, id) of ``members`` have to connect."""
-    far = 1.0 - threshold
-    counts = keep(members.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
-    active = keep(members.join(counts, "key").withColumn("open", F.lit(True)))
-    links, known = None, None
-    while True:
-        pairs = active.filter("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-        if known is not None:
-            pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        now = keep(similarities(docs, keep(pairs)))
-        known = now if known is None else keep(known.unionByName(now))
-        links = known.filter(F.col("similarity") >= threshold).select("a", "b")
-        # Who stays: those without a match, and the matched ones near enough to one of them.
-        seen = active.filter("id <> leader").join(known.withColumnsRenamed({"a": "id", "b": "leader"}), ["id", "leader"])
-        seen = seen.withColumn("open", F.col("open") & (F.col("similarity") < threshold))
-        left = keep(seen.groupBy("key").agg(F.max(F.when(F.col("open"), F.col("similarity"))).alias("nearest"), F.min(F.when(F.col("open"), F.col("id"))).alias("next"), F.count(F.lit(1)).alias("n")).filter("nearest is not null and n > 1"))
-        staying = seen.drop("leader").join(left, "key").filter(F.col("open") | (F.col("nearest") >= F.col("similarity") - far - 1e-9))
-        active = keep(staying.select("key", "id", F.col("next").alias("leader"), "open"))
-        alone = active.groupBy("key").count().filter("count > 1").limit(1).count() == 0
-        if alone:
-            return links
+def _thinned(docs: DataFrame, star: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Of large families' ties (key, id, leader): links to leaders, and the ids that still go on."""
+    ties = star.filter("id <> leader")
+    pairs = keep(ties.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct())
+    known = keep(similarities(docs, pairs))
+    seen = ties.join(known.select(F.col("a").alias("id"), F.col("b").alias("leader"), "similarity"), ["id", "leader"])
+    seen = seen.withColumn("open", F.col("similarity") < threshold)
+    nearest = keep(seen.groupBy("key").agg(F.max(F.when(F.col("open"), F.col("similarity"))).alias("nearest")).filter("nearest is not null"))
+    going = seen.join(nearest, "key").filter(F.col("open") | (F.col("nearest") >= F.col("similarity") - (1.0 - threshold) - 1e-9))
+    return known.filter(F.col("similarity") >= threshold).select("a", "b"), keep(going.select("id").distinct())
+
+
+def _blocks(families: DataFrame) -> DataFrame:
+    """Adds block and blocks to id, family and n: runs of a family in id order of about ``BLOCK_COST`` each."""
+    by_id = Window.partitionBy("family").orderBy("id")
+    before = F.coalesce(F.sum(F.col("n") + DOC_COST).over(by_id.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = families.withColumn("block", F.floor(before / BLOCK_COST))
+    return cut.withColumn("blocks", F.max("block").over(Window.partitionBy("family")) + 1)
+
+
+def _local_links(threshold: float):
+    def run(table: pa.Table) -> pa.Table:
+        ids = np.asarray(table.column("doc_id"))
+        sets = [np.frombuffer(x, U) for x in table.column("shingles").to_pylist()]
+        m, n = len(sets), np.array([len(x) for x in sets])
+        h, who = np.concatenate(sets), np.repeat(np.arange(m), n)
+        order = np.argsort(h, kind="stable")
+        h, who = h[order], who[order]
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        column = np.cumsum(new) - 1
+        shared = np.bincount(column)[column] > 1
+        column, who = np.unique(column[shared], return_inverse=True)[1], who[shared]
+        common = np.zeros((m, m), np.float32)
+        for start in range(0, int(column.max(initial=-1)) + 1, 4096):
+            a, b = np.searchsorted(column, [start, start + 4096])
+            x = np.zeros((m, 4096), np.float32)
+            x[who[a:b], column[a:b] - start] = 1
+            common += x @ x.T
+        near = common >= threshold * (n[:, None] + n[None, :] - common) - 1e-6
+        root = np.full(m, -1)
+        for i in range(m):  # breadth first over the links
+            if root[i] >= 0:
+                continue
+            root[i], front = i, np.array([i])
+            while len(front):
+                reached = near[front].any(axis=0) & (root < 0)
+                front = np.flatnonzero(reached)
+                root[front] = i
+        linked = np.flatnonzero(root != np.arange(m))
+        return pa.table([pa.array(ids[linked]), pa.array(ids[root[linked]])], ["a", "b"])
+
+    return run
+
+
+def verified_links(docs: DataFrame, members: DataFrame, sizes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Links a, b that connect whatever documents of a bucket (key, id) are connected; sizes: id and n."""
+    leaders = keep(members.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("__n")).filter("__n > 1").drop("__n"))
+    star = keep(members.join(leaders, "key"))
+    ties = star.filter("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
+    families = components(ties).withColumnRenamed("class", "family").join(sizes, "id")
+    placed = keep(_blocks(families))
+    small = placed.filter("blocks = 1")
+    large = placed.filter("blocks > 1")
+    links = None
+    if large.limit(1).count():
+        links, going = _thinned(docs, star.join(large.select("id"), "id", "left_semi"), threshold)
+        small = small.unionByName(_blocks(large.drop("block", "blocks").join(going, "id", "left_semi")))
+    placed = keep(small)
+    if placed.count() <= MAX_BROADCAST:
+        placed = F.broadcast(placed)
+    picked = docs.join(placed, docs["doc_id"] == placed["id"]).select("doc_id", "text", "family", "block", "blocks")
+    sets = picked.mapInArrow(_sets, "doc_id long, family long, block long, blocks long, shingles binary")
+    other = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: j != F.col("block")))
+    dealt = sets.withColumn("__j", F.explode(other)).withColumn("p", F.least("block", "__j")).withColumn("q", F.greatest("block", "__j"))
+    found = keep(dealt.select("doc_id", "shingles", "family", "p", "q").groupBy("family", "p", "q").applyInArrow(_local_links(threshold), "a long, b long"))
+    return found if links is None else keep(found.unionByName(links))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -197,8 +257,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signatures = keep(docs.mapInArrow(_signatures, "doc_id long, n long, f1 long, f2 long, bands array<long>"))
     full = signatures.filter("n > 0 and doc_id is not null")
-    equal = keep(full.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "bands")).alias("first")).select("f1", "f2", F.col("first.doc_id").alias("id"), F.col("first.bands").alias("bands")))
-    links = verified_links(docs, equal.select(F.explode("bands").alias("key"), "id"), threshold)
+    equal = keep(full.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "n", "bands")).alias("first")).select("f1", "f2", F.col("first.doc_id").alias("id"), F.col("first.n").alias("n"), F.col("first.bands").alias("bands")))
+    links = verified_links(docs, equal.select(F.explode("bands").alias("key"), "id"), equal.select("id", "n"), threshold)
     classes = equal.select("f1", "f2", "id").join(components(links), "id", "left")
     classes = keep(classes.select("f1", "f2", F.coalesce("class", "id").alias("class")))
     found = full.join(classes, ["f1", "f2"]).select("doc_id", F.col("class").alias("class_id"), F.col("n").alias("n_shingles"))
