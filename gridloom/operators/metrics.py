@@ -20,6 +20,12 @@ def align(samples: DataFrame, rebuilt: DataFrame, check: bool = True) -> DataFra
     return both.withColumn("t", F.when(alone, F.raise_error(F.lit("original and reconstruction differ in shape"))).otherwise(F.col("t"))).drop("__l", "__r")
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation as an aggregate; 0 where one side doesn't vary."""
+    sx, sy = F.stddev_pop(x), F.stddev_pop(y)
+    return F.coalesce(F.when((sx > 0) & (sy > 0), F.covar_pop(x, y) / (sx * sy)), F.lit(0.0))
+
+
 def error_columns(x: Column | None = None, y: Column | None = None) -> dict[str, Column]:
     """Aggregate expressions over aligned rows: rmse, mae, mape, smape, corr and max_error."""
     x, y = F.col("x") if x is None else x, F.col("x_hat") if y is None else y
@@ -28,7 +34,7 @@ def error_columns(x: Column | None = None, y: Column | None = None) -> dict[str,
         "rmse": F.sqrt(F.avg((x - y) * (x - y))), "mae": F.avg(e),
         "mape": F.avg(e / F.greatest(F.abs(x), F.lit(EPS))) * 100.0,
         "smape": F.avg(2.0 * e / F.greatest(F.abs(x) + F.abs(y), F.lit(EPS))) * 100.0,
-        "corr": F.coalesce(F.nanvl(F.corr(x, y), F.lit(0.0)), F.lit(0.0)), "max_error": F.max(e),
+        "corr": correlation(x, y), "max_error": F.max(e),
     }
 
 
@@ -58,7 +64,7 @@ def per_var_metrics(aligned: DataFrame) -> DataFrame:
 def rel_error_pct(aligned: DataFrame) -> DataFrame:
     """Mean error over each variable's mean magnitude, in percent."""
     scale = aligned.groupBy(*SERIES).agg(F.avg(F.abs("x")).alias("__m"))
-    return aligned.join(scale, list(SERIES)).groupBy("grid_id").agg((F.avg(F.abs(F.col("x") - F.col("x_hat")) / F.col("__m")) * 100.0).alias("rel_error_pct"))
+    return aligned.join(scale, list(SERIES)).groupBy("grid_id").agg((F.avg(F.when(F.col("__m") > 0, F.abs(F.col("x") - F.col("x_hat")) / F.col("__m"))) * 100.0).alias("rel_error_pct"))
 
 
 def safety_check(aligned: DataFrame, limit: float) -> DataFrame:

@@ -9,6 +9,7 @@ from gridloom.functions import scalar
 from gridloom.operators import metrics, profile, segments, sequence
 from gridloom.operators.clean import auto_offset, sanitize
 from gridloom.operators.frames import SERIES, series
+from gridloom.plans.durable import keep
 
 
 def base_encode(samples: DataFrame, bits: int = 8, clamp: float = 500.0) -> tuple[DataFrame, DataFrame]:
@@ -128,13 +129,14 @@ def auto_tune_bits(samples: DataFrame, sample_steps: int = 512, target_rmse: flo
 
 def compare_methods(samples: DataFrame) -> DataFrame:
     """Metrics of the base variant and of adaptive, mu-law and 16-bit grids of the same data."""
+    samples = keep(sanitize(samples))
     parts = []
     for name, bits, kind in (("base8", 8, None), ("base16", 16, None), ("adaptive8", 8, False), ("mulaw8", 8, True), ("mulaw16", 16, True)):
         if kind is None:
             hat = base_decode(*base_encode(samples, bits))
         else:
             hat = enhanced_decode(*enhanced_encode(samples, bits, mu_law=kind), mu_law=kind, bits=bits)
-        aligned = metrics.align(sanitize(samples), hat, check=False)
+        aligned = metrics.align(samples, hat, check=False)
         parts.append(metrics.metrics(aligned).withColumn("method", F.lit(name)).withColumn("bytes_per_cell", F.lit(1 if bits <= 8 else 2)))
     out = parts[0]
     for p in parts[1:]:
@@ -156,7 +158,7 @@ def estimated_bytes(samples: DataFrame, n_segments: int = 64) -> DataFrame:
 
 def compare_baselines(samples: DataFrame, n_segments: int = 64) -> DataFrame:
     """Metrics and sizes of the segment summaries and lossless deltas on the same data."""
-    clean = sanitize(samples)
+    clean = keep(sanitize(samples))
     delta_hat = sequence.undelta(sequence.delta(clean)).select(*SERIES, "t", "x", "x_hat")
     dd_hat = sequence.undelta_of_delta(sequence.delta_of_delta(clean)).select(*SERIES, "t", "x", F.col("v_hat").cast("double").alias("x_hat"))
     methods = {"paa": segments.paa_expand(clean, n_segments), "pla": segments.pla_expand(clean, n_segments), "sax": segments.sax_expand(clean, n_segments, denormalize=True), "delta": delta_hat, "delta_of_delta": dd_hat}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.scalar import INLINE
 from gridloom.operators.frames import SERIES, series
+from gridloom.operators.metrics import correlation
 
 
 def var_profile(samples: DataFrame) -> DataFrame:
@@ -70,7 +71,7 @@ def correlation_pairs(samples: DataFrame) -> DataFrame:
     steps = samples.withColumn("d", F.col("x") - F.lag("x").over(series())).filter(F.col("d").isNotNull()).select("grid_id", "t", "var", "d")
     a, b = steps.select("grid_id", "t", F.col("var").alias("a"), F.col("d").alias("da")), steps.select("grid_id", "t", F.col("var").alias("b"), F.col("d").alias("db"))
     pairs = a.join(b, ["grid_id", "t"]).filter(F.col("a") < F.col("b")).groupBy("grid_id", "a", "b")
-    return pairs.agg(F.corr("da", "db").alias("c")).select("grid_id", "a", "b", F.coalesce(F.nanvl("c", F.lit(0.0)), F.lit(0.0)).alias("corr"))
+    return pairs.agg(correlation(F.col("da"), F.col("db")).alias("corr"))
 
 
 def _gram(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -8,8 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gridloom.functions.scalar import INLINE
 
@@ -23,33 +23,26 @@ def stream_windows(events: DataFrame, width: str = "1 hour", late: str = "10 min
     return grouped.agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum(F.col("x") * F.col("x")).alias("squares")).select("w.start", "var", "n", "mean", "lo", "hi", "squares")
 
 
-class _Encoder(StatefulProcessor):
-    """Lattice residuals of one (grid_id, var): the last coordinate is carried from batch to batch."""
+def _residuals(q: float):
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(frames)).sort_values("t")
+        m = np.rint(frame["x"].to_numpy() / q).astype(np.int64)
+        last, rows, escapes = state.get if state.exists else (int(m[0]), 0, 0)
+        r = np.diff(m, prepend=last)
+        rows, escapes = rows + len(m), escapes + int((np.abs(r) > INLINE).sum())
+        state.update((int(m[-1]), rows, escapes))
+        yield pd.DataFrame({"grid_id": key[0], "var": key[1], "t": frame["t"].to_numpy(), "m": m, "r": r, "rows": rows, "escapes": escapes})
 
-    def __init__(self, q: float):
-        self.q = q
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "m long, rows long, escapes long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        frame = pd.concat(list(rows)).sort_values("t")
-        m = np.rint(frame["x"].to_numpy() / self.q).astype(np.int64)
-        before = self.last.get() if self.last.exists() else None
-        r = np.diff(m, prepend=before[0] if before else m[0])
-        out = np.abs(r) > INLINE
-        self.last.update((int(m[-1]), int((before[1] if before else 0) + len(m)), int((before[2] if before else 0) + out.sum())))
-        total = self.last.get()
-        yield pd.DataFrame({"grid_id": key[0], "var": key[1], "t": frame["t"].to_numpy(), "m": m, "r": r, "rows": total[1], "escapes": total[2]})
-
-    def close(self) -> None:
-        pass
+    return run
 
 
 def stream_encode(samples: DataFrame, q: float) -> DataFrame:
-    """m, residual and running totals of a stream of samples that arrive in step order; step ``q`` is fixed."""
+    """m, residual and running totals of a stream of samples that arrive in step order; step ``q`` is fixed.
+
+    The last coordinate and the totals of each (grid_id, var) are carried from batch to batch.
+    """
     schema = "grid_id string, var string, t long, m long, r long, rows long, escapes long"
-    return samples.groupBy("grid_id", "var").transformWithStateInPandas(_Encoder(q), schema, "Append", "None")
+    return samples.groupBy("grid_id", "var").applyInPandasWithState(_residuals(q), schema, "last long, rows long, escapes long", "append", GroupStateTimeout.NoTimeout)
 
 
 def encode_each_batch(samples: DataFrame, sink: Callable[[DataFrame, int], None], window_rows: int, checkpoint: str, eps: float = 1e-3, **options) -> StreamingQuery:
