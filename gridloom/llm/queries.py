@@ -34,5 +34,47 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+TOKENS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+LINES_SQL = rf"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
+x AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+y AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM x),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM y WHERE c > 1) GROUP BY 1),
+l AS (SELECT doc_id, source, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw FROM (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS line FROM d)),
+n AS (SELECT doc_id, source, line, len(lw) AS k, translate(array_to_string(lw, ' '), '{UPPER}', '{LOWER}') AS nl FROM l WHERE len(lw) > 0),
+u AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup FROM n GROUP BY 1),
+c AS (SELECT source, nl, count(DISTINCT doc_id) AS c FROM n GROUP BY 1, 2), h AS (SELECT source, count(*) AS h FROM documents GROUP BY 1),
+o AS (SELECT doc_id, count(DISTINCT nl) AS lines, sum(k)::BIGINT AS words FROM n JOIN c USING (source, nl) JOIN h USING (source) WHERE c > 10 AND c > 0.01 * h GROUP BY 1),
+b AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+ coalesce(u.dup, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, coalesce(o.lines, 0)::BIGINT AS n_common_lines, coalesce(o.words, 0)::BIGINT AS n_common_words
+ FROM d LEFT JOIN u USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN o USING (doc_id)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b)
+SELECT *, NOT base_failed AND 2 * n_common_words <= n_words AS kept FROM f"""
+
+SUBSTRINGS_SQL = rf"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+x AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS f FROM x),
+g AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 13)) AS p FROM m WHERE f < doc_id)),
+a AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+k AS (SELECT a.doc_id, string_agg(word, ' ' ORDER BY a.p) AS t FROM a LEFT JOIN g ON g.doc_id = a.doc_id AND g.p = a.p WHERE g.p IS NULL GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+CONTAMINATION_SQL = rf"""
+WITH d AS (SELECT doc_id, {TOKENS} AS w FROM documents), b AS (SELECT item_id, {TOKENS} AS w FROM benchmark),
+v AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT item_id, w, least(13, len(w)) AS k, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+s AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT k FROM v))),
+h AS (SELECT s.doc_id, s.i, s.k, v.item_id FROM s JOIN v ON s.k = v.k AND s.g = v.g),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM h) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(t.n, 0)::BIGINT AS n_items, sha256(coalesce(t.items, '')) AS items_sha256,
+ coalesce(c.n, 0) > 0 AND 20 * coalesce(c.n, 0) >= len(w) AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other operators draw, iterate, train or give positions, and are tested against brute force."""
+    return {"op2_line_frequency": LINES_SQL, "op3_substring_dedup": SUBSTRINGS_SQL, "op4_decontaminate": CONTAMINATION_SQL}
