@@ -8,8 +8,8 @@ Words covered by a run of 13 words that also starts in a document with a smaller
 2. Sketches are merged by ranges of cells: counts are added up, and each chunk gets back those of its cells
    whose count is two or more.  Counts are never too small, so no repeated window is lost.
 3. Each chunk's windows whose cells are repeated in every row are the candidates.  They alone are grouped
-   exactly, by 96-bit hash: a chunk sends each distinct candidate once with its smallest doc_id and gets
-   back the smallest doc_id over all chunks where that is smaller than its own largest.
+   exactly, by 96-bit hash: a chunk sends each distinct candidate once with its smallest doc_id, and whether
+   it has a larger one, and gets back the smallest doc_id over all chunks where some of its own are larger.
 4. Each chunk removes the covered words of its documents.
 
 Scale: the sketch is never in one place and nothing is broadcast; cells, chunks and ranges grow with the
@@ -173,25 +173,27 @@ def _candidates(plan: Plan):
         cut = np.searchsorted(one, [U(r * (1 << 64) // plan.ranges) for r in range(1, plan.ranges)])
         cut = np.concatenate([[0], cut, [len(one)]])
         parts = [int(r) for r in np.flatnonzero(np.diff(cut))]
-        blobs = [[f(x[cut[r] : cut[r + 1]]) for r in parts] for x, f in ((one, packed), (two, packed), (low, _narrow), (high, _narrow))]
+        bits = lambda x: np.packbits(x).tobytes()
+        blobs = [[f(x[cut[r] : cut[r + 1]]) for r in parts] for x, f in ((one, packed), (two, packed), (low, _narrow), (high > low, bits))]
         chunk = docs.column("chunk")[0].as_py() if docs.num_rows else 0
-        return pa.table([pa.array(parts, pa.int64()), pa.array([chunk] * len(parts), pa.int64()), *(pa.array(x, pa.binary()) for x in blobs)], ["range", "chunk", "one", "two", "low", "high"])
+        return pa.table([pa.array(parts, pa.int64()), pa.array([chunk] * len(parts), pa.int64()), *(pa.array(x, pa.binary()) for x in blobs)], ["range", "chunk", "one", "two", "low", "more"])
 
     return run
 
 
 def _exact(table: pa.Table) -> pa.Table:
     """Smallest doc_id of each candidate of a hash range, to the chunks that have a larger one."""
-    read = {"one": lambda x: np.frombuffer(x, U), "two": lambda x: np.frombuffer(x, np.uint32), "low": _ids, "high": _ids}
+    read = {"one": lambda x: np.frombuffer(x, U), "two": lambda x: np.frombuffer(x, np.uint32), "low": _ids}
     lists = {k: [f(x) for x in table.column(k).to_pylist()] for k, f in read.items()}
-    one, two, low, high = (np.concatenate(x) for x in lists.values())
+    one, two, low = (np.concatenate(x) for x in lists.values())
+    more = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(n)) for x, n in zip(table.column("more").to_pylist(), lists["one"], strict=True)]).astype(bool)
     chunk = np.repeat(np.asarray(table.column("chunk")), [len(x) for x in lists["one"]])
     order = np.lexsort((low, two, one))
-    one, two, low, high, chunk = (x[order] for x in (one, two, low, high, chunk))
+    one, two, low, more, chunk = (x[order] for x in (one, two, low, more, chunk))
     new = np.ones(len(one), bool)
     new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
     least = low[new][np.cumsum(new) - 1]
-    keep = np.flatnonzero(high > least)
+    keep = np.flatnonzero((low > least) | more)
     keep = keep[np.argsort(chunk[keep], kind="stable")]
     names, at = np.unique(chunk[keep], return_index=True)
     groups = np.split(keep, at[1:]) if len(names) else []
@@ -261,7 +263,7 @@ def deduplicate_substrings(docs: DataFrame, window: int = WINDOW, with_text: boo
     by_chunk = lambda df: df.groupBy("chunk")
     sketches = by_chunk(dealt).applyInArrow(_sketch(plan), "range long, chunk long, cells binary, often binary")
     merged = sketches.groupBy("range").applyInArrow(_merge, "range long, chunk long, cells binary")
-    found = by_chunk(dealt).cogroup(by_chunk(merged)).applyInArrow(_candidates(plan), "range long, chunk long, one binary, two binary, low binary, high binary")
+    found = by_chunk(dealt).cogroup(by_chunk(merged)).applyInArrow(_candidates(plan), "range long, chunk long, one binary, two binary, low binary, more binary")
     repeats = found.groupBy("range").applyInArrow(_exact, "chunk long, one binary, two binary, least binary")
     columns = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return by_chunk(dealt).cogroup(by_chunk(repeats)).applyInArrow(_apply(plan, with_text), columns)
