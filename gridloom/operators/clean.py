@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.functions.scalar import EPS, finite, finite_or_null
-from gridloom.operators.frames import SERIES
+from gridloom.operators.frames import SERIES, to_long
 from gridloom.plans.blockscan import running
 
 #: A column whose lower-cased name contains one of these isn't a measurement.
@@ -77,9 +77,10 @@ def is_failure(runs: DataFrame, limit: float = 1e6) -> DataFrame:
 
 
 def clean_frame(df: DataFrame, order: list[str], grid: str = "grid") -> DataFrame:
-    """A wide table as clean samples: columns chosen once for the whole table, t by ``order``, gaps filled."""
-    names = drop_all_null_columns(df, select_numeric(df))
-    indexed = df.withColumn("grid_id", F.lit(grid)).withColumn("t", (F.row_number().over(Window.partitionBy("grid_id").orderBy(*order)) - 1).cast("long"))
-    from gridloom.operators.frames import to_long
+    """A wide table as clean samples: columns chosen once for the whole table, t by ``order``, gaps filled.
 
+    Columns that only give the order aren't variables.
+    """
+    names = drop_all_null_columns(df, [c for c in select_numeric(df) if c not in order])
+    indexed = df.withColumn("grid_id", F.lit(grid)).withColumn("t", (F.row_number().over(Window.partitionBy("grid_id").orderBy(*order)) - 1).cast("long"))
     return ffill_bfill(to_long(indexed, names))

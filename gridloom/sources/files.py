@@ -31,9 +31,9 @@ def read_matrix(spark: SparkSession, path: str, grid: str = "grid", order: list[
     n = df.count()
     if not n:
         raise ValueError(f"{path} has no rows")
-    samples = clean_frame(df, [*(order or _by_line(df)), "__line"], grid)
+    samples = clean_frame(df, list(dict.fromkeys([*(order or _by_line(df)), "__line"])), grid)
     variables = samples.select("var").distinct().count()
-    return samples.filter(F.col("var") != "__line"), {"n_rows": n, "n_vars": variables, "input_bytes": 8 * n * variables}
+    return samples, {"n_rows": n, "n_vars": variables, "input_bytes": 8 * n * variables}
 
 
 def read_windows(spark: SparkSession, path: str, window_rows: int, grid: str = "grid", order: list[str] | None = None) -> DataFrame:

@@ -94,7 +94,7 @@ def test_csv_windows_and_matrix(spark, tmp_path):
     shapes = {r["grid_id"]: (r["v"], r["n"]) for r in w.groupBy("grid_id").agg(F.count_distinct("var").alias("v"), F.count_distinct("t").alias("n")).collect()}
     assert shapes == {"grid/0": (2, 4), "grid/1": (2, 2)}
     m, info = files.read_matrix(spark, str(path))
-    assert info["n_rows"] == 6 and {r["var"] for r in m.select("var").distinct().collect()} >= {"sensor_a", "sensor_b"}
+    assert info == {"n_rows": 6, "n_vars": 2, "input_bytes": 96} and {r["var"] for r in m.select("var").distinct().collect()} == {"sensor_a", "sensor_b"}
     with pytest.raises(ValueError, match="window_rows"):
         files.read_windows(spark, str(path), 0)
 
