@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.text import Texts, U, mixed, texts, windows
@@ -101,7 +101,7 @@ def _bands(registers: np.ndarray) -> np.ndarray:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row, t in texts(batch.column("text")):
+        for row, t in texts(batch.column("text"), size=2 << 20):  # small sets need many short rounds
             one, owner = shingles(t, 11)
             two, _ = shingles(t, 12)
             h, own, times, place = distinct(one, owner)
@@ -167,11 +167,9 @@ def _thinned(docs: DataFrame, star: DataFrame, threshold: float) -> tuple[DataFr
 
 
 def _blocks(families: DataFrame) -> DataFrame:
-    """Adds block and blocks to id, family and n: runs of a family in id order of about ``BLOCK_COST`` each."""
-    by_id = Window.partitionBy("family").orderBy("id")
-    before = F.coalesce(F.sum(F.col("n") + DOC_COST).over(by_id.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = families.withColumn("block", F.floor(before / BLOCK_COST))
-    return cut.withColumn("blocks", F.max("block").over(Window.partitionBy("family")) + 1)
+    """Adds block and blocks to id, family and n: a family is dealt by hash into blocks of about ``BLOCK_COST``."""
+    cost = keep(families.groupBy("family").agg(F.ceil(F.sum(F.col("n") + DOC_COST) / BLOCK_COST).alias("blocks")))
+    return families.join(cost, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
 
 
 def _local_links(threshold: float):
