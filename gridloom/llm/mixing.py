@@ -102,11 +102,16 @@ def draw_slots(sources: DataFrame, seed: int = 17, shard_blocks: int = 16_384) -
 def offsets(meta: DataFrame) -> DataFrame:
     """Adds ``offset``: the words before a document in its source (meta: sid, docs, n_all, doc_id, crc, size)."""
     parts = F.ceil(F.col("docs") / F.least(F.lit(50_000), F.ceil(F.col("n_all") / F.lit(1024))))
-    meta = meta.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "crc"), parts))
-    sums = meta.groupBy("sid", "__bucket").agg(F.sum("size").alias("__sum"))
-    sums = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(Window.partitionBy("sid").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__sum")
+    meta = meta.withColumn("__parts", parts).withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "crc"), F.col("__parts")))
+    # Buckets are summed up in groups of about the root of their number, and groups over the source.
+    ahead = lambda name, *by: F.coalesce(F.sum(name).over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = meta.groupBy("sid", "__bucket").agg(F.sum("size").alias("__sum"), F.floor(F.first("__bucket") / F.ceil(F.sqrt(F.max("__parts")))).alias("__group"))
+    groups = sums.groupBy("sid", "__group").agg(F.sum("__sum").alias("__whole"))
+    groups = groups.select("sid", "__group", ahead("__whole", "sid", "__group").alias("__earlier"))
+    sums = sums.withColumn("__inner", ahead("__sum", "sid", "__group", "__bucket")).join(groups, ["sid", "__group"])
+    sums = sums.select("sid", "__bucket", (F.col("__earlier") + F.col("__inner")).alias("__before"))
     inside = F.sum("size").over(Window.partitionBy("sid", "__bucket").orderBy("doc_id", "crc", "size").rowsBetween(Window.unboundedPreceding, -1))
-    return meta.withColumn("__inside", F.coalesce(inside, F.lit(0))).join(sums, ["sid", "__bucket"]).withColumn("offset", F.col("__before") + F.col("__inside")).drop("__bucket", "__inside", "__before")
+    return meta.withColumn("__inside", F.coalesce(inside, F.lit(0))).join(sums, ["sid", "__bucket"]).withColumn("offset", F.col("__before") + F.col("__inside")).drop("__bucket", "__inside", "__before", "__parts")
 
 
 def _source_table(meta: DataFrame, block_words: int) -> DataFrame:
