@@ -81,7 +81,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: dict[str, list[np.ndarray]] = defaultdict(list)
     for batch in batches:
         names = np.array(batch.column("lang").to_pylist(), object)
-        for row, t in texts(_lowered(batch.column("text"))):
+        for row, t in texts(batch.column("text"), _lowered):
             g, owner = _grams(t)
             pairs = np.unique(owner.astype(U) << U(32) | g.astype(U))
             who = (pairs >> U(32)).astype(np.int64)
@@ -153,7 +153,7 @@ def _own_shares(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.column("lang").to_pylist()
-            for row, t in texts(_lowered(batch.column("text"))):
+            for row, t in texts(batch.column("text"), _lowered):
                 s = shares(t, model)
                 mine = s[np.arange(t.n), [number[k] for k in names[row : row + t.n]]]
                 yield pa.RecordBatch.from_arrays([batch.column("lang").slice(row, t.n), pa.array(mine)], ["lang", "share"])
@@ -165,7 +165,7 @@ def _classifier(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("text").fill_null("")
-            for row, t in texts(_lowered(column)):
+            for row, t in texts(column, _lowered):
                 plain = LETTERS[t.data[: t.size]]
                 letter = t.per_text((plain >= 97) & (plain <= 122)) > 0
                 for d in np.flatnonzero(~letter):  # no ASCII letter: look at the characters

@@ -299,7 +299,7 @@ def _scanner(rules: tuple[Rule, ...]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, t in texts(batch.column("text")):
+            for row, t in texts(batch.column("text"), size=4 << 20):  # more pieces side by side
                 spans: list[list[dict]] = [[] for _ in range(t.n)]
                 heads = None
                 for s, e, d, bits in zip(*(x.tolist() for x in found_in_pieces(t, search)), strict=True):

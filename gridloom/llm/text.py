@@ -7,13 +7,13 @@ with its partition.  Hashes mix eight bytes at a time; two seeds give the keys o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text handled at once; one longer text is handled alone.
-SLICE = 4 << 20
+#: Bytes of text handled at once unless asked otherwise; one longer text is handled alone.
+SLICE = 1 << 20
 
 U = np.uint64
 _A, _B, _C = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -96,8 +96,11 @@ def _long(data: np.ndarray, seed: int) -> U:
     return U(xxhash.xxh3_64_intdigest(data.tobytes(), seed=seed))
 
 
-def texts(column: pa.Array) -> Iterator[tuple[int, Texts]]:
-    """The column in slices of about ``SLICE`` bytes: first row and texts.  Null counts as empty."""
+def texts(column: pa.Array, change: Callable[[pa.Array], pa.Array] | None = None, size: int = SLICE) -> Iterator[tuple[int, Texts]]:
+    """The column in slices of about ``size`` bytes: first row and texts.  Null counts as empty.
+
+    ``change`` is applied to each slice alone, so that no changed copy of a whole batch is held.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
         if isinstance(column, pa.ChunkedArray):
@@ -106,18 +109,27 @@ def texts(column: pa.Array) -> Iterator[tuple[int, Texts]]:
         column = column.fill_null("")
     if not len(column):
         return
-    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
-    _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    data, at = _buffers(column)
     row = 0
     while row < len(column):
-        end = max(row + 1, int(np.searchsorted(at, at[row] + SLICE, "right")) - 1)
+        end = max(row + 1, int(np.searchsorted(at, at[row] + size, "right")) - 1)
         end = min(end, len(column))
-        yield row, Texts(data[at[row] : at[end]], at[row : end + 1] - at[row])
+        if change is None:
+            yield row, Texts(data[at[row] : at[end]], at[row : end + 1] - at[row])
+        else:
+            own, cut = _buffers(change(column.slice(row, end - row)))
+            yield row, Texts(own[cut[0] : cut[-1]], cut - cut[0])
         row = end
 
 
+def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes under a column and its n + 1 offsets into them."""
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), at
+
+
 def windows(h: np.ndarray, owner: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs of ``k`` consecutive words of one text, and the first word of each."""
     if len(h) < k:

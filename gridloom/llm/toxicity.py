@@ -100,7 +100,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: list[list[np.ndarray]] = [[], []]
     for batch in batches:
         y = np.asarray(batch.column("label"))
-        for row, t in texts(_lowered(batch.column("text"))):
+        for row, t in texts(batch.column("text"), _lowered):
             f, owner = features(_plain(t))
             pairs = np.unique(owner.astype(U) << U(32) | f.astype(U))
             label = y[row + (pairs >> U(32)).astype(np.int64)]
@@ -160,7 +160,7 @@ def _examples(known: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, y, column = batch.column("doc_id").to_pylist(), batch.column("label"), batch.column("text")
-            for row, t in texts(_lowered(column)):
+            for row, t in texts(column, _lowered):
                 who, index = _present(t, known, table)
                 cut = np.searchsorted(who, np.arange(t.n + 1))
                 lists = [index[a:b].tolist() for a, b in zip(cut[:-1], cut[1:], strict=True)]
@@ -234,7 +234,7 @@ def _scorer(model: Model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, t in texts(_lowered(batch.column("text"))):
+            for row, t in texts(batch.column("text"), _lowered):
                 who, index = _present(t, model.features, table)
                 f = model.constant + np.bincount(who, model.weights[index], t.n) if len(index) else np.full(t.n, model.constant)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, t.n), pa.array(1 / (1 + np.exp(-np.clip(f, -30, 30))))], ["doc_id", "score"])
@@ -252,7 +252,7 @@ def _filter(model: Model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, t in texts(_lowered(batch.column("text"))):
+            for row, t in texts(batch.column("text"), _lowered):
                 who, index = _present(t, model.features, table)
                 f = model.constant + np.bincount(who, model.weights[index], t.n) if len(index) else np.full(t.n, model.constant)
                 yield batch.slice(row, t.n).filter(pa.array(1 / (1 + np.exp(-np.clip(f, -30, 30))) < THRESHOLD))
