@@ -4,8 +4,10 @@ A document's shingles are its runs of five words (all its words where it has few
 ``1 + ln(occurrences)``.  Each shingle is a Poisson process whose rate is its weight: arrivals fall on random
 registers, a register keeps the shingle of its first arrival, and a process ends once its next arrival comes
 after the last register's first.  Two documents agree in a register with the probability Jaccard similarity
-of their weighted shingles.  Documents that agree in a whole band of registers are candidates, and links are
-verified: five-word-shingle Jaccard of 0.8 or more, computed from the sets.
+of their weighted shingles.  As links are verified by plain Jaccard, documents with repeated shingles have a
+second signature, of unit weights, where registers agree with the probability plain Jaccard (without
+repetitions both signatures are the same).  Documents that agree in a whole band of either are candidates, and
+links are verified: five-word-shingle Jaccard of 0.8 or more, computed from the sets.
 
 Documents with equal shingle sets are one class from the start, and only the one with the smallest doc_id
 goes on.  Pairs within a bucket aren't spelled out: each member is tied to the bucket's smallest doc_id, and
@@ -17,7 +19,7 @@ matched x and an unmatched y are linked only if d(L,y) - d(L,x) <= 0.2).  The re
 each pair of blocks is a task.  So every pair of a bucket is compared, or known to be in one class, or known
 to be too far apart: no link between different classes is lost, whatever the bucket's size.
 
-Scale: signatures are 25 numbers for each document; shingle sets are built only for documents with a
+Scale: signatures are 25 numbers for each document, 50 at most where shingles repeat; shingle sets are built only for documents with a
 candidate.  A task holds two blocks of bounded cost.  Minima over hot buckets are combined before the
 shuffle; what joins on hot keys are plain joins of stored tables that adaptive execution splits.
 """
@@ -99,22 +101,32 @@ def _bands(registers: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _keys(h: np.ndarray, times: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys of ``n`` sets, one set after another, and the n + 1 offsets: bands of weighted registers and those of unit weights that differ."""
+    weighted = _bands(prob_min_hash(h, 1.0 + np.log(times), owner, n))
+    unit, again = weighted.copy(), np.unique(owner[times > 1])
+    if len(again):
+        own = np.isin(owner, again)
+        unit[again] = _bands(prob_min_hash(h[own], np.ones(int(own.sum())), np.searchsorted(again, owner[own]), len(again)))
+    other = unit != weighted
+    keys = np.concatenate([weighted, unit], axis=1)[np.concatenate([np.ones_like(other), other], axis=1)]
+    return keys, np.concatenate([[0], np.cumsum(BANDS + other.sum(axis=1))])
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, t in texts(batch.column("text"), size=2 << 20):  # small sets need many short rounds
             one, owner = shingles(t, 11)
             two, _ = shingles(t, 12)
             h, own, times, place = distinct(one, owner)
-            registers = prob_min_hash(h, 1.0 + np.log(times), own, t.n)
             n = np.bincount(own, minlength=t.n)
             cut = np.searchsorted(own, np.arange(t.n + 1))
             sums = []
             for x in (mixed(h ^ U(0xA5A5)), mixed(two[place] ^ U(0x5A5A))):  # order doesn't matter in a sum
                 total = np.concatenate([np.zeros(1, U), np.cumsum(x, dtype=U)])
                 sums.append(total[cut[1:]] - total[cut[:-1]])
-            keys = _bands(registers)
-            rows = pa.array(keys.reshape(-1), pa.int64())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(t.n + 1) * BANDS, pa.int32()), rows)
+            keys, edges = _keys(h, times, own, t.n)
+            lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(keys, pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").slice(row, t.n), pa.array(n, pa.int64()), *(pa.array(s.view(np.int64)) for s in sums), lists],
                 ["doc_id", "n", "f1", "f2", "bands"],

@@ -174,6 +174,15 @@ def test_op7_near_duplicates(docs, rows, monkeypatch):
     assert near_dedup.keep_one_of_each(docs).select("doc_id").distinct().count() == len({c for _, c in want})
 
 
+def test_op7_finds_copies_that_repeat_a_passage(spark):
+    rng, table = random.Random(8), []
+    for i in range(0, 40, 2):
+        words, passage = ([f"w{rng.randrange(10**6)}" for _ in range(n)] for n in (154, 30))
+        table += [(i, " ".join(words)), (i + 1, " ".join(words + passage * 100))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["class_id"]) for r in got) == [(i, i - i % 2) for i in range(40)]
+
+
 def test_prob_min_hash_estimates_probability_jaccard():
     rng = np.random.default_rng(1)
     h = rng.integers(1, 1 << 62, 60).astype(np.uint64)
