@@ -9,8 +9,9 @@ second signature, of unit weights, where registers agree with the probability pl
 repetitions both signatures are the same).  Documents that agree in a whole band of either are candidates, and
 links are verified: five-word-shingle Jaccard of 0.8 or more, computed from the sets.
 
-Documents with equal shingle sets are one class from the start, and only the one with the smallest doc_id
-goes on.  Pairs within a bucket aren't spelled out: each member is tied to the bucket's smallest doc_id, and
+Rows are told apart by a hash of doc_id and text (``row_key``), so rows that share a doc_id, or have none, are
+judged each by its own text.  Documents with equal shingle sets are one class from the start, and only the one
+with the smallest doc_id goes on.  Pairs within a bucket aren't spelled out: each member is tied to the bucket's smallest key, and
 what hangs together through such ties is a family.  A family is verified as a whole where its shingle sets
 meet, by products of 0/1 matrices, and gives one link for each document that has any.  A family that is too
 large for one task is first thinned: members are compared with their buckets' leaders, and a matched member
@@ -30,9 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import free_name
 from gridloom.llm.text import Texts, U, mixed, texts, windows
 from gridloom.plans.durable import keep
 
@@ -128,8 +130,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, edges = _keys(h, times, own, t.n)
             lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(keys, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(row, t.n), pa.array(n, pa.int64()), *(pa.array(s.view(np.int64)) for s in sums), lists],
-                ["doc_id", "n", "f1", "f2", "bands"],
+                [*(batch.column(x).slice(row, t.n) for x in ("row_key", "doc_id")), pa.array(n, pa.int64()), *(pa.array(s.view(np.int64)) for s in sums), lists],
+                ["row_key", "doc_id", "n", "f1", "f2", "bands"],
             )
 
 
@@ -257,30 +259,57 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.drop("old")
 
 
+def _row_key() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of the class) and n_shingles for each row of ``docs``.
+    """doc_id, row_key, class_id (smallest doc_id of the class), n_shingles and kept for each row of ``docs``.
 
-    Classes are the connected components of the links.  Texts without words are each a class of their own,
-    as are rows with a null doc_id (their class_id is null).  Rows that share a doc_id each get a row.  Other
-    columns aren't read; an empty table gives an empty table.
+    Classes are the connected components of the links.  Of each class one row is kept: that of the smallest
+    doc_id, null last, then of the smallest row_key; of exactly repeated rows (same doc_id and text) one.
+    Texts without words are each a class of their own and all kept.  A class without any doc_id has a null
+    class_id.  Other columns aren't read; an empty table gives an empty table.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signatures = keep(docs.mapInArrow(_signatures, "doc_id long, n long, f1 long, f2 long, bands array<long>"))
-    full = signatures.filter("n > 0 and doc_id is not null")
-    equal = keep(full.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "n", "bands")).alias("first")).select("f1", "f2", F.col("first.doc_id").alias("id"), F.col("first.n").alias("n"), F.col("first.bands").alias("bands")))
-    links = verified_links(docs, equal.select(F.explode("bands").alias("key"), "id"), equal.select("id", "n"), threshold)
-    classes = equal.select("f1", "f2", "id").join(components(links), "id", "left")
-    classes = keep(classes.select("f1", "f2", F.coalesce("class", "id").alias("class")))
-    found = full.join(classes, ["f1", "f2"]).select("doc_id", F.col("class").alias("class_id"), F.col("n").alias("n_shingles"))
-    rest = signatures.filter("n = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("n").alias("n_shingles"))
+    docs = docs.select(_row_key().alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    signatures = keep(docs.mapInArrow(_signatures, "row_key long, doc_id long, n long, f1 long, f2 long, bands array<long>"))
+    full = signatures.filter("n > 0")
+    repeated = keep(full.groupBy("row_key").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("row_key"))
+    again = repeated.limit(1).count() > 0
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "n", "bands")).alias("first")
+    equal = keep(full.groupBy("f1", "f2").agg(first).select("f1", "f2", F.col("first.none").alias("none"), F.col("first.doc_id").alias("doc_id"), F.col("first.row_key").alias("id"), F.col("first.n").alias("n"), F.col("first.bands").alias("bands")))
+    read = docs.select(F.col("row_key").alias("doc_id"), "text")
+    if again:
+        known = repeated.withColumnRenamed("row_key", "doc_id")
+        read = read.join(known, "doc_id", "left_anti").unionByName(keep(read.join(known, "doc_id", "left_semi").dropDuplicates(["doc_id"])))
+    links = verified_links(read, equal.select(F.explode("bands").alias("key"), "id"), equal.select("id", "n"), threshold)
+    classes = keep(equal.drop("n", "bands").join(components(links), "id", "left").withColumn("class", F.coalesce("class", "id")))
+    best = classes.groupBy("class").agg(F.min(F.struct("none", "doc_id", "id")).alias("best"))
+    classes = keep(classes.select("f1", "f2", "class").join(best, "class").select("f1", "f2", F.col("best.doc_id").alias("class_id"), F.col("best.id").alias("__kept")))
+    names = ["doc_id", "row_key", "class_id", "n_shingles", "kept"]
+    found = full.join(classes, ["f1", "f2"]).withColumnRenamed("n", "n_shingles").withColumn("kept", F.col("row_key") == F.col("__kept")).select(names)
+    if again:
+        found = keep(found)
+        copies = found.join(repeated, "row_key", "left_semi").groupBy(names).agg(F.count(F.lit(1)).alias("__n")).withColumn("__i", F.explode(F.expr("sequence(1, __n)")))
+        found = found.join(repeated, "row_key", "left_anti").unionByName(copies.withColumn("kept", F.col("kept") & (F.col("__i") == 1)).select(names))
+    rest = signatures.filter("n = 0").select("doc_id", "row_key", F.col("doc_id").alias("class_id"), F.col("n").alias("n_shingles"), F.lit(True).alias("kept"))
     return found.unionByName(rest)
 
 
 def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with the smallest doc_id of each class; columns unchanged, rows with a null doc_id stay."""
-    gone = near_duplicates(docs, threshold).filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """``docs`` with the one row of each class that ``near_duplicates`` keeps; columns unchanged.
+
+    Decided row by row, by doc_id and text: a row stays if another of its doc_id goes.  Of rows with equal
+    doc_id and text one stays, whatever their other columns.  Texts without words stay.
+    """
+    key = free_name(docs, "row_key")
+    rows = keep(near_duplicates(docs, threshold).filter("n_shingles > 0").groupBy(F.col("row_key").alias(key)).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("copies")))
+    left = docs.withColumn(key, _row_key()).join(rows.filter("not kept").select(key), key, "left_anti")
+    again = rows.filter("kept and copies > 1").select(key)
+    if again.limit(1).count():
+        left = left.join(again, key, "left_anti").unionByName(left.join(again, key, "left_semi").dropDuplicates([key]))
+    return left.select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_near_duplicates(docs: DataFrame) -> DataFrame:
-    return near_duplicates(docs).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    return near_duplicates(docs).select("doc_id", "class_id", "n_shingles", "kept")

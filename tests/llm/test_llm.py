@@ -183,6 +183,19 @@ def test_op7_finds_copies_that_repeat_a_passage(spark):
     assert sorted((r["doc_id"], r["class_id"]) for r in got) == [(i, i - i % 2) for i in range(40)]
 
 
+def test_op7_rows_that_share_a_doc_id(spark):
+    rng = random.Random(4)
+    a, b, c, d = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(4))
+    table = [(1, a), (5, a + " more"), (5, b), (6, c), (6, c), (7, c), (None, d), (None, d), (None, d + " more"), (None, a), (8, ""), (9, b + " end")]
+    docs = spark.createDataFrame([(*r, f"n{i}") for i, r in enumerate(table)], "doc_id long, text string, row_key string")
+    got = near_dedup.op7_near_duplicates(docs).collect()
+    assert sorted(Counter((r["doc_id"], r["class_id"]) for r in got).items(), key=str) == sorted({(1, 1): 1, (5, 1): 1, (5, 5): 1, (6, 6): 2, (7, 6): 1, (None, None): 3, (None, 1): 1, (8, 8): 1, (9, 5): 1}.items(), key=str)
+    kept = near_dedup.keep_one_of_each(docs)
+    rows = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert kept.columns == docs.columns and len(rows) == 5 == sum(r["kept"] for r in got)
+    assert {r for r in rows if r[0] is not None} == {(1, a), (5, b), (6, c), (8, "")} and rows.count((6, c)) == 1
+
+
 def test_prob_min_hash_estimates_probability_jaccard():
     rng = np.random.default_rng(1)
     h = rng.integers(1, 1 << 62, 60).astype(np.uint64)
