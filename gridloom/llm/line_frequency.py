@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import free_name
 from gridloom.llm.text import HEAD, SPACE, Texts, U, covered, mixed, packed, texts, unpacked, windows
 from gridloom.plans.durable import keep
 
@@ -141,12 +142,12 @@ def _depleted(table: pa.Table, hot: pa.Table) -> pa.Table:
     return pa.table(columns | {"n_common_lines": pa.array(lines, pa.int64()), "n_common_words": pa.array(words, pa.int64())})
 
 
-def _chunks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Hosts with their documents, and the documents with their chunk."""
+def _chunks(docs: DataFrame, name: str = "chunk") -> tuple[DataFrame, DataFrame]:
+    """Hosts with their documents, and the documents with their chunk as column ``name``."""
     hosts = keep(docs.groupBy("source").agg(F.count(F.lit(1)).alias("host_docs")))
     n = hosts.agg(F.sum("host_docs")).first()[0] or 0
     chunks = max(64, -(-n // min(max(5 * math.isqrt(n), 1000), 100_000)))
-    return hosts, docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(chunks)))
+    return hosts, docs.withColumn(name, F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(chunks)))
 
 
 def common_lines(signatures: DataFrame, hosts: DataFrame, floor: int, share: float) -> DataFrame:
@@ -175,36 +176,40 @@ def line_rules(docs: DataFrame, floor: int = FLOOR, share: float = SHARE) -> Dat
     return judged.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("n_common_words") * 2 <= F.col("n_words")))
 
 
-def _cleaned(docs: pa.Table, hot: pa.Table) -> pa.Table:
-    host, names = _hosts(docs)
-    h1, h2 = (np.asarray(hot.column(c)).view(U).tolist() for c in ("h1", "h2"))
-    known = set(zip(hot.column("source").to_pylist(), h1, h2, strict=True))
-    out: list[str | None] = []
-    for row, t in texts(docs.column("text")):
-        folded = Texts(FOLDED[t.data[: t.size]], t.at)
-        starts, ends, _ = t.words()
-        l_start, l_end, l_owner = t.runs(NEWLINE)
-        line = np.searchsorted(l_start, starts, "right") - 1
-        one, two = (_line_hashes(folded, starts, ends, line, len(l_start), seed).tolist() for seed in (4, 5))
-        cut = np.searchsorted(l_owner, np.arange(t.n + 1))
-        for d in range(t.n):
-            name, raw = names[host[row + d]], t.bytes(d)
-            gone = [k for k in range(cut[d], cut[d + 1]) if (name, one[k], two[k]) in known]
-            for k in reversed(gone):
-                raw = raw[: l_start[k] - t.at[d]] + raw[l_end[k] - t.at[d] + 1 :]
-            out.append(raw.decode())
-    valid = docs.column("text").is_valid().to_pylist()
-    text = pa.array([x if v else None for x, v in zip(out, valid, strict=True)], pa.string())
-    return docs.drop_columns(["chunk"]).set_column(docs.drop_columns(["chunk"]).schema.get_field_index("text"), "text", text)
+def _cleaned(chunk: str):
+    def run(docs: pa.Table, hot: pa.Table) -> pa.Table:
+        host, names = _hosts(docs)
+        h1, h2 = (np.asarray(hot.column(c)).view(U).tolist() for c in ("h1", "h2"))
+        known = set(zip(hot.column("source").to_pylist(), h1, h2, strict=True))
+        out: list[str | None] = []
+        for row, t in texts(docs.column("text")):
+            folded = Texts(FOLDED[t.data[: t.size]], t.at)
+            starts, ends, _ = t.words()
+            l_start, l_end, l_owner = t.runs(NEWLINE)
+            line = np.searchsorted(l_start, starts, "right") - 1
+            one, two = (_line_hashes(folded, starts, ends, line, len(l_start), seed).tolist() for seed in (4, 5))
+            cut = np.searchsorted(l_owner, np.arange(t.n + 1))
+            for d in range(t.n):
+                name, raw = names[host[row + d]], t.bytes(d)
+                gone = [k for k in range(cut[d], cut[d + 1]) if (name, one[k], two[k]) in known]
+                for k in reversed(gone):
+                    raw = raw[: l_start[k] - t.at[d]] + raw[l_end[k] - t.at[d] + 1 :]
+                out.append(raw.decode())
+        valid = docs.column("text").is_valid().to_pylist()
+        text = pa.array([x if v else None for x, v in zip(out, valid, strict=True)], pa.string())
+        return docs.drop_columns([chunk]).set_column(docs.drop_columns([chunk]).schema.get_field_index("text"), "text", text)
+
+    return run
 
 
 def remove_common_lines(docs: DataFrame, floor: int = FLOOR, share: float = SHARE) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``; columns unchanged, no document removed."""
-    hosts, dealt = _chunks(docs)
+    chunk = free_name(docs, "chunk")
+    hosts, dealt = _chunks(docs, chunk)
     schema = "doc_id long, source string, chunk long, " + ", ".join(f"{m} long" for m in MEASURES) + ", lines binary"
-    signatures = dealt.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "chunk").mapInArrow(_signatures, schema)
+    signatures = dealt.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", F.col(chunk).alias("chunk")).mapInArrow(_signatures, schema)
     hot = common_lines(signatures, hosts, floor, share)
-    return dealt.groupBy("chunk").cogroup(hot.groupBy("chunk")).applyInArrow(_cleaned, docs.schema)
+    return dealt.groupBy(chunk).cogroup(hot.groupBy("chunk")).applyInArrow(_cleaned(chunk), docs.schema)
 
 
 def op2_line_frequency(docs: DataFrame) -> DataFrame:

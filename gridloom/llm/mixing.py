@@ -170,10 +170,7 @@ def mixed_documents(docs: DataFrame, seed: int = 17, block_words: int = 256, sha
     A document whose blocks are taken twice gives a second row with the words that are.  Rows without taken
     words go; ``n_chars``, if there is such a column, is that of the new text.
     """
-    names = docs.columns
-    own = docs.withColumn("size", n_words(F.col("text"))).withColumn("crc", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))) if not {"size", "crc", "sid", "offset"} & set(names) else None
-    if own is None:
-        raise ValueError("documents to be mixed may not have columns named size, crc, sid or offset")
+    own = docs.select(F.struct("*").alias("__row"), "doc_id", "source", n_words(F.col("text")).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("crc"))
     sizes = _source_table(keep(own.select("source", "size")), block_words)
     placed = offsets(_with_source(own, sizes).filter("size > 0"))
     span = F.struct(F.col("__from").alias("from"), F.col("__to").alias("to"), F.col("__times").alias("times"))
@@ -182,15 +179,16 @@ def mixed_documents(docs: DataFrame, seed: int = 17, block_words: int = 256, sha
         .join(_chosen(sizes, seed, shard_blocks), ["sid", "block"])
         .groupBy("sid", "offset").agg(F.array_sort(F.collect_list(span)).alias("__spans"))
     )
-    tokens = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    rows = placed.select(*names, "sid", "offset").join(taken, ["sid", "offset"])
+    tokens = F.regexp_extract_all(F.col("__row").getField("text"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    rows = placed.select("__row", "sid", "offset").join(taken, ["sid", "offset"])
     rows = rows.withColumn("__tokens", tokens).withColumn("__pass", F.explode(F.array(F.lit(1), F.lit(2))))
     used = F.filter("__spans", lambda s: s["times"] >= F.col("__pass"))
     words = F.flatten(F.transform(used, lambda s: F.slice(F.col("__tokens"), (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int"))))
-    rows = rows.filter(F.size(used) > 0).withColumn("text", F.rtrim(F.array_join(words, "")))
-    if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*names)
+    rows = rows.filter(F.size(used) > 0).select("__row", F.rtrim(F.array_join(words, "")).alias("__text"))
+    made = {"text": F.col("__text")}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.length("__text").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[made.get(c, F.col("__row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op10_source_mix(docs: DataFrame) -> DataFrame:

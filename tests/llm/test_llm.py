@@ -329,6 +329,24 @@ def test_empty_tables(spark, docs, bench):
     assert mixing.mix(none).count() == 0 and language_id.op5_language_id(none).count() == 0
 
 
+def test_extra_columns_of_any_name(spark, docs, rows, bench, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    names = ["size", "offset", "docs", "weight", "target", "chunk"]
+    more = docs.withColumns({c: F.concat_ws("/", F.lit(c), "doc_id") for c in names})
+    cleaned = line_frequency.remove_common_lines(more)
+    assert cleaned.columns == more.columns and cleaned.count() == len(rows) and not cleaned.filter("chunk <> concat('chunk/', doc_id)").count()
+    names += ["crc", "sid", "source_size", "blocks", "quota", "n_all"]
+    more = keep(docs.withColumns({c: F.concat_ws("/", F.lit(c), "doc_id") for c in names}))
+    mixed = mixing.mixed_documents(more, block_words=16)
+    plain = mixing.mixed_documents(docs, block_words=16)
+    assert mixed.columns == more.columns and sorted(map(str, mixed.select(docs.columns).collect())) == sorted(map(str, plain.collect()))
+    more.write.parquet(str(tmp_path / "documents.parquet"))
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(100)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = keep(pipeline.run(spark, str(tmp_path)))
+    assert out.count() and not out.filter(" or ".join(f"{c} is null or {c} <> concat('{c}/', doc_id)" for c in names)).count()
+
+
 def test_pipeline(spark, docs, bench, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs.drop("kept").write.parquet(str(tmp_path / "documents.parquet"))
