@@ -10,12 +10,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.scalar import ESCAPE, INLINE
 from gridloom.operators.metrics import classification_metrics
+from gridloom.plans.durable import keep
 
 
 def uniform(*parts: Column | str) -> Column:
@@ -298,21 +299,79 @@ def isolation_forest(features: DataFrame, trees: int = 100, sample: int = 256, c
     return out.crossJoin(F.broadcast(cut)).select("win_id", "score", (F.col("score") > F.col("__cut")).cast("int").alias("predicted"))
 
 
+def _nearest(k: int):
+    """The ``k`` nearest of a slab's windows for each window that looks there, ties by win_id."""
+
+    def run(key: tuple, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(mine) and len(theirs):
+            theirs = theirs.sort_values("win_id")
+            x, y = np.vstack(mine["v"].to_numpy()), np.vstack(theirs["v"].to_numpy())
+            names, others = mine["win_id"].to_numpy(), theirs["win_id"].to_numpy()
+            place = dict(zip(others, range(len(others)), strict=True))
+            for start in range(0, len(x), 256):
+                part = x[start : start + 256]
+                d = np.zeros((len(part), len(y)))
+                for j in range(x.shape[1]):
+                    d += (part[:, j, None] - y[None, :, j]) ** 2
+                d = np.sqrt(d)
+                for i, name in enumerate(names[start : start + 256]):
+                    if name in place:
+                        d[i, place[name]] = np.inf
+                top = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+                row, at = np.nonzero((d <= top[:, None]) & (d < np.inf))
+                order = np.lexsort((at, d[row, at], row))
+                row, at = row[order], at[order]
+                edge = np.searchsorted(row, np.arange(len(part)))
+                few = np.arange(len(row)) - edge[row] < k
+                row, at = row[few], at[few]
+                found.append(pd.DataFrame({"win_id": names[start + row], "other": others[at], "d": d[row, at]}))
+        return pd.concat(found) if found else pd.DataFrame({"win_id": [], "other": [], "d": []})
+
+    return run
+
+
+def _neighbours(v: DataFrame, k: int, cells: int) -> DataFrame:
+    """win_id, other and d of the exact ``k`` nearest windows of each (stored) window win_id, v, norm."""
+    shares = [i / cells for i in range(1, cells)]
+    edges = sorted(set(v.approxQuantile("norm", shares, 0.1 / cells))) if shares else []
+
+    def slab(name: str, out: str, df: DataFrame) -> DataFrame:
+        if not edges:
+            return df.withColumn(out, F.lit(0))
+        cut = Bucketizer(splits=[-float("inf"), *edges, float("inf")], inputCol=name, outputCol="__b").transform(df)
+        return cut.withColumn(out, F.col("__b").cast("int")).drop("__b")
+
+    v = keep(slab("norm", "slab", v))
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """Nearest windows for rows win_id, v, slab, at."""
+        theirs = pairs.select("slab", "at").distinct().toDF("p", "q").join(v.select("win_id", "v", F.col("slab").alias("q")), "q")
+        return pairs.toDF("win_id", "v", "p", "q").groupBy("p", "q").cogroup(theirs.groupBy("p", "q")).applyInPandas(_nearest(k), "win_id string, other string, d double")
+
+    ranked = lambda df: df.withColumn("__r", F.row_number().over(Window.partitionBy("win_id").orderBy("d", "other"))).filter(F.col("__r") <= k).drop("__r")
+    near = keep(compared(v.select("win_id", "v", "slab", F.col("slab").alias("at"))))
+    if not edges:
+        return near
+    # The distance to a slab's k-th nearest bounds the k-distance, and windows are at least as far apart as their norms.
+    bound = near.groupBy("win_id").agg(F.count(F.lit(1)).alias("__n"), F.max("d").alias("__d")).select("win_id", F.when(F.col("__n") >= k, F.col("__d")).alias("__d"))
+    wide = F.coalesce(F.col("__d") * (1 + 1e-9) + 1e-9 * (F.col("norm") + 1), F.lit(float("inf")))
+    reach = v.join(bound, "win_id", "left").withColumn("__low", F.col("norm") - wide).withColumn("__high", F.col("norm") + wide)
+    reach = slab("__high", "__to", slab("__low", "__from", reach)).withColumn("at", F.explode(F.sequence("__from", "__to"))).filter("at <> slab")
+    return ranked(near.unionByName(compared(reach.select("win_id", "v", "slab", "at"))))
+
+
 def local_outlier_factor(features: DataFrame, k: int = 20, contamination: float = 0.5, cells: int = 1) -> DataFrame:
-    """Local outlier factors on standardised features, neighbours within ``cells`` hash-free slabs.
+    """Local outlier factors on standardised features; neighbours are exact whatever ``cells``.
 
-    Windows are ordered by their norm and cut into ``cells`` slabs of equal count; each is compared with its
-    own and the next slabs, so with one slab neighbours are exact and pairs grow with the square of the
-    windows; take more slabs for more windows.
+    Windows are cut into ``cells`` slabs by about equal shares of their norm.  A window's nearest in its own
+    slab give a bound of its k-distance, and then it is compared with every slab whose norms lie within that
+    bound.  A task compares two slabs; take more for more windows.
     """
     z = standardise(features)
-    v = z.select("win_id", F.array(*feature_names(z)).alias("v")).withColumn("norm", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    slab = F.ntile(cells).over(Window.orderBy("norm", "win_id")) if cells > 1 else F.lit(1)
-    v = v.withColumn("slab", slab.cast("int"))
-    around = v.withColumn("at", F.explode(F.array(F.col("slab") - 1, F.col("slab"), F.col("slab") + 1)))
-    d = F.sqrt(F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x))
-    pairs = v.alias("l").join(around.select(F.col("win_id").alias("other"), F.col("v").alias("w"), "at").alias("r"), F.col("slab") == F.col("at")).filter(F.col("win_id") != F.col("other")).select("win_id", "other", d.alias("d"))
-    near = pairs.withColumn("__r", F.row_number().over(Window.partitionBy("win_id").orderBy("d", "other"))).filter(F.col("__r") <= k)
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    v = keep(z.select("win_id", F.array(*feature_names(z)).alias("v")).withColumn("norm", norm))
+    near = keep(_neighbours(v, k, cells))
     reach = near.groupBy("win_id").agg(F.max("d").alias("kd"))
     lrd = near.join(reach.select(F.col("win_id").alias("other"), "kd"), "other").groupBy("win_id").agg((1.0 / (F.avg(F.greatest("d", "kd")) + 1e-10)).alias("lrd"))
     factor = near.join(lrd.select(F.col("win_id").alias("other"), F.col("lrd").alias("lo")), "other").groupBy("win_id").agg(F.avg("lo").alias("lo")).join(lrd, "win_id").select("win_id", (F.col("lo") / F.col("lrd")).alias("score"))

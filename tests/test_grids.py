@@ -175,6 +175,18 @@ def test_detection(spark):
     assert lof.count() == 38
 
 
+def test_outlier_factors_dont_depend_on_cells(spark):
+    made = spark.range(300).select(F.concat(F.lit("w"), "id").alias("win_id"), *[(detect.normal("id", F.lit(c)) * F.when(F.col("id") % 7 == 0, 3.0).otherwise(1.0)).alias(f"f{c}") for c in range(3)])
+    made = keep(made.unionByName(made.filter("win_id < 'w12'").withColumn("win_id", F.concat(F.col("win_id"), F.lit("copy")))))
+    one, many, tiny = ({r["win_id"]: (r["score"], r["predicted"]) for r in detect.local_outlier_factor(made, k=10, cells=c).collect()} for c in (1, 9, 60))
+    x = {r[0]: tuple(r)[1:] for r in detect.standardise(made).collect()}
+    near = {a: sorted((math.dist(x[a], x[b]), b) for b in x if b != a)[:10] for a in x}
+    lrd = {a: 1 / (sum(max(d, near[b][-1][0]) for d, b in near[a]) / 10 + 1e-10) for a in x}
+    for got in (one, many, tiny):
+        assert len(got) == len(x) and all(abs(got[a][0] - sum(lrd[b] for _, b in near[a]) / 10 / lrd[a]) < 1e-6 for a in x)
+    assert {a: p for a, (_, p) in one.items()} == {a: p for a, (_, p) in many.items()}
+
+
 def test_generators_are_deterministic(spark):
     a, b = synthetic.synthetic_sensors(spark, 4, 64, 3), synthetic.synthetic_sensors(spark, 4, 64, 3)
     assert a.exceptAll(b).count() == 0 and a.count() == 256
