@@ -187,6 +187,33 @@ def test_outlier_factors_dont_depend_on_cells(spark):
     assert {a: p for a, (_, p) in one.items()} == {a: p for a, (_, p) in many.items()}
 
 
+def oracle(name, sf_dir):
+    """Rows of a query's SQL as text."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    db = duckdb.connect()
+    for t in ("events", "lineitem", "orders"):
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    return db.sql(entry.oracle_sql()[name]).df()
+
+
+def near_equal(got, want, keys):
+    got, want = (x[sorted(x.columns)].sort_values(keys).reset_index(drop=True) for x in (got, want))
+    assert list(got.columns) == list(want.columns) and len(got) == len(want) and (got[keys].astype(str) == want[keys].astype(str)).all().all()
+    assert all(abs(got[c] - want[c]).max() <= 1e-5 for c in got.columns if c not in keys)
+
+
+def test_stream_windows_cover_all_events(spark):
+    from gridloom import queries
+
+    sf = "/root/testdata/sf0.001"
+    got = queries.queries()["stream_windows"](spark, sf).toPandas()
+    assert got["n"].sum() == spark.read.parquet(f"{sf}/events.parquet").filter("value is not null").count()
+    near_equal(got, oracle("stream_windows", sf), ["start", "var"])
+
+
 def test_generators_are_deterministic(spark):
     a, b = synthetic.synthetic_sensors(spark, 4, 64, 3), synthetic.synthetic_sensors(spark, 4, 64, 3)
     assert a.exceptAll(b).count() == 0 and a.count() == 256
