@@ -142,13 +142,21 @@ def undelta_of_delta(df: DataFrame) -> DataFrame:
     return d.withColumn("v_hat", F.col("v0") + F.sum("__d").over(up_to)).drop("__d")
 
 
-def prefix_error(aligned: DataFrame, checkpoints: list[int]) -> DataFrame:
-    """rmse over all steps before each checkpoint, from one pass over blocks between checkpoints."""
+def prefix_error(aligned: DataFrame, checkpoints: list[int], end: bool = False) -> DataFrame:
+    """rmse over all steps before each checkpoint, from one pass over blocks between checkpoints.
+
+    With ``end`` each series has its length as a last checkpoint, and none beyond it.
+    """
     cuts = sorted(set(checkpoints))
     place = F.lit(len(cuts))
     for i, c in reversed(list(enumerate(cuts))):
         place = F.when(F.col("t") < c, i).otherwise(place)
-    parts = aligned.withColumn("__i", place).filter(F.col("__i") < len(cuts)).groupBy("grid_id", "__i").agg(F.sum(F.pow(F.col("x") - F.col("x_hat"), 2)).alias("e"), F.count(F.lit(1)).alias("n"))
+    parts = aligned.withColumn("__i", place)
+    if not end:
+        parts = parts.filter(F.col("__i") < len(cuts))
+    parts = parts.groupBy("grid_id", "__i").agg(F.sum(F.pow(F.col("x") - F.col("x_hat"), 2)).alias("e"), F.count(F.lit(1)).alias("n"), F.max("t").alias("__t"))
     up_to = Window.partitionBy("grid_id").orderBy("__i").rowsBetween(Window.unboundedPreceding, 0)
-    values = F.array(*map(F.lit, cuts))
-    return parts.select("grid_id", F.get(values, F.col("__i")).cast("long").alias("checkpoint"), F.sqrt(F.sum("e").over(up_to) / F.sum("n").over(up_to)).alias("rmse"))
+    checkpoint = F.get(F.array(*map(F.lit, cuts)), F.col("__i")).cast("long")
+    if end:
+        checkpoint = F.coalesce(F.least(checkpoint, F.max("__t").over(Window.partitionBy("grid_id")) + 1), F.col("__t") + 1)
+    return parts.select("grid_id", checkpoint.alias("checkpoint"), F.sqrt(F.sum("e").over(up_to) / F.sum("n").over(up_to)).alias("rmse"))

@@ -142,7 +142,7 @@ def q_choose_predictor(spark, sf_dir):
 def q_lattice_bank_roundtrip(spark, sf_dir):
     """The full predictor bank: the bound holds for every cell after decoding."""
     samples = supplier_grid(spark, sf_dir)
-    grid, params = lattice.encode(samples, 1e-3, "abs", "bank", max_lag=32)
+    grid, params = lattice.encode(samples, 1e-3, "abs", "bank")
     params = keep(params)
     aligned = metrics.align(samples, lattice.decode(keep(grid), params), check=False)
     return metrics.verify_bound(aligned, params.select(*SERIES, "q", "s"), 1e-3).select("grid_id", "cells", "violations")
@@ -317,9 +317,15 @@ def q_autocorrelation(spark, sf_dir):
     return _round(profile.autocorrelation(orders_daily(spark, sf_dir), "x", 64, block=500).select("lag", "ac"))
 
 
+@_query()
+def q_autocorrelation_all_lags(spark, sf_dir):
+    """All lags below half the series, where the query above stops at 64 as its SQL does."""
+    return _round(profile.autocorrelation(orders_daily(spark, sf_dir)).select("lag", "ac"))
+
+
 @_query()
 def q_seasonal_lag(spark, sf_dir):
-    return profile.seasonal_lag(profile.autocorrelation(event_grid(spark, sf_dir).transform(clean.sanitize), "x", 48))
+    return profile.seasonal_lag(profile.autocorrelation(event_grid(spark, sf_dir).transform(clean.sanitize)))
 
 
 # --- segments and metrics -------------------------------------------------------------------------------
@@ -386,6 +392,13 @@ def q_prefix_error(spark, sf_dir):
     return _round(sequence.prefix_error(segments.paa_expand(_prices(spark, sf_dir), 16), [100, 200, 400]))
 
 
+@_query(f"""WITH {SUPPLIERS}, {HAT}, n AS (SELECT grid_id, max(t) + 1 AS n FROM p GROUP BY 1), k AS (SELECT grid_id, unnest([100, 200, 400, n]) AS c, n FROM n)
+SELECT grid_id, c::BIGINT AS checkpoint, round(sqrt(avg((x - h) * (x - h))), 6) AS rmse FROM y JOIN k USING (grid_id) WHERE t < c AND c <= n GROUP BY 1, 2""")
+def q_prefix_error_to_end(spark, sf_dir):
+    """The error before each checkpoint and at every series' end, where the query above stops at 400."""
+    return _round(sequence.prefix_error(segments.paa_expand(_prices(spark, sf_dir), 16), [100, 200, 400], end=True))
+
+
 @_query(f"""WITH {SUPPLIERS}, b AS (SELECT ceil((max(t) + 1) / 16.0)::BIGINT AS l, ceil((max(t) + 1) / 64.0)::BIGINT AS k, grid_id FROM s GROUP BY grid_id),
 z AS (SELECT s.*, t // l AS a, t // k AS b FROM s JOIN b USING (grid_id)), y AS (SELECT grid_id, var, x, avg(x) OVER (PARTITION BY grid_id, var, a) AS ha, avg(x) OVER (PARTITION BY grid_id, var, b) AS hb FROM z),
 c AS (SELECT grid_id, var, sqrt(avg((x - ha) * (x - ha))) - sqrt(avg((x - hb) * (x - hb))) AS d FROM y GROUP BY 1, 2) SELECT grid_id, var, round(d, 6) AS difference FROM c ORDER BY d DESC, grid_id, var LIMIT 3""")
@@ -645,7 +658,7 @@ def q_detect_on_decoded(spark, sf_dir):
 
 @_query()
 def q_random_forest(spark, sf_dir):
-    return _scored(spark, sf_dir, lambda w, labels: detect.random_forest_cv(keep(detect.hstack_features(*(f(detect.window_grid(w, 0.03, "abs")) for f in (detect.grid_features, detect.trajectory_features)))), labels, trees=20))
+    return _scored(spark, sf_dir, lambda w, labels: detect.random_forest_cv(keep(detect.hstack_features(*(f(detect.window_grid(w, 0.03, "abs")) for f in (detect.grid_features, detect.trajectory_features)))), labels))
 
 
 @_query()

@@ -214,6 +214,29 @@ def test_stream_windows_cover_all_events(spark):
     near_equal(got, oracle("stream_windows", sf), ["start", "var"])
 
 
+def test_prefix_error_reaches_the_end(spark):
+    from gridloom import queries
+
+    got = queries.queries()["prefix_error_to_end"](spark, "/root/testdata/sf0.001").toPandas()
+    assert got["checkpoint"].max() > 400
+    near_equal(got, oracle("prefix_error_to_end", "/root/testdata/sf0.001"), ["grid_id", "checkpoint"])
+
+
+def test_lags_up_to_half_the_series(spark, tmp_path):
+    from gridloom import queries
+
+    hours = spark.range(720).select((F.lit(1704067200) + F.col("id") * 3600 + 60).cast("timestamp").alias("ts"), F.lit("a").alias("event_type"), F.pmod(F.xxhash64(F.col("id") % 168), F.lit(1000)).cast("double").alias("value"), F.col("id").alias("event_id"))
+    hours.write.parquet(str(tmp_path / "events.parquet"))
+    hours.select(F.date_add(F.lit("2020-01-01").cast("date"), F.col("event_id").cast("int")).alias("o_orderdate"), (F.col("value") / 100).alias("o_totalprice")).write.parquet(str(tmp_path / "orders.parquet"))
+    assert [r["lag"] for r in queries.queries()["seasonal_lag"](spark, str(tmp_path)).collect()] == [168]
+    ac = {r["lag"]: r["ac"] for r in queries.queries()["autocorrelation_all_lags"](spark, str(tmp_path)).collect()}
+    x = [r["o_totalprice"] for r in spark.read.parquet(str(tmp_path / "orders.parquet")).orderBy("o_orderdate").collect()]
+    d = [b - a for a, b in zip(x, x[1:], strict=False)]
+    v = [y - sum(d) / len(d) for y in d]
+    want = [sum(a * b for a, b in zip(v, v[lag:], strict=False)) / sum(a * a for a in v) for lag in range(len(v) // 2)]
+    assert sorted(ac) == list(range(len(want))) and all(abs(ac[i] - w) < 1e-5 for i, w in enumerate(want))
+
+
 def test_generators_are_deterministic(spark):
     a, b = synthetic.synthetic_sensors(spark, 4, 64, 3), synthetic.synthetic_sensors(spark, 4, 64, 3)
     assert a.exceptAll(b).count() == 0 and a.count() == 256
