@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word: a run of anything but ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
+#: White space between words, which are runs of anything else.
+SPACE = r"[\x20\x09-\x0D]"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +23,13 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def n_words(text: Column) -> Column:
     """Number of words of a text; null has none."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")).cast("long")
+
+
+def spaced_words(text: Column) -> Column:
+    """Words of a text, each with the white space that follows it; null has none."""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{SPACE}+", "")
+    return F.array_remove(F.split(bare, rf"(?<={SPACE})(?!{SPACE})"), "")
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -40,13 +46,19 @@ def id_fold(doc_id: Column, folds: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, allowed: Column, limit: int) -> DataFrame:
-    """doc_id, text and label of at most about ``limit`` labelled documents.
+    """doc_id, text and label of at most about ``limit`` labelled rows.
 
     ``allowed`` is a condition on doc_id.  A document labelled more than once has its largest label.  The
-    rows are chosen by a hash of doc_id, so reruns agree; their ids, bounded by ``limit``, are broadcast.
+    rows are chosen by hashes, so reruns agree: first ids, bounded by ``limit`` and broadcast, then, if ids are
+    repeated so often that their rows are more than ``limit``, rows that differ in id or text.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).filter(allowed).groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
     n = known.count()
     if n > limit:
         known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("labelled sample")), F.lit(1_000_000)) < int(1_000_000 * limit / n))
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    found = docs.select("doc_id").join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi").count()
+    if found <= limit * 1.1:
+        return rows
+    rows = rows.dropDuplicates(["doc_id", "text"])
+    return rows.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit("labelled rows")), F.lit(1_000_000)) < int(1_000_000 * limit / found))

@@ -194,5 +194,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op5_language_id(docs: DataFrame) -> DataFrame:
+    """The contract's columns for each row of ``docs``, and how well the text fits its language.
+
+    Null texts and texts without a letter are ``und``, as all are where nothing can be learned.
+    """
     model = train(docs.filter(id_fold(F.col("doc_id"), FOLDS) != 0))
     return identify(docs, model).withColumn("held_out", id_fold(F.col("doc_id"), FOLDS) == 0).select("doc_id", "held_out", "lang_pred", "score", "fit")

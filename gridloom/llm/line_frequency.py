@@ -8,7 +8,8 @@ than half of its words is depleted and rejected, as is one that fails the base r
 Scale: the text is read once; what remains is a row for each document with the hashes of its distinct
 lines.  Documents are dealt into chunks by a hash, a chunk adds up its documents for each (host, line) before
 anything is shuffled by line, and boilerplate lines go back to the chunks that have them.  So a line of all
-documents is one row for each chunk, and nothing is broadcast or gathered.
+documents is one row for each chunk, and nothing is gathered.  Rows that share a doc_id are one document: their
+lines, and theirs alone, are made distinct by a shuffle of their own before they are counted.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from gridloom.plans.durable import keep
 
 FLOOR = 10
 SHARE = 0.01
+#: Most repeated ids, or hosts, whose table is broadcast (counted first).
+MAX_BROADCAST = 1_000_000
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 NEWLINE = np.arange(256) == 0x0A
 FOLDED = np.arange(256, dtype=np.uint8)
@@ -87,6 +90,8 @@ def _measured(t: Texts) -> dict[str, np.ndarray | list[bytes]]:
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+PLACE = ("doc_id", "source", "chunk", "again")
+SIGNATURE = "doc_id long, source string, chunk long, again boolean, " + ", ".join(f"{m} long" for m in MEASURES) + ", lines binary"
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,8 +100,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = _measured(t)
             kept = batch.slice(row, t.n)
             yield pa.RecordBatch.from_arrays(
-                [kept.column("doc_id"), kept.column("source"), kept.column("chunk"), *(pa.array(m[k], pa.int64()) for k in MEASURES), pa.array(m["lines"], pa.binary())],
-                ["doc_id", "source", "chunk", *MEASURES, "lines"],
+                [*(kept.column(k) for k in PLACE), *(pa.array(m[k], pa.int64()) for k in MEASURES), pa.array(m["lines"], pa.binary())],
+                [*PLACE, *MEASURES, "lines"],
             )
 
 
@@ -106,56 +111,108 @@ def _hosts(table: pa.Table) -> tuple[np.ndarray, list]:
     return np.asarray(coded.indices), coded.dictionary.to_pylist()
 
 
+def _listed(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All lines of some documents: the document's number, two hashes, words."""
+    lists = [unpacked(x, "<u8", "<u8", "<u4") for x in blobs]
+    row = np.repeat(np.arange(len(lists)), [len(x[0]) for x in lists])
+    return row, *(np.concatenate([x[i] for x in lists]) if lists else np.zeros(0, U) for i in range(3))
+
+
+def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal rows together, and where in it runs of equal rows begin."""
+    order = np.lexsort(columns[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0)
+    return order, np.flatnonzero(new)
+
+
+def _known(mine: tuple[np.ndarray, ...], hot: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Which of the rows ``mine`` (host, hash, hash) are among ``hot``."""
+    order, at = _runs(*(np.concatenate([h, m]) for h, m in zip(hot, mine, strict=True)))
+    out = np.zeros(len(order), bool)
+    if len(order):
+        out[order] = np.repeat(np.logical_or.reduceat(order < len(hot[0]), at), np.diff(np.append(at, len(order))))
+    return out[len(hot[0]) :]
+
+
 def _per_chunk(table: pa.Table) -> pa.Table:
-    """Documents for each (host, line) of a chunk."""
+    """Documents for each (host, line) of a chunk; rows that share their doc_id with others count as none here."""
     host, names = _hosts(table)
-    lists = [unpacked(x, "<u8", "<u8", "<u4") for x in table.column("lines").to_pylist()]
-    who = np.repeat(host, [len(x[0]) for x in lists])
-    one, two = (np.concatenate([x[i] for x in lists]) for i in range(2))
-    order = np.lexsort((two, one, who))
-    one, two, who = one[order], two[order], who[order]
-    new = np.ones(len(one), bool)
-    new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (who[1:] != who[:-1])
-    at = np.flatnonzero(new)
-    counts = np.diff(np.append(at, len(one)))
+    row, one, two, _ = _listed(table.column("lines").to_pylist())
+    who = host[row]
+    order, at = _runs(who, one, two)
+    single = ~np.asarray(table.column("again").combine_chunks().to_numpy(zero_copy_only=False), bool)
+    counts = np.add.reduceat(single[row][order].astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
+    first = order[at]
     chunk = table.column("chunk")[0].as_py()
     return pa.table(
-        [pa.array([chunk] * len(at), pa.int64()), pa.array(names, pa.string()).take(pa.array(who[at])), pa.array(one[at].view(np.int64)), pa.array(two[at].view(np.int64)), pa.array(counts, pa.int64())],
+        [pa.array([chunk] * len(at), pa.int64()), pa.array(names, pa.string()).take(pa.array(who[first])), pa.array(one[first].view(np.int64)), pa.array(two[first].view(np.int64)), pa.array(counts, pa.int64())],
         ["chunk", "source", "h1", "h2", "docs"],
     )
 
 
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each line of each document."""
+    for batch in batches:
+        row, one, two, _ = _listed(batch.column("lines").to_pylist())
+        at = pa.array(row)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("source").take(at), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["doc_id", "source", "h1", "h2"])
+
+
+def _hot(hot: pa.Table, names: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Host numbers (by ``names``) and hashes of boilerplate lines."""
+    number = {name: i for i, name in enumerate(names)}
+    of = np.array([number.get(x, -1) for x in hot.column("source").to_pylist()], np.int64)
+    return of, *(np.asarray(hot.column(c)).view(U) for c in ("h1", "h2"))
+
+
 def _depleted(table: pa.Table, hot: pa.Table) -> pa.Table:
     """Words and distinct lines of each document that are boilerplate on its host."""
     host, names = _hosts(table)
-    number = {name: i for i, name in enumerate(names)}
-    h1, h2 = (np.asarray(hot.column(c)).view(U) for c in ("h1", "h2"))
-    of = np.array([number.get(x, -1) for x in hot.column("source").to_pylist()], np.int64)
-    known = {i: set(zip(h1[of == i].tolist(), h2[of == i].tolist(), strict=True)) for i in set(of.tolist())}
-    words, lines = [], []
-    for blob, i in zip(table.column("lines").to_pylist(), host.tolist(), strict=True):
-        one, two, n = unpacked(blob, "<u8", "<u8", "<u4")
-        bad = [k for k, x in enumerate(zip(one.tolist(), two.tolist(), strict=True)) if x in known[i]] if i in known else []
-        words.append(int(n[bad].sum()) if bad else 0)
-        lines.append(len(bad))
+    row, one, two, words = _listed(table.column("lines").to_pylist())
+    bad = _known((host[row].astype(np.int64), one, two), _hot(hot, names))
     columns = {k: table.column(k) for k in ("doc_id", "source", *MEASURES)}
-    return pa.table(columns | {"n_common_lines": pa.array(lines, pa.int64()), "n_common_words": pa.array(words, pa.int64())})
+    n = lambda w: pa.array(np.bincount(row[bad], w, minlength=len(table)).astype(np.int64))
+    return pa.table(columns | {"n_common_lines": n(None), "n_common_words": n(words[bad])})
+
 
+def _dealt(docs: DataFrame, chunk: str = "chunk", again: str = "again", whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Hosts with their documents, and the rows with their chunk and whether others have their doc_id.
 
-def _chunks(docs: DataFrame, name: str = "chunk") -> tuple[DataFrame, DataFrame]:
-    """Hosts with their documents, and the documents with their chunk as column ``name``."""
-    hosts = keep(docs.groupBy("source").agg(F.count(F.lit(1)).alias("host_docs")))
-    n = hosts.agg(F.sum("host_docs")).first()[0] or 0
-    chunks = max(64, -(-n // min(max(5 * math.isqrt(n), 1000), 100_000)))
-    return hosts, docs.withColumn(name, F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(chunks)))
+    With ``whole`` texts a chunk holds about 32 MB of them, else so many rows that chunks are few hundred to
+    a hundred thousand.
+    """
+    docs = docs.withColumn(chunk, F.lit(0).cast("long"))
+    ids = docs.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
+    repeated = keep(ids.filter("__n > 1").select("__id"))
+    n_repeated = repeated.count()
+    size = F.sum(F.octet_length("text")) if whole else F.lit(0)
+    if n_repeated:
+        flagged = repeated.withColumn("__again", F.lit(True))
+        docs = docs.join(F.broadcast(flagged) if n_repeated <= MAX_BROADCAST else flagged, F.col("doc_id") == F.col("__id"), "left")
+        docs = docs.withColumn(again, F.col("__again").isNotNull()).drop("__id", "__again")
+        # A repeated id counts once on each of its hosts.
+        several = docs.filter(F.col(again)).select("source", "doc_id").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("host_docs"))
+        single = docs.filter(~F.col(again)).groupBy("source").agg(F.count(F.lit(1)).alias("host_docs"))
+        hosts = keep(single.unionByName(several).groupBy("source").agg(F.sum("host_docs").alias("host_docs")))
+    else:
+        docs = docs.withColumn(again, F.lit(False))
+        hosts = keep(docs.groupBy("source").agg(F.count(F.lit(1)).alias("host_docs")))
+    n, bytes_ = docs.agg(F.count(F.lit(1)), size).first()
+    chunks = max(64, -(-n // min(max(5 * math.isqrt(n), 1000), 100_000)), -(-(bytes_ or 0) // (32 << 20)))
+    return hosts, docs.withColumn(chunk, F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(chunks)))
 
 
 def common_lines(signatures: DataFrame, hosts: DataFrame, floor: int, share: float) -> DataFrame:
     """chunk, source, h1 and h2 of the boilerplate lines of each chunk."""
     each = signatures.groupBy("chunk").applyInArrow(_per_chunk, "chunk long, source string, h1 long, h2 long, docs long")
+    several = signatures.filter("again").mapInArrow(_lines, "doc_id long, source string, h1 long, h2 long").distinct()
+    several = several.groupBy("source", "h1", "h2").agg(F.count(F.lit(1)).alias("docs")).withColumn("chunk", F.lit(-1).cast("long"))
     total = F.sum("docs").over(Window.partitionBy("source", "h1", "h2"))
-    often = each.withColumn("total", total).filter(F.col("total") > floor)
+    often = each.unionByName(several).withColumn("total", total).filter((F.col("total") > floor) & (F.col("chunk") >= 0))
     hosts = hosts.withColumnRenamed("source", "__host")
+    if hosts.count() <= MAX_BROADCAST:
+        hosts = F.broadcast(hosts)
     return often.join(hosts, F.col("source").eqNullSafe(F.col("__host"))).filter(F.col("total") > F.lit(share) * F.col("host_docs")).select("chunk", "source", "h1", "h2")
 
 
@@ -163,12 +220,11 @@ def line_rules(docs: DataFrame, floor: int = FLOOR, share: float = SHARE) -> Dat
     """Measures, boilerplate counts and verdict for each row of ``docs`` (doc_id, text, source).
 
     Null and empty texts have no words and fail the base rules.  A null source is a host of its own.  Rows
-    that share a doc_id each count as a document.  Other columns aren't read; an empty table gives an empty
-    table.
+    that share a doc_id are one document when the documents of a line or of a host are counted, and each get
+    their row; rows without a doc_id each count.  Other columns aren't read; an empty table gives an empty one.
     """
-    hosts, dealt = _chunks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source")))
-    schema = "doc_id long, source string, chunk long, " + ", ".join(f"{m} long" for m in MEASURES) + ", lines binary"
-    signatures = keep(dealt.mapInArrow(_signatures, schema))
+    hosts, dealt = _dealt(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source")))
+    signatures = keep(dealt.mapInArrow(_signatures, SIGNATURE))
     hot = common_lines(signatures, hosts, floor, share)
     out = "doc_id long, source string, " + ", ".join(f"{m} long" for m in MEASURES) + ", n_common_lines long, n_common_words long"
     judged = signatures.groupBy("chunk").cogroup(hot.groupBy("chunk")).applyInArrow(_depleted, out)
@@ -176,41 +232,48 @@ def line_rules(docs: DataFrame, floor: int = FLOOR, share: float = SHARE) -> Dat
     return judged.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("n_common_words") * 2 <= F.col("n_words")))
 
 
-def _cleaned(chunk: str):
+def _cleaned(*helpers: str):
     def run(docs: pa.Table, hot: pa.Table) -> pa.Table:
         host, names = _hosts(docs)
-        h1, h2 = (np.asarray(hot.column(c)).view(U).tolist() for c in ("h1", "h2"))
-        known = set(zip(hot.column("source").to_pylist(), h1, h2, strict=True))
-        out: list[str | None] = []
+        known, out = _hot(hot, names), []
         for row, t in texts(docs.column("text")):
             folded = Texts(FOLDED[t.data[: t.size]], t.at)
             starts, ends, _ = t.words()
             l_start, l_end, l_owner = t.runs(NEWLINE)
             line = np.searchsorted(l_start, starts, "right") - 1
-            one, two = (_line_hashes(folded, starts, ends, line, len(l_start), seed).tolist() for seed in (4, 5))
-            cut = np.searchsorted(l_owner, np.arange(t.n + 1))
+            one, two = (_line_hashes(folded, starts, ends, line, len(l_start), seed) for seed in (4, 5))
+            full = np.bincount(line, minlength=len(l_start)) > 0
+            gone = np.flatnonzero(full & _known((host[row + l_owner].astype(np.int64), one, two), known))
+            cut = np.searchsorted(l_owner[gone], np.arange(t.n + 1))
             for d in range(t.n):
-                name, raw = names[host[row + d]], t.bytes(d)
-                gone = [k for k in range(cut[d], cut[d + 1]) if (name, one[k], two[k]) in known]
-                for k in reversed(gone):
-                    raw = raw[: l_start[k] - t.at[d]] + raw[l_end[k] - t.at[d] + 1 :]
+                raw, at = t.bytes(d), t.at[d]
+                if cut[d] < cut[d + 1]:
+                    parts, done = [], 0
+                    for k in gone[cut[d] : cut[d + 1]].tolist():
+                        parts.append(raw[done : l_start[k] - at])
+                        done = l_end[k] - at + 1
+                    raw = b"".join([*parts, raw[done:]])
                 out.append(raw.decode())
         valid = docs.column("text").is_valid().to_pylist()
         text = pa.array([x if v else None for x, v in zip(out, valid, strict=True)], pa.string())
-        return docs.drop_columns([chunk]).set_column(docs.drop_columns([chunk]).schema.get_field_index("text"), "text", text)
+        docs = docs.drop_columns(list(helpers))
+        return docs.set_column(docs.schema.get_field_index("text"), "text", text)
 
     return run
 
 
 def remove_common_lines(docs: DataFrame, floor: int = FLOOR, share: float = SHARE) -> DataFrame:
-    """``docs`` with boilerplate lines taken out of ``text``; columns unchanged, no document removed."""
-    chunk = free_name(docs, "chunk")
-    hosts, dealt = _chunks(docs, chunk)
-    schema = "doc_id long, source string, chunk long, " + ", ".join(f"{m} long" for m in MEASURES) + ", lines binary"
-    signatures = dealt.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", F.col(chunk).alias("chunk")).mapInArrow(_signatures, schema)
-    hot = common_lines(signatures, hosts, floor, share)
-    return dealt.groupBy(chunk).cogroup(hot.groupBy("chunk")).applyInArrow(_cleaned(chunk), docs.schema)
+    """``docs`` with boilerplate lines taken out of ``text``; columns unchanged, no document removed.
+
+    A line goes with its line break.  Null texts stay null; counted as in ``line_rules``.
+    """
+    chunk, again = free_name(docs, "chunk"), free_name(docs, "again")
+    hosts, dealt = _dealt(docs, chunk, again, whole=True)
+    place = [F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"), F.col(chunk).alias("chunk"), F.col(again).alias("again")]
+    hot = common_lines(keep(dealt.select(place).mapInArrow(_signatures, SIGNATURE)), hosts, floor, share)
+    return dealt.groupBy(chunk).cogroup(hot.groupBy("chunk")).applyInArrow(_cleaned(chunk, again), docs.schema)
 
 
 def op2_line_frequency(docs: DataFrame) -> DataFrame:
+    """The contract's columns for each row of ``docs``, with the boilerplate lines and words of each."""
     return line_rules(docs).select("doc_id", *MEASURES, "base_failed", "kept", "n_common_lines", "n_common_words")

@@ -15,10 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import WORD, n_words
+from gridloom.llm.common import n_words, spaced_words
 from gridloom.plans.durable import keep
 
 SMALL_ROWS = 50_000
+#: Slots that are permuted together; their runs are what is dealt over tasks.
+RUN = 4096
 #: Cells of the table that finds a drawn number's source.
 CDF_CELLS = 1024
 #: Weights of the sources in code-point order, repeating.
@@ -94,7 +96,10 @@ def draw_slots(sources: DataFrame, seed: int = 17, shard_blocks: int = 16_384) -
         .select("sid", F.lit(shards).cast("long").alias("shard"), F.col("quota").alias("__n"), F.coalesce("__from", F.lit(0)).alias("__from"), "quota", "blocks")
     )
     slots = placed.unionByName(missing).withColumn("__to", F.least(F.col("__from") + F.col("__n"), F.col("quota"))).filter("__to > __from")
-    slots = slots.select("sid", "shard", "blocks", F.explode(F.sequence(F.col("__from"), F.col("__to") - 1)).alias("__slot"))
+    # A shard's slots of a source are cut into runs of a few thousand that are dealt over all tasks, and spelled out there.
+    runs = slots.select("sid", "shard", "blocks", "__to", F.explode(F.sequence(F.col("__from"), F.col("__to") - 1, F.lit(RUN).cast("long"))).alias("__first"))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // (RUN * 64)))
+    slots = runs.repartition(int(tasks), "sid", "shard", "__first").select("sid", "shard", "blocks", F.explode(F.sequence(F.col("__first"), F.least(F.col("__first") + RUN, F.col("__to")) - 1)).alias("__slot"))
     key = F.xxhash64(F.lit(seed), F.col("sid"), F.expr("__slot div blocks"))
     return slots.select("sid", "shard", "__slot", permuted(F.col("__slot") % F.col("blocks"), F.col("blocks"), key).alias("block"))
 
@@ -179,9 +184,8 @@ def mixed_documents(docs: DataFrame, seed: int = 17, block_words: int = 256, sha
         .join(_chosen(sizes, seed, shard_blocks), ["sid", "block"])
         .groupBy("sid", "offset").agg(F.array_sort(F.collect_list(span)).alias("__spans"))
     )
-    tokens = F.regexp_extract_all(F.col("__row").getField("text"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     rows = placed.select("__row", "sid", "offset").join(taken, ["sid", "offset"])
-    rows = rows.withColumn("__tokens", tokens).withColumn("__pass", F.explode(F.array(F.lit(1), F.lit(2))))
+    rows = rows.withColumn("__tokens", spaced_words(F.col("__row").getField("text"))).withColumn("__pass", F.explode(F.array(F.lit(1), F.lit(2))))
     used = F.filter("__spans", lambda s: s["times"] >= F.col("__pass"))
     words = F.flatten(F.transform(used, lambda s: F.slice(F.col("__tokens"), (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int"))))
     rows = rows.filter(F.size(used) > 0).select("__row", F.rtrim(F.array_join(words, "")).alias("__text"))
@@ -192,4 +196,5 @@ def mixed_documents(docs: DataFrame, seed: int = 17, block_words: int = 256, sha
 
 
 def op10_source_mix(docs: DataFrame) -> DataFrame:
+    """The contract's columns for each row of ``docs``, and its source."""
     return mix(docs).select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), "taken", "source")

@@ -11,18 +11,28 @@ links are verified: five-word-shingle Jaccard of 0.8 or more, computed from the
 
 Rows are told apart by a hash of doc_id and text (``row_key``), so rows that share a doc_id, or have none, are
 judged each by its own text.  Documents with equal shingle sets are one class from the start, and only the one
-with the smallest doc_id goes on.  Pairs within a bucket aren't spelled out: each member is tied to the bucket's smallest key, and
-what hangs together through such ties is a family.  A family is verified as a whole where its shingle sets
-meet, by products of 0/1 matrices, and gives one link for each document that has any.  A family that is too
-large for one task is first thinned: members are compared with their buckets' leaders, and a matched member
-goes on only if it could still link to an unmatched one (Jaccard distance is a metric, so with leader L a
-matched x and an unmatched y are linked only if d(L,y) - d(L,x) <= 0.2).  The rest is cut into blocks, and
-each pair of blocks is a task.  So every pair of a bucket is compared, or known to be in one class, or known
-to be too far apart: no link between different classes is lost, whatever the bucket's size.
-
-Scale: signatures are 25 numbers for each document, 50 at most where shingles repeat; shingle sets are built only for documents with a
-candidate.  A task holds two blocks of bounded cost.  Minima over hot buckets are combined before the
-shuffle; what joins on hot keys are plain joins of stored tables that adaptive execution splits.
+with the smallest doc_id goes on.  Pairs within a bucket aren't spelled out: each member is tied to the
+bucket's smallest key, and what hangs together through such ties is a family.
+
+A family is verified where its shingle sets meet, by products of 0/1 matrices; a task gives a spanning forest
+of its links, never all of them.  A family that is too large for one task goes through four steps:
+
+1. Documents that can't have a link go: of a document's shingles only those of another member can be shared,
+   and those of exactly one other only with that one.
+2. The rest is dealt by hash into blocks that are linked block by block.  The best linked member of each
+   component stands for it in the next round, until a round has one block, or hardly merges any more.
+3. Components are named over the links so far.  Buckets whose members are all in one component are done.
+4. Members of open buckets are compared across components: those outside of the family's largest component
+   with each other and with it, in pairs of blocks.  Members of one component aren't compared again.
+
+So every pair of a bucket is compared, or known to be in one class, or known to be too far apart: no link
+between different classes is lost, whatever the bucket's size, and links are linear in documents.
+
+Scale: signatures are 25 numbers for each document, 50 at most where shingles repeat; shingle sets are built
+only for documents with a candidate.  A task holds at most two blocks of bounded cost.  Minima and counts over
+hot buckets and shingles are combined before the shuffle; what joins on hot keys are plain joins of stored
+tables that adaptive execution splits.  What stays quadratic is step 4 where many documents share most of a
+text with each other and yet are all just below the threshold.
 """
 
 from __future__ import annotations
@@ -36,14 +46,14 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import free_name
 from gridloom.llm.text import Texts, U, mixed, texts, windows
-from gridloom.plans.durable import keep
+from gridloom.plans.durable import store
 
 SHINGLE = 5
 BANDS, ROWS = 25, 4
 REGISTERS = BANDS * ROWS
 THRESHOLD = 0.8
 #: A block of a family: so many shingles, with as many for each document, at about ten bytes each.
-BLOCK_COST, DOC_COST = 600_000, 1500
+BLOCK_COST, DOC_COST = 400_000, 1500
 #: Most ids whose table is broadcast to pick documents (counted first); more are joined by shuffle.
 MAX_BROADCAST = 1_000_000
 
@@ -136,124 +146,174 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted distinct shingle hashes of each document as bytes."""
+    """Sorted distinct shingle hashes of each document, in place of its text."""
     for batch in batches:
+        names = [x for x in batch.schema.names if x != "text"]
         for row, t in texts(batch.column("text")):
             h, own, _, _ = distinct(*shingles(t, 11))
             cut = np.searchsorted(own, np.arange(t.n + 1))
-            blobs = [h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            names = [x for x in batch.schema.names if x != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(x).slice(row, t.n) for x in names), pa.array(blobs, pa.binary())], [*names, "shingles"])
+            lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(h.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(x).slice(row, t.n) for x in names), lists], [*names, "shingles"])
 
 
-def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-            both = np.concatenate([x, y])
-            both.sort(kind="stable")
-            common = int((both[1:] == both[:-1]).sum())
-            out.append(common / (len(x) + len(y) - common))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], ["a", "b", "similarity"])
-
-
-def similarities(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Jaccard similarity of the shingle sets of (stored) pairs a, b of doc_ids."""
-    ids = keep(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids, "doc_id", "left_semi")
-    sets = picked.mapInArrow(_sets, "doc_id long, shingles binary")
-    x = pairs.join(sets.withColumnsRenamed({"doc_id": "a", "shingles": "x"}), "a")
-    both = x.join(sets.withColumnsRenamed({"doc_id": "b", "shingles": "y"}), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(_jaccard, "a long, b long, similarity double")
-
-
-def _thinned(docs: DataFrame, star: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Of large families' ties (key, id, leader): links to leaders, and the ids that still go on."""
-    ties = star.filter("id <> leader")
-    pairs = keep(ties.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct())
-    known = keep(similarities(docs, pairs))
-    seen = ties.join(known.select(F.col("a").alias("id"), F.col("b").alias("leader"), "similarity"), ["id", "leader"])
-    seen = seen.withColumn("open", F.col("similarity") < threshold)
-    nearest = keep(seen.groupBy("key").agg(F.max(F.when(F.col("open"), F.col("similarity"))).alias("nearest")).filter("nearest is not null"))
-    going = seen.join(nearest, "key").filter(F.col("open") | (F.col("nearest") >= F.col("similarity") - (1.0 - threshold) - 1e-9))
-    return known.filter(F.col("similarity") >= threshold).select("a", "b"), keep(going.select("id").distinct())
-
-
-def _blocks(families: DataFrame) -> DataFrame:
-    """Adds block and blocks to id, family and n: a family is dealt by hash into blocks of about ``BLOCK_COST``."""
-    cost = keep(families.groupBy("family").agg(F.ceil(F.sum(F.col("n") + DOC_COST) / BLOCK_COST).alias("blocks")))
-    return families.join(cost, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-
-
-def _local_links(threshold: float):
+def _near(table: pa.Table, threshold: float) -> np.ndarray:
+    """Which rows of ``table`` are similar enough, by the sizes of all intersections."""
+    lists = table.column("shingles").combine_chunks()
+    n = np.diff(np.asarray(lists.offsets))
+    m, h, who = len(n), np.asarray(lists.flatten()), np.repeat(np.arange(len(n)), n)
+    order = np.argsort(h, kind="stable")
+    h, who = h[order], who[order]
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    column = np.cumsum(new) - 1
+    shared = np.bincount(column)[column] > 1
+    column, who = np.unique(column[shared], return_inverse=True)[1], who[shared]
+    common = np.zeros((m, m), np.float32)
+    for start in range(0, int(column.max(initial=-1)) + 1, 4096):
+        a, b = np.searchsorted(column, [start, start + 4096])
+        x = np.zeros((m, 4096), np.float32)
+        x[who[a:b], column[a:b] - start] = 1
+        common += x @ x.T
+    return common >= threshold * (n[:, None] + n[None, :] - common) - 1e-6
+
+
+def _forest(near: np.ndarray) -> np.ndarray:
+    """For each row the row of most links in its component (the first of several)."""
+    root = np.full(len(near), -1)
+    links = near.sum(axis=1)
+    for i in range(len(near)):  # breadth first over the links
+        if root[i] >= 0:
+            continue
+        seen, front = [i], np.array([i])
+        root[i] = i
+        while len(front):
+            front = np.flatnonzero(near[front].any(axis=0) & (root < 0))
+            root[front] = i
+            seen.extend(front.tolist())
+        root[seen] = seen[int(np.argmax(links[seen]))]
+    return root
+
+
+def _linked_block(threshold: float):
+    """Links of a block: each document that has any, and the best linked one of its component."""
+
     def run(table: pa.Table) -> pa.Table:
-        ids = np.asarray(table.column("doc_id"))
-        sets = [np.frombuffer(x, U) for x in table.column("shingles").to_pylist()]
-        m, n = len(sets), np.array([len(x) for x in sets])
-        h, who = np.concatenate(sets), np.repeat(np.arange(m), n)
-        order = np.argsort(h, kind="stable")
-        h, who = h[order], who[order]
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
-        column = np.cumsum(new) - 1
-        shared = np.bincount(column)[column] > 1
-        column, who = np.unique(column[shared], return_inverse=True)[1], who[shared]
-        common = np.zeros((m, m), np.float32)
-        for start in range(0, int(column.max(initial=-1)) + 1, 4096):
-            a, b = np.searchsorted(column, [start, start + 4096])
-            x = np.zeros((m, 4096), np.float32)
-            x[who[a:b], column[a:b] - start] = 1
-            common += x @ x.T
-        near = common >= threshold * (n[:, None] + n[None, :] - common) - 1e-6
-        root = np.full(m, -1)
-        for i in range(m):  # breadth first over the links
-            if root[i] >= 0:
-                continue
-            root[i], front = i, np.array([i])
-            while len(front):
-                reached = near[front].any(axis=0) & (root < 0)
-                front = np.flatnonzero(reached)
-                root[front] = i
-        linked = np.flatnonzero(root != np.arange(m))
+        root = _forest(_near(table, threshold))
+        ids = np.asarray(table.column("id"))
+        linked = np.flatnonzero(root != np.arange(len(root)))
         return pa.table([pa.array(ids[linked]), pa.array(ids[root[linked]])], ["a", "b"])
 
     return run
 
 
+def _linked_across(threshold: float):
+    """Links between components in two blocks, at most one fewer than there are components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        names, label = np.unique(np.asarray(table.column("label")), return_inverse=True)
+        i, j = np.nonzero(_near(table, threshold))
+        between = np.zeros((len(names), len(names)), bool)
+        between[label[i], label[j]] = True
+        root = _forest(between)
+        linked = np.flatnonzero(root != np.arange(len(root)))
+        return pa.table([pa.array(names[linked]), pa.array(names[root[linked]])], ["a", "b"])
+
+    return run
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` (stored), marked for broadcast if it was counted to be small."""
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
+
+
+def _blocks(members: DataFrame, *by: str, salt: int = 0) -> DataFrame:
+    """Adds block and blocks: what shares ``by`` is dealt by a hash of id into blocks of about ``BLOCK_COST``."""
+    cost = store(members.groupBy(*by).agg(F.ceil(F.sum(F.col("n") + DOC_COST) / BLOCK_COST).alias("blocks")))
+    return members.join(cost, list(by)).withColumn("block", F.pmod(F.xxhash64("id", F.lit(salt)), F.col("blocks")))
+
+
+def linkable(sets: DataFrame, threshold: float) -> DataFrame:
+    """Ids of ``sets`` (id, family, n, shingles) that may have a link in their family.
+
+    What two sets share are shingles that only the two have, and shingles of three or more members.  So a
+    set that isn't in a pair of the first kind needs enough of the second by itself.
+    """
+    owners = sets.select("id", "family", F.explode("shingles").alias("shingle")).groupBy("family", "shingle")
+    rare = store(owners.agg(F.count(F.lit(1)).alias("owners"), F.min("id").alias("a"), F.max("id").alias("b")).filter("owners <= 2").drop("shingle"))
+    own = rare.select(F.explode(F.expr("if(owners = 1, array(a), array(a, b))")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("rare"))
+    least = sets.groupBy("family").agg(F.min("n").alias("least"))
+    common = sets.select("id", "family", "n").join(own, "id", "left").join(least, "family")
+    common = store(common.select("id", "n", "least", (F.col("n") - F.coalesce("rare", F.lit(0))).alias("common")))
+    share = threshold / (1.0 + threshold)
+    alone = common.filter((F.col("common") >= threshold * F.col("n") - 1e-6) & (F.col("common") >= share * (F.col("n") + F.col("least")) - 1e-6)).select("id")
+    pairs = rare.filter("owners = 2").groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"))
+    of = lambda x: common.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("common").alias(f"common_{x}"))
+    close = pairs.join(of("a"), "a").join(of("b"), "b").filter(F.least("common_a", "common_b") + F.col("both") >= share * (F.col("n_a") + F.col("n_b")) - 1e-6)
+    return alone.union(close.select(F.explode(F.array("a", "b")))).distinct()
+
+
+def _large_links(star: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links of families that are too large for a task, from buckets (key, id) and sets (id, family, n, shingles)."""
+    live = store(sets.select("id", "family", "n").join(linkable(sets, threshold), "id", "left_semi"))
+    standing, links, salt = live, None, 1
+    while True:
+        dealt = store(_blocks(standing, "family", salt=salt))
+        found = store(_grouped(sets, dealt.select("id", "block"), ["family", "block"], _linked_block(threshold)))
+        links = found if links is None else links.unionByName(found)
+        heads = found.select(F.col("b").alias("id")).distinct()
+        left = dealt.join(found.select(F.col("a").alias("id")), "id", "left_anti").select("id", "family", "n")
+        left = store(left.join(heads, "id", "left_semi") if salt == 1 else left)
+        if not dealt.filter("blocks > 1").limit(1).count() or left.count() * 5 > standing.count() * 4:
+            break
+        standing, salt = left, salt + 1
+    links = store(links)
+    labels = components(links).withColumnRenamed("class", "label")
+    named = store(live.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")))
+    members = star.join(named.select("id", "label"), "id").select("key", "id", "label")
+    unsettled = store(members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key"))
+    going = store(named.join(members.join(unsettled, "key", "left_semi").select("id").distinct(), "id", "left_semi"))
+    counts = going.groupBy("family", "label").agg(F.count(F.lit(1)).alias("docs"))
+    largest = counts.groupBy("family").agg(F.max_by("label", F.struct("docs", "label")).alias("largest"))
+    going = store(_blocks(going.join(largest, "family").withColumn("inner", F.col("label") == F.col("largest")), "family", "inner"))
+    total = going.groupBy("family").agg(F.coalesce(F.max(F.when(~F.col("inner"), F.col("blocks"))), F.lit(0)).alias("outer"), F.coalesce(F.max(F.when(F.col("inner"), F.col("blocks"))), F.lit(0)).alias("all"))
+    placed = going.join(total.withColumn("all", F.col("all") + F.col("outer")), "family").withColumn("block", F.when(F.col("inner"), F.col("block") + F.col("outer")).otherwise(F.col("block")))
+    placed = store(placed.select("id", "label", "inner", "block", "outer", "all").withColumn("other", F.explode(F.expr("sequence(0, if(inner, outer, all) - 1)"))).filter("block <> other or `all` = 1"))
+    pairs = placed.select("id", "label", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    return links.unionByName(store(_grouped(sets, pairs, ["family", "p", "q"], _linked_across(threshold))))
+
+
+def _grouped(sets: DataFrame, dealt: DataFrame, by: list[str], link) -> DataFrame:
+    """Links a, b of ``sets``, grouped ``by`` columns of itself and of ``dealt`` (id, ...; stored)."""
+    return sets.drop("n").join(small(dealt), "id").groupBy(*by).applyInArrow(link, "a long, b long")
+
+
 def verified_links(docs: DataFrame, members: DataFrame, sizes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Links a, b that connect whatever documents of a bucket (key, id) are connected; sizes: id and n."""
-    leaders = keep(members.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("__n")).filter("__n > 1").drop("__n"))
-    star = keep(members.join(leaders, "key"))
+    leaders = store(members.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("__n")).filter("__n > 1").drop("__n"))
+    star = store(members.join(leaders, "key"))
     ties = star.filter("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-    families = components(ties).withColumnRenamed("class", "family").join(sizes, "id")
-    placed = keep(_blocks(families))
-    small = placed.filter("blocks = 1")
-    large = placed.filter("blocks > 1")
-    links = None
+    placed = store(_blocks(components(ties).withColumnRenamed("class", "family").join(sizes, "id"), "family"))
+
+    def sets(of: DataFrame) -> DataFrame:
+        picked = docs.withColumnRenamed("doc_id", "id").join(small(of.select("id", "family", "n")), "id").select("id", "family", "n", "text")
+        return picked.mapInArrow(_sets, "id long, family long, n long, shingles array<long>")
+
+    links = store(sets(placed.filter("blocks = 1")).groupBy("family").applyInArrow(_linked_block(threshold), "a long, b long"))
+    large = store(placed.filter("blocks > 1"))
     if large.limit(1).count():
-        links, going = _thinned(docs, star.join(large.select("id"), "id", "left_semi"), threshold)
-        small = small.unionByName(_blocks(large.drop("block", "blocks").join(going, "id", "left_semi")))
-    placed = keep(small)
-    if placed.count() <= MAX_BROADCAST:
-        placed = F.broadcast(placed)
-    picked = docs.join(placed, docs["doc_id"] == placed["id"]).select("doc_id", "text", "family", "block", "blocks")
-    sets = picked.mapInArrow(_sets, "doc_id long, family long, block long, blocks long, shingles binary")
-    other = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: j != F.col("block")))
-    dealt = sets.withColumn("__j", F.explode(other)).withColumn("p", F.least("block", "__j")).withColumn("q", F.greatest("block", "__j"))
-    found = keep(dealt.select("doc_id", "shingles", "family", "p", "q").groupBy("family", "p", "q").applyInArrow(_local_links(threshold), "a long, b long"))
-    return found if links is None else keep(found.unionByName(links))
+        links = store(links.unionByName(_large_links(star.join(large.select("id"), "id", "left_semi"), store(sets(large)), threshold)))
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
     """id and class (smallest id that can be reached) for each id in ``links`` (a, b)."""
-    both = keep(links.union(links.select("b", "a")).toDF("a", "b").distinct())
-    labels = keep(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("class")))
+    both = store(links.union(links.select("b", "a")).toDF("a", "b").distinct())
+    labels = store(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("class")))
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), F.col("class").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
         lower = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.col("class").alias("old"), F.least("class", "c").alias("class"))
         jump = labels.select(F.col("id").alias("class"), F.col("class").alias("further"))
-        new = keep(lower.join(jump, "class").select("id", "old", F.least("class", "further").alias("class")))
+        new = store(lower.join(jump, "class").select("id", "old", F.least("class", "further").alias("class")))
         if new.filter("class <> old").limit(1).count() == 0:
             return new.select("id", "class")
         labels = new.drop("old")
@@ -272,24 +332,24 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     class_id.  Other columns aren't read; an empty table gives an empty table.
     """
     docs = docs.select(_row_key().alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signatures = keep(docs.mapInArrow(_signatures, "row_key long, doc_id long, n long, f1 long, f2 long, bands array<long>"))
+    signatures = store(docs.mapInArrow(_signatures, "row_key long, doc_id long, n long, f1 long, f2 long, bands array<long>"))
     full = signatures.filter("n > 0")
-    repeated = keep(full.groupBy("row_key").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("row_key"))
+    repeated = store(full.groupBy("row_key").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("row_key"))
     again = repeated.limit(1).count() > 0
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "n", "bands")).alias("first")
-    equal = keep(full.groupBy("f1", "f2").agg(first).select("f1", "f2", F.col("first.none").alias("none"), F.col("first.doc_id").alias("doc_id"), F.col("first.row_key").alias("id"), F.col("first.n").alias("n"), F.col("first.bands").alias("bands")))
+    equal = store(full.groupBy("f1", "f2").agg(first).select("f1", "f2", F.col("first.none").alias("none"), F.col("first.doc_id").alias("doc_id"), F.col("first.row_key").alias("id"), F.col("first.n").alias("n"), F.col("first.bands").alias("bands")))
     read = docs.select(F.col("row_key").alias("doc_id"), "text")
     if again:
         known = repeated.withColumnRenamed("row_key", "doc_id")
-        read = read.join(known, "doc_id", "left_anti").unionByName(keep(read.join(known, "doc_id", "left_semi").dropDuplicates(["doc_id"])))
+        read = read.join(known, "doc_id", "left_anti").unionByName(store(read.join(known, "doc_id", "left_semi").dropDuplicates(["doc_id"])))
     links = verified_links(read, equal.select(F.explode("bands").alias("key"), "id"), equal.select("id", "n"), threshold)
-    classes = keep(equal.drop("n", "bands").join(components(links), "id", "left").withColumn("class", F.coalesce("class", "id")))
+    classes = store(equal.drop("n", "bands").join(components(links), "id", "left").withColumn("class", F.coalesce("class", "id")))
     best = classes.groupBy("class").agg(F.min(F.struct("none", "doc_id", "id")).alias("best"))
-    classes = keep(classes.select("f1", "f2", "class").join(best, "class").select("f1", "f2", F.col("best.doc_id").alias("class_id"), F.col("best.id").alias("__kept")))
+    classes = store(classes.select("f1", "f2", "class").join(best, "class").select("f1", "f2", F.col("best.doc_id").alias("class_id"), F.col("best.id").alias("__kept")))
     names = ["doc_id", "row_key", "class_id", "n_shingles", "kept"]
     found = full.join(classes, ["f1", "f2"]).withColumnRenamed("n", "n_shingles").withColumn("kept", F.col("row_key") == F.col("__kept")).select(names)
     if again:
-        found = keep(found)
+        found = store(found)
         copies = found.join(repeated, "row_key", "left_semi").groupBy(names).agg(F.count(F.lit(1)).alias("__n")).withColumn("__i", F.explode(F.expr("sequence(1, __n)")))
         found = found.join(repeated, "row_key", "left_anti").unionByName(copies.withColumn("kept", F.col("kept") & (F.col("__i") == 1)).select(names))
     rest = signatures.filter("n = 0").select("doc_id", "row_key", F.col("doc_id").alias("class_id"), F.col("n").alias("n_shingles"), F.lit(True).alias("kept"))
@@ -303,7 +363,7 @@ def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     doc_id and text one stays, whatever their other columns.  Texts without words stay.
     """
     key = free_name(docs, "row_key")
-    rows = keep(near_duplicates(docs, threshold).filter("n_shingles > 0").groupBy(F.col("row_key").alias(key)).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("copies")))
+    rows = store(near_duplicates(docs, threshold).filter("n_shingles > 0").groupBy(F.col("row_key").alias(key)).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("copies")))
     left = docs.withColumn(key, _row_key()).join(rows.filter("not kept").select(key), key, "left_anti")
     again = rows.filter("kept and copies > 1").select(key)
     if again.limit(1).count():
@@ -312,4 +372,5 @@ def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame
 
 
 def op7_near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id, n_shingles and kept for each row of ``docs``, as ``near_duplicates`` defines them."""
     return near_duplicates(docs).select("doc_id", "class_id", "n_shingles", "kept")

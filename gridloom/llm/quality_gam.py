@@ -198,11 +198,16 @@ def _scorer(model: Gam):
 
 
 def score(docs: DataFrame, model: Gam) -> DataFrame:
-    """doc_id and score for each row of ``docs``; null counts as an empty text, which is scored as such."""
+    """doc_id and score for each row of ``docs``, by its text alone.
+
+    Null counts as an empty text, which is scored as such; repeated rows have equal scores, values at a bin's
+    edge go to the bin above.  Other columns aren't read; an empty table gives an empty table.
+    """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scorer(model), "doc_id long, score double")
 
 
 def op6_quality_gam(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The contract's columns for each row of ``docs``; without labelled rows every score is 0.5."""
     model = train(docs, labels, "quality", id_fold(F.col("doc_id"), FOLDS) != HELD_OUT)
     scored = score(docs, model)
     return scored.select("doc_id", (id_fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -2,10 +2,14 @@
 
 All rules' expressions are compiled together: expressions to one nondeterministic automaton, subset
 construction to a deterministic one over classes of bytes, minimisation by partition refinement, and from
-that two transition arrays.  The searching automaton may begin a match at any byte; it scans the text of a
-whole slice in one byte pass, many pieces side by side, and says which rules match in which piece (pieces
-end at bytes that no rule can contain).  Only in those does the second, anchored automaton fix where
-matches start and end, leftmost and longest.
+that transition arrays.  The text of a whole slice is scanned in one byte pass for all rules, many pieces side
+by side (pieces end at bytes that no rule can contain).  The pass goes from the end to the start with the
+automaton of the reversed expressions, which begins anew at every byte: its state says of which rules a match
+starts at this byte.  From the leftmost such place after a rule's match before, the automaton of the
+expressions themselves is run to where the rule's longest match ends, and no further.
+
+So the pass reads each byte once, and the ends are looked for inside of matches only: time is linear in the
+text for rules that, like these, can't go on in vain after the end of a match.
 
 Scale: a map over documents.  Nothing is shuffled; the transition arrays go out with the tasks.
 """
@@ -26,9 +30,9 @@ from gridloom.llm.text import HEAD, Texts, texts
 
 
 class Rule(NamedTuple):
-    """``search`` is the expression whose presence makes a piece worth a closer look, with as few counted
-    runs as will keep that rare (each multiplies the states); ``least`` counts the bytes from where
-    ``match`` first accepts to its end, shorter matches are dropped after matching."""
+    """``least`` counts the bytes from where ``match`` first accepts to its end, shorter matches are dropped
+    after matching.  ``search``, if given, stands for ``match`` in the pass: a match starts wherever it does,
+    and wherever a match that isn't dropped starts, it does.  It saves states or keeps such places rare."""
 
     kind: str
     match: str
@@ -44,7 +48,7 @@ RULES = (
     Rule("hex", "[0-9a-f]+", 24, "[0-9a-f]{24}"),
     Rule("forge", "gh[pousr]_[A-Za-z0-9]+", 36, "gh[pousr]_[A-Za-z0-9]"),
     Rule("chat", "xox[abprs]-[A-Za-z0-9-]+", 10, "xox[abprs]-[A-Za-z0-9-]"),
-    Rule("jwt", "eyJ[A-Za-z0-9_-]+[.]eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+", 16, "eyJ[A-Za-z0-9_-]+[.]eyJ"),
+    Rule("jwt", "eyJ[A-Za-z0-9_-]+[.]eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+", 16, "eyJ[A-Za-z0-9_-]+[.]eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]"),
     Rule("pem", "-----BEGIN ([A-Z]+ )*PRIVATE KEY-----"),
 )
 N_BASE = 3
@@ -58,6 +62,20 @@ class _Nfa:
         self.moves: list[tuple[frozenset[int], int] | None] = []
         self.accepts: dict[int, int] = {}
 
+    def reversed(self, starts: list[int]) -> _Nfa:
+        """The automaton of the reversed words: it goes from the ends to the ``starts``."""
+        back = _Nfa()
+        for _ in self.free:
+            back.state()
+        for a, to in enumerate(self.free):
+            for b in to:
+                back.free[b].append(a)
+        for a, move in enumerate(self.moves):
+            if move:  # every state is entered by one byte move at most
+                back.moves[move[1]] = (move[0], a)
+        back.accepts = {a: rule for rule, a in enumerate(starts)}
+        return back
+
     def state(self) -> int:
         self.free.append([])
         self.moves.append(None)
@@ -142,19 +160,22 @@ class _Nfa:
 
 
 class Automaton(NamedTuple):
-    """next[state * classes + byte class], the accepted rules of a state as bits, and each byte's class.
-
-    State 0 is the start, accepting states follow the others; in an anchored automaton the last is dead."""
+    """next[state * classes + byte class], a state's accepted rules and those that it can reach as bits, and
+    each byte's class.  State 0 is the start, accepting states follow the others."""
 
     next: np.ndarray
     accepts: np.ndarray
+    reaches: np.ndarray
     classes: np.ndarray
     width: int
 
 
-def compile_rules(expressions: list[str], anywhere: bool) -> Automaton:
+def compile_rules(expressions: list[str], backward: bool) -> Automaton:
+    """The anchored automaton of all expressions, or, ``backward``, that of the reversed ones, from any byte."""
     nfa = _Nfa()
     starts = [nfa.add(e, i) for i, e in enumerate(expressions)]
+    if backward:
+        nfa, starts = nfa.reversed(starts), list(nfa.accepts)
     sets = sorted({m[0] for m in nfa.moves if m}, key=sorted)
     signature = {b: tuple(b in s for s in sets) for b in range(256)}
     names = {s: i for i, s in enumerate(dict.fromkeys(signature.values()))}
@@ -184,7 +205,7 @@ def compile_rules(expressions: list[str], anywhere: bool) -> Automaton:
         row = []
         for c in range(len(sample)):
             to = closed(by_class[c]) if c in by_class else frozenset()
-            if anywhere:
+            if backward:
                 to |= first
             if to not in number:
                 number[to] = len(number)
@@ -196,10 +217,10 @@ def compile_rules(expressions: list[str], anywhere: bool) -> Automaton:
         for s in state:
             if s in nfa.accepts:
                 accepts[i] |= 1 << nfa.accepts[s]
-    return _minimal(np.array(table), accepts, classes, number.get(frozenset()))
+    return _minimal(np.array(table), accepts, classes)
 
 
-def _minimal(table: np.ndarray, accepts: np.ndarray, classes: np.ndarray, dead: int | None) -> Automaton:
+def _minimal(table: np.ndarray, accepts: np.ndarray, classes: np.ndarray) -> Automaton:
     """Merges states that no input tells apart (refinement of the partition by accepted rules)."""
     part = np.unique(accepts, return_inverse=True)[1]
     while True:
@@ -207,110 +228,115 @@ def _minimal(table: np.ndarray, accepts: np.ndarray, classes: np.ndarray, dead:
         if finer.max() == part.max():
             break
         part = finer
-    order = [p for p in dict.fromkeys(part.tolist()) if p != part[0] and (dead is None or p != part[dead])]
-    order = [part[0], *sorted(order, key=lambda p: bool(accepts[part == p].any()))]
-    if dead is not None:
-        order.append(part[dead])
+    order = [part[0], *sorted((p for p in dict.fromkeys(part.tolist()) if p != part[0]), key=lambda p: bool(accepts[part == p].any()))]
     rank = {p: i for i, p in enumerate(order)}
     at = [int(np.flatnonzero(part == p)[0]) for p in order]
-    new = np.array([rank[p] for p in part.tolist()])
-    return Automaton(new[table[at]].astype(np.int32).reshape(-1), accepts[at], classes, table.shape[1])
+    table, accepts = np.array([rank[p] for p in part.tolist()])[table[at]].astype(np.int32), accepts[at]
+    reaches = accepts.copy()
+    while (more := reaches | np.bitwise_or.reduce(reaches[table], axis=1)).tolist() != reaches.tolist():
+        reaches = more
+    return Automaton(table.reshape(-1), accepts, reaches, classes, table.shape[1])
 
 
 @lru_cache(maxsize=4)
 def automata(rules: tuple[Rule, ...] = RULES) -> tuple[Automaton, Automaton]:
-    """The searching and the anchored automaton."""
+    """The automaton of the pass and that of the matches."""
     return compile_rules([r.search or r.match for r in rules], True), compile_rules([r.match for r in rules], False)
 
 
-def found_in_pieces(t: Texts, search: Automaton) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends, text numbers and rule bits of the pieces of a slice in which rules match."""
-    grid = search.next.reshape(-1, search.width)
-    ends_all = (grid == 0).all(axis=0)[search.classes]  # after such a byte every state is the start again
-    starts, ends, owner = t.runs(ends_all)
+def match_starts(t: Texts, back: Automaton) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where matches start in a slice, in order: place, rule bits, end of the piece, text number."""
+    outside = (back.next.reshape(-1, back.width) == 0).all(axis=0)[back.classes]  # after such a byte every state is the start again
+    starts, ends, owner = t.runs(outside)
     order = np.argsort(starts - ends, kind="stable")  # longest first: those still running are a prefix
-    at, left = starts[order], (ends - starts)[order]
-    bits, rows = np.zeros(len(at), np.int64), np.zeros(len(at), np.int32)  # rows: state times width
-    classes = search.classes.astype(np.int32)[t.data]
-    moves = search.next * np.int32(search.width)
-    accepting = int(np.flatnonzero(search.accepts)[0]) * search.width
-    running = len(at) - np.searchsorted(left[::-1], np.arange(int(left.max(initial=0)) + 1), "right")  # longer than k
-    active, k = len(at), 0
+    last, left = ends[order] - 1, (ends - starts)[order]
+    rows = np.zeros(len(order), np.int32)  # state times width
+    classes = back.classes.astype(np.int32)[t.data]
+    moves = back.next * np.int32(back.width)
+    accepting = (int(np.flatnonzero(back.accepts)[0]) if back.accepts.any() else len(back.accepts)) * back.width
+    running = len(order) - np.searchsorted(left[::-1], np.arange(int(left.max(initial=0)) + 1), "right")  # longer than k
+    at, states, pieces = [], [], []
+    active, k = len(order), 0
     while active > 8:
         active = int(running[k])
-        s = moves[rows[:active] + classes[at[:active] + k]]
+        s = moves[rows[:active] + classes[last[:active] - k]]
         rows[:active] = s
         if active and s.max() >= accepting:
             i = np.flatnonzero(s >= accepting)
-            bits[i] |= search.accepts[s[i] // search.width]
+            at.append(last[i] - k)
+            states.append(s[i] // back.width)
+            pieces.append(i)
         k += 1
-    if active:  # a few very long pieces go on one by one
-        step, accepts, width = search.next.tolist(), search.accepts.tolist(), search.width
-        for i in range(active):
-            s, b = int(rows[i]) // width, int(bits[i])
-            for c in classes[at[i] + k : at[i] + left[i]].tolist():
-                s = step[s * width + c]
-                b |= accepts[s]
-            bits[i] = b
-    hit = np.flatnonzero(bits)
-    hit = hit[np.argsort(order[hit])]
-    return starts[order[hit]], ends[order[hit]], owner[order[hit]], bits[hit]
-
-
-def matches(data: bytes, anchored: Automaton, rule: int, least: int) -> list[tuple[int, int]]:
-    """Leftmost longest non-overlapping matches of one rule, without those that are too short."""
-    step, accepts, width, classes = _lists(anchored)
-    dead, bit, out, i, n = len(accepts) - 1, 1 << rule, [], 0, len(data)
-    while i < n:
-        s, k, early, last = 0, i, -1, -1
-        while k < n:
-            s = step[s * width + classes[data[k]]]
-            if s == dead:
-                break
-            k += 1
-            if accepts[s] & bit:
-                last = k
-                if early < 0:
-                    early = k
-        if last < 0:
-            i += 1
-            continue
-        if last - early + 1 >= least:
-            out.append((i, last))
-        i = last
-    return out
-
-
-_AS_LISTS: dict[int, tuple] = {}
-
-
-def _lists(a: Automaton) -> tuple:
-    if id(a) not in _AS_LISTS:
-        _AS_LISTS.clear()
-        _AS_LISTS[id(a)] = (a.next.tolist(), a.accepts.tolist(), a.width, a.classes.tolist())
-    return _AS_LISTS[id(a)]
+    step, width = moves.tolist(), back.width
+    for i in range(active):  # a few very long pieces go on one by one
+        s, mine = int(rows[i]), []
+        for j, c in enumerate(classes[last[i] + 1 - left[i] : last[i] + 1 - k][::-1].tolist()):
+            s = step[s + c]
+            if s >= accepting:
+                mine.append((j, s))
+        if mine:
+            found = np.array(mine)
+            at.append(last[i] - k - found[:, 0])
+            states.append(found[:, 1] // width)
+            pieces.append(np.full(len(mine), i))
+    if not at:
+        return (np.zeros(0, np.int64),) * 4
+    place, piece = np.concatenate(at), order[np.concatenate(pieces)]
+    by = np.argsort(place)
+    return place[by], back.accepts[np.concatenate(states)][by], ends[piece][by], owner[piece][by]
+
+
+class Matcher:
+    """Leftmost longest matches that don't overlap, rule by rule, from the places where matches start."""
+
+    def __init__(self, rules: tuple[Rule, ...]):
+        self.back, ahead = automata(rules)
+        self.next, self.accepts, self.reaches = ahead.next.tolist(), ahead.accepts.tolist(), ahead.reaches.tolist()
+        self.classes, self.width, self.rules = ahead.classes.astype(np.int32), ahead.width, rules
+
+    def spans(self, t: Texts) -> list[tuple[int, int, int, int]]:
+        """text number, rule, start and end in bytes of the slice, of all matches that are long enough."""
+        place, bits, limit, owner = match_starts(t, self.back)
+        out = []
+        for r, rule in enumerate(self.rules):
+            mine = np.flatnonzero(bits >> r & 1)
+            starts, k = place[mine], 0
+            while k < len(starts):
+                begin = int(starts[k])
+                early, end = self._end(t, begin, int(limit[mine[k]]), 1 << r)
+                if early and end - early + 1 >= rule.least:
+                    out.append((int(owner[mine[k]]), r, begin, end))
+                k = max(k + 1, int(np.searchsorted(starts, end)))
+        return out
+
+    def _end(self, t: Texts, at: int, limit: int, bit: int) -> tuple[int, int]:
+        """Where the rule's match from ``at`` may end first and last."""
+        s, early, end, size = 0, 0, at, 64
+        while at < limit:
+            for c in self.classes[t.data[at : min(at + size, limit)]].tolist():
+                s = self.next[s * self.width + c]
+                if not self.reaches[s] & bit:
+                    return early, end
+                at += 1
+                if self.accepts[s] & bit:
+                    early, end = early or at, at
+            size *= 2
+        return early, end
 
 
 def _scanner(rules: tuple[Rule, ...]):
-    search, _ = automata(rules)
-    alone = [compile_rules([r.match], False) for r in rules]
-    kinds, least = [r.kind for r in rules], [r.least for r in rules]
     span = pa.list_(pa.struct([("kind", pa.int32()), ("from", pa.int64()), ("to", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(rules)
         for batch in batches:
             for row, t in texts(batch.column("text"), size=4 << 20):  # more pieces side by side
                 spans: list[list[dict]] = [[] for _ in range(t.n)]
-                heads = None
-                for s, e, d, bits in zip(*(x.tolist() for x in found_in_pieces(t, search)), strict=True):
-                    data = t.data[s:e].tobytes()
-                    for r in range(len(kinds)):
-                        if bits >> r & 1:
-                            for a, b in matches(data, alone[r], 0, least[r]):
-                                if heads is None:  # bytes to code points
-                                    heads = np.concatenate([[0], np.cumsum(HEAD[t.data[: t.size]])])
-                                zero = heads[t.at[d]]
-                                spans[d].append({"kind": r, "from": int(heads[s + a] - zero), "to": int(heads[s + b] - zero)})
+                found = matcher.spans(t)
+                heads = np.concatenate([[0], np.cumsum(HEAD[t.data[: t.size]])]) if found else None  # bytes to code points
+                for d, r, a, b in found:
+                    zero = heads[t.at[d]]
+                    spans[d].append({"kind": r, "from": int(heads[a] - zero), "to": int(heads[b] - zero)})
                 for x in spans:
                     x.sort(key=lambda y: (y["from"], y["kind"]))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, t.n), pa.array(spans, span)], ["doc_id", "spans"])
@@ -343,5 +369,9 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op9_secret_scan(docs: DataFrame) -> DataFrame:
+    """The contract's digest columns for each row of ``docs``, and all spans as ``kind:start:end``.
+
+    A null doc_id stays null; null and empty texts have no spans, counts of 0 and the hash of an empty text.
+    """
     found = find_secrets(docs.withColumn("doc_id", docs["doc_id"].cast("long")))
     return found.mapInArrow(_digest, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")

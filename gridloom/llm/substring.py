@@ -270,4 +270,5 @@ def deduplicate_substrings(docs: DataFrame, window: int = WINDOW, with_text: boo
 
 
 def op3_substring_dedup(docs: DataFrame) -> DataFrame:
+    """The contract's digest columns for each row of ``docs``; null texts have no words."""
     return deduplicate_substrings(docs, with_text=False)

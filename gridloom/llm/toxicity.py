@@ -243,7 +243,11 @@ def _scorer(model: Model):
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score for each row of ``docs``; null counts as an empty text."""
+    """doc_id and score for each row of ``docs``, by its text alone.
+
+    Null counts as an empty text; repeated rows have equal scores.  Other columns aren't read; an empty table
+    gives an empty table.
+    """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scorer(model), "doc_id long, score double")
 
 
@@ -261,11 +265,15 @@ def _filter(model: Model):
 
 
 def reject_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` without the rows that score ``THRESHOLD`` or more; columns unchanged."""
+    """``docs`` without the rows that score ``THRESHOLD`` or more; columns unchanged, whatever their names.
+
+    Null and empty texts score as empty ones.
+    """
     return docs.mapInArrow(_filter(model), docs.schema)
 
 
 def op8_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The contract's columns for each row of ``docs``; without labelled rows every score is 0.5."""
     model = train(docs, labels, id_fold(F.col("doc_id"), FOLDS) != HELD_OUT)
     scored = score(docs, model)
     return scored.select("doc_id", (id_fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -174,6 +174,45 @@ def test_op7_near_duplicates(docs, rows, monkeypatch):
     assert near_dedup.keep_one_of_each(docs).select("doc_id").distinct().count() == len({c for _, c in want})
 
 
+def test_op7_links_of_a_large_family_are_linear(spark, monkeypatch):
+    """Many near copies of one text, edited from a small vocabulary: classes as by brute force, links linear."""
+    monkeypatch.setattr(near_dedup, "BLOCK_COST", 40_000)
+    counted, plain = {}, near_dedup.components
+
+    def watched(links):
+        counted[len(counted)] = links.count()
+        return plain(links)
+
+    monkeypatch.setattr(near_dedup, "components", watched)
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    for n in (200, 800):
+        made = []
+        for _ in range(n):
+            words = list(base)
+            for _ in range(rng.randrange(8)):
+                words[rng.randrange(150)] = f"e{rng.randrange(40)}"
+            made.append(words)
+        sets = [{tuple(w[k : k + 5]) for k in range(146)} for w in made]
+        column = {x: i for i, x in enumerate(set().union(*sets))}
+        x = np.zeros((n, len(column)), np.float32)
+        for i, s in enumerate(sets):
+            x[i, [column[y] for y in s]] = 1
+        common, size = x @ x.T, x.sum(axis=1)
+        near = common >= 0.8 * (size[:, None] + size[None, :] - common) - 1e-6
+        label = np.arange(n)
+        while True:
+            lower = np.where(near, label[None, :], n).min(axis=1)
+            if (lower == label).all():
+                break
+            label = lower
+        counted.clear()
+        got = near_dedup.op7_near_duplicates(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(made)], "doc_id long, text string")).collect()
+        assert sorted((r["doc_id"], r["class_id"]) for r in got) == list(enumerate(label.tolist()))
+        assert len(counted) == 3 and max(list(counted.values())[1:]) <= 2 * n
+        assert 1 < len(set(label.tolist())) < n
+
+
 def test_op7_finds_copies_that_repeat_a_passage(spark):
     rng, table = random.Random(8), []
     for i in range(0, 40, 2):
