@@ -90,15 +90,14 @@ def encode(
     if predictors not in ("p1", "bank"):
         raise ValueError(f"predictors must be p1 or bank, not {predictors}")
     clean = sanitize(samples)
-    scales = params(clean, eps, mode, rel_scale)
-    grid = coordinates(clean, scales, mode, tau, restart_block)
+    scales = keep(params(clean, eps, mode, rel_scale))
+    grid = keep(coordinates(clean, scales, mode, tau, restart_block))
     firsts = grid.filter("t = 0").select(*SERIES, F.col("m").alias("m0"))
     if predictors == "p1":
         chosen = sequence.residual_p1(grid).filter("t > 0").select(*SERIES, "t", "r")
         extra = scales.join(firsts, list(SERIES)).withColumn("pred", F.lit(P1)).withColumn("lag", F.lit(1))
         extra = extra.withColumn("row_pos", (F.row_number().over(Window.partitionBy("grid_id").orderBy("var")) - 1).cast("int"))
     else:
-        grid = keep(grid)
         lags = keep(profile.seasonal_lag(profile.autocorrelation(grid, "m", max_lag)))
         names = grid.select(*SERIES).distinct()
         by_name = names.withColumn("__pos", F.row_number().over(Window.partitionBy("grid_id").orderBy("var")) - 1)
@@ -113,11 +112,16 @@ def encode(
     return chosen.select(*SERIES, "t", pixel(F.col("r")).alias("pixel"), escaped(F.col("r")).alias("esc")), extra
 
 
-def decode_coordinates(grid: DataFrame, var_params: DataFrame) -> DataFrame:
-    """Exact lattice coordinates m of all steps, from pixels, escapes and parameters."""
+def decode_coordinates(grid: DataFrame, var_params: DataFrame, predictors: str = "bank") -> DataFrame:
+    """Exact lattice coordinates m of all steps, from pixels, escapes and parameters.
+
+    ``p1`` is one running sum, for grids that were encoded so; ``bank`` takes every variable's own predictor.
+    """
     zero = var_params.select(*SERIES, F.lit(0).cast("long").alias("t"), F.lit(None).cast("long").alias("r"))
     rows = grid.select(*SERIES, "t", residual(F.col("pixel"), F.col("esc")).alias("r")).unionByName(zero)
     rows = rows.join(var_params.select(*SERIES, "m0", "pred", "lag", "row_pos"), list(SERIES))
+    if predictors == "p1":
+        return sequence.accumulate_p1(rows).select(*SERIES, "t", "m")
     out = ["grid_id", "var", "row_pos", "t", "m0", "m"]
     plain = sequence.accumulate_p1(rows.filter(F.col("pred") == P1)).select(out)
     second = sequence.accumulate_p2(rows.filter(F.col("pred") == P2)).select(out)
@@ -133,9 +137,9 @@ def decode_coordinates(grid: DataFrame, var_params: DataFrame) -> DataFrame:
     return known.unionByName(sequence.accumulate_p1(summed).select(out)).select(*SERIES, "t", "m")
 
 
-def decode(grid: DataFrame, var_params: DataFrame, mode: str = "abs") -> DataFrame:
-    """grid_id, var, t and x_hat."""
-    m = decode_coordinates(grid, var_params).join(var_params.select(*SERIES, "q", "s"), list(SERIES))
+def decode(grid: DataFrame, var_params: DataFrame, mode: str = "abs", predictors: str = "bank") -> DataFrame:
+    """grid_id, var, t and x_hat; ``predictors`` as in ``encode``."""
+    m = decode_coordinates(grid, var_params, predictors).join(var_params.select(*SERIES, "q", "s"), list(SERIES))
     y = lattice_value(F.col("m"), F.col("q"))
     return m.select(*SERIES, "t", (asinh_scale_inv(y, F.col("s")) if mode == "rel" else y).alias("x_hat"))
 

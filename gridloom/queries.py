@@ -78,7 +78,7 @@ def q_lattice_p1_abs(spark, sf_dir):
     """Encode, decode and verify the bound of every supplier's prices."""
     samples = _prices(spark, sf_dir)
     grid, params = lattice.encode(samples, 1e-3, "abs", "p1")
-    checked = metrics.verify_bound(metrics.align(samples, lattice.decode(grid, params), check=False), params.select(*SERIES, "q", "s"), 1e-3)
+    checked = metrics.verify_bound(metrics.align(samples, lattice.decode(grid, params, predictors="p1"), check=False), params.select(*SERIES, "q", "s"), 1e-3)
     return _round(checked.join(lattice.escape_count(grid).select("grid_id", "escapes"), "grid_id").select("grid_id", "cells", "escapes", "violations", "worst_steps"))
 
 
@@ -86,7 +86,7 @@ def q_lattice_p1_abs(spark, sf_dir):
 def q_lattice_p1_rel(spark, sf_dir):
     samples = supplier_grid(spark, sf_dir)
     grid, params = lattice.encode(samples, 1e-3, "rel", "p1")
-    aligned = metrics.align(samples, lattice.decode(grid, params, "rel"), check=False)
+    aligned = metrics.align(samples, lattice.decode(grid, params, "rel", "p1"), check=False)
     return metrics.verify_bound(aligned, params.select(*SERIES, "q", "s"), 1e-3, "rel").select("grid_id", "cells", "violations")
 
 
@@ -152,7 +152,7 @@ def q_lattice_bank_roundtrip(spark, sf_dir):
 def q_deadzone_bound(spark, sf_dir):
     samples = _prices(spark, sf_dir)
     grid, params = lattice.encode(samples, 1e-3, "abs", "p1", tau=1.5)
-    aligned = metrics.align(samples, lattice.decode(grid, params), check=False)
+    aligned = metrics.align(samples, lattice.decode(grid, params, predictors="p1"), check=False)
     return metrics.verify_bound(aligned, params.select(*SERIES, "q", "s"), 1e-3, tau=1.5).select("grid_id", "cells", "violations")
 
 
@@ -460,9 +460,11 @@ def q_sweep(spark, sf_dir):
     return _sweep(spark, sf_dir)
 
 
-@_query(f"WITH {SWEEP} SELECT dataset, bits, method, bytes, round(ratio, 6) AS ratio FROM rs")
+@_query(f"""WITH {SWEEP}, b AS (SELECT *, row_number() OVER (PARTITION BY dataset, bits ORDER BY bytes, rmse, method) AS k FROM rs)
+SELECT dataset, bits, method, bytes, round(ratio, 6) AS ratio FROM b WHERE k = 1""")
 def q_best_per_config(spark, sf_dir):
-    return _round(runs.best_per_config(_sweep(spark, sf_dir)).select("dataset", "bits", "method", "bytes", "ratio"))
+    """Of the clamps tried at each bit depth the one with the smallest, then most accurate result."""
+    return _round(runs.best_per_config(_sweep(spark, sf_dir), ("dataset", "bits")).select("dataset", "bits", "method", "bytes", "ratio"))
 
 
 @_query()
@@ -673,8 +675,13 @@ def q_local_outlier_factor(spark, sf_dir):
 # --- windows by rows and streams ------------------------------------------------------------------------
 
 
-@_query(f"""WITH {SUPPLIERS}, b AS (SELECT grid_id || '/' || (t // 200) AS win_id, count(*) * 8 AS bytes_in, count(*) AS rows FROM p GROUP BY 1)
-SELECT 'lattice_p1' AS method, count(*) AS windows, sum(rows)::BIGINT AS rows, sum(bytes_in)::BIGINT AS bytes_in FROM b""")
+@_query(f"""WITH {SUPPLIERS}, w AS (SELECT grid_id || '/' || (t // 200) AS w, t, x FROM p),
+b AS (SELECT w, count(*) AS rows, 2 * 0.001 * CASE WHEN max(x) - min(x) <= 0 THEN greatest(abs(min_by(x, t)), 1) ELSE max(x) - min(x) END AS q FROM w GROUP BY 1),
+m AS (SELECT w, t, round_even(x / q, 0)::BIGINT AS m FROM w JOIN b USING (w)), r AS (SELECT w, m - lag(m) OVER (PARTITION BY w ORDER BY t) AS r FROM m),
+h AS (SELECT w, CASE WHEN abs(r) <= 126 THEN r END AS symbol, count(*) AS n FROM r WHERE r IS NOT NULL GROUP BY 1, 2),
+k AS (SELECT w, sum(-n * log2(n / total)) / 8 + 12 * sum(CASE WHEN symbol IS NULL THEN n ELSE 0 END) AS cost FROM (SELECT *, sum(n) OVER (PARTITION BY w) AS total FROM h) GROUP BY 1)
+SELECT 'lattice_p1' AS method, count(*) AS windows, sum(rows)::BIGINT AS rows, sum(rows)::BIGINT * 8 AS bytes_in, round(sum(coalesce(cost, 0)), 2) AS bytes_out, round(sum(coalesce(cost, 0)) / (sum(rows) * 8), 6) AS ratio
+FROM b LEFT JOIN k USING (w)""")
 def q_encode_windows(spark, sf_dir):
     """Runs of 200 rows encoded as grids of their own, with totals."""
     w = frames.row_windows(_prices(spark, sf_dir), 200)
@@ -683,7 +690,7 @@ def q_encode_windows(spark, sf_dir):
     cost = profile.row_cost(profile.residual_histogram(r)).groupBy("grid_id").agg(F.sum("cost").alias("bytes_out"))
     sizes = w.groupBy("grid_id").agg(F.count(F.lit(1)).alias("rows"), (F.count(F.lit(1)) * 8).alias("bytes_in"))
     per = sizes.join(cost, "grid_id", "left").withColumn("method", F.lit("lattice_p1")).fillna({"bytes_out": 0.0})
-    return runs.stream_totals(per).select("method", "windows", "rows", "bytes_in")
+    return runs.stream_totals(per).select("method", "windows", "rows", "bytes_in", F.round("bytes_out", 2).alias("bytes_out"), F.round("ratio", 6).alias("ratio"))
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
