@@ -104,6 +104,11 @@ def _coded(places: str, k: int) -> Column:
     return F.transform(places, lambda i: F.shiftleft(i, 4) + k)
 
 
+def _said(places: str, k: int) -> Column:
+    """The words of the runs of ``k`` at ``places``, looked up one by one (a slice would copy all words each time)."""
+    return F.transform(places, lambda i: F.concat_ws(" ", *(F.get(F.col("w"), i + j) for j in range(k))))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, text_key, n_words, n_hit, spans, items and contaminated for each row of ``docs``.
 
@@ -120,17 +125,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     table = F.broadcast(table) if n <= MAX_BROADCAST else table
     tokens = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
     # A passing window's code is its first word's place times 16, and its length; -1 stands for the document itself.
-    codes = [F.array(F.lit(-1))]
+    # A key that no window has (they don't begin with a space) keeps documents' own rows apart in a shuffle join.
+    codes, said = [F.array(F.lit(-1))], [F.array(F.concat(F.lit(" "), F.col("text_key").cast("string")))]
     for k in lengths:
         tokens, name = with_hashes(tokens, "w", k)
         passing = F.transform(name, lambda h, i: F.when(F.getbit(F.get(bits, _cell(h, cells)), _bit(h)) == 1, i))
         tokens = tokens.withColumn(f"__p{k}", F.array_compact(passing))
         codes.append(_coded(f"__p{k}", k))
-    tokens = tokens.withColumn("__codes", F.concat(*codes))
-    # A key that no window has (they don't begin with a space) keeps documents' own rows apart in a shuffle join.
-    itself = F.concat(F.lit(" "), F.col("text_key").cast("string"))
-    said = F.transform("__codes", lambda c: F.when(c < 0, itself).otherwise(F.array_join(F.slice("w", F.shiftright(c, 4) + 1, c.bitwiseAND(F.lit(15))), " ")))
-    each = tokens.select("doc_id", "text_key", "n", F.explode(F.map_from_arrays("__codes", said)).alias("code", "words"))
+        said.append(_said(f"__p{k}", k))
+    each = tokens.select("doc_id", "text_key", "n", F.explode(F.map_from_arrays(F.concat(*codes), F.concat(*said))).alias("code", "words"))
     hit = F.col("code") >= 0
     pos, length = F.shiftright("code", 4), F.col("code").bitwiseAND(F.lit(15))
     found = each.join(table, F.col("words") == F.col("b_words"), "left").filter(~hit | F.col("b_words").isNotNull()).select(
@@ -140,10 +143,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         F.count("n").alias("copies"), F.max("n").cast("long").alias("n_words"), F.collect_set("span").alias("raw"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
     )
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform("raw", lambda s: F.sequence(s["from"], s["to"] - 1)))))
-    edge = lambda step: F.filter("covered", lambda p, i: F.coalesce(F.get("covered", i + step) != p + step, F.lit(True)))
+    edge = lambda step: F.array_sort(F.array_except("covered", F.transform("covered", lambda p: p + step)))
     grouped = grouped.withColumn("covered", covered).withColumn("n_hit", F.size("covered").cast("long"))
     return (
-        grouped.withColumn("spans", F.zip_with(edge(-1), edge(1), lambda a, b: F.struct(a.alias("from"), (b + 1).alias("to"))))
+        grouped.withColumn("spans", F.zip_with(edge(1), edge(-1), lambda a, b: F.struct(a.alias("from"), (b + 1).alias("to"))))
         .withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
         .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
         .select("doc_id", "text_key", "n_words", "n_hit", "spans", "items", "contaminated")

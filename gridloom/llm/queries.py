@@ -75,6 +75,26 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, c
  coalesce(c.n, 0) > 0 AND 20 * coalesce(c.n, 0) >= len(w) AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
 
+KEYS = "(?i:password|passwd|secret|token|api_?key)"
+#: kind, expression with the counted part as its first group, and the least length of that part.
+SECRETS = (
+    ("assign", KEYS + r"[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 6), ("access", "(AKIA[A-Z0-9]+)", 20), ("hex", "([0-9a-f]+)", 24),
+    ("forge", "gh[pousr]_([A-Za-z0-9]+)", 36), ("chat", "xox[abprs]-([A-Za-z0-9-]+)", 10),
+    ("jwt", r"eyJ[A-Za-z0-9_-]+[.]eyJ[A-Za-z0-9_-]+[.]([A-Za-z0-9_-]+)", 16), ("pem", "(-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----)", 1),
+)
+#: Positions follow from the lengths of what lies between matches and of the matches before.
+_SPANS = " UNION ALL ".join(
+    f"""SELECT doc_id, {o} AS o, '{kind}' AS kind, (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS a, length(m[i]) AS n
+ FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{rx}') AS m, regexp_extract_all(t, '{rx}', 1) AS g, string_split_regex(t, '{rx}') AS gaps FROM d)) WHERE length(g[i]) >= {least}"""
+    for o, (kind, rx, least) in enumerate(SECRETS)
+)
+SECRETS_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS ({_SPANS}),
+c AS (SELECT doc_id, count(*) FILTER (WHERE o = 0) AS n_assign, count(*) FILTER (WHERE o = 1) AS n_access, count(*) FILTER (WHERE o = 2) AS n_hex,
+ string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, o) FILTER (WHERE o < 3) AS base, string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, o) AS spans FROM s GROUP BY 1)
+SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN c USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """The other operators draw, iterate, train or give positions, and are tested against brute force."""
-    return {"op2_line_frequency": LINES_SQL, "op3_substring_dedup": SUBSTRINGS_SQL, "op4_decontaminate": CONTAMINATION_SQL}
+    """The other operators draw, iterate or train, and are tested against brute force."""
+    return {"op9_secret_scan": SECRETS_SQL, "op2_line_frequency": LINES_SQL, "op3_substring_dedup": SUBSTRINGS_SQL, "op4_decontaminate": CONTAMINATION_SQL}

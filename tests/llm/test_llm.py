@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontaminate, hilbert, language_id, line_frequency, mixing, near_dedup, quality_gam, secrets, substring, text, toxicity
+from gridloom.llm import common, decontaminate, hilbert, language_id, line_frequency, mixing, near_dedup, quality_gam, secrets, substring, text, toxicity
 from gridloom.plans.durable import keep
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -261,6 +262,46 @@ def test_op9_secrets(docs, rows):
     assert got[-1]["spans"] == "" and secrets.op9_secret_scan(docs).count() == len(rows)
 
 
+def test_op9_long_texts_take_linear_time():
+    matcher = secrets.Matcher(secrets.RULES)
+    token = "eyJ" + "a" * 20 + ".eyJ" + "b" * 20 + "." + "c" * 20
+    for body, n in (("eyJa.eyJ" + "eyJ" * 1_600_000, 0), (token + "\n" + "api_key" * 200_000, 1)):
+        start = time.process_time()
+        found = [x for _, t in text.texts(pa.array([body])) for x in matcher.spans(t)]
+        assert len(found) == n and time.process_time() - start < 30
+
+
+def test_op4_by_shuffle_join(spark, monkeypatch):
+    rng = random.Random(1)
+    words = [f"w{rng.randrange(500)}" for _ in range(400)]
+    docs = keep(spark.createDataFrame([(1, " ".join(words)), (2, "clean text"), (None, " ".join(words[:40])), (4, None)], "doc_id long, text string"))
+    items = spark.createDataFrame([(7, " ".join(words)), (8, "W1 w2")], "item_id long, text string")
+    got = []
+    for bound in (decontaminate.MAX_BROADCAST, 0):
+        monkeypatch.setattr(decontaminate, "MAX_BROADCAST", bound)
+        got.append(sorted(map(str, decontaminate.contamination(docs, items).collect())))
+    assert got[0] == got[1]
+    hit = {r["doc_id"]: (r["n_hit"], [tuple(s) for s in r["spans"]]) for r in decontaminate.contamination(docs, items).collect()}
+    assert hit == {1: (400, [(0, 400)]), 2: (0, []), None: (40, [(0, 40)]), 4: (0, [])}
+
+
+def test_op2_counts_documents_not_rows(spark):
+    line = "the very same line of a dozen words that all of these have here"
+    rows = [(i % 3, f"{line}\n{line} number {i}", None) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert line_frequency.line_rules(docs).agg(F.max("n_common_lines")).first()[0] == 0  # three documents
+    more = docs.union(spark.createDataFrame([(100 + i, f"{line}\nmore", None) for i in range(20)], docs.schema))
+    assert line_frequency.line_rules(more).filter("n_common_lines >= 1").count() == 80
+    assert line_frequency.remove_common_lines(more).filter(F.col("text").contains(line + "\n")).count() == 0
+
+
+def test_labelled_rows_are_bounded(spark):
+    docs = spark.range(3000).select((F.col("id") % 3).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    labels = spark.createDataFrame([(i, 1) for i in range(3)], "doc_id long, toxic int")
+    got = common.labelled_sample(docs, labels, "toxic", F.lit(True), 200).count()
+    assert 100 < got < 300
+
+
 def test_op10_mix(docs, rows):
     got = mixing.mix(docs, block_words=16).collect()
     size = lambda t: len(WORD.findall(t or ""))
