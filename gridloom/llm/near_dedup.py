@@ -306,17 +306,28 @@ def verified_links(docs: DataFrame, members: DataFrame, sizes: DataFrame, thresh
 
 
 def components(links: DataFrame) -> DataFrame:
-    """id and class (smallest id that can be reached) for each id in ``links`` (a, b)."""
-    both = store(links.union(links.select("b", "a")).toDF("a", "b").distinct())
-    labels = store(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("class")))
-    while True:
-        near = both.join(labels.select(F.col("id").alias("b"), F.col("class").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
-        lower = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.col("class").alias("old"), F.least("class", "c").alias("class"))
-        jump = labels.select(F.col("id").alias("class"), F.col("class").alias("further"))
-        new = store(lower.join(jump, "class").select("id", "old", F.least("class", "further").alias("class")))
-        if new.filter("class <> old").limit(1).count() == 0:
-            return new.select("id", "class")
-        labels = new.drop("old")
+    """id and class (smallest id that can be reached) for each id that ``links`` (a, b) tie to another.
+
+    Each round every id moves to the first of itself and its neighbours, in the order of a hash that changes
+    every other round (a star needs two rounds of one order), and links are drawn between the places moved to.  Links within a place go, so their
+    number falls by a share each round however long a chain is, and all rounds together cost little more than the first.
+    """
+    order = lambda c, k: F.struct(F.xxhash64(c, F.lit(k)).alias("p"), F.col(c).alias("to"))
+    link = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    edges, moves = store(links.select(*link("a", "b")).filter("a <> b").distinct()), []
+    while not moves or edges.limit(1).count():
+        k = len(moves) // 2
+        both = edges.union(edges.select("b", "a").toDF("a", "b"))
+        to = F.least(order("a", k), F.min(order("b", k)))
+        moved = store(both.groupBy("a").agg(to.alias("first")).select(F.col("a").alias("id"), "first.to"))
+        moves.append(moved)
+        at = lambda x: moved.select(F.col("id").alias(x), F.col("to").alias(f"to_{x}"))  # noqa: B023, E731
+        edges = store(edges.join(at("a"), "a").join(at("b"), "b").select(*link("to_a", "to_b")).filter("a <> b").distinct())
+    placed = moves.pop()
+    while moves:  # an id that isn't in the next round has stayed where it is
+        later = placed.select(F.col("id").alias("to"), F.col("to").alias("later"))
+        placed = store(moves.pop().join(later, "to", "left").select("id", F.coalesce("later", "to").alias("to")))
+    return store(placed.join(placed.groupBy("to").agg(F.min("id").alias("class")), "to").select("id", "class"))
 
 
 def _row_key() -> Column:
