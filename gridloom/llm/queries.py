@@ -6,6 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridloom.llm.ball_codes import ENTRIES, PARTS, ROUNDS, op11_ball_codes
+from gridloom.llm.bisectors import CENTROIDS, op13_bisector_clusters
+from gridloom.llm.bisectors import ROUNDS as CLUSTER_ROUNDS
+from gridloom.llm.byte_bpe import op12_byte_bpe
 from gridloom.llm.common import benchmark, documents, labels
 from gridloom.llm.decontaminate import op4_decontaminate
 from gridloom.llm.hilbert import op1_hilbert_shards
@@ -17,6 +21,7 @@ from gridloom.llm.quality_gam import op6_quality_gam
 from gridloom.llm.secrets import op9_secret_scan
 from gridloom.llm.substring import op3_substring_dedup
 from gridloom.llm.toxicity import op8_toxicity
+from gridloom.llm.vectors import embeddings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -31,6 +36,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": lambda spark, sf_dir: op8_toxicity(documents(spark, sf_dir), labels(spark, sf_dir)),
         "op9_secret_scan": lambda spark, sf_dir: op9_secret_scan(documents(spark, sf_dir)),
         "op10_source_mix": lambda spark, sf_dir: op10_source_mix(documents(spark, sf_dir)),
+        "op11_ball_codes": lambda spark, sf_dir: op11_ball_codes(embeddings(spark, sf_dir)),
+        "op12_byte_bpe": lambda spark, sf_dir: op12_byte_bpe(documents(spark, sf_dir)),
+        "op13_bisector_clusters": lambda spark, sf_dir: op13_bisector_clusters(embeddings(spark, sf_dir)),
     }
 
 
@@ -95,6 +103,51 @@ c AS (SELECT doc_id, count(*) FILTER (WHERE o = 0) AS n_assign, count(*) FILTER
 SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN c USING (doc_id)"""
 
 
+_USABLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_FLOOR = "(sum(x)::HUGEINT - ((sum(x)::HUGEINT % count(*)) + count(*)) % count(*)) // count(*)"
+
+
+def _nearest(k: int, by: str, points: str, centres: str) -> str:
+    """Rows of ``points`` with their nearest centre of the k-th set: all centres compared."""
+    return f"""a{k} AS MATERIALIZED (SELECT id{by}, c, d FROM (SELECT id{by}, c, d, row_number() OVER (PARTITION BY id{by} ORDER BY d, c) AS place FROM
+ (SELECT v.id{by.replace(", ", ", v.")}, e.c, sum((v.x - e.x) * (v.x - e.x))::BIGINT AS d FROM {points} v JOIN {centres}{k} e USING (p{by}) GROUP BY ALL)) WHERE place = 1)"""
+
+
+def _codes_sql() -> str:
+    steps = [
+        f"""k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS id, vec_id, label, embedding FROM embeddings WHERE {_USABLE}),
+v AS MATERIALIZED (SELECT id, p // w AS m, p % w AS p, floor(256 * embedding[p + 1]::DOUBLE)::BIGINT AS x FROM (SELECT id, embedding, len(embedding) // {PARTS} AS w, unnest(range(0, len(embedding))) AS p FROM k)),
+c0 AS MATERIALIZED (SELECT m, id - 1 AS c, p, x FROM v WHERE id <= {ENTRIES})""",
+        _nearest(0, ", m", "v", "c"),
+    ]
+    for k in range(1, ROUNDS + 1):
+        steps.append(f"""n{k} AS MATERIALIZED (SELECT m, c, p, ({_FLOOR})::BIGINT AS x FROM v JOIN a{k - 1} USING (id, m) GROUP BY m, c, p),
+c{k} AS MATERIALIZED (SELECT m, c, p, coalesce(n{k}.x, c{k - 1}.x) AS x FROM c{k - 1} LEFT JOIN n{k} USING (m, c, p))""")
+        steps.append(_nearest(k, ", m", "v", "c"))
+    return f"""WITH {", ".join(steps)},
+r AS (SELECT id, string_agg(printf('%02x', c), '' ORDER BY m) AS code, sum(d)::BIGINT AS error FROM a{ROUNDS} GROUP BY 1)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY m, c, p)) FROM c{ROUNDS}) AS codebooks_sha256 FROM r JOIN k USING (id)"""
+
+
+def _clusters_sql() -> str:
+    steps = [
+        f"""k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, 'null'))) AS id, vec_id, embedding FROM embeddings WHERE {_USABLE} AND len(embedding) = 64),
+v AS MATERIALIZED (SELECT id, p, floor(1024 * embedding[p + 1]::DOUBLE)::BIGINT AS x FROM (SELECT id, embedding, unnest(range(0, 64)) AS p FROM k)),
+c0 AS MATERIALIZED (SELECT id - 1 AS c, p, x FROM v WHERE id <= {CENTROIDS})""",
+        _nearest(0, "", "v", "c"),
+    ]
+    for k in range(1, CLUSTER_ROUNDS + 1):
+        steps.append(f"""n{k} AS MATERIALIZED (SELECT c, p, ({_FLOOR})::BIGINT AS x FROM v JOIN a{k - 1} USING (id) GROUP BY c, p),
+c{k} AS MATERIALIZED (SELECT c, p, coalesce(n{k}.x, c{k - 1}.x) AS x FROM c{k - 1} LEFT JOIN n{k} USING (c, p))""")
+        steps.append(_nearest(k, "", "v", "c"))
+    return f"""WITH {", ".join(steps)},
+h AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY p)) AS centroid_sha256 FROM c{CLUSTER_ROUNDS} GROUP BY 1)
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256 FROM a{CLUSTER_ROUNDS} JOIN h USING (c) JOIN k USING (id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The other operators draw, iterate or train, and are tested against brute force."""
-    return {"op9_secret_scan": SECRETS_SQL, "op2_line_frequency": LINES_SQL, "op3_substring_dedup": SUBSTRINGS_SQL, "op4_decontaminate": CONTAMINATION_SQL}
+    return {
+        "op9_secret_scan": SECRETS_SQL, "op2_line_frequency": LINES_SQL, "op3_substring_dedup": SUBSTRINGS_SQL, "op4_decontaminate": CONTAMINATION_SQL,
+        "op11_ball_codes": _codes_sql(), "op13_bisector_clusters": _clusters_sql(),
+    }
