@@ -7,9 +7,10 @@ the table has their words.
 
 Scale: one pass over the text; a row for each document and one for each hit, with the hit's words alone, is
 all that is joined and shuffled.  The bit set has at least 32 bits for each window, up to ``MAX_CELLS`` longs;
-with more windows it only lets more pass.  The table is broadcast only if it was counted to have at
-most ``MAX_BROADCAST`` windows; beyond that the same join runs as a shuffle join, where documents' own rows
-have keys of their own.
+with more windows it only lets more pass.  The table is broadcast only if its bytes were summed to be at
+most ``MAX_BROADCAST``; beyond that the same join runs as a shuffle join, where documents' own rows have keys of
+their own.  Windows name their set of items by a digest; the sets are looked up once for each document, after
+its hits are verified, so an item list as long as the benchmark goes with no window.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import free_name
 from gridloom.plans.durable import keep
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -25,8 +27,8 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same word and what follows it, before lower-casing.
 RAW_TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
 WINDOW = 13
-#: Most windows of the benchmark that are broadcast (about 300 bytes each).
-MAX_BROADCAST = 500_000
+#: Most bytes of windows, and of their sets of items, that are broadcast.
+MAX_BROADCAST = 64 << 20
 #: Most longs of the bit set (two megabytes).
 MAX_CELLS = 1 << 18
 
@@ -62,7 +64,7 @@ def with_hashes(df: DataFrame, tokens: str, length: int) -> tuple[DataFrame, str
 
 
 def window_table(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """b_hash, b_len and b_words of each distinct window of the benchmark, with the ids of its items as strings."""
+    """b_hash, b_len and b_words of each distinct window of the benchmark, with the sorted ids of its items as strings."""
     if not 0 < window < 16:
         raise ValueError("windows have 1 to 15 words")
     items = keep(benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).filter(F.size("w") > 0))
@@ -70,12 +72,14 @@ def window_table(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     lengths = {r[0] for r in items.select(F.least(F.size("w"), F.lit(window))).distinct().collect()}
     for k in sorted(lengths | {window}):
         df, name = with_hashes(items.filter(F.size("w") >= k if k == window else F.size("w") == k), "w", k)
-        each = df.select("item", "w", F.posexplode(name).alias("pos", "b_hash"))
-        parts.append(each.select("item", "b_hash", F.lit(k).alias("b_len"), F.array_join(F.slice("w", F.col("pos") + 1, k), " ").alias("b_words")))
+        # Each window goes on with its own words alone, so an item costs as much as it has windows.
+        said = lambda h, i: F.struct(h.alias("b_hash"), F.concat_ws(" ", *(F.get(F.col("w"), i + j) for j in range(k))).alias("b_words"))  # noqa: B023, E731
+        each = df.select("item", F.explode(F.transform(name, said)).alias("x"))
+        parts.append(each.select("item", "x.b_hash", F.lit(k).alias("b_len"), "x.b_words"))
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    return every.groupBy("b_hash", "b_len", "b_words").agg(F.collect_set("item").alias("items"))
+    return every.groupBy("b_hash", "b_len", "b_words").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
 def _cell(h: Column, cells: int) -> Column:
@@ -117,12 +121,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     Null and empty texts have no words and no hits, items without words match nothing, equal rows each get
     their row; with an empty benchmark nothing is hit.  Other columns of ``docs`` are not read.
     """
-    table = keep(window_table(benchmark, window))
+    table = keep(window_table(benchmark, window).withColumn("items_id", F.md5(F.to_json("items").cast("binary"))))
     lengths = sorted(r[0] for r in table.select("b_len").distinct().collect())
-    n = table.count()
+    n, size = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("b_words") + F.lit(64)), F.lit(0))).first()
     bits, cells = bit_set(table, n)
-    table = table.select("b_words", "items")
-    table = F.broadcast(table) if n <= MAX_BROADCAST else table
+    sets = keep(table.groupBy("items_id").agg(F.first("items").alias("items")))
+    sets_size = sets.agg(F.coalesce(F.sum(F.aggregate("items", F.lit(64).cast("long"), lambda a, x: a + F.octet_length(x) + 16)), F.lit(0))).first()[0]
+    sets = F.broadcast(sets) if sets_size <= MAX_BROADCAST else sets
+    table = table.select("b_words", "items_id")
+    table = F.broadcast(table) if size <= MAX_BROADCAST else table
     tokens = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
     # A passing window's code is its first word's place times 16, and its length; -1 stands for the document itself.
     # A key that no window has (they don't begin with a space) keeps documents' own rows apart in a shuffle join.
@@ -137,20 +144,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     hit = F.col("code") >= 0
     pos, length = F.shiftright("code", 4), F.col("code").bitwiseAND(F.lit(15))
     found = each.join(table, F.col("words") == F.col("b_words"), "left").filter(~hit | F.col("b_words").isNotNull()).select(
-        "doc_id", "text_key", F.when(~hit, F.col("n")).alias("n"), F.when(hit, F.struct(pos.alias("from"), (pos + length).alias("to"))).alias("span"), F.when(hit, F.col("items")).alias("items")
+        "doc_id", "text_key", F.when(~hit, F.col("n")).alias("n"), F.when(hit, F.struct(pos.alias("from"), (pos + length).alias("to"))).alias("span"), "items_id"
     )
     grouped = found.groupBy("doc_id", "text_key").agg(
-        F.count("n").alias("copies"), F.max("n").cast("long").alias("n_words"), F.collect_set("span").alias("raw"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
+        F.count("n").alias("copies"), F.max("n").cast("long").alias("n_words"), F.collect_set("span").alias("raw"), F.collect_set("items_id").alias("sets")
     )
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform("raw", lambda s: F.sequence(s["from"], s["to"] - 1)))))
     edge = lambda step: F.array_sort(F.array_except("covered", F.transform("covered", lambda p: p + step)))
     grouped = grouped.withColumn("covered", covered).withColumn("n_hit", F.size("covered").cast("long"))
-    return (
+    judged = (
         grouped.withColumn("spans", F.zip_with(edge(1), edge(-1), lambda a, b: F.struct(a.alias("from"), (b + 1).alias("to"))))
         .withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-        .select("doc_id", "text_key", "n_words", "n_hit", "spans", "items", "contaminated")
+        .select("doc_id", "text_key", F.struct("copies", "n_words", "n_hit", "spans", "contaminated").alias("found"), F.explode_outer("sets").alias("items_id"))
     )
+    items = F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    whole = judged.join(sets, "items_id", "left").groupBy("doc_id", "text_key").agg(F.first("found").alias("found"), items)
+    copies = whole.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("found.copies"))))
+    return copies.select("doc_id", "text_key", "found.n_words", "found.n_hit", "found.spans", "items", "found.contaminated")
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -158,18 +168,21 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
 
     Judged row by row, by doc_id and text; null and empty texts stay.
     """
-    bad = contamination(docs, benchmark, window).filter("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left_anti")
+    own, key = free_name(docs, "hit_id"), free_name(docs, "hit_key")
+    bad = contamination(docs, benchmark, window).filter("contaminated").select(F.col("doc_id").alias(own), F.col("text_key").alias(key)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(key)), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with the hit words (and what follows each up to the next word) taken out of ``text``."""
-    hits = contamination(docs, benchmark, window).filter("n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("spans").alias("__spans")).distinct()
+    own, key, spans = (free_name(docs, x) for x in ("hit_id", "hit_key", "hit_spans"))
+    hits = contamination(docs, benchmark, window).filter("n_hit > 0").select(F.col("doc_id").alias(own), F.col("text_key").alias(key), F.col("spans").alias(spans)).distinct()
     tokens = F.regexp_extract_all("text", F.lit(RAW_TOKEN), F.lit(0))
     head = F.regexp_extract("text", r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
-    left = F.filter(tokens, lambda t, i: ~F.exists("__spans", lambda s: (i >= s["from"]) & (i < s["to"])))
-    joined = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left")
-    return joined.withColumn("text", F.when(F.col("__spans").isNotNull(), F.concat(head, F.array_join(left, ""))).otherwise(F.col("text"))).select(*docs.columns)
+    left = F.filter(tokens, lambda t, i: ~F.exists(spans, lambda s: (i >= s["from"]) & (i < s["to"])))
+    joined = docs.join(hits, F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(key)), "left")
+    text = F.when(F.col(spans).isNotNull(), F.concat(head, F.array_join(left, ""))).otherwise(F.col("text"))
+    return joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -116,12 +116,14 @@ def shard_by_curve(
     """
     if bits * len(dims) > MAX_CELLS.bit_length() - 1:
         raise ValueError(f"{bits} bits in {len(dims)} dimensions make more than {MAX_CELLS} cells")
-    df = df.drop("curve", "shard", "slot")
     coords = quantised(df, dims, bits)
+    columns = [c for c in df.columns if c not in ("curve", "shard", "slot")]
     cell = F.lit(0).cast("int")
     for c in coords:
         cell = cell * (1 << bits) + c
-    rows = df.withColumn("__cell", cell)
+    named = [k.alias(f"key{i}") for i, k in enumerate(key)]
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), cell.alias("__cell"), *named)  # names of columns are free
+    key = [F.col(f"key{i}") for i in range(len(key))]
     parts = [F.call_function("shiftright", F.col("__cell"), F.lit(bits * i)).bitwiseAND(F.lit((1 << bits) - 1)) for i in range(len(dims) - 1, -1, -1)]
     # One row for each occupied cell: at most 2**(bits * dims), so one task may order them.
     cells = (
@@ -146,7 +148,7 @@ def shard_by_curve(
         .withColumn("__rank", rank)
         .withColumn("shard", shard.cast("int"))
         .withColumn("slot", (F.col("__rank") - first).cast("long"))
-        .drop("__cell", "__n", "__before", "__total", "__parts", "__bucket", "__offset", "__at", "__rank")
+        .select(*[F.col("row").getField(c).alias(c) for c in columns], "curve", "shard", "slot")
     )
 
 

@@ -188,9 +188,10 @@ def _dealt(docs: DataFrame, chunk: str = "chunk", again: str = "again", whole: b
     n_repeated = repeated.count()
     size = F.sum(F.octet_length("text")) if whole else F.lit(0)
     if n_repeated:
-        flagged = repeated.withColumn("__again", F.lit(True))
-        docs = docs.join(F.broadcast(flagged) if n_repeated <= MAX_BROADCAST else flagged, F.col("doc_id") == F.col("__id"), "left")
-        docs = docs.withColumn(again, F.col("__again").isNotNull()).drop("__id", "__again")
+        own, columns = free_name(docs, "repeated_id"), docs.columns
+        flagged = repeated.withColumnRenamed("__id", own)
+        docs = docs.join(F.broadcast(flagged) if n_repeated <= MAX_BROADCAST else flagged, F.col("doc_id") == F.col(own), "left")
+        docs = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(own).isNotNull().alias(again))
         # A repeated id counts once on each of its hosts.
         several = docs.filter(F.col(again)).select("source", "doc_id").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("host_docs"))
         single = docs.filter(~F.col(again)).groupBy("source").agg(F.count(F.lit(1)).alias("host_docs"))

@@ -140,8 +140,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, edges = _keys(h, times, own, t.n)
             lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(keys, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(x).slice(row, t.n) for x in ("row_key", "doc_id")), pa.array(n, pa.int64()), *(pa.array(s.view(np.int64)) for s in sums), lists],
-                ["row_key", "doc_id", "n", "f1", "f2", "bands"],
+                [*(batch.column(x).slice(row, t.n) for x in ("row_key", "row_key2", "doc_id")), pa.array(n, pa.int64()), *(pa.array(s.view(np.int64)) for s in sums), lists],
+                ["row_key", "row_key2", "doc_id", "n", "f1", "f2", "bands"],
             )
 
 
@@ -330,22 +330,39 @@ def components(links: DataFrame) -> DataFrame:
     return store(placed.join(placed.groupBy("to").agg(F.min("id").alias("class")), "to").select("id", "class"))
 
 
-def _row_key() -> Column:
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+def _row_keys() -> tuple[Column, Column]:
+    """Two hashes of 64 bits; rows are taken as repeated only if both are equal."""
+    own = F.col("doc_id").cast("long")
+    return F.xxhash64(own, F.col("text")), F.xxhash64(F.col("text"), own, F.lit("second"))
+
+
+def _apart(df: DataFrame, clashes: DataFrame) -> DataFrame:
+    """``df`` with another row_key where different rows share one."""
+    marked = df.join(clashes.withColumnRenamed("row_key", "clash"), F.col("row_key") == F.col("clash"), "left")
+    key = F.when(F.col("clash").isNull(), F.col("row_key")).otherwise(F.xxhash64("row_key", "row_key2"))
+    return marked.withColumn("row_key", key).drop("clash")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, row_key, class_id (smallest doc_id of the class), n_shingles and kept for each row of ``docs``.
+    """doc_id, row_key, row_key2, class_id (smallest doc_id of the class), n_shingles and kept for each row of ``docs``.
 
     Classes are the connected components of the links.  Of each class one row is kept: that of the smallest
-    doc_id, null last, then of the smallest row_key; of exactly repeated rows (same doc_id and text) one.
-    Texts without words are each a class of their own and all kept.  A class without any doc_id has a null
-    class_id.  Other columns aren't read; an empty table gives an empty table.
+    doc_id, null last, then of the smallest row_key; of exactly repeated rows (same doc_id and text, by two
+    hashes of 64 bits) one.  The few different rows that share the first hash get another key by both, so they
+    are never taken for each other.  Texts without words are each a class of their own and all kept.  A class
+    without any doc_id has a null class_id.  Other columns aren't read; an empty table gives an empty table.
     """
-    docs = docs.select(_row_key().alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signatures = store(docs.mapInArrow(_signatures, "row_key long, doc_id long, n long, f1 long, f2 long, bands array<long>"))
-    full = signatures.filter("n > 0")
-    repeated = store(full.groupBy("row_key").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("row_key"))
+    one, two = _row_keys()
+    docs = docs.select(one.alias("row_key"), two.alias("row_key2"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    signatures = store(docs.mapInArrow(_signatures, "row_key long, row_key2 long, doc_id long, n long, f1 long, f2 long, bands array<long>"))
+    seen = F.count(F.lit(1)).alias("copies"), F.min("row_key2").alias("low"), F.max("row_key2").alias("high")
+    several = store(signatures.filter("n > 0").groupBy("row_key").agg(*seen).filter("copies > 1"))
+    clashes = store(several.filter("low <> high").select("row_key"))
+    signatures = signatures.withColumn("first_key", F.col("row_key"))
+    if clashes.limit(1).count():  # about one pair in 4e9 rows
+        docs, signatures = _apart(docs, clashes), store(_apart(signatures, clashes))
+        several = store(signatures.filter("n > 0").groupBy("row_key").agg(*seen).filter("copies > 1"))
+    full, repeated = signatures.filter("n > 0"), several.select("row_key")
     again = repeated.limit(1).count() > 0
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "n", "bands")).alias("first")
     equal = store(full.groupBy("f1", "f2").agg(first).select("f1", "f2", F.col("first.none").alias("none"), F.col("first.doc_id").alias("doc_id"), F.col("first.row_key").alias("id"), F.col("first.n").alias("n"), F.col("first.bands").alias("bands")))
@@ -357,14 +374,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     classes = store(equal.drop("n", "bands").join(components(links), "id", "left").withColumn("class", F.coalesce("class", "id")))
     best = classes.groupBy("class").agg(F.min(F.struct("none", "doc_id", "id")).alias("best"))
     classes = store(classes.select("f1", "f2", "class").join(best, "class").select("f1", "f2", F.col("best.doc_id").alias("class_id"), F.col("best.id").alias("__kept")))
-    names = ["doc_id", "row_key", "class_id", "n_shingles", "kept"]
+    names = ["doc_id", "row_key", "first_key", "row_key2", "class_id", "n_shingles", "kept"]
     found = full.join(classes, ["f1", "f2"]).withColumnRenamed("n", "n_shingles").withColumn("kept", F.col("row_key") == F.col("__kept")).select(names)
     if again:
         found = store(found)
         copies = found.join(repeated, "row_key", "left_semi").groupBy(names).agg(F.count(F.lit(1)).alias("__n")).withColumn("__i", F.explode(F.expr("sequence(1, __n)")))
         found = found.join(repeated, "row_key", "left_anti").unionByName(copies.withColumn("kept", F.col("kept") & (F.col("__i") == 1)).select(names))
-    rest = signatures.filter("n = 0").select("doc_id", "row_key", F.col("doc_id").alias("class_id"), F.col("n").alias("n_shingles"), F.lit(True).alias("kept"))
-    return found.unionByName(rest)
+    rest = signatures.filter("n = 0").select("doc_id", "first_key", "row_key2", F.col("doc_id").alias("class_id"), F.col("n").alias("n_shingles"), F.lit(True).alias("kept"))
+    return found.drop("row_key").unionByName(rest).withColumnRenamed("first_key", "row_key")
 
 
 def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -373,12 +390,13 @@ def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     Decided row by row, by doc_id and text: a row stays if another of its doc_id goes.  Of rows with equal
     doc_id and text one stays, whatever their other columns.  Texts without words stay.
     """
-    key = free_name(docs, "row_key")
-    rows = store(near_duplicates(docs, threshold).filter("n_shingles > 0").groupBy(F.col("row_key").alias(key)).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("copies")))
-    left = docs.withColumn(key, _row_key()).join(rows.filter("not kept").select(key), key, "left_anti")
-    again = rows.filter("kept and copies > 1").select(key)
+    keys = [free_name(docs, "row_key"), free_name(docs, "row_key2")]
+    judged = near_duplicates(docs, threshold).filter("n_shingles > 0").groupBy(*[F.col(c).alias(k) for c, k in zip(("row_key", "row_key2"), keys, strict=True)])
+    rows = store(judged.agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("copies")))
+    left = docs.withColumns(dict(zip(keys, _row_keys(), strict=True))).join(rows.filter("not kept").select(keys), keys, "left_anti")
+    again = rows.filter("kept and copies > 1").select(keys)
     if again.limit(1).count():
-        left = left.join(again, key, "left_anti").unionByName(left.join(again, key, "left_semi").dropDuplicates([key]))
+        left = left.join(again, keys, "left_anti").unionByName(left.join(again, keys, "left_semi").dropDuplicates(keys))
     return left.select([F.col(f"`{c}`") for c in docs.columns])
 
 
