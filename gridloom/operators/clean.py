@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.functions.scalar import EPS, finite, finite_or_null
-from gridloom.operators.frames import SERIES, to_long
-from gridloom.plans.blockscan import running
+from gridloom.operators.frames import SERIES, series, to_long
+from gridloom.plans.blockscan import block_for, running
+from gridloom.plans.numbering import numbered
 
 #: A column whose lower-cased name contains one of these isn't a measurement.
 DROP_PATTERNS = ("unnamed", "index", "timestamp", "date", "time", "label", "failure", "anomaly", "target")
@@ -31,8 +32,15 @@ def drop_all_null_columns(df: DataFrame, columns: list[str]) -> list[str]:
 
 
 def ffill_bfill(samples: DataFrame, block: int | None = None) -> DataFrame:
-    """Missing values take the last valid one before, at the start the first one after."""
+    """Missing values take the last valid one before, at the start the first one after.
+
+    Without blocks one window does both; with them the first valid values are a table of their own.
+    """
     x = finite_or_null(F.col("x"))
+    if block is None:
+        whole = series().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        before = F.last(x, ignorenulls=True).over(series().rowsBetween(Window.unboundedPreceding, 0))
+        return samples.withColumn("x", F.coalesce(before, F.first(x, ignorenulls=True).over(whole)))
     df = running(samples, "last", x, "__f", SERIES, "t", block)
     first = samples.groupBy(*SERIES).agg(F.min_by("x", F.when(finite(F.col("x")), F.col("t"))).alias("__b"))
     return df.join(first, list(SERIES)).withColumn("x", F.coalesce("__f", "__b")).drop("__f", "__b")
@@ -79,8 +87,10 @@ def is_failure(runs: DataFrame, limit: float = 1e6) -> DataFrame:
 def clean_frame(df: DataFrame, order: list[str], grid: str = "grid") -> DataFrame:
     """A wide table as clean samples: columns chosen once for the whole table, t by ``order``, gaps filled.
 
-    Columns that only give the order aren't variables.
+    Columns that only give the order aren't variables.  Steps are numbered by ranges of the order and long
+    tables filled block by block, so no task gets the whole table.
     """
     names = drop_all_null_columns(df, [c for c in select_numeric(df) if c not in order])
-    indexed = df.withColumn("grid_id", F.lit(grid)).withColumn("t", (F.row_number().over(Window.partitionBy("grid_id").orderBy(*order)) - 1).cast("long"))
-    return ffill_bfill(to_long(indexed, names))
+    indexed = numbered(df, order).withColumn("grid_id", F.lit(grid))
+    samples = to_long(indexed, names)
+    return ffill_bfill(samples, block_for(indexed))

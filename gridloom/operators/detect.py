@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.scalar import ESCAPE, INLINE
 from gridloom.operators.metrics import classification_metrics
+from gridloom.operators.quantiles import percentiles
 from gridloom.plans.durable import keep
+from gridloom.plans.numbering import numbered
 
 
 def uniform(*parts: Column | str) -> Column:
@@ -196,7 +198,8 @@ def threshold_rules(features: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores of all rules: each feature above or below its percentiles 20, 25 ... 75."""
     long = _long(features).join(labels.select("win_id", "label"), "win_id")
     shares = [p / 100 for p in range(20, 80, 5)]
-    cuts = long.groupBy("feature").agg(F.percentile("v", F.array(*map(F.lit, shares))).alias("cuts")).select("feature", F.posexplode("cuts").alias("i", "cut"))
+    cuts = percentiles(long, ["feature"], F.col("v"), {f"c{i}": p for i, p in enumerate(shares)})
+    cuts = cuts.select("feature", F.posexplode(F.array(*[f"c{i}" for i in range(len(shares))])).alias("i", "cut"))
     each = long.join(F.broadcast(cuts), "feature").withColumn("direction", F.explode(F.array(F.lit("above"), F.lit("below"))))
     each = each.withColumn("predicted", F.when(F.col("direction") == "above", F.col("v") > F.col("cut")).otherwise(F.col("v") < F.col("cut")).cast("int"))
     return classification_metrics(each, ("feature", "i", "direction", "cut"))
@@ -210,7 +213,7 @@ def threshold_search(features: DataFrame, labels: DataFrame) -> DataFrame:
 
 def iqr_outliers(features: DataFrame, k: float = 1.5) -> DataFrame:
     long = _long(features)
-    q = long.groupBy("feature").agg(F.percentile("v", F.lit(0.25)).alias("q1"), F.percentile("v", F.lit(0.75)).alias("q3"))
+    q = percentiles(long, ["feature"], F.col("v"), {"q1": 0.25, "q3": 0.75})
     wide = F.col("q3") - F.col("q1")
     out = long.join(F.broadcast(q), "feature").withColumn("o", (F.col("v") < F.col("q1") - k * wide) | (F.col("v") > F.col("q3") + k * wide))
     return out.groupBy("win_id").agg(F.max(F.col("o").cast("int")).alias("predicted"))
@@ -218,21 +221,26 @@ def iqr_outliers(features: DataFrame, k: float = 1.5) -> DataFrame:
 
 def rank_ensemble(scores: DataFrame) -> DataFrame:
     """Sum of each column's rank fractions; windows above the median are flagged."""
-    long = _long(scores)
-    w = Window.partitionBy("feature")
-    ranked = long.withColumn("__f", (F.row_number().over(w.orderBy("v", "win_id")) - 1) / F.count(F.lit(1)).over(w))
-    total = ranked.groupBy("win_id").agg(F.sum("__f").alias("score"))
-    middle = total.agg(F.median("score").alias("__m"))
+    ranked = _ranked(_long(scores), "feature", ["v", "win_id"])
+    total = keep(ranked.groupBy("win_id").agg(F.sum(F.col("rank") / F.col("rows")).alias("score")))
+    middle = percentiles(total, [], F.col("score"), {"__m": 0.5})
     return total.crossJoin(F.broadcast(middle)).select("win_id", "score", (F.col("score") > F.col("__m")).cast("int").alias("predicted"))
 
 
+def _ranked(df: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """``df`` with rank (from 0) and rows of each ``group``, by ranges of the whole table: groups are few and large."""
+    placed = numbered(df, [group, *order], "__t")
+    groups = placed.groupBy(F.col(group).alias("__group")).agg(F.min("__t").alias("__first"), F.count(F.lit(1)).alias("rows"))
+    return placed.join(groups, F.col(group).eqNullSafe(F.col("__group"))).withColumn("rank", F.col("__t") - F.col("__first")).drop("__t", "__group", "__first")
+
+
 def random_forest_cv(features: DataFrame, labels: DataFrame, folds: int = 5, trees: int = 50, depth: int = 5, seed: int = 42) -> DataFrame:
     """Out-of-fold predictions of a random forest; folds are stratified and dealt by a hash of the window."""
     names = feature_names(features)
     tame = features.select("win_id", *[F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0)).alias(f"f{i}") for i, c in enumerate(names)])
     data = tame.join(labels.select("win_id", "label"), "win_id")
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("win_id", F.lit(seed)), "win_id"))
-    data = VectorAssembler(inputCols=[f"f{i}" for i in range(len(names))], outputCol="v").transform(data.withColumn("fold", rank % folds)).select("win_id", F.col("label").cast("double").alias("label"), "fold", "v")
+    data = _ranked(data.withColumn("__h", F.xxhash64("win_id", F.lit(seed))), "label", ["__h", "win_id"])  # stored once for all fits
+    data = VectorAssembler(inputCols=[f"f{i}" for i in range(len(names))], outputCol="v").transform(data.withColumn("fold", (F.col("rank") + 1) % folds)).select("win_id", F.col("label").cast("double").alias("label"), "fold", "v")
     out = None
     for k in range(folds):
         model = RandomForestClassifier(featuresCol="v", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed).fit(data.filter(F.col("fold") != k))
@@ -269,7 +277,9 @@ def isolation_forest(features: DataFrame, trees: int = 100, sample: int = 256, c
     names = feature_names(features)
     rows = features.select("win_id", F.array(*[F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0)) for c in names]).alias("x"))
     n = rows.count()
-    drawn = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).filter(uniform("win_id", "tree", F.lit(seed)) < sample / max(n, 1))
+    share = sample / max(n, 1)
+    taken = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: uniform("win_id", tree, F.lit(seed)) < share)  # most windows are in no tree
+    drawn = rows.withColumn("tree", F.explode(taken))
 
     def grow(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("win_id")
@@ -294,8 +304,8 @@ def isolation_forest(features: DataFrame, trees: int = 100, sample: int = 256, c
                 depth += steps + _path_tail(size[at])
             yield pd.DataFrame({"win_id": frame["win_id"], "score": 2.0 ** (-depth / max(len(grown), 1) / norm)})
 
-    out = rows.mapInPandas(scored, "win_id string, score double")
-    cut = out.agg(F.percentile("score", F.lit(1.0 - contamination)).alias("__cut"))
+    out = keep(rows.mapInPandas(scored, "win_id string, score double"))
+    cut = percentiles(out, [], F.col("score"), {"__cut": 1.0 - contamination})
     return out.crossJoin(F.broadcast(cut)).select("win_id", "score", (F.col("score") > F.col("__cut")).cast("int").alias("predicted"))
 
 
@@ -375,7 +385,8 @@ def local_outlier_factor(features: DataFrame, k: int = 20, contamination: float
     reach = near.groupBy("win_id").agg(F.max("d").alias("kd"))
     lrd = near.join(reach.select(F.col("win_id").alias("other"), "kd"), "other").groupBy("win_id").agg((1.0 / (F.avg(F.greatest("d", "kd")) + 1e-10)).alias("lrd"))
     factor = near.join(lrd.select(F.col("win_id").alias("other"), F.col("lrd").alias("lo")), "other").groupBy("win_id").agg(F.avg("lo").alias("lo")).join(lrd, "win_id").select("win_id", (F.col("lo") / F.col("lrd")).alias("score"))
-    cut = factor.agg(F.percentile("score", F.lit(1.0 - contamination)).alias("__cut"))
+    factor = keep(factor)
+    cut = percentiles(factor, [], F.col("score"), {"__cut": 1.0 - contamination})
     return factor.crossJoin(F.broadcast(cut)).select("win_id", "score", (F.col("score") > F.col("__cut")).cast("int").alias("predicted"))
 
 

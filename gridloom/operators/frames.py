@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.plans.numbering import numbered
+
 SAMPLES = "grid_id string, var string, t bigint, x double"
 SERIES = ("grid_id", "var")
 
@@ -19,17 +21,9 @@ def time_index(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("t", (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))
 
 
-def time_index_global(df: DataFrame, order: list[str], partitions: int = 64) -> DataFrame:
-    """``t`` for one series too long for a task: range buckets of the first column, counted, then offset."""
-    first = df.select(F.col(order[0]).cast("double").alias("v")).agg(F.min("v"), F.max("v")).first()
-    low, high = first[0] or 0.0, first[1] or 0.0
-    width = (high - low) / partitions or 1.0
-    cut = df.withColumn("__b", F.least(F.floor((F.col(order[0]).cast("double") - low) / width), F.lit(partitions - 1)))
-    sizes = cut.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select("__b", before.alias("__before"))
-    inside = F.row_number().over(Window.partitionBy("__b").orderBy(*order)) - 1
-    return cut.withColumn("__in", inside).join(F.broadcast(sizes), "__b").withColumn("t", (F.col("__before") + F.col("__in")).cast("long")).drop("__b", "__in", "__before")
+def time_index_global(df: DataFrame, order: list[str], partitions: int | None = None) -> DataFrame:
+    """``t`` from 0 for one series too long for a task: ranges of ``order``, counted, then offset."""
+    return numbered(df, order, "t", partitions)
 
 
 def to_long(df: DataFrame, variables: list[str], ids: list[str] | None = None) -> DataFrame:
@@ -81,12 +75,3 @@ def intensity_image(samples: DataFrame) -> DataFrame:
 
     ranges = samples.groupBy("grid_id").agg(F.min("x").alias("__lo"), F.max("x").alias("__hi"))
     return samples.join(ranges, "grid_id").withColumn("level", intensity(F.col("x"), F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")
-
-
-def with_params(samples: DataFrame, params: DataFrame, on: tuple[str, ...] = SERIES) -> DataFrame:
-    """Constants of each variable beside its samples; Spark picks the join by the table's size."""
-    return samples.join(params, list(on))
-
-
-def rounded(c: Column, digits: int = 6) -> Column:
-    return F.round(c, digits)

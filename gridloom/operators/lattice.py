@@ -10,16 +10,25 @@ from gridloom.functions.scalar import asinh_scale, asinh_scale_inv, escaped, lat
 from gridloom.operators import profile, sequence
 from gridloom.operators.clean import sanitize
 from gridloom.operators.frames import SERIES
+from gridloom.plans.blockscan import block_for
 from gridloom.plans.durable import keep
 
 #: Predictors in the order that breaks ties between costs.
 P1, P2, PS, PL = 0, 1, 2, 3
+#: Block scan where the longest series asks for it.
+AUTO = "auto"
+
+
+def _params(samples: DataFrame, eps: float, mode: str, rel_scale: DataFrame | None = None) -> DataFrame:
+    """q, s and the first value of each variable; only the ``rel`` mode has an ``s`` and needs medians."""
+    stats = profile.var_profile(samples, median=mode == "rel")
+    scaled = profile.derive_scale(stats, rel_scale) if mode == "rel" else stats.withColumn("s", F.lit(None).cast("double"))
+    return profile.derive_step(scaled, eps, mode).select(*SERIES, "q", "s", "x_first")
 
 
 def params(samples: DataFrame, eps: float = 1e-3, mode: str = "abs", rel_scale: DataFrame | None = None) -> DataFrame:
     """grid_id, var, q and s from one pass over the samples."""
-    stats = profile.var_profile(samples)
-    return profile.derive_step(profile.derive_scale(stats, rel_scale), eps, mode).select(*SERIES, "q", "s")
+    return _params(samples, eps, mode, rel_scale).select(*SERIES, "q", "s")
 
 
 def coordinates(samples: DataFrame, var_params: DataFrame, mode: str = "abs", tau: float = 0.0, restart_block: int | None = None) -> DataFrame:
@@ -79,25 +88,30 @@ def bank_residuals(grid: DataFrame, lags: DataFrame, order: DataFrame) -> DataFr
 
 def encode(
     samples: DataFrame, eps: float = 1e-3, mode: str = "abs", predictors: str = "bank", tau: float = 0.0,
-    rel_scale: DataFrame | None = None, max_lag: int = 2048, restart_block: int | None = None,
+    rel_scale: DataFrame | None = None, max_lag: int = 2048, restart_block: int | None = None, block: int | str | None = AUTO,
 ) -> tuple[DataFrame, DataFrame]:
     """The grid (grid_id, var, t, pixel, esc) and its var_params (q, s, m0, pred, lag, row_pos).
 
     Every value is rebuilt within eps times its variable's range (``abs``) or about eps times itself
     (``rel``), at any length.  Missing values are filled first.  ``p1`` uses plain differences; ``bank`` takes
-    for each variable the predictor whose residuals have the least entropy.
+    for each variable the predictor whose residuals have the least entropy.  Series of more than a block's steps
+    are scanned block by block (``block``: its length, None for never, by default as the longest series asks).
     """
     if predictors not in ("p1", "bank"):
         raise ValueError(f"predictors must be p1 or bank, not {predictors}")
-    clean = sanitize(samples)
-    scales = keep(params(clean, eps, mode, rel_scale))
-    grid = keep(coordinates(clean, scales, mode, tau, restart_block))
-    firsts = grid.filter("t = 0").select(*SERIES, F.col("m").alias("m0"))
+    block = block_for(samples) if block == AUTO else block
+    clean = sanitize(samples, block)
+    scales = keep(_params(clean, eps, mode, rel_scale))
+    grid = coordinates(clean, scales.drop("x_first"), mode, tau, restart_block)
+    y0 = asinh_scale(F.col("x_first"), F.col("s")) if mode == "rel" else F.col("x_first")
+    scales = scales.withColumn("m0", lattice_quantize(y0, F.col("q"))).drop("x_first")
     if predictors == "p1":
-        chosen = sequence.residual_p1(grid).filter("t > 0").select(*SERIES, "t", "r")
-        extra = scales.join(firsts, list(SERIES)).withColumn("pred", F.lit(P1)).withColumn("lag", F.lit(1))
+        # Nothing is read twice: sanitize's own order serves the differences, and m0 follows from the first value.
+        chosen = sequence.residual_p1(grid, block).filter("t > 0").select(*SERIES, "t", "r")
+        extra = scales.withColumn("pred", F.lit(P1)).withColumn("lag", F.lit(1))
         extra = extra.withColumn("row_pos", (F.row_number().over(Window.partitionBy("grid_id").orderBy("var")) - 1).cast("int"))
     else:
+        grid = keep(grid)
         lags = keep(profile.seasonal_lag(profile.autocorrelation(grid, "m", max_lag)))
         names = grid.select(*SERIES).distinct()
         by_name = names.withColumn("__pos", F.row_number().over(Window.partitionBy("grid_id").orderBy("var")) - 1)
@@ -107,12 +121,12 @@ def encode(
         candidates = bank_residuals(grid, lags, order)
         best = keep(choose_predictor(profile.row_cost(profile.residual_histogram(candidates))).select(*SERIES, "pred"))
         chosen = candidates.join(best, [*SERIES, "pred"]).select(*SERIES, "t", "r")
-        extra = scales.join(firsts, list(SERIES)).join(best, list(SERIES), "left").join(lags, list(SERIES)).join(order, list(SERIES))
+        extra = scales.join(best, list(SERIES), "left").join(lags, list(SERIES)).join(order, list(SERIES))
         extra = extra.withColumn("pred", F.coalesce("pred", F.lit(P1)))
     return chosen.select(*SERIES, "t", pixel(F.col("r")).alias("pixel"), escaped(F.col("r")).alias("esc")), extra
 
 
-def decode_coordinates(grid: DataFrame, var_params: DataFrame, predictors: str = "bank") -> DataFrame:
+def decode_coordinates(grid: DataFrame, var_params: DataFrame, predictors: str = "bank", block: int | None = None) -> DataFrame:
     """Exact lattice coordinates m of all steps, from pixels, escapes and parameters.
 
     ``p1`` is one running sum, for grids that were encoded so; ``bank`` takes every variable's own predictor.
@@ -121,10 +135,10 @@ def decode_coordinates(grid: DataFrame, var_params: DataFrame, predictors: str =
     rows = grid.select(*SERIES, "t", residual(F.col("pixel"), F.col("esc")).alias("r")).unionByName(zero)
     rows = rows.join(var_params.select(*SERIES, "m0", "pred", "lag", "row_pos"), list(SERIES))
     if predictors == "p1":
-        return sequence.accumulate_p1(rows).select(*SERIES, "t", "m")
+        return sequence.accumulate_p1(rows, block).select(*SERIES, "t", "m")
     out = ["grid_id", "var", "row_pos", "t", "m0", "m"]
-    plain = sequence.accumulate_p1(rows.filter(F.col("pred") == P1)).select(out)
-    second = sequence.accumulate_p2(rows.filter(F.col("pred") == P2)).select(out)
+    plain = sequence.accumulate_p1(rows.filter(F.col("pred") == P1), block).select(out)
+    second = sequence.accumulate_p2(rows.filter(F.col("pred") == P2), block).select(out)
     season = sequence.accumulate_ps(rows.filter(F.col("pred") == PS)).select(out)
     known = plain.unionByName(second).unionByName(season)
     # Relative rows: changes of the rows above are summed along runs of rows, then along time.
@@ -134,12 +148,13 @@ def decode_coordinates(grid: DataFrame, var_params: DataFrame, predictors: str =
     lined = sequence.accumulate_pl(k1.select(cells).unionByName(relative.select(cells))).filter("pl")
     heads = rows.filter((F.col("pred") == PL) & (F.col("t") == 0)).select(*SERIES, "row_pos", "t", "m0", F.col("r").alias("k1"))
     summed = lined.select(*SERIES, "row_pos", "t", "m0", "k1").unionByName(heads).withColumnRenamed("k1", "r")
-    return known.unionByName(sequence.accumulate_p1(summed).select(out)).select(*SERIES, "t", "m")
+    return known.unionByName(sequence.accumulate_p1(summed, block).select(out)).select(*SERIES, "t", "m")
 
 
-def decode(grid: DataFrame, var_params: DataFrame, mode: str = "abs", predictors: str = "bank") -> DataFrame:
-    """grid_id, var, t and x_hat; ``predictors`` as in ``encode``."""
-    m = decode_coordinates(grid, var_params, predictors).join(var_params.select(*SERIES, "q", "s"), list(SERIES))
+def decode(grid: DataFrame, var_params: DataFrame, mode: str = "abs", predictors: str = "bank", block: int | str | None = AUTO) -> DataFrame:
+    """grid_id, var, t and x_hat; ``predictors`` and ``block`` as in ``encode``."""
+    block = block_for(grid) if block == AUTO else block
+    m = decode_coordinates(grid, var_params, predictors, block).join(var_params.select(*SERIES, "q", "s"), list(SERIES))
     y = lattice_value(F.col("m"), F.col("q"))
     return m.select(*SERIES, "t", (asinh_scale_inv(y, F.col("s")) if mode == "rel" else y).alias("x_hat"))
 

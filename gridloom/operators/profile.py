@@ -12,14 +12,24 @@ from pyspark.sql import functions as F
 from gridloom.functions.scalar import INLINE
 from gridloom.operators.frames import SERIES, series
 from gridloom.operators.metrics import correlation
+from gridloom.operators.quantiles import few_rows, percentiles
 
 
-def var_profile(samples: DataFrame) -> DataFrame:
+def var_profile(samples: DataFrame, median: bool = True) -> DataFrame:
+    """Statistics of each variable; ``abs_median``, which takes the most work, only if asked for.
+
+    Long series get it by selection (see ``quantiles``), which counts before it decides.
+    """
     x, size = F.col("x"), F.abs("x")
-    return samples.groupBy(*SERIES).agg(
+    stats = [
         F.count(x).alias("n"), F.min(x).alias("x_min"), F.max(x).alias("x_max"), F.min_by("x", "t").alias("x_first"), F.max_by("x", "t").alias("x_last"),
-        F.stddev_pop(x).alias("x_std"), F.percentile(size, F.lit(0.5)).alias("abs_median"), F.avg(size).alias("abs_mean"), F.min(size).alias("abs_min"),
-    )
+        F.stddev_pop(x).alias("x_std"), F.avg(size).alias("abs_mean"), F.min(size).alias("abs_min"),
+    ]
+    if not median:
+        return samples.groupBy(*SERIES).agg(*stats)
+    if few_rows(samples, list(SERIES)):
+        return samples.groupBy(*SERIES).agg(*stats, F.percentile(size, F.lit(0.5)).alias("abs_median"))
+    return samples.groupBy(*SERIES).agg(*stats).join(percentiles(samples, list(SERIES), size, {"abs_median": 0.5}), list(SERIES))
 
 
 def derive_scale(profile: DataFrame, rel_scale: DataFrame | None = None) -> DataFrame:
@@ -44,7 +54,10 @@ def derive_step(profile: DataFrame, eps: float, mode: str = "abs") -> DataFrame:
 def adaptive_clamp(pct: DataFrame, percentile: float = 0.995, cap: float = 500.0) -> DataFrame:
     """clamp of each variable: between a high percentile of the changes and a tenth above the largest."""
     size = F.abs("pct")
-    stats = pct.groupBy(*SERIES).agg(F.percentile(size, F.lit(percentile)).alias("p"), F.max(size).alias("m"))
+    if few_rows(pct, list(SERIES)):
+        stats = pct.groupBy(*SERIES).agg(F.percentile(size, F.lit(percentile)).alias("p"), F.max(size).alias("m"))
+    else:
+        stats = pct.groupBy(*SERIES).agg(F.max(size).alias("m")).join(percentiles(pct, list(SERIES), size, {"p": percentile}), list(SERIES))
     blend = F.least(F.greatest((F.col("m") / (F.col("p") + 1e-10) - 2.0) / 8.0, F.lit(0.0)), F.lit(1.0))
     mixed = blend * F.col("p") + (1.0 - blend) * (F.col("m") * 1.1)
     return stats.select(*SERIES, F.least(F.greatest(F.coalesce(mixed, F.lit(cap)), F.lit(1.0)), F.lit(cap)).alias("clamp"))

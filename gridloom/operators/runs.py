@@ -13,10 +13,6 @@ def flatten_runs(runs: DataFrame) -> DataFrame:
     return runs.select(*fixed, *(["metrics.*"] if "metrics" in runs.columns else []), category.alias("category"))
 
 
-def explode_params(runs: DataFrame) -> DataFrame:
-    return runs.select("dataset", "method", F.explode("params").alias("param", "value"))
-
-
 def merge_runs(old: DataFrame, new: DataFrame, key: tuple[str, ...] = ("dataset", "method")) -> DataFrame:
     """Upsert: of rows with the same key the new one wins."""
     both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import scalar
-from gridloom.operators import clean, detect, frames, lattice, metrics, percent, profile, runs, segments, sequence
+from gridloom.operators import clean, detect, frames, lattice, metrics, percent, profile, quantiles, runs, segments, sequence
 from gridloom.operators.frames import SERIES, series
 from gridloom.plans.durable import checkpoint_dir, keep
 from gridloom.sources import files
@@ -78,6 +78,7 @@ def q_lattice_p1_abs(spark, sf_dir):
     """Encode, decode and verify the bound of every supplier's prices."""
     samples = _prices(spark, sf_dir)
     grid, params = lattice.encode(samples, 1e-3, "abs", "p1")
+    grid = keep(grid)  # read three times
     checked = metrics.verify_bound(metrics.align(samples, lattice.decode(grid, params, predictors="p1"), check=False), params.select(*SERIES, "q", "s"), 1e-3)
     return _round(checked.join(lattice.escape_count(grid).select("grid_id", "escapes"), "grid_id").select("grid_id", "cells", "escapes", "violations", "worst_steps"))
 
@@ -407,6 +408,66 @@ def q_worst_variables(spark, sf_dir):
     return _round(metrics.worst_variables(metrics.compare_per_var(segments.paa_expand(s, 16), segments.paa_expand(s, 64))).select(*SERIES, "difference"))
 
 
+# --- files ----------------------------------------------------------------------------------------------
+
+LINES = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax"]
+
+
+def _lines_csv(spark: SparkSession, sf_dir: str, columns: list[str], header: bool = True) -> str:
+    """Line items as a folder of CSV files whose rows stand in key order; its path."""
+    path = f"{checkpoint_dir(spark)}/csv-{uuid4().hex}"
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    lines.select(columns).write.option("header", header).csv(path)
+    return path
+
+
+@_query("""WITH n AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS i FROM lineitem),
+l AS (SELECT i, var, x FROM (UNPIVOT (SELECT i, l_quantity::DOUBLE AS l_quantity, l_extendedprice::DOUBLE AS l_extendedprice, l_discount::DOUBLE AS l_discount, l_tax::DOUBLE AS l_tax FROM n) ON l_quantity, l_extendedprice, l_discount, l_tax INTO NAME var VALUE x))
+SELECT 'lines/' || (i // 500) AS grid_id, var, count(*) AS steps, round(sum(x * (i % 500 + 1)), 4) AS weighted, round(min_by(x, i), 4) AS first_x, round(max_by(x, i), 4) AS last_x FROM l GROUP BY 1, 2""")
+def q_csv_windows(spark, sf_dir):
+    """Line items written as CSV and read back in file order, in windows of 500 rows."""
+    windows = files.read_windows(spark, _lines_csv(spark, sf_dir, LINES), 500, "lines")
+    windows = windows.filter(F.col("var").isin("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
+    found = windows.groupBy(*SERIES).agg(F.count("x").alias("steps"), F.sum(F.col("x") * (F.col("t") + 1)).alias("weighted"), F.min_by("x", "t").alias("first_x"), F.max_by("x", "t").alias("last_x"))
+    return _round(found, 4)
+
+
+@_query("""WITH n AS (SELECT *, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS i FROM lineitem),
+l AS (SELECT i, var, x FROM (UNPIVOT (SELECT i, l_quantity::DOUBLE AS l_quantity, l_extendedprice::DOUBLE AS l_extendedprice, l_discount::DOUBLE AS l_discount FROM n) ON l_quantity, l_extendedprice, l_discount INTO NAME var VALUE x))
+SELECT var, i // 100 AS part, round(sum(x * (i % 100 + 1)), 4) AS weighted, (SELECT count(*) FROM lineitem) AS n_rows, 24 * (SELECT count(*) FROM lineitem) AS input_bytes FROM l GROUP BY 1, 2""")
+def q_csv_matrix(spark, sf_dir):
+    """One grid of a whole CSV folder in order of its date column, equal dates as they stand in the files."""
+    path = _lines_csv(spark, sf_dir, ["l_shipdate", "l_quantity", "l_extendedprice", "l_discount"])
+    samples, info = files.read_matrix(spark, path)
+    parts = samples.groupBy("var", F.floor(F.col("t") / 100).alias("part")).agg(F.sum(F.col("x") * (F.col("t") % 100 + 1)).alias("weighted"))
+    return _round(parts.withColumns({"n_rows": F.lit(info["n_rows"]).cast("long"), "input_bytes": F.lit(info["input_bytes"]).cast("long")}), 4)
+
+
+@_query("""WITH n AS (SELECT l_quantity::DOUBLE AS v0, l_extendedprice::DOUBLE AS v1, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS t FROM lineitem)
+SELECT var, t, round(x, 4) AS x FROM (UNPIVOT n ON v0, v1 INTO NAME var VALUE x)""")
+def q_csv_headerless(spark, sf_dir):
+    return _round(files.read_headerless(spark, _lines_csv(spark, sf_dir, ["l_quantity", "l_extendedprice"], header=False)).select("var", "t", "x"), 4)
+
+
+@_query("""SELECT l_returnflag AS flag, count(*) AS n, count(price) AS priced, round(sum(price), 4) AS total, round(sum(l_quantity::DOUBLE), 4) AS quantity
+FROM (SELECT *, CASE WHEN l_linenumber <> 3 THEN l_extendedprice::DOUBLE END AS price FROM lineitem) GROUP BY 1""")
+def q_csv_locale(spark, sf_dir):
+    """Semicolons, decimal commas and a mark for missing values, written and read back."""
+    comma = lambda c: F.replace(F.col(c).cast("double").cast("string"), F.lit("."), F.lit(","))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_returnflag").alias("flag"), F.when(F.col("l_linenumber") != 3, comma("l_extendedprice")).otherwise("?").alias("price"), comma("l_quantity").alias("quantity"))
+    path = f"{checkpoint_dir(spark)}/csv-{uuid4().hex}"
+    lines.write.options(header=True, sep=";").csv(path)
+    back = files.read_locale_csv(spark, path, na="?")
+    return _round(back.groupBy("flag").agg(F.count(F.lit(1)).alias("n"), F.count("price").alias("priced"), F.sum("price").alias("total"), F.sum("quantity").alias("quantity")), 4)
+
+
+@_query("""SELECT l_returnflag, round(quantile_cont(l_extendedprice::DOUBLE, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice::DOUBLE, 0.995), 6) AS p995, round(quantile_cont(l_extendedprice::DOUBLE, 0.01), 6) AS p01 FROM lineitem GROUP BY 1""")
+def q_selected_percentiles(spark, sf_dir):
+    """Exact percentiles of three large groups by sketches and counts, no group in one task."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return _round(quantiles.percentiles(lines, ["l_returnflag"], F.col("l_extendedprice"), {"p50": 0.5, "p995": 0.995, "p01": 0.01}, small=500, precision=1000))
+
+
 # --- percent grids, sweeps, runs ------------------------------------------------------------------------
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators.clean import clean_frame, drop_all_null_columns, ffill_bfill, select_numeric
 from gridloom.operators.frames import SERIES, row_windows, to_long
+from gridloom.plans.numbering import in_file_order, numbered
 
 VERSION = 1
 
@@ -16,18 +17,17 @@ def _csv(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def _by_line(df: DataFrame) -> list[str]:
-    """Order of a file's rows: by its first time-like column, else as they were read."""
+    """Order of a file's rows: by its first time-like column, else as they stand in the file."""
     timed = [c for c in df.columns if any(p in c.lower() for p in ("timestamp", "date", "time"))]
     return timed or ["__line"]
 
 
-def _numbered(df: DataFrame) -> DataFrame:
-    return df.withColumn("__line", F.monotonically_increasing_id())
-
-
 def read_matrix(spark: SparkSession, path: str, grid: str = "grid", order: list[str] | None = None) -> tuple[DataFrame, dict[str, int]]:
-    """A CSV file as one clean grid, with n_rows, n_vars and input_bytes (8 for each cell)."""
-    df = _numbered(_csv(spark, path))
+    """A CSV file or folder as one clean grid, with n_rows, n_vars and input_bytes (8 for each cell).
+
+    Rows are ordered by ``order``, by default the time-like columns, ties and files without one as they stand.
+    """
+    df = in_file_order(_csv(spark, path))
     n = df.count()
     if not n:
         raise ValueError(f"{path} has no rows")
@@ -40,20 +40,18 @@ def read_windows(spark: SparkSession, path: str, window_rows: int, grid: str = "
     """A CSV file as one grid for each run of ``window_rows`` rows, columns chosen once for the file."""
     if window_rows <= 0:
         raise ValueError("window_rows must be positive")
-    df = _numbered(_csv(spark, path))
+    df = in_file_order(_csv(spark, path))
     names = [c for c in drop_all_null_columns(df, select_numeric(df)) if c != "__line"]
-    by = [*(order or _by_line(df)), "__line"]
-    indexed = df.withColumn("grid_id", F.lit(grid)).withColumn("t", (F.row_number().over(Window.partitionBy("grid_id").orderBy(*dict.fromkeys(by))) - 1).cast("long"))
-    return ffill_bfill(row_windows(to_long(indexed, names), window_rows))
+    by = list(dict.fromkeys([*(order or _by_line(df)), "__line"]))
+    indexed = df.withColumn("t", F.col("__line")) if by == ["__line"] else numbered(df, by)
+    return ffill_bfill(row_windows(to_long(indexed.withColumn("grid_id", F.lit(grid)), names), window_rows))
 
 
 def read_headerless(spark: SparkSession, path: str, grid: str = "grid") -> DataFrame:
     """A CSV file without a header: a column is a variable (v0, v1 ...), a row a step."""
-    df = _numbered(spark.read.options(header=False, inferSchema=True).csv(path))
-    names = [c for c in df.columns if c != "__line"]
-    renamed = df.toDF(*[f"v{i}" for i in range(len(names))], "__line").withColumn("grid_id", F.lit(grid))
-    indexed = renamed.withColumn("t", (F.row_number().over(Window.partitionBy("grid_id").orderBy("__line")) - 1).cast("long"))
-    return to_long(indexed, [f"v{i}" for i in range(len(names))])
+    df = in_file_order(spark.read.options(header=False, inferSchema=True).csv(path), "t")
+    names = [f"v{i}" for i in range(len(df.columns) - 1)]
+    return to_long(df.toDF(*names, "t").withColumn("grid_id", F.lit(grid)), names)
 
 
 def read_locale_csv(spark: SparkSession, path: str, sep: str = ";", decimal: str = ",", na: str | None = None) -> DataFrame:
