@@ -204,6 +204,15 @@ def test_decode_passes_other_columns(spark, vocabulary):
     assert [(bytes(r["decoded"]), r["is_text"], r["kept"]) for r in got] == [(b"\xe3 the", False, "x"), (b"", True, "y")]
 
 
+def test_round_trip_is_encode_and_decode(spark, vocabulary):
+    lines, _, _ = vocabulary
+    docs = spark.createDataFrame(list(enumerate([*odd_texts(60, seed=8), None])), "doc_id long, text string").repartition(2)
+    both = byte_bpe.decode(byte_bpe.encode(docs, lines, public_tokenizers.PATTERN), lines)
+    whole = byte_bpe.round_trip(docs, lines, public_tokenizers.PATTERN)
+    columns = sorted(whole.columns)
+    assert sorted(both.columns) == columns and sorted(map(str, both.select(columns).collect())) == sorted(map(str, whole.select(columns).collect()))
+
+
 def test_vector_sql_agrees(spark):
     duckdb = pytest.importorskip("duckdb")
     folder = "/root/testdata/sf0.001"
