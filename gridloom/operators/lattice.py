@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from gridloom.plans.durable import keep
 P1, P2, PS, PL = 0, 1, 2, 3
 #: Block scan where the longest series asks for it.
 AUTO = "auto"
+#: Up to so many variables correlations are summed pair by pair, beyond by products of blocks of steps.
+FEW_VARIABLES = 16
 
 
 def _params(samples: DataFrame, eps: float, mode: str, rel_scale: DataFrame | None = None) -> DataFrame:
@@ -31,32 +34,42 @@ def params(samples: DataFrame, eps: float = 1e-3, mode: str = "abs", rel_scale:
     return _params(samples, eps, mode, rel_scale).select(*SERIES, "q", "s")
 
 
-def coordinates(samples: DataFrame, var_params: DataFrame, mode: str = "abs", tau: float = 0.0, restart_block: int | None = None) -> DataFrame:
+def coordinates(samples: DataFrame, var_params: DataFrame, mode: str = "abs", tau: float = 0.0, restart_block: int | None = None, block: int | None = None) -> DataFrame:
     """Lattice coordinates ``m``; the dead zone holds for ``tau`` above a half."""
     y = asinh_scale(F.col("x"), F.col("s")) if mode == "rel" else F.col("x")
     with_y = samples.join(var_params, list(SERIES)).withColumn("y", y)
     if tau > 0.5:
-        return sequence.deadzone_lattice(with_y, tau, restart_block).select(*SERIES, "t", "m")
+        return sequence.deadzone_lattice(with_y, tau, restart_block, block).select(*SERIES, "t", "m")
     return with_y.select(*SERIES, "t", lattice_quantize(F.col("y"), F.col("q")).alias("m"))
 
 
+def _walk(near: np.ndarray) -> list[int]:
+    """From the row most correlated with all others to the nearest row left, again and again; ties to the first."""
+    if len(near) <= 2:
+        return list(range(len(near)))
+    at = int(near.sum(axis=1).argmax())
+    order, left = [at], np.zeros(len(near))
+    left[at] = -np.inf
+    while len(order) < len(near):
+        at = int((near[at] + left).argmax())
+        order.append(at)
+        left[at] = -np.inf
+    return order
+
+
 def _greedy(frame: pd.DataFrame) -> pd.DataFrame:
-    names = sorted(set(frame["a"]) | set(frame["b"]))
-    near = pd.DataFrame(0.0, names, names)
-    for a, b, c in zip(frame["a"], frame["b"], frame["corr"].abs(), strict=True):
-        near.loc[a, b] = near.loc[b, a] = c
-    left = list(names)
-    if len(names) > 2:
-        at = max(left, key=lambda v: (near.loc[v].sum(), -names.index(v)))
-        order = [at]
-        left.remove(at)
-        while left:
-            at = max(left, key=lambda v: (near.loc[order[-1], v], -names.index(v)))
-            order.append(at)
-            left.remove(at)
-    else:
-        order = left
-    return pd.DataFrame({"grid_id": frame["grid_id"].iloc[0], "var": order, "row_pos": range(len(order))})
+    names = np.array(sorted(set(frame["a"]) | set(frame["b"])), object)
+    a, b = np.searchsorted(names, frame["a"].to_numpy(object)), np.searchsorted(names, frame["b"].to_numpy(object))
+    near = np.zeros((len(names), len(names)))
+    near[a, b] = near[b, a] = frame["corr"].abs().to_numpy()
+    return pd.DataFrame({"grid_id": frame["grid_id"].iloc[0], "var": names[_walk(near)], "row_pos": range(len(names))})
+
+
+def _greedy_rows(frame: pd.DataFrame) -> pd.DataFrame:
+    frame = frame.sort_values("row")
+    near = np.abs(np.vstack(frame["corr"].to_numpy()))
+    np.fill_diagonal(near, 0.0)
+    return pd.DataFrame({"grid_id": frame["grid_id"].iloc[0], "row": _walk(near), "row_pos": range(len(frame))})
 
 
 def order_variables(correlations: DataFrame) -> DataFrame:
@@ -67,6 +80,13 @@ def order_variables(correlations: DataFrame) -> DataFrame:
     return correlations.groupBy("grid_id").applyInPandas(_greedy, "grid_id string, var string, row_pos int")
 
 
+def walked_order(steps: DataFrame) -> DataFrame:
+    """grid_id, var and row_pos by the correlations of ``d`` (grid_id, var, t, d), for thousands of variables as well."""
+    rows, names = profile.correlation_rows(steps)
+    walked = rows.groupBy("grid_id").applyInPandas(_greedy_rows, "grid_id string, row int, row_pos int")
+    return walked.join(names, ["grid_id", "row"]).select(*SERIES, "row_pos")
+
+
 def choose_predictor(costs: DataFrame) -> DataFrame:
     """pred of the least cost; ties go to the smaller number."""
     return costs.groupBy(*SERIES).agg(F.min_by("pred", F.struct("cost", "pred")).alias("pred"), F.min("cost").alias("cost"))
@@ -102,7 +122,7 @@ def encode(
     block = block_for(samples) if block == AUTO else block
     clean = sanitize(samples, block)
     scales = keep(_params(clean, eps, mode, rel_scale))
-    grid = coordinates(clean, scales.drop("x_first"), mode, tau, restart_block)
+    grid = coordinates(clean, scales.drop("x_first"), mode, tau, restart_block, block)
     y0 = asinh_scale(F.col("x_first"), F.col("s")) if mode == "rel" else F.col("x_first")
     scales = scales.withColumn("m0", lattice_quantize(y0, F.col("q"))).drop("x_first")
     if predictors == "p1":
@@ -115,7 +135,9 @@ def encode(
         lags = keep(profile.seasonal_lag(profile.autocorrelation(grid, "m", max_lag)))
         names = grid.select(*SERIES).distinct()
         by_name = names.withColumn("__pos", F.row_number().over(Window.partitionBy("grid_id").orderBy("var")) - 1)
-        walked = order_variables(profile.correlation_pairs(grid.withColumn("x", F.col("m").cast("double"))))
+        moves = grid.withColumn("x", F.col("m").cast("double"))
+        widest = names.groupBy("grid_id").count().agg(F.max("count")).first()[0] or 0
+        walked = order_variables(profile.correlation_pairs(moves)) if widest <= FEW_VARIABLES else walked_order(profile.changes(moves))
         order = keep(by_name.join(walked, list(SERIES), "left").select(*SERIES, F.coalesce("row_pos", "__pos").cast("int").alias("row_pos")))
         lags = names.join(lags, list(SERIES), "left").select(*SERIES, F.coalesce("lag", F.lit(1)).alias("lag"))
         candidates = bank_residuals(grid, lags, order)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from gridloom.functions import scalar
 from gridloom.operators import metrics, profile, segments, sequence
 from gridloom.operators.clean import auto_offset, sanitize
 from gridloom.operators.frames import SERIES, series
-from gridloom.plans.durable import keep
+from gridloom.operators.lattice import walked_order
+from gridloom.plans.durable import checkpoint_dir, keep, remove_folder
 
 
 def base_encode(samples: DataFrame, bits: int = 8, clamp: float = 500.0) -> tuple[DataFrame, DataFrame]:
@@ -34,13 +37,14 @@ def base_decode(grid: DataFrame, params: DataFrame, block: int | None = None) ->
 
 def enhanced_encode(
     samples: DataFrame, bits: int = 16, adaptive: bool = True, mu_law: bool = True, log: bool = False, anchors: int = 0,
-    offset: bool | None = None, clamp: float = 500.0, mu: float = scalar.MU,
+    offset: bool | None = None, clamp: float = 500.0, mu: float = scalar.MU, reorder: bool = False,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Grid, parameters and anchors.
 
     Percent changes against the previous magnitude (or log ratios), clamped per variable, with mu-law or
     uniform steps.  ``offset=None`` lifts those variables that reach zero; log ratios need positive values
-    and so always lift them.
+    and so always lift them.  Variables stand in order of name (``row_pos``); with ``reorder`` those whose
+    changes correlate stand side by side, which changes no value and what ``neighbour_bytes`` counts.
     """
     steps = scalar.steps_of(bits)
     clean = sanitize(samples)
@@ -57,6 +61,11 @@ def enhanced_encode(
     grid = pct.filter("pct is not null").join(clamps, list(SERIES)).select(*SERIES, "t", quantize(F.col("clamp")).alias("q"))
     params = shifted.filter("t = 0").select(*SERIES, F.col("x").alias("baseline"), "value_offset").join(clamps, list(SERIES), "left")
     params = params.withColumn("clamp", F.coalesce("clamp", F.lit(clamp))).withColumn("bits", F.lit(bits))
+    by_name = F.row_number().over(Window.partitionBy("grid_id").orderBy("var")) - 1
+    params = params.withColumn("row_pos", by_name.cast("int"))
+    if reorder:
+        walked = walked_order(pct.filter("pct is not null").select(*SERIES, "t", F.col("pct").alias("d"))).withColumnRenamed("row_pos", "walked")
+        params = params.join(walked, list(SERIES), "left").withColumn("row_pos", F.coalesce("walked", "row_pos")).drop("walked")
     kept = sequence.take_anchors(shifted, anchors) if anchors else shifted.filter(F.lit(False)).select(*SERIES, "t", "x")
     return grid, params, kept
 
@@ -75,6 +84,19 @@ def enhanced_decode(grid: DataFrame, params: DataFrame, kept: DataFrame, mu_law:
     return rebuilt.select(*SERIES, "t", (F.col("x_hat") - F.col("value_offset")).alias("x_hat"))
 
 
+def neighbour_bytes(grid: DataFrame, params: DataFrame) -> DataFrame:
+    """Entropy bytes of each grid's codes less those of the row above, in the order that ``row_pos`` gives.
+
+    The first row, and codes whose row above is missing, stand for themselves.
+    """
+    above = Window.partitionBy("grid_id", "t").orderBy("row_pos")
+    rows = grid.join(params.select(*SERIES, "row_pos"), list(SERIES))
+    near = F.when(F.lag("row_pos").over(above) == F.col("row_pos") - 1, F.lag("q").over(above))
+    counts = rows.withColumn("symbol", F.col("q") - F.coalesce(near, F.lit(0))).groupBy(*SERIES, "symbol").agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy(*SERIES))
+    return counts.withColumn("bits", -F.col("n") * F.log2(F.col("n") / total)).groupBy("grid_id").agg((F.sum("bits") / 8.0).alias("neighbour_bytes"))
+
+
 def sweep(samples: DataFrame, configs: DataFrame) -> DataFrame:
     """rmse and bytes of the base variant for every row of ``configs`` (cfg_id, bits, clamp) in one job.
 
@@ -128,19 +150,21 @@ def auto_tune_bits(samples: DataFrame, sample_steps: int = 512, target_rmse: flo
 
 
 def compare_methods(samples: DataFrame) -> DataFrame:
-    """Metrics of the base variant and of adaptive, mu-law and 16-bit grids of the same data."""
+    """Metrics and sizes of the base variant and of adaptive, mu-law, reordered and 16-bit grids of the same data."""
     samples = keep(sanitize(samples))
-    parts = []
-    for name, bits, kind in (("base8", 8, None), ("base16", 16, None), ("adaptive8", 8, False), ("mulaw8", 8, True), ("mulaw16", 16, True)):
+    out = None
+    for name, bits, kind in (("base8", 8, None), ("base16", 16, None), ("adaptive8", 8, False), ("mulaw8", 8, True), ("mulaw16", 16, True), ("reordered8", 8, True)):
         if kind is None:
-            hat = base_decode(*base_encode(samples, bits))
+            grid, params = base_encode(samples, bits)
+            grid, params = keep(grid), params.withColumn("row_pos", (F.row_number().over(Window.partitionBy("grid_id").orderBy("var")) - 1).cast("int"))
+            hat = base_decode(grid, params.drop("row_pos"))
         else:
-            hat = enhanced_decode(*enhanced_encode(samples, bits, mu_law=kind), mu_law=kind, bits=bits)
-        aligned = metrics.align(samples, hat, check=False)
-        parts.append(metrics.metrics(aligned).withColumn("method", F.lit(name)).withColumn("bytes_per_cell", F.lit(1 if bits <= 8 else 2)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+            grid, params, kept = enhanced_encode(samples, bits, mu_law=kind, reorder=name == "reordered8")
+            grid, params = keep(grid), keep(params)
+            hat = enhanced_decode(grid, params, kept, mu_law=kind, bits=bits)
+        found = metrics.metrics(metrics.align(samples, hat, check=False)).join(neighbour_bytes(grid, params), "grid_id", "left")
+        one = found.withColumn("method", F.lit(name)).withColumn("bytes_per_cell", F.lit(1 if bits <= 8 else 2))
+        out = one if out is None else out.unionByName(one)
     return out
 
 
@@ -149,22 +173,59 @@ def estimated_bytes(samples: DataFrame, n_segments: int = 64) -> DataFrame:
     counts = samples.groupBy("grid_id").agg(F.count(F.lit(1)).alias("cells"), F.count_distinct("var").alias("vars"))
     dd = sequence.delta_of_delta(samples).groupBy("grid_id").agg(F.sum(scalar.zigzag_varint_len(F.col("dd"))).alias("bytes"))
     segs = segments.with_segments(samples, n_segments).groupBy("grid_id").agg(F.count_distinct("var", "seg").alias("n"))
+    # A float has no variable-length form: a delta takes as many bytes as a value.
     row = lambda df, method, c: df.select("grid_id", F.lit(method).alias("method"), c.cast("long").alias("bytes"))
     return (
-        row(counts, "raw", F.col("cells") * 8).unionByName(row(dd, "delta_of_delta", F.col("bytes")))
+        row(counts, "raw", F.col("cells") * 8).unionByName(row(counts, "delta", F.col("cells") * 8)).unionByName(row(dd, "delta_of_delta", F.col("bytes")))
         .unionByName(row(segs, "paa", F.col("n") * 8)).unionByName(row(segs, "pla", F.col("n") * 16)).unionByName(row(segs, "sax", F.col("n") * 4))
     )
 
 
+def stored_sizes(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Bytes that each grid and method of ``rows`` (grid_id, method and ``columns``) takes in files, by kind of file.
+
+    Rows are written once for each kind, one folder for each method and grid, and Spark's own listing gives the
+    sizes.  Kinds are ``parquet`` (zstd) and ``gzip`` (CSV).
+    """
+    spark, out = rows.sparkSession, None
+    placed = rows.select("method", "grid_id", "var", "t", *columns).repartition("method", "grid_id").sortWithinPartitions("method", "grid_id", "var", "t")
+    folder = f"{checkpoint_dir(spark)}/sizes-{uuid4().hex}"
+    for kind in ("parquet", "gzip"):
+        writer = placed.write.partitionBy("method", "grid_id")
+        writer.option("compression", "zstd").parquet(f"{folder}/{kind}") if kind == "parquet" else writer.option("compression", "gzip").csv(f"{folder}/{kind}")
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{folder}/{kind}").select("path", "length")
+        part = lambda name: F.url_decode(F.regexp_extract("path", rf"/{name}=([^/]*)", 1))
+        sizes = listed.select(part("method").alias("method"), part("grid_id").alias("grid_id"), "length").groupBy("grid_id", "method").agg(F.sum("length").alias(f"{kind}_bytes"))
+        sizes = keep(sizes)
+        out = sizes if out is None else out.join(sizes, ["grid_id", "method"])
+    remove_folder(spark, folder)
+    return out
+
+
 def compare_baselines(samples: DataFrame, n_segments: int = 64) -> DataFrame:
-    """Metrics and sizes of the segment summaries and lossless deltas on the same data."""
+    """Metrics and sizes of the segment summaries and lossless deltas on the same data.
+
+    ``bytes`` is what the coefficients or codes take without a byte coder, ``parquet_bytes`` and ``gzip_bytes``
+    what the method's numbers take in files; ``raw`` has sizes and no errors.
+    """
     clean = keep(sanitize(samples))
-    delta_hat = sequence.undelta(sequence.delta(clean)).select(*SERIES, "t", "x", "x_hat")
-    dd_hat = sequence.undelta_of_delta(sequence.delta_of_delta(clean)).select(*SERIES, "t", "x", F.col("v_hat").cast("double").alias("x_hat"))
+    deltas = sequence.delta(clean)
+    seconds = sequence.delta_of_delta(clean)
+    delta_hat = sequence.undelta(deltas).select(*SERIES, "t", "x", "x_hat")
+    dd_hat = sequence.undelta_of_delta(seconds).select(*SERIES, "t", "x", F.col("v_hat").cast("double").alias("x_hat"))
     methods = {"paa": segments.paa_expand(clean, n_segments), "pla": segments.pla_expand(clean, n_segments), "sax": segments.sax_expand(clean, n_segments, denormalize=True), "delta": delta_hat, "delta_of_delta": dd_hat}
     out = None
     for name, aligned in methods.items():
         one = metrics.metrics(aligned).withColumn("method", F.lit(name))
         out = one if out is None else out.unionByName(one)
-    sizes = estimated_bytes(clean, n_segments)
-    return out.join(sizes, ["grid_id", "method"], "left")
+    # The numbers that each method keeps: a segment's value once, a delta for each step.
+    first = F.row_number().over(Window.partitionBy(*SERIES, "seg").orderBy("t")) == 1
+    numbers = clean.select(F.lit("raw").alias("method"), *SERIES, "t", F.col("x").alias("v"))
+    numbers = numbers.unionByName(deltas.select(F.lit("delta").alias("method"), *SERIES, "t", F.coalesce("d", "x").alias("v")))
+    numbers = numbers.unionByName(seconds.select(F.lit("delta_of_delta").alias("method"), *SERIES, "t", F.col("dd").cast("double").alias("v")))
+    cut = segments.with_segments(clean, n_segments).select(*SERIES, "t", "seg")
+    for name in ("paa", "pla", "sax"):
+        heads = cut.withColumn("__first", first).filter("__first").join(methods[name].select(*SERIES, "t", "x_hat"), [*SERIES, "t"])
+        numbers = numbers.unionByName(heads.select(F.lit(name).alias("method"), *SERIES, "t", F.col("x_hat").alias("v")))
+    sizes = estimated_bytes(clean, n_segments).join(stored_sizes(numbers, ["v"]), ["grid_id", "method"], "full_outer")
+    return sizes.join(out, ["grid_id", "method"], "full_outer")

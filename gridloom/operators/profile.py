@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from gridloom.functions.scalar import INLINE
 from gridloom.operators.frames import SERIES, series
 from gridloom.operators.metrics import correlation
 from gridloom.operators.quantiles import few_rows, percentiles
+from gridloom.plans.durable import keep
 
 
 def var_profile(samples: DataFrame, median: bool = True) -> DataFrame:
@@ -75,51 +77,97 @@ def row_cost(histogram: DataFrame, key: tuple[str, ...] = (*SERIES, "pred")) ->
     return parts.groupBy(*key).agg((F.sum("__bits") / 8.0 + 12.0 * F.sum(F.when(F.col("symbol").isNull(), F.col("n")).otherwise(0))).alias("cost"))
 
 
+def changes(samples: DataFrame) -> DataFrame:
+    """grid_id, var, t and d, the change of x since the step before."""
+    return samples.withColumn("d", F.col("x") - F.lag("x").over(series())).filter(F.col("d").isNotNull()).select("grid_id", "t", "var", "d")
+
+
 def correlation_pairs(samples: DataFrame) -> DataFrame:
     """Pearson correlation of the changes of each two variables a < b of a grid; undefined is 0.
 
-    Products are summed by the steps two variables share.  For grids of thousands of variables use
-    ``correlation_wide``, which never pairs rows.
+    Products are summed by the steps two variables share.  For grids of many variables use
+    ``correlation_rows``, which never pairs rows.
     """
-    steps = samples.withColumn("d", F.col("x") - F.lag("x").over(series())).filter(F.col("d").isNotNull()).select("grid_id", "t", "var", "d")
+    steps = changes(samples)
     a, b = steps.select("grid_id", "t", F.col("var").alias("a"), F.col("d").alias("da")), steps.select("grid_id", "t", F.col("var").alias("b"), F.col("d").alias("db"))
     pairs = a.join(b, ["grid_id", "t"]).filter(F.col("a") < F.col("b")).groupBy("grid_id", "a", "b")
     return pairs.agg(correlation(F.col("da"), F.col("db")).alias("corr"))
 
 
-def _gram(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    grams: dict[str, list] = {}
-    for frame in frames:
-        for grid, part in frame.groupby("grid_id", sort=False):
-            x = np.vstack(part["d"].to_numpy())
-            have = grams.setdefault(grid, [0.0, 0.0, 0])
-            have[0], have[1], have[2] = have[0] + x.T @ x, have[1] + x.sum(axis=0), have[2] + len(x)
-    for grid, (g, s, n) in grams.items():
-        yield pd.DataFrame({"grid_id": grid, "row": range(len(s)), "g": list(g), "s": s, "n": n})
-
-
-def correlation_wide(samples: DataFrame, variables: list[str]) -> DataFrame:
-    """As ``correlation_pairs`` for many variables: partial Gram matrices in tasks, summed row by row."""
-    steps = samples.withColumn("d", F.col("x") - F.lag("x").over(series())).filter(F.col("d").isNotNull())
-    place = F.create_map(*[F.lit(v) for i, k in enumerate(variables) for v in (k, i)])
-    rows = steps.groupBy("grid_id", "t").agg(F.sort_array(F.collect_list(F.struct(place[F.col("var")].alias("i"), "d"))).alias("v")).filter(F.size("v") == len(variables))
-    parts = rows.select("grid_id", F.col("v.d").alias("d")).mapInPandas(_gram, "grid_id string, row int, g array<double>, s double, n long")
-    total = parts.select("grid_id", "row", F.posexplode("g").alias("col", "g"), "n").groupBy("grid_id", "row", "col").agg(F.sum("g").alias("g"), F.sum("n").alias("n"))
-    sums = parts.groupBy("grid_id", "row").agg(F.sum("s").alias("s"))
-    diagonal = total.filter("row = col").select("grid_id", F.col("row").alias("i"), F.col("g").alias("gi"))
-    both = total.filter("row < col").join(sums.select("grid_id", "row", F.col("s").alias("sa")), ["grid_id", "row"]).join(sums.select("grid_id", F.col("row").alias("col"), F.col("s").alias("sb")), ["grid_id", "col"])
-    both = both.join(diagonal.withColumnsRenamed({"i": "row", "gi": "ga"}), ["grid_id", "row"]).join(diagonal.withColumnsRenamed({"i": "col", "gi": "gb"}), ["grid_id", "col"])
-    n = F.col("n")
-    cov, va, vb = F.col("g") - F.col("sa") * F.col("sb") / n, F.col("ga") - F.col("sa") * F.col("sa") / n, F.col("gb") - F.col("sb") * F.col("sb") / n
-    names = F.array(*map(F.lit, variables))
-    return both.select("grid_id", F.get(names, F.col("row")).alias("a"), F.get(names, F.col("col")).alias("b"), F.when((va > 0) & (vb > 0), cov / F.sqrt(va * vb)).otherwise(0.0).alias("corr"))
+def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each grid of a task the sums over its steps, a row for each variable i: pairs present, and over the steps
+    that variable j has too the values of i, their squares and the products."""
+    sums: dict[str, np.ndarray] = {}
+    for batch in batches:
+        grids, sizes, cells = batch.column("grid_id").to_pylist(), batch.column("size").to_numpy(), batch.column("v")
+        edges = np.concatenate([[0], np.cumsum(cells.value_lengths().to_numpy())])
+        flat = cells.flatten()
+        place, value = flat.field("i").to_numpy(), flat.field("d").to_numpy()
+        by_grid: dict[str, list[int]] = {}
+        for k, g in enumerate(grids):
+            by_grid.setdefault(g, []).append(k)
+        for g, steps in by_grid.items():
+            n = int(sizes[steps[0]])
+            have = sums.setdefault(g, np.zeros((4, n, n)))
+            for start in range(0, len(steps), 256):
+                part = steps[start : start + 256]
+                x, seen = np.zeros((len(part), n)), np.zeros((len(part), n))
+                for row, k in enumerate(part):
+                    at = place[edges[k] : edges[k + 1]]
+                    x[row, at], seen[row, at] = value[edges[k] : edges[k + 1]], 1.0
+                have += np.stack([seen.T @ seen, x.T @ seen, (x * x).T @ seen, x.T @ x])
+    for g, (n, s, q, c) in sums.items():
+        rows = [pa.array(list(m), pa.list_(pa.float64())) for m in (n, s, q, c)]
+        yield pa.RecordBatch.from_arrays([pa.array([g] * len(n)), pa.array(range(len(n)), pa.int32()), *rows], ["grid_id", "row", "n", "s", "q", "c"])
+
+
+def _correlated(frame: pd.DataFrame) -> pd.DataFrame:
+    frame = frame.sort_values("row")
+    n, s, q, c = (np.vstack(frame[k].to_numpy()) for k in "nsqc")
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cov, own = c - s * s.T / n, q - s * s / n
+        flat = 1e-14 * q  # what rounding leaves of a constant
+        good = (own > flat) & (own.T > flat.T) & (n > 0)
+        corr = np.where(good, cov / np.sqrt(np.where(good, own * own.T, 1.0)), 0.0)
+    return pd.DataFrame({"grid_id": frame["grid_id"], "row": frame["row"], "corr": list(corr)})
+
+
+def correlation_rows(steps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pearson correlations of ``d`` of all variables of each grid over the steps two of them share; undefined is 0.
+
+    Returns grid_id, row and corr (an array over all rows), and the rows' names (grid_id, var, row; in order of
+    name).  Tasks add up products of blocks of steps; what they send is a row for each variable, so that a
+    grid of V variables costs a task V * V numbers, and pairs of cells are never made.
+    """
+    names = steps.select("grid_id", "var").distinct()
+    names = keep(names.withColumn("row", (F.row_number().over(Window.partitionBy("grid_id").orderBy("var")) - 1).cast("int")))
+    sizes = names.groupBy("grid_id").agg(F.count(F.lit(1)).cast("int").alias("size"))
+    cells = steps.join(names, ["grid_id", "var"]).groupBy("grid_id", "t").agg(F.collect_list(F.struct(F.col("row").alias("i"), F.col("d").cast("double").alias("d"))).alias("v"))
+    parts = cells.join(sizes, "grid_id").select("grid_id", "size", "v").mapInArrow(_gram, "grid_id string, row int, n array<double>, s array<double>, q array<double>, c array<double>")
+    plus = lambda c: F.aggregate(F.slice(c, 2, 1 << 30), F.get(c, F.lit(0)), lambda a, b: F.zip_with(a, b, lambda x, y: x + y)).alias(c)
+    dealt = parts.withColumn("__salt", F.spark_partition_id() % 32)
+    for keys in (["grid_id", "row", "__salt"], ["grid_id", "row"]):  # no row waits for all tasks' arrays at once
+        dealt = dealt.groupBy(*keys).agg(*[F.collect_list(c).alias(c) for c in "nsqc"]).select(*keys, *[plus(c) for c in "nsqc"])
+    return dealt.groupBy("grid_id").applyInPandas(_correlated, "grid_id string, row int, corr array<double>"), names
+
+
+def correlation_wide(samples: DataFrame) -> DataFrame:
+    """As ``correlation_pairs``, by ``correlation_rows``."""
+    rows, names = correlation_rows(changes(samples))
+    pairs = rows.select("grid_id", F.col("row").alias("i"), F.posexplode("corr").alias("j", "corr")).filter("i < j")
+    name = lambda row, out: names.select("grid_id", F.col("row").alias(row), F.col("var").alias(out))
+    return pairs.join(name("i", "a"), ["grid_id", "i"]).join(name("j", "b"), ["grid_id", "j"]).select("grid_id", "a", "b", "corr")
 
 
 def _lag_sums(max_lag: int):
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("t")
         v, n = frame["v"].to_numpy(), int(frame["own"].sum())
-        sums = [float(np.dot(v[:n][: max(len(v) - lag, 0)], v[lag : lag + n])) for lag in range(max_lag)]
+        # The block's own steps against all: one product in the frequency domain gives the sums at all lags.
+        size = 1 << int(np.ceil(np.log2(max(len(v) + n, 2))))
+        sums = np.zeros(max_lag)
+        found = np.fft.irfft(np.conj(np.fft.rfft(v[:n], size)) * np.fft.rfft(v, size), size)[: min(max_lag, len(v))]
+        sums[: len(found)] = found
         return pd.DataFrame({"grid_id": key[0], "var": key[1], "lag": range(max_lag), "s": sums})
 
     return run
@@ -145,5 +193,5 @@ def autocorrelation(samples: DataFrame, value: str = "x", max_lag: int = 2048, b
 
 def seasonal_lag(ac: DataFrame, least: float = 0.3) -> DataFrame:
     """lag of each variable: the first of the highest autocorrelations from lag 2 on if above ``least``, else 1."""
-    best = ac.filter("lag >= 2").groupBy(*SERIES).agg(F.max_by("lag", F.struct("ac", -F.col("lag"))).alias("l"), F.max("ac").alias("m"), F.max("lag").alias("top"))
+    best = ac.filter("lag >= 2").groupBy(*SERIES).agg(F.max_by("lag", F.struct(F.round("ac", 9), -F.col("lag"))).alias("l"), F.max("ac").alias("m"), F.max("lag").alias("top"))
     return ac.select(*SERIES).distinct().join(best, list(SERIES), "left").select(*SERIES, F.when((F.col("m") > least) & (F.col("top") >= 3), F.col("l")).otherwise(1).cast("int").alias("lag"))

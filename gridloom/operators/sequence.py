@@ -96,26 +96,70 @@ def rebuild_with_anchors(df: DataFrame, anchors: DataFrame, every: int) -> DataF
     return out.withColumn("x_hat", F.coalesce("__exact", F.col("__x0") * F.col("__f"))).drop("__a", "__x0", "__f", "__exact")
 
 
-def _dead_zone(frame: pd.DataFrame, tau: float) -> pd.DataFrame:
-    y, q, level, m = frame["y"].to_numpy(), float(frame["q"].iloc[0]), None, []
+def _levels(y: list[float], q: float, tau: float, level: int | None) -> list[int]:
+    """The level carried through ``y`` from ``level`` (None: no level yet)."""
+    out, reach = [], tau * q
     for v in y:
-        if level is None or abs(v - level * q) >= tau * q:
-            level = int(np.rint(v / q))
-        m.append(level)
-    return frame.assign(m=np.array(m, np.int64))
+        if level is None or abs(v - level * q) >= reach:
+            level = round(v / q)  # half to even, as everywhere
+        out.append(level)
+    return out
+
+
+def _dead_zone(frame: pd.DataFrame, tau: float) -> pd.DataFrame:
+    start = frame["start"].iloc[0] if "start" in frame else None
+    levels = _levels(frame["y"].tolist(), float(frame["q"].iloc[0]), tau, None if start is None or pd.isna(start) else int(start))
+    return frame.assign(m=np.array(levels, np.int64))
+
 
+def _speculated(key: tuple, frame: pd.DataFrame, tau: float) -> pd.DataFrame:
+    """Where each level that a block may start with leads to.
 
-def deadzone_lattice(df: DataFrame, tau: float, restart_block: int | None = None) -> DataFrame:
+    Only levels nearer than ``tau`` steps to the first value survive it, about 2 * tau of them; all others give
+    way to the nearest one.  They run side by side until they meet.
+    """
+    frame = frame.sort_values("t")
+    y, q = frame["y"].tolist(), float(frame["q"].iloc[0])
+    near, reach = round(y[0] / q), tau * q
+    span = int(np.ceil(tau)) + 1
+    starts = [n for n in range(near - span, near + span + 1) if not abs(y[0] - n * q) >= reach]
+    now = [near, *starts]
+    for i, v in enumerate(y):
+        if len(set(now)) == 1:
+            now = [_levels(y[i:], q, tau, now[0])[-1]] * len(now)
+            break
+        now = [round(v / q) if abs(v - n * q) >= reach else n for n in now]
+    return pd.DataFrame({"grid_id": key[0], "var": key[1], "blk": key[2], "other": [now[0]], "starts": [starts], "ends": [now[1:]]})
+
+
+def _carried(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    """The level that each block of a series starts with, from the blocks' summaries."""
+    level, out = None, []
+    for row in frame.sort_values("blk").itertuples():
+        out.append(level)
+        level = dict(zip(row.starts, row.ends, strict=True)).get(level, row.other)
+    return pd.DataFrame({"grid_id": key[0], "var": key[1], "blk": np.sort(frame["blk"].to_numpy()), "start": pd.array(out, "Int64")})
+
+
+def deadzone_lattice(df: DataFrame, tau: float, restart_block: int | None = None, block: int | None = None) -> DataFrame:
     """``m`` that moves only when ``y`` is ``tau`` steps or more from the carried level; bound tau * q.
 
-    Needs grid_id, var, t, y and q.  State is sequential, so a series is one group; with ``restart_block``
-    each run of that many steps starts anew: other numbers, the same bound, and parallel.
+    Needs grid_id, var, t, y and q.  With ``block`` a series is cut into runs of that many steps: each is tried
+    from every level that it may start with, the blocks' summaries tell which one it was, and all blocks run in
+    parallel from their own; the numbers are those of one walk.  With ``restart_block`` each run starts anew:
+    other numbers, the same bound.
     """
     if tau <= 0.5:
         return df.withColumn("m", F.rint(F.col("y") / F.col("q")).cast("long"))
-    blk = F.floor(F.col("t") / F.lit(restart_block)) if restart_block else F.lit(0).cast("long")
-    cut = df.select("grid_id", "var", "t", "y", "q", blk.alias("blk"))
-    return cut.groupBy("grid_id", "var", "blk").applyInPandas(lambda f: _dead_zone(f.sort_values("t"), tau), "grid_id string, var string, t long, y double, q double, blk long, m long").drop("blk")
+    cells, kind = df.select("grid_id", "var", "t", "y", "q"), "grid_id string, var string, t long, y double, q double, blk long, m long"
+    size = restart_block or block
+    cut = cells.withColumn("blk", F.floor(F.col("t") / F.lit(size)) if size else F.lit(0).cast("long"))
+    if restart_block or not block:
+        return cut.groupBy("grid_id", "var", "blk").applyInPandas(lambda f: _dead_zone(f.sort_values("t"), tau), kind).drop("blk")
+    tried = cut.groupBy("grid_id", "var", "blk").applyInPandas(lambda key, f: _speculated(key, f, tau), "grid_id string, var string, blk long, other long, starts array<long>, ends array<long>")
+    starts = tried.groupBy("grid_id", "var").applyInPandas(_carried, "grid_id string, var string, blk long, start long")
+    placed = cut.join(starts, ["grid_id", "var", "blk"]).select("grid_id", "var", "t", "y", "q", "blk", "start")
+    return placed.groupBy("grid_id", "var", "blk").applyInPandas(lambda f: _dead_zone(f.sort_values("t"), tau).drop(columns="start"), kind).drop("blk")
 
 
 def delta(samples: DataFrame) -> DataFrame:

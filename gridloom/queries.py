@@ -83,12 +83,19 @@ def q_lattice_p1_abs(spark, sf_dir):
     return _round(checked.join(lattice.escape_count(grid).select("grid_id", "escapes"), "grid_id").select("grid_id", "cells", "escapes", "violations", "worst_steps"))
 
 
-@_query(f"WITH {SUPPLIERS} SELECT grid_id, count(*) AS cells, 0::BIGINT AS violations FROM s GROUP BY grid_id")
+@_query(f"""WITH {SUPPLIERS}, a AS (SELECT grid_id, var, quantile_cont(abs(x), 0.5) AS md, stddev_pop(x) AS sd FROM s GROUP BY 1, 2),
+pr AS (SELECT grid_id, var, greatest(0.01 * CASE WHEN md > 0 THEN md ELSE sd END, 1e-12) AS sc, 2 * ln(1.001) AS q FROM a),
+m AS (SELECT grid_id, var, t, x, sc, q, round_even(asinh(x / sc) / q, 0)::BIGINT AS m FROM s JOIN pr USING (grid_id, var)),
+h AS (SELECT *, sc * sinh(m * q) AS h FROM m)
+SELECT grid_id, var, count(*) AS cells, sum(m)::BIGINT AS sum_m, count(*) FILTER (WHERE abs(x - h) / sqrt(x * x + sc * sc) > 1.05 * 0.001) AS violations FROM h GROUP BY 1, 2""")
 def q_lattice_p1_rel(spark, sf_dir):
+    """Relative bound: coordinates of the decoded values and cells beyond the bound."""
     samples = supplier_grid(spark, sf_dir)
     grid, params = lattice.encode(samples, 1e-3, "rel", "p1")
-    aligned = metrics.align(samples, lattice.decode(grid, params, "rel", "p1"), check=False)
-    return metrics.verify_bound(aligned, params.select(*SERIES, "q", "s"), 1e-3, "rel").select("grid_id", "cells", "violations")
+    both = metrics.align(samples, lattice.decode(grid, params, "rel", "p1"), check=False).join(params.select(*SERIES, "q", "s"), list(SERIES))
+    beyond = F.abs(F.col("x") - F.col("x_hat")) / F.sqrt(F.col("x") * F.col("x") + F.col("s") * F.col("s")) > 1.05 * 1e-3
+    m = F.rint(F.asinh(F.col("x_hat") / F.col("s")) / F.col("q")).cast("long")
+    return both.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("cells"), F.sum(m).alias("sum_m"), F.count_if(beyond).alias("violations"))
 
 
 @_query(f"""WITH {SUPPLIERS}, {LATTICE}
@@ -139,33 +146,47 @@ def q_choose_predictor(spark, sf_dir):
     return _round(lattice.choose_predictor(profile.row_cost(profile.residual_histogram(each))), 4)
 
 
-@_query(f"WITH {SUPPLIERS} SELECT grid_id, count(*) AS cells, 0::BIGINT AS violations FROM s GROUP BY grid_id")
+@_query(f"""WITH {SUPPLIERS}, {LATTICE}
+SELECT grid_id, var, count(*) AS cells, sum(m)::BIGINT AS sum_m, sum(m * (t % 7))::BIGINT AS placed_m, count(*) FILTER (WHERE abs(x - m * q) > q / 2 * (1 + 1e-9) + 1e-12) AS violations FROM m GROUP BY 1, 2""")
 def q_lattice_bank_roundtrip(spark, sf_dir):
-    """The full predictor bank: the bound holds for every cell after decoding."""
+    """The full predictor bank: whatever each variable's predictor, the decoded coordinates are the encoder's."""
     samples = supplier_grid(spark, sf_dir)
     grid, params = lattice.encode(samples, 1e-3, "abs", "bank")
     params = keep(params)
-    aligned = metrics.align(samples, lattice.decode(keep(grid), params), check=False)
-    return metrics.verify_bound(aligned, params.select(*SERIES, "q", "s"), 1e-3).select("grid_id", "cells", "violations")
+    both = metrics.align(samples, lattice.decode(keep(grid), params), check=False).join(params.select(*SERIES, "q"), list(SERIES))
+    m = F.rint(F.col("x_hat") / F.col("q")).cast("long")
+    beyond = F.abs(F.col("x") - F.col("x_hat")) > F.col("q") / 2 * (1 + 1e-9) + 1e-12
+    return both.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("cells"), F.sum(m).alias("sum_m"), F.sum(m * (F.col("t") % 7)).alias("placed_m"), F.count_if(beyond).alias("violations"))
 
 
-@_query(f"WITH {SUPPLIERS} SELECT grid_id, count(*) AS cells, 0::BIGINT AS violations FROM p GROUP BY grid_id")
+@_query(f"""WITH RECURSIVE {SUPPLIERS},
+pr AS (SELECT grid_id, 2 * 0.001 * CASE WHEN max(x) - min(x) <= 0 THEN greatest(abs(min_by(x, t)), 1) ELSE max(x) - min(x) END AS q FROM p GROUP BY 1), n AS (SELECT grid_id, t, x, q FROM p JOIN pr USING (grid_id)),
+z AS (SELECT grid_id, t, x, q, round_even(x / q, 0)::BIGINT AS m FROM n WHERE t = 0 UNION ALL
+ SELECT n.grid_id, n.t, n.x, n.q, CASE WHEN abs(n.x - z.m * n.q) >= 1.5 * n.q THEN round_even(n.x / n.q, 0)::BIGINT ELSE z.m END FROM z JOIN n ON n.grid_id = z.grid_id AND n.t = z.t + 1)
+SELECT grid_id, count(*) AS cells, sum(m)::BIGINT AS sum_m, sum(m * (t % 7))::BIGINT AS placed_m, count(*) FILTER (WHERE abs(x - m * q) > 1.5 * q * (1 + 1e-9) + 1e-12) AS violations FROM z GROUP BY 1""")
 def q_deadzone_bound(spark, sf_dir):
+    """The dead zone by blocks of 64 steps that are tried from every level they may start with."""
     samples = _prices(spark, sf_dir)
-    grid, params = lattice.encode(samples, 1e-3, "abs", "p1", tau=1.5)
-    aligned = metrics.align(samples, lattice.decode(grid, params, predictors="p1"), check=False)
-    return metrics.verify_bound(aligned, params.select(*SERIES, "q", "s"), 1e-3, tau=1.5).select("grid_id", "cells", "violations")
+    grid, params = lattice.encode(samples, 1e-3, "abs", "p1", tau=1.5, block=64)
+    params = keep(params)
+    both = metrics.align(samples, lattice.decode(grid, params, predictors="p1"), check=False).join(params.select(*SERIES, "q"), list(SERIES))
+    m = F.rint(F.col("x_hat") / F.col("q")).cast("long")
+    beyond = F.abs(F.col("x") - F.col("x_hat")) > 1.5 * F.col("q") * (1 + 1e-9) + 1e-12
+    return both.groupBy("grid_id").agg(F.count(F.lit(1)).alias("cells"), F.sum(m).alias("sum_m"), F.sum(m * (F.col("t") % 7)).alias("placed_m"), F.count_if(beyond).alias("violations"))
 
 
-@_query(f"WITH {SUPPLIERS} SELECT grid_id, count(*) - 1 AS cells, 0::BIGINT AS mismatches FROM p GROUP BY grid_id")
+@_query(f"""WITH {SUPPLIERS}, {LATTICE}
+SELECT grid_id, count(*) AS cells, sum(CASE WHEN abs(r) <= 126 THEN r + 128 ELSE 255 END * (t % 7 + 1))::BIGINT AS pixels, count(*) FILTER (WHERE abs(r) > 126) AS escapes, coalesce(sum(CASE WHEN abs(r) > 126 THEN r * t END), 0)::BIGINT AS placed_escapes
+FROM r WHERE var = 'l_extendedprice' AND t > 0 GROUP BY 1""")
 def q_grid_files(spark, sf_dir):
-    """A stored grid read back equals the one that was written."""
+    """A grid as it comes back from storage: pixels and escapes with their places."""
     grid, params = lattice.encode(_prices(spark, sf_dir), 1e-3, "abs", "p1")
     path = f"{checkpoint_dir(spark)}/grid-{uuid4().hex}"
     files.write_grid(grid, params, path, "abs", 1e-3, 256)
     back, _, _ = files.read_grid(spark, path)
-    same = (F.col("pixel") == F.col("p2")) & F.col("esc").eqNullSafe(F.col("e2"))
-    return grid.join(back.select(*SERIES, "t", F.col("pixel").alias("p2"), F.col("esc").alias("e2")), [*SERIES, "t"], "left").groupBy("grid_id").agg(F.count(F.lit(1)).alias("cells"), F.count_if(~F.coalesce(same, F.lit(False))).alias("mismatches"))
+    return back.groupBy("grid_id").agg(
+        F.count(F.lit(1)).alias("cells"), F.sum(F.col("pixel") * (F.col("t") % 7 + 1)).alias("pixels"), F.count("esc").alias("escapes"), F.coalesce(F.sum(F.col("esc") * F.col("t")), F.lit(0)).alias("placed_escapes")
+    )
 
 
 @_query()
@@ -266,18 +287,24 @@ def q_delta_of_delta(spark, sf_dir):
     return dd.groupBy("grid_id").agg(F.sum(F.abs("dd")).alias("size"), F.sum(scalar.zigzag_varint_len(F.col("dd"))).alias("bytes"))
 
 
-@_query(f"WITH {SUPPLIERS} SELECT grid_id, count(*) AS cells, 0::BIGINT AS off, 0::BIGINT AS off_whole FROM p GROUP BY 1")
+@_query(f"""WITH {SUPPLIERS}, d AS (SELECT grid_id, t, x, x - lag(x) OVER w AS d, round_even(x, 0)::BIGINT AS v FROM p WINDOW w AS (PARTITION BY grid_id ORDER BY t)),
+e AS (SELECT *, v - lag(v) OVER w AS dv FROM d WINDOW w AS (PARTITION BY grid_id ORDER BY t)), f AS (SELECT *, coalesce(dv - lag(dv) OVER w, 0) AS dd FROM e WINDOW w AS (PARTITION BY grid_id ORDER BY t))
+SELECT grid_id, count(*) AS cells, round(sum(d * (t % 7)), 4) AS deltas, round(sum(x * (t % 7)), 4) AS rebuilt, sum(dd * (t % 7))::BIGINT AS second_deltas, sum(v * (t % 7))::BIGINT AS rebuilt_whole FROM f GROUP BY 1""")
 def q_delta_roundtrip(spark, sf_dir):
-    s = _prices(spark, sf_dir)
-    plain = sequence.undelta(sequence.delta(s), block=64).select(*SERIES, "t", "x", "x_hat")
-    whole = sequence.undelta_of_delta(sequence.delta_of_delta(s)).select(*SERIES, "t", "v", "v_hat")
-    return plain.join(whole, [*SERIES, "t"]).groupBy("grid_id").agg(F.count(F.lit(1)).alias("cells"), F.count_if(F.abs(F.col("x") - F.col("x_hat")) > 1e-6).alias("off"), F.count_if(F.col("v") != F.col("v_hat")).alias("off_whole"))
+    """Deltas and deltas of deltas with their places, and what is rebuilt from them."""
+    s, placed = _prices(spark, sf_dir), F.col("t") % 7
+    d = sequence.delta(s)
+    plain = sequence.undelta(d, block=64).groupBy("grid_id").agg(F.count(F.lit(1)).alias("cells"), F.sum(F.col("d") * placed).alias("deltas"), F.sum(F.col("x_hat") * placed).alias("rebuilt"))
+    whole = sequence.undelta_of_delta(sequence.delta_of_delta(s)).groupBy("grid_id").agg(F.sum(F.col("dd") * placed).alias("second_deltas"), F.sum(F.col("v_hat") * placed).alias("rebuilt_whole"))
+    return _round(plain.join(whole, "grid_id"), 4)
 
 
 @_query(f"""WITH {SUPPLIERS}, g AS (SELECT grid_id, min(x) AS lo, max(x) AS hi FROM s GROUP BY 1)
-SELECT grid_id, var, t, round(CASE WHEN hi > lo THEN (x - lo) / (hi - lo) ELSE 0 END, 6) AS level FROM s JOIN g USING (grid_id)""")
+SELECT grid_id, var, t // 50 AS part, round(sum(CASE WHEN hi > lo THEN (x - lo) / (hi - lo) ELSE 0 END * (t % 50 + 1)), 4) AS levels FROM s JOIN g USING (grid_id) GROUP BY 1, 2, 3""")
 def q_intensity(spark, sf_dir):
-    return _round(frames.intensity_image(supplier_grid(spark, sf_dir)).select(*SERIES, "t", "level"))
+    """Levels of all cells, summed with their places over runs of 50 steps."""
+    image = frames.intensity_image(supplier_grid(spark, sf_dir))
+    return _round(image.groupBy(*SERIES, F.floor(F.col("t") / 50).alias("part")).agg(F.sum(F.col("level") * (F.col("t") % 50 + 1)).alias("levels")), 4)
 
 
 # --- statistics -----------------------------------------------------------------------------------------
@@ -305,7 +332,7 @@ def q_correlation(spark, sf_dir):
 SELECT a.grid_id, a.var AS a, b.var AS b, round(coalesce(corr(a.d, b.d), 0), 5) AS corr FROM d a JOIN d b ON a.grid_id = b.grid_id AND a.t = b.t AND a.var < b.var WHERE a.d IS NOT NULL AND b.d IS NOT NULL GROUP BY 1, 2, 3""")
 def q_correlation_wide(spark, sf_dir):
     """The same pairs from partial Gram matrices, for grids of many variables."""
-    return _round(profile.correlation_wide(supplier_grid(spark, sf_dir), sorted(["l_quantity", "l_extendedprice", "l_discount", "l_tax"])), 5)
+    return _round(profile.correlation_wide(supplier_grid(spark, sf_dir)), 5)
 
 
 AUTO = """o AS (SELECT o_orderdate::DATE AS day, sum(o_totalprice) AS x FROM orders GROUP BY 1), d AS (SELECT row_number() OVER (ORDER BY day) - 1 AS t, x - lag(x) OVER (ORDER BY day) AS d FROM o),
@@ -476,6 +503,17 @@ def q_compare_methods(spark, sf_dir):
     return _round(percent.compare_methods(_prices(spark, sf_dir)))
 
 
+@_query(f"""WITH {SUPPLIERS}, c AS (SELECT grid_id, var, t, (x - lag(x) OVER ({W})) / (lag(x) OVER ({W}) + 1e-9) * 100 AS pct FROM s),
+q AS (SELECT grid_id, var, t, round_even((least(greatest(pct, -500), 500) + 500) / 1000 * 255, 0)::INT AS q FROM c WHERE pct IS NOT NULL),
+d AS (SELECT grid_id, var, q - coalesce(lag(q) OVER (PARTITION BY grid_id, t ORDER BY var), 0) AS symbol FROM q), n AS (SELECT grid_id, var, symbol, count(*) AS n FROM d GROUP BY 1, 2, 3),
+b AS (SELECT grid_id, -n * log2(n / sum(n) OVER (PARTITION BY grid_id, var)) AS bits FROM n) SELECT grid_id, round(sum(bits) / 8, 4) AS neighbour_bytes FROM b GROUP BY 1""")
+def q_neighbour_bytes(spark, sf_dir):
+    """Entropy of the base grid's codes less those of the variable above, in order of name."""
+    grid, params = percent.base_encode(supplier_grid(spark, sf_dir), 8)
+    by_name = F.row_number().over(Window.partitionBy("grid_id").orderBy("var")) - 1
+    return _round(percent.neighbour_bytes(grid, params.withColumn("row_pos", by_name)), 4)
+
+
 @_query()
 def q_zero_crossing_study(spark, sf_dir):
     """Base and enhanced grids of event series shifted to cross zero."""
@@ -796,3 +834,20 @@ def q_stream_encode(spark, sf_dir):
 
     stream = _event_stream(spark, sf_dir).select(F.lit("events").alias("grid_id"), "var", F.col("event_id").alias("t"), "x")
     return _drained(spark, stream_encode(stream, 0.01)).select("var", "t", "m", "r")
+
+
+@_query(f"""WITH {SUPPLIERS}, w AS (SELECT grid_id || '/' || (t // 128) AS grid_id, t // 128 AS win, t % 128 AS t, x FROM p),
+pr AS (SELECT grid_id, win, CASE WHEN max(x) = min(x) THEN greatest(abs(min_by(x, t)), 1) ELSE max(x) - min(x) END * 0.002 AS q FROM w GROUP BY 1, 2 HAVING count(*) = 128),
+m AS (SELECT grid_id, win, t, q, round_even(x / q, 0)::BIGINT AS m FROM w JOIN pr USING (grid_id, win)), r AS (SELECT *, m - lag(m) OVER (PARTITION BY grid_id ORDER BY t) AS r FROM m)
+SELECT grid_id, win::BIGINT AS win, round(max(q), 6) AS q, min_by(m, t) AS m0, sum(CASE WHEN abs(r) <= 126 THEN r + 128 WHEN r IS NOT NULL THEN 255 END)::BIGINT AS pixels, coalesce(sum(CASE WHEN abs(r) > 126 THEN r END), 0)::BIGINT AS escapes FROM r GROUP BY 1, 2""")
+def q_stream_row_windows(spark, sf_dir):
+    """Suppliers' prices as a stream, encoded in windows of 128 rows by state; windows that aren't full stay in it."""
+    from gridloom.streaming.windows import window_grids
+
+    folder = f"{checkpoint_dir(spark)}/rows-{uuid4().hex}"
+    timed = _prices(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.lit(1_000_000) + F.col("t")))
+    timed.repartitionByRange(3, "t").write.parquet(folder)
+    stream = spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    grids = _drained(spark, window_grids(stream, 128, late="1 day", patience_ms=7 * 86_400_000))
+    sums = F.aggregate("pixels", F.lit(0).cast("long"), lambda a, x: a + x).alias("pixels"), F.aggregate("escapes", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0))).alias("escapes")
+    return _round(grids.select("grid_id", F.col("window").alias("win"), "q", "m0", *sums))

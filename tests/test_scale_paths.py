@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
-from gridloom.operators import detect, lattice, metrics, profile, quantiles
+from gridloom.operators import detect, lattice, metrics, percent, profile, quantiles, sequence
 from gridloom.plans import numbering
 from gridloom.plans.durable import keep
 
@@ -98,3 +100,88 @@ def test_ranks_of_few_large_groups(spark):
     by_b = sorted(rows, key=lambda r: (r[2], r[0]))
     want = {r[0]: (by_a.index(r) + by_b.index(r)) / 200 for r in rows}
     assert all(abs(got[w] - want[w]) < 1e-12 for w in want)
+
+
+def one_walk(y, q, tau):
+    """The dead zone's level step by step."""
+    level, out = None, []
+    for v in y:
+        if level is None or abs(v - level * q) >= tau * q:
+            level = round(v / q)
+        out.append(level)
+    return out
+
+
+def test_dead_zone_by_blocks_is_one_walk(spark):
+    rng = random.Random(5)
+    rows, want = [], {}
+    for var, step in (("calm", 0.05), ("rough", 2.0), ("flat", 0.0), ("jumpy", 30.0)):
+        x, y = 10.0, []
+        for t in range(700):
+            x += rng.gauss(0, step)
+            y.append(x if t % 97 else x + 40)
+        want[var] = y
+        rows += [("g", var, t, v, 0.7) for t, v in enumerate(y)]
+    df = keep(spark.createDataFrame(rows, "grid_id string, var string, t long, y double, q double").repartition(3))
+    for tau, block in ((1.5, 64), (0.75, 7), (3.2, 100), (1.5, 5000)):
+        got = {}
+        for r in sequence.deadzone_lattice(df, tau, block=block).orderBy("var", "t").collect():
+            got.setdefault(r["var"], []).append(r["m"])
+        assert got == {v: one_walk(y, 0.7, tau) for v, y in want.items()}, (tau, block)
+
+
+def test_correlations_of_many_variables(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(6, 300)).cumsum(axis=1)
+    rows = [("g", f"v{i:03d}", t, float(base[i % 6, t] + 0.3 * rng.normal()) if (i, t) != (3, 40) else None) for i in range(40) for t in range(300) if not (i == 5 and t > 200)]
+    rows += [("g", "w_flat", t, 1.0) for t in range(300)] + [("h", v, t, float(t * (v == "a"))) for v in "ab" for t in range(9)]
+    s = keep(spark.createDataFrame(rows, "grid_id string, var string, t long, x double").repartition(4))
+    pairs = {(r["grid_id"], r["a"], r["b"]): r["corr"] for r in profile.correlation_pairs(s).collect()}
+    wide = {(r["grid_id"], r["a"], r["b"]): r["corr"] for r in profile.correlation_wide(s).collect()}
+    assert set(pairs) == set(wide) and all(abs(pairs[k] - wide[k]) < 1e-9 for k in pairs)
+    a = lattice.order_variables(profile.correlation_pairs(s)).orderBy("grid_id", "row_pos").collect()
+    assert lattice.walked_order(profile.changes(s)).select("grid_id", "var", "row_pos").orderBy("grid_id", "row_pos").collect() == a
+
+
+def test_two_thousand_variables_in_memory(spark):
+    wide = spark.range(24).withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(2047)))).select(F.lit("g").alias("grid_id"), F.format_string("v%04d", "v").alias("var"), F.col("id").alias("t"), (F.sin(F.col("id") * (F.col("v") % 7 + 1)) + F.rand(3) / 10).alias("d"))
+    order = lattice.walked_order(keep(wide)).orderBy("row_pos").collect()
+    assert [r["row_pos"] for r in order] == list(range(2048)) and len({r["var"] for r in order}) == 2048
+    kind = [int(r["var"][1:]) % 7 for r in order]
+    assert sum(a != b for a, b in zip(kind, kind[1:])) < 40  # like stands by like
+
+
+def test_autocorrelation_equals_sums_at_each_lag(spark):
+    rng = np.random.default_rng(7)
+    x = (np.sin(np.arange(900) / 5) * 9 + rng.normal(size=900)).cumsum()
+    s = spark.createDataFrame([("g", "a", t, float(v)) for t, v in enumerate(x)], "grid_id string, var string, t long, x double")
+    d = np.diff(x) - np.diff(x).mean()
+    want = [float(np.dot(d[: len(d) - k], d[k:]) / np.dot(d, d)) for k in range(200)]
+    for block in (50_000, 128):
+        got = [r["ac"] for r in profile.autocorrelation(s, max_lag=200, block=block).orderBy("lag").collect()]
+        assert np.allclose(got, want, atol=1e-9)
+
+
+def test_reordered_grid_keeps_its_values(spark):
+    rng = np.random.default_rng(8)
+    base = 100 + rng.normal(size=(2, 400)).cumsum(axis=1)
+    s = keep(spark.createDataFrame([("g", f"v{i}", t, float(base[i % 2, t] * (1 + i))) for i in range(6) for t in range(400)], "grid_id string, var string, t long, x double"))
+    plain = percent.enhanced_encode(s, 8)
+    moved = percent.enhanced_encode(s, 8, reorder=True)
+    assert sorted(map(tuple, plain[0].collect())) == sorted(map(tuple, moved[0].collect()))
+    kind = [int(r["var"][1:]) % 2 for r in moved[1].orderBy("row_pos").collect()]
+    assert sum(a != b for a, b in zip(kind, kind[1:])) == 1
+    sizes = [percent.neighbour_bytes(p[0], p[1]).first()["neighbour_bytes"] for p in (plain, moved)]
+    assert sizes[1] < sizes[0]
+    hat = [percent.enhanced_decode(*p, bits=8).orderBy("var", "t").collect() for p in (plain, moved)]
+    assert hat[0] == hat[1]
+
+
+def test_stored_sizes_of_all_methods(spark):
+    s = spark.createDataFrame([(g, v, t, 100.0 + (t * 37 % 11)) for g in ("a", "b/1 c") for v in "xy" for t in range(300)], "grid_id string, var string, t long, x double")
+    got = percent.compare_baselines(s, 16).collect()
+    methods = {"raw", "delta", "delta_of_delta", "paa", "pla", "sax"}
+    assert {(r["grid_id"], r["method"]) for r in got} == {(g, m) for g in ("a", "b/1 c") for m in methods}
+    assert all(r["bytes"] > 0 and r["parquet_bytes"] > 0 and r["gzip_bytes"] > 0 for r in got)
+    by = {(r["grid_id"], r["method"]): r for r in got}
+    assert by["a", "paa"]["gzip_bytes"] < by["a", "raw"]["gzip_bytes"]
