@@ -188,7 +188,7 @@ def stored_sizes(rows: DataFrame, columns: list[str]) -> DataFrame:
     sizes.  Kinds are ``parquet`` (zstd) and ``gzip`` (CSV).
     """
     spark, out = rows.sparkSession, None
-    placed = rows.select("method", "grid_id", "var", "t", *columns).repartition("method", "grid_id").sortWithinPartitions("method", "grid_id", "var", "t")
+    placed = rows.select("method", "grid_id", "var", "t", *columns).repartition("method", "grid_id", F.floor(F.col("t") / 1_000_000)).sortWithinPartitions("method", "grid_id", "var", "t")
     folder = f"{checkpoint_dir(spark)}/sizes-{uuid4().hex}"
     for kind in ("parquet", "gzip"):
         writer = placed.write.partitionBy("method", "grid_id")

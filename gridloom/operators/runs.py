@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,9 +14,10 @@ def flatten_runs(runs: DataFrame) -> DataFrame:
 
 
 def merge_runs(old: DataFrame, new: DataFrame, key: tuple[str, ...] = ("dataset", "method")) -> DataFrame:
-    """Upsert: of rows with the same key the new one wins."""
+    """Upsert: of rows with the same key the new one wins, of several new ones the first by all other columns."""
     both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)
-    last = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("__new")))
+    sortable = [c for c, t in both.dtypes if c not in (*key, "__new") and not t.startswith("map")]
+    last = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("__new"), *sortable))
     return both.withColumn("__rank", last).filter("__rank = 1").drop("__new", "__rank")
 
 
@@ -27,25 +28,34 @@ def union_methods(*parts: DataFrame) -> DataFrame:
     return out
 
 
+def _least(runs: DataFrame, x: str, value: Column, by: tuple[str, ...]) -> DataFrame:
+    """For each group and x one row of the smallest value, and the smallest value of all smaller x (``__before``).
+
+    The rows of a group are reduced to one for each x before they meet, however many a group has.
+    """
+    best = runs.withColumn("__value", value).groupBy(*by, F.col(x).alias("__x")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in runs.columns]), "__value").alias("__row"), F.min("__value").alias("__value"))
+    return best.withColumn("__before", F.min("__value").over(Window.partitionBy(*by).orderBy("__x").rowsBetween(Window.unboundedPreceding, -1)))
+
+
 def pareto_front(runs: DataFrame, x: str, y: str, by: tuple[str, ...] = ("dataset",), maximize_y: bool = False) -> DataFrame:
-    """Rows that no other beats in both: in order of x, those with a strictly better y than all before."""
-    value = -F.col(y) if maximize_y else F.col(y)
-    before = Window.partitionBy(*by).orderBy(F.col(x), value).rowsBetween(Window.unboundedPreceding, -1)
-    best = F.min(value).over(before)
-    return runs.withColumn("__best", best).filter(F.col("__best").isNull() | (value < F.col("__best"))).drop("__best")
+    """Rows that no other beats in both: in order of x, those with a strictly better y than all before.
+
+    Of rows equal in both one stays.
+    """
+    least = _least(runs, x, -F.col(y) if maximize_y else F.col(y), by)
+    front = least.filter(F.col("__before").isNull() | (F.col("__value") < F.col("__before")))
+    return front.select(*[F.col("__row").getField(c).alias(c) for c in runs.columns])
 
 
 def dominated(runs: DataFrame, x: str, y: str, by: tuple[str, ...] = ("dataset",)) -> DataFrame:
     """Rows that another row of the same group equals or beats in both and beats in one.
 
-    Worked out by running minima: a row is dominated if a smaller x, or the same x, has a smaller y, or a
-    smaller x has the same y.
+    A row is dominated if a smaller x, or the same x, has a smaller y, or a smaller x has the same y; one row for
+    each x tells, and meets the rows in a join that Spark can split.
     """
-    by_x = Window.partitionBy(*by).orderBy(x)
-    smaller = F.min(y).over(Window.partitionBy(*by).orderBy("__rank").rangeBetween(Window.unboundedPreceding, -1))
-    same = F.min(y).over(Window.partitionBy(*by, x))
-    ranked = runs.withColumn("__rank", F.dense_rank().over(by_x)).withColumn("__smaller", smaller).withColumn("__same", same)
-    return ranked.filter((F.col("__smaller") <= F.col(y)) | (F.col("__same") < F.col(y))).drop("__rank", "__smaller", "__same")
+    least = _least(runs, x, F.col(y), by).select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(by)], "__x", "__value", "__before")
+    on = [F.col(c).eqNullSafe(F.col(f"__{i}")) for i, c in enumerate(by)] + [F.col(x) == F.col("__x")]
+    return runs.join(least, on).filter((F.col("__before") <= F.col(y)) | (F.col("__value") < F.col(y))).select(*[F.col(f"`{c}`") for c in runs.columns])
 
 
 def front_share(runs: DataFrame, x: str, y: str, family: str = "category", by: tuple[str, ...] = ("dataset",)) -> DataFrame:

@@ -345,13 +345,17 @@ def q_autocorrelation(spark, sf_dir):
     return _round(profile.autocorrelation(orders_daily(spark, sf_dir), "x", 64, block=500).select("lag", "ac"))
 
 
-@_query()
+@_query(f"""WITH {AUTO.replace('range(0, 64)', 'range(0, (SELECT count(*) // 2 FROM v))')} SELECT lag::INT AS lag, round(s / max(CASE WHEN lag = 0 THEN s END) OVER (), 6) AS ac FROM s""")
 def q_autocorrelation_all_lags(spark, sf_dir):
     """All lags below half the series, where the query above stops at 64 as its SQL does."""
     return _round(profile.autocorrelation(orders_daily(spark, sf_dir)).select("lag", "ac"))
 
 
-@_query()
+@_query(f"""WITH {EVENTS}, f AS (SELECT var, t, coalesce(last_value(x IGNORE NULLS) OVER (PARTITION BY var ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(x IGNORE NULLS) OVER (PARTITION BY var ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS x FROM e),
+d AS (SELECT var, t, x - lag(x) OVER (PARTITION BY var ORDER BY t) AS d FROM f), v AS (SELECT var, t, d - avg(d) OVER (PARTITION BY var) AS v, count(*) OVER (PARTITION BY var) AS n FROM d WHERE d IS NOT NULL),
+s AS (SELECT a.var, b.t - a.t AS lag, sum(a.v * b.v) AS s FROM v a JOIN v b ON a.var = b.var AND b.t >= a.t AND b.t - a.t < least(2048, a.n // 2) GROUP BY 1, 2),
+ac AS (SELECT var, lag, s / max(CASE WHEN lag = 0 THEN s END) OVER (PARTITION BY var) AS ac FROM s), b AS (SELECT var, arg_max(lag, (round(ac, 9), -lag)) AS l, max(ac) AS m, max(lag) AS top FROM ac WHERE lag >= 2 GROUP BY 1)
+SELECT 'events' AS grid_id, var, (CASE WHEN m > 0.3 AND top >= 3 THEN l ELSE 1 END)::INT AS lag FROM b""")
 def q_seasonal_lag(spark, sf_dir):
     return profile.seasonal_lag(profile.autocorrelation(event_grid(spark, sf_dir).transform(clean.sanitize)))
 
@@ -566,11 +570,14 @@ def q_best_per_config(spark, sf_dir):
     return _round(runs.best_per_config(_sweep(spark, sf_dir), ("dataset", "bits")).select("dataset", "bits", "method", "bytes", "ratio"))
 
 
-@_query()
+@_query(f"""WITH {SWEEP}, k AS (SELECT *, 'rmse' AS mode, rmse <= 1e6 AS met FROM rs UNION ALL SELECT *, 'ratio', ratio <= 0.2 FROM rs),
+n AS (SELECT *, row_number() OVER (PARTITION BY mode, dataset ORDER BY met DESC, CASE WHEN met THEN CASE WHEN mode = 'rmse' THEN bytes ELSE rmse END END NULLS LAST, CASE WHEN mode = 'rmse' THEN rmse ELSE bytes END, CASE WHEN mode = 'rmse' THEN bytes ELSE rmse END, method) AS i FROM k)
+SELECT dataset, mode, method, bits, bytes, round(ratio, 6) AS ratio, met FROM n WHERE i = 1""")
 def q_select_best(spark, sf_dir):
     r = keep(_sweep(spark, sf_dir))
     a = runs.select_best(r, target_rmse=1e6).withColumn("mode", F.lit("rmse"))
-    return _round(a.unionByName(runs.select_best(r, target_ratio=0.2).withColumn("mode", F.lit("ratio"))))
+    both = a.unionByName(runs.select_best(r, target_ratio=0.2).withColumn("mode", F.lit("ratio")))
+    return _round(both.select("dataset", "mode", "method", "bits", "bytes", "ratio", "met"))
 
 
 FRONT = """li AS (SELECT l_returnflag AS dataset, l_quantity AS x, l_extendedprice AS y, l_orderkey AS k, l_linenumber AS n FROM lineitem)"""
@@ -600,7 +607,10 @@ def q_front_share(spark, sf_dir):
     return runs.front_share(_points(spark, sf_dir), "x", "y")
 
 
-@_query()
+@_query(f"""WITH {SUPPLIERS}, d AS (SELECT grid_id, t, x, lag(x) OVER w AS pv, first_value(x) OVER w AS b FROM p WHERE t < 512 WINDOW w AS (PARTITION BY grid_id ORDER BY t)),
+f AS (SELECT bits, grid_id, t, x, b, 1 + coalesce(round_even((least(greatest((x - pv) / (pv + 1e-9) * 100, -500), 500) + 500) / 1000 * (2 ** bits - 1), 0) / (2 ** bits - 1) * 1000 - 500, 0) / 100 AS f FROM d CROSS JOIN (SELECT unnest(range(4, 17)) AS bits)),
+h AS (SELECT bits, grid_id, x, b * product(f) OVER (PARTITION BY bits, grid_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS h FROM f), e AS (SELECT bits, grid_id, sqrt(avg((x - h) * (x - h))) AS rmse, avg(abs(x)) * 0.01 AS goal FROM h GROUP BY 1, 2)
+SELECT grid_id, min(CASE WHEN rmse <= goal THEN bits END)::INT AS least, round(max(goal), 6) AS goal, (CASE WHEN min(CASE WHEN rmse <= goal THEN bits END) <= 8 THEN 8 ELSE 16 END)::INT AS bits FROM e GROUP BY 1""")
 def q_auto_tune_bits(spark, sf_dir):
     return _round(percent.auto_tune_bits(_prices(spark, sf_dir)))
 
@@ -627,6 +637,78 @@ def q_summary_table(spark, sf_dir):
     return _round(runs.summary_table(runs.flatten_runs(runs.merge_runs(every, every.filter("method = 'paa'")))))
 
 
+@_query(f"""WITH {SUPPLIERS}, {SEG}, v AS (SELECT grid_id, t, round_even(x, 0)::BIGINT AS v FROM p), e AS (SELECT *, v - lag(v) OVER w AS dv FROM v WINDOW w AS (PARTITION BY grid_id ORDER BY t)),
+f AS (SELECT grid_id, coalesce(dv - lag(dv) OVER w, 0) AS dd FROM e WINDOW w AS (PARTITION BY grid_id ORDER BY t)), y AS (SELECT grid_id, CASE WHEN dd >= 0 THEN 2 * dd ELSE -2 * dd - 1 END AS y FROM f),
+dd AS (SELECT grid_id, sum(CASE WHEN y < 128 THEN 1 WHEN y < 16384 THEN 2 WHEN y < 2097152 THEN 3 WHEN y < 268435456 THEN 4 ELSE 5 END) AS b FROM y GROUP BY 1), c AS (SELECT grid_id, count(*) AS cells, count(DISTINCT seg) AS n FROM z GROUP BY 1)
+SELECT grid_id, method, bytes::BIGINT AS bytes FROM (SELECT grid_id, unnest(['raw', 'delta', 'delta_of_delta', 'paa', 'pla', 'sax']) AS method, unnest([cells * 8, cells * 8, b, n * 8, n * 16, n * 4]) AS bytes FROM c JOIN dd USING (grid_id))""")
+def q_estimated_bytes(spark, sf_dir):
+    return percent.estimated_bytes(_prices(spark, sf_dir), 16)
+
+
+@_query(f"""WITH {SUPPLIERS}, {HAT}, m AS (SELECT grid_id, sqrt(avg((x - h) * (x - h))) AS rmse FROM y GROUP BY 1)
+SELECT grid_id, round(rmse, 4) AS rmse, rmse <= 15000 AS ok, rmse > 15500 AS failed FROM m""")
+def q_safety_check(spark, sf_dir):
+    """Errors of PAA against a limit, and the runs that a second limit calls failures."""
+    checked = metrics.safety_check(segments.paa_expand(_prices(spark, sf_dir), 16), 15000.0)
+    failed = clean.is_failure(checked, 15500.0).select("grid_id", F.lit(True).alias("failed"))
+    return _round(checked.join(failed, "grid_id", "left").withColumn("failed", F.coalesce("failed", F.lit(False))), 4)
+
+
+@_query(f"""WITH {SUPPLIERS} SELECT grid_id, count(*) AS cells, round(sum(x * (t % 7)), 2) AS rebuilt FROM p GROUP BY 1""")
+def q_log_rebuild(spark, sf_dir):
+    """Prices from their log ratios, a running sum by blocks."""
+    s = _prices(spark, sf_dir)
+    pct = F.log(F.col("x") / F.lag("x").over(series())) * 100.0
+    rows = s.withColumn("pct", pct).withColumn("baseline", F.first("x").over(series().rowsBetween(Window.unboundedPreceding, 0)))
+    return _round(sequence.rebuild_log(rows, block=128).groupBy("grid_id").agg(F.count(F.lit(1)).alias("cells"), F.sum(F.col("x_hat") * (F.col("t") % 7)).alias("rebuilt")), 2)
+
+
+@_query(f"""WITH {SUPPLIERS}, l AS (SELECT grid_id, max(t) AS n FROM s GROUP BY 1), v AS (SELECT *, dense_rank() OVER (PARTITION BY grid_id ORDER BY var) AS i FROM s JOIN l USING (grid_id)),
+c AS (SELECT 'head' AS part, * FROM v WHERE t < 10 UNION ALL SELECT 'tail', * FROM v WHERE t > n - 10 UNION ALL SELECT 'first', * FROM v WHERE i <= 2)
+SELECT part, grid_id, var, count(*) AS steps, round(sum(x), 4) AS total FROM c GROUP BY 1, 2, 3""")
+def q_frame_slices(spark, sf_dir):
+    """The first and last ten steps and the first two variables of every grid."""
+    s = supplier_grid(spark, sf_dir)
+    parts = {"head": frames.head_steps(s, 10), "tail": frames.tail_steps(s, 10), "first": frames.first_variables(s, 2)}
+    out = None
+    for name, part in parts.items():
+        one = part.select(F.lit(name).alias("part"), *SERIES, "x")
+        out = one if out is None else out.unionByName(one)
+    return _round(out.groupBy("part", *SERIES).agg(F.count(F.lit(1)).alias("steps"), F.sum("x").alias("total")), 4)
+
+
+@_query("""WITH a AS (SELECT l_suppkey::VARCHAR AS dataset, l_returnflag AS method, count(*) AS bytes FROM lineitem GROUP BY 1, 2),
+b AS (SELECT l_suppkey::VARCHAR AS dataset, l_returnflag AS method, count(*) AS bytes FROM lineitem WHERE l_quantity < 10 AND l_returnflag <> 'N' GROUP BY 1, 2)
+SELECT dataset, method, coalesce(b.bytes, a.bytes) AS bytes FROM a FULL JOIN b USING (dataset, method)""")
+def q_merge_runs(spark, sf_dir):
+    """Runs of all suppliers and flags, upserted by newer runs of some."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").cast("string").alias("dataset"), F.col("l_returnflag").alias("method"), "l_quantity")
+    count = lambda df: df.groupBy("dataset", "method").agg(F.count(F.lit(1)).alias("bytes"))
+    return runs.merge_runs(count(lines), count(lines.filter("l_quantity < 10 and method <> 'N'")))
+
+
+@_query(f"""WITH {SUPPLIERS}, {HAT} SELECT grid_id AS dataset, 'paa' AS method, 'segments' AS category, round(sqrt(avg((x - h) * (x - h))), 4) AS rmse, round(avg(abs(x - h)), 4) AS mae FROM y GROUP BY 1""")
+def q_written_runs(spark, sf_dir):
+    """Runs flattened, written as JSON and read back."""
+    found = metrics.metrics(segments.paa_expand(_prices(spark, sf_dir), 16))
+    made = found.select(F.col("grid_id").alias("dataset"), F.lit("paa").alias("method"), F.struct("rmse", "mae", F.lit(float("nan")).alias("corr")).alias("metrics"))
+    path = f"{checkpoint_dir(spark)}/runs-{uuid4().hex}"
+    files.write_runs(runs.flatten_runs(made), path)
+    back = spark.read.schema("dataset string, method string, category string, rmse double, mae double").json(path)
+    return _round(back, 4)
+
+
+@_query("""WITH o AS (SELECT o_orderdate::DATE AS day, sum(o_totalprice) AS x FROM orders GROUP BY 1), d AS (SELECT row_number() OVER (ORDER BY day) - 1 AS t, x FROM o), l AS (SELECT ceil((max(t) + 1) / 16.0)::BIGINT AS l FROM d)
+SELECT t, round(avg(x) OVER (PARTITION BY t // l), 0) AS x FROM d CROSS JOIN l""")
+def q_written_reconstruction(spark, sf_dir):
+    """PAA of the daily orders, written as CSV rows and read back in file order."""
+    hat = segments.paa_expand(orders_daily(spark, sf_dir), 16)
+    path = f"{checkpoint_dir(spark)}/csv-{uuid4().hex}"
+    files.write_reconstruction(hat, ["total"], path)
+    samples, _ = files.read_matrix(spark, path)
+    return _round(samples.select("t", "x"), 0)
+
+
 # --- windows and detection ------------------------------------------------------------------------------
 
 WIN = """n AS (SELECT grid_id, max(t) + 1 AS n FROM s GROUP BY 1), st AS (SELECT grid_id, unnest(range(0, (n - 100) // 50 + 1)) AS w FROM n WHERE n >= 100),
@@ -670,14 +752,26 @@ def q_per_row_features(spark, sf_dir):
     return _round(detect.per_row_features(_window_grid(spark, sf_dir), wide=False))
 
 
-@_query()
+@_query(f"""WITH {SUPPLIERS}, {WIN}, {GRID}, z AS (SELECT win_id, var, greatest(quantile_cont(abs(r), 0.9), 1) AS s, count(*) AS n FROM wg GROUP BY 1, 2),
+tn AS (SELECT g.win_id, g.var, pos, r, sum(r) OVER (PARTITION BY g.win_id, g.var ORDER BY pos {KEEP}) / s AS tn, pos - 1 >= n // 2 AS late FROM wg g JOIN z USING (win_id, var)),
+tg AS (SELECT *, sign(tn - lag(tn) OVER (PARTITION BY win_id, var ORDER BY pos) + 1e-9) AS g FROM tn), tt AS (SELECT *, abs(g - lag(g) OVER (PARTITION BY win_id, var ORDER BY pos)) AS turn FROM tg),
+br AS (SELECT win_id, var, abs(max_by(tn, pos)) AS drift, max(tn) - min(tn) AS span, abs(avg(tn) FILTER (WHERE late) - avg(tn) FILTER (WHERE NOT late)) AS shift, avg(turn) AS rough, max(abs(r)) AS big, count(*) FILTER (WHERE abs(r) >= 100) AS moves FROM tt GROUP BY 1, 2)
+SELECT win_id, round(max(drift), 4) AS t_drift_max, round(avg(drift), 4) AS t_drift_mean, round(max(span), 4) AS t_span_max, round(avg(span), 4) AS t_span_mean, round(max(shift), 4) AS t_shift_max, round(avg(shift), 4) AS t_shift_mean,
+ round(max(rough), 4) AS t_rough, max(big)::DOUBLE AS t_big, sum(moves)::DOUBLE AS t_moves FROM br GROUP BY 1""")
 def q_trajectory_features(spark, sf_dir):
-    return _round(detect.trajectory_features(_window_grid(spark, sf_dir)))
+    return _round(detect.trajectory_features(_window_grid(spark, sf_dir)), 4)
 
 
-@_query()
+@_query(f"""WITH {SUPPLIERS}, {WIN}, {GRID}, g AS (SELECT win_id, var, pos, px::DOUBLE AS p, coalesce(lead(px) OVER t, px)::DOUBLE AS nx, coalesce(lag(px) OVER t, px)::DOUBLE AS pv, abs(px - lag(px) OVER t)::DOUBLE AS c FROM wg WINDOW t AS (PARTITION BY win_id, var ORDER BY pos)),
+h AS (SELECT *, nx - pv AS dt, nx + 2 * p + pv AS st FROM g), e AS (SELECT *, coalesce(lead(dt) OVER v, dt) + 2 * dt + coalesce(lag(dt) OVER v, dt) AS ex, coalesce(lead(st) OVER v, st) - coalesce(lag(st) OVER v, st) AS ey FROM h WINDOW v AS (PARTITION BY win_id, pos ORDER BY var)),
+f AS (SELECT *, sqrt(ex * ex + ey * ey) AS e, least(floor(p * 32 / 255.0), 31) AS b FROM e),
+wh AS (SELECT win_id, round(avg(p), 4) AS i_mean, round(stddev_pop(p), 4) AS i_std, round(kurtosis_pop(p), 4) AS i_kurtosis, round(max(p) - min(p), 4) AS i_range, round(avg(e), 4) AS i_edge_mean, round(stddev_pop(e), 4) AS i_edge_std, round(max(e), 4) AS i_edge_max,
+ round(avg(c), 4) AS i_col_mean, round(stddev_pop(c), 4) AS i_col_std, round(max(c), 4) AS i_col_max FROM f GROUP BY 1),
+bn AS (SELECT win_id, b, count(*) AS n FROM f GROUP BY 1, 2), en AS (SELECT win_id, round(-sum(n / t * ln(n / t)), 4) AS i_entropy FROM (SELECT *, sum(n) OVER (PARTITION BY win_id) AS t FROM bn) GROUP BY 1),
+rw AS (SELECT win_id, round(avg(s), 4) AS i_row_mean, round(stddev_pop(s), 4) AS i_row_std, round(max(s), 4) AS i_row_max FROM (SELECT win_id, var, stddev_pop(p) AS s FROM f GROUP BY 1, 2) GROUP BY 1)
+SELECT * FROM wh JOIN en USING (win_id) JOIN rw USING (win_id)""")
 def q_image_features(spark, sf_dir):
-    return _round(detect.image_features(_window_grid(spark, sf_dir)))
+    return _round(detect.image_features(_window_grid(spark, sf_dir)), 4)
 
 
 @_query(f"""WITH {SUPPLIERS}, {WIN}, {GRID}, c AS (SELECT *, abs(px - lag(px) OVER (PARTITION BY win_id, var ORDER BY pos)) AS c, least(floor(px * 32 / 255.0), 31) AS b FROM wg),
