@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import Bucketizer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +21,10 @@ from gridloom.plans.durable import keep
 from gridloom.plans.numbering import numbered
 
 
+#: Places that windows' distances are measured from in the search of neighbours.
+PIVOTS = 3
+
+
 def uniform(*parts: Column | str) -> Column:
     """A number in [0, 1) that is a hash of its arguments."""
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 53)) / float(1 << 53)
@@ -341,47 +345,100 @@ def _nearest(k: int):
     return run
 
 
-def _neighbours(v: DataFrame, k: int, cells: int) -> DataFrame:
-    """win_id, other and d of the exact ``k`` nearest windows of each (stored) window win_id, v, norm."""
-    shares = [i / cells for i in range(1, cells)]
-    edges = sorted(set(v.approxQuantile("norm", shares, 0.1 / cells))) if shares else []
-
-    def slab(name: str, out: str, df: DataFrame) -> DataFrame:
-        if not edges:
-            return df.withColumn(out, F.lit(0))
-        cut = Bucketizer(splits=[-float("inf"), *edges, float("inf")], inputCol=name, outputCol="__b").transform(df)
-        return cut.withColumn(out, F.col("__b").cast("int")).drop("__b")
-
-    v = keep(slab("norm", "slab", v))
+def _pivots(v: DataFrame, n: int) -> list[list[float]]:
+    """The origin and ``n`` - 1 windows as far from the chosen ones as any: distances to them are told apart best."""
+    found = [[0.0] * len((v.select("v").first() or [[]])[0])]
+    while len(found) < n:
+        nearest = F.least(*[_distance("v", p) for p in found]) if len(found) > 1 else _distance("v", found[0])
+        found.append(v.select(F.max_by("v", F.struct(nearest, "win_id"))).first()[0])
+    return found
+
+
+def _distance(v: str, pivot: list[float]) -> Column:
+    squares = F.zip_with(v, F.array(*map(F.lit, pivot)), lambda x, y: (x - y) * (x - y))
+    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda a, x: a + x))
+
+
+class Cells:
+    """Windows in cells by their distances to a few pivots, each cut at about equal shares."""
+
+    def __init__(self, v: DataFrame, cells: int, pivots: int):
+        """``v``: win_id and v, stored."""
+        self.pivots = _pivots(v, pivots) if cells > 1 else []
+        self.names = [f"d{i}" for i in range(len(self.pivots))]
+        far = v.select("win_id", "v", *[_distance("v", p).alias(n) for p, n in zip(self.pivots, self.names, strict=True)])
+        share = max(2, round(cells ** (1 / max(len(self.pivots), 1)))) if cells > 1 else 1
+        cuts = [i / share for i in range(1, share)]
+        self.edges = far.approxQuantile(self.names, cuts, 0.1 / share) if self.names else []
+        self.edges = [sorted(set(e)) for e in self.edges]
+        place = F.lit(0)
+        for n, edges in zip(self.names, self.edges, strict=True):
+            place = place * (len(edges) + 1) + self._slab(F.col(n), edges)
+        self.rows = keep(far.withColumn("cell", place.cast("int")))
+
+    @staticmethod
+    def _slab(d: Column, edges: list[float]) -> Column:
+        return sum((F.when(d >= e, 1).otherwise(0) for e in edges), F.lit(0))
+
+    @staticmethod
+    def _combined(places: Column, slabs: Column, base: int) -> Column:
+        """The cells of each of ``places`` with each of ``slabs`` of a further pivot."""
+        return F.flatten(F.transform(places, lambda p: F.transform(slabs, lambda i: p * base + i)))
+
+    def within(self, reach: DataFrame) -> DataFrame:
+        """win_id, v, cell and ``at`` of each occupied cell but the own one that may hold a window within ``wide``.
+
+        Two windows are at least as far apart as their distances to any pivot differ, so all pivots must allow it.
+        """
+        places = F.array(F.lit(0))
+        for n, edges in zip(self.names, self.edges, strict=True):
+            low, high = self._slab(F.col(n) - F.col("wide"), edges), self._slab(F.col(n) + F.col("wide"), edges)
+            places = self._combined(places, F.sequence(low, high), len(edges) + 1)
+        occupied = self.rows.select(F.col("cell").alias("at")).distinct()
+        return reach.withColumn("at", F.explode(places)).filter("at <> cell").join(occupied, "at", "left_semi").select("win_id", "v", "cell", "at")
+
+
+def _neighbours(v: DataFrame, k: int, cells: int, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
+    """win_id, other and d of the exact ``k`` nearest windows of each (stored) window win_id, v; and the pairs of
+    cells (cell, at, mine) that were compared, with how many windows looked there."""
+    grid = Cells(v, cells, pivots)
 
     def compared(pairs: DataFrame) -> DataFrame:
-        """Nearest windows for rows win_id, v, slab, at."""
-        theirs = pairs.select("slab", "at").distinct().toDF("p", "q").join(v.select("win_id", "v", F.col("slab").alias("q")), "q")
+        """Nearest windows for rows win_id, v, cell, at."""
+        theirs = pairs.select("cell", "at").distinct().toDF("p", "q").join(grid.rows.select("win_id", "v", F.col("cell").alias("q")), "q")
         return pairs.toDF("win_id", "v", "p", "q").groupBy("p", "q").cogroup(theirs.groupBy("p", "q")).applyInPandas(_nearest(k), "win_id string, other string, d double")
 
     ranked = lambda df: df.withColumn("__r", F.row_number().over(Window.partitionBy("win_id").orderBy("d", "other"))).filter(F.col("__r") <= k).drop("__r")
-    near = keep(compared(v.select("win_id", "v", "slab", F.col("slab").alias("at"))))
-    if not edges:
-        return near
-    # The distance to a slab's k-th nearest bounds the k-distance, and windows are at least as far apart as their norms.
+    own = grid.rows.select("win_id", "v", "cell", F.col("cell").alias("at"))
+    near = keep(compared(own))
+    if not grid.names:
+        return near, own.groupBy("cell", "at").agg(F.count(F.lit(1)).alias("mine"))
+    # The distance to a cell's k-th nearest bounds the k-distance.
     bound = near.groupBy("win_id").agg(F.count(F.lit(1)).alias("__n"), F.max("d").alias("__d")).select("win_id", F.when(F.col("__n") >= k, F.col("__d")).alias("__d"))
-    wide = F.coalesce(F.col("__d") * (1 + 1e-9) + 1e-9 * (F.col("norm") + 1), F.lit(float("inf")))
-    reach = v.join(bound, "win_id", "left").withColumn("__low", F.col("norm") - wide).withColumn("__high", F.col("norm") + wide)
-    reach = slab("__high", "__to", slab("__low", "__from", reach)).withColumn("at", F.explode(F.sequence("__from", "__to"))).filter("at <> slab")
-    return ranked(near.unionByName(compared(reach.select("win_id", "v", "slab", "at"))))
+    wide = F.coalesce(F.col("__d") * (1 + 1e-9) + 1e-9 * (F.greatest(*grid.names, F.lit(1.0)) + 1), F.lit(float("inf")))
+    pairs = grid.within(grid.rows.join(bound, "win_id", "left").withColumn("wide", wide))
+    return ranked(near.unionByName(compared(pairs))), own.unionByName(pairs).groupBy("cell", "at").agg(F.count(F.lit(1)).alias("mine"))
+
+
+def pairs_compared(features: DataFrame, k: int = 20, cells: int = 1, pivots: int = PIVOTS) -> int:
+    """How many pairs of windows ``local_outlier_factor`` compares."""
+    v = keep(standardise(features).select("win_id", F.array(*feature_names(features)).alias("v")))
+    found = _neighbours(v, k, cells, pivots)[1]
+    sizes = found.filter("cell = at").select(F.col("at").alias("other"), F.col("mine").alias("theirs"))
+    return int(found.join(sizes, found["at"] == sizes["other"]).agg(F.sum(F.col("mine") * F.col("theirs"))).first()[0] or 0)
 
 
-def local_outlier_factor(features: DataFrame, k: int = 20, contamination: float = 0.5, cells: int = 1) -> DataFrame:
-    """Local outlier factors on standardised features; neighbours are exact whatever ``cells``.
+def local_outlier_factor(features: DataFrame, k: int = 20, contamination: float = 0.5, cells: int = 1, pivots: int = PIVOTS) -> DataFrame:
+    """Local outlier factors on standardised features; neighbours are exact whatever ``cells`` and ``pivots``.
 
-    Windows are cut into ``cells`` slabs by about equal shares of their norm.  A window's nearest in its own
-    slab give a bound of its k-distance, and then it is compared with every slab whose norms lie within that
-    bound.  A task compares two slabs; take more for more windows.
+    Windows are cut into about ``cells`` cells by their distances to ``pivots`` places (the origin and windows far
+    apart).  A window's nearest in its own cell give a bound of its k-distance, and then it is compared with
+    every cell that the triangle inequality lets lie within that bound from all pivots.  A task compares two
+    cells; take more for more windows.
     """
     z = standardise(features)
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    v = keep(z.select("win_id", F.array(*feature_names(z)).alias("v")).withColumn("norm", norm))
-    near = keep(_neighbours(v, k, cells))
+    v = keep(z.select("win_id", F.array(*feature_names(z)).alias("v")))
+    near = keep(_neighbours(v, k, cells, pivots)[0])
     reach = near.groupBy("win_id").agg(F.max("d").alias("kd"))
     lrd = near.join(reach.select(F.col("win_id").alias("other"), "kd"), "other").groupBy("win_id").agg((1.0 / (F.avg(F.greatest("d", "kd")) + 1e-10)).alias("lrd"))
     factor = near.join(lrd.select(F.col("win_id").alias("other"), F.col("lrd").alias("lo")), "other").groupBy("win_id").agg(F.avg("lo").alias("lo")).join(lrd, "win_id").select("win_id", (F.col("lo") / F.col("lrd")).alias("score"))

@@ -11,16 +11,21 @@ from gridloom.functions import scalar
 from gridloom.operators import metrics, profile, segments, sequence
 from gridloom.operators.clean import auto_offset, sanitize
 from gridloom.operators.frames import SERIES, series
-from gridloom.operators.lattice import walked_order
+from gridloom.operators.lattice import AUTO, walked_order
+from gridloom.plans.blockscan import block_for, lagged
 from gridloom.plans.durable import checkpoint_dir, keep, remove_folder
 
 
-def base_encode(samples: DataFrame, bits: int = 8, clamp: float = 500.0) -> tuple[DataFrame, DataFrame]:
-    """The grid (grid_id, var, t, q; first step left out) and baseline of each variable."""
+def base_encode(samples: DataFrame, bits: int = 8, clamp: float = 500.0, block: int | str | None = AUTO) -> tuple[DataFrame, DataFrame]:
+    """The grid (grid_id, var, t, q; first step left out) and baseline of each variable.
+
+    ``block`` as in the lattice encoder: long series are scanned block by block.
+    """
     steps = scalar.steps_of(bits)
-    clean = sanitize(samples)
-    pct = scalar.pct_change_base(F.col("x"), F.lag("x").over(series()))
-    grid = clean.withColumn("pct", pct).filter("pct is not null").select(*SERIES, "t", scalar.quantize_uniform(F.col("pct"), clamp, steps).alias("q"))
+    block = block_for(samples) if block == AUTO else block
+    clean = sanitize(samples, block)
+    pct = scalar.pct_change_base(F.col("x"), F.col("__p"))
+    grid = lagged(clean, F.col("x"), "__p", block=block).withColumn("pct", pct).filter("pct is not null").select(*SERIES, "t", scalar.quantize_uniform(F.col("pct"), clamp, steps).alias("q"))
     return grid, clean.filter("t = 0").select(*SERIES, F.col("x").alias("baseline"), F.lit(clamp).alias("clamp"), F.lit(bits).alias("bits"))
 
 
@@ -29,7 +34,8 @@ def _with_first(grid: DataFrame, params: DataFrame) -> DataFrame:
     return grid.select(*SERIES, "t", "q").unionByName(first).join(params, list(SERIES))
 
 
-def base_decode(grid: DataFrame, params: DataFrame, block: int | None = None) -> DataFrame:
+def base_decode(grid: DataFrame, params: DataFrame, block: int | str | None = AUTO) -> DataFrame:
+    block = block_for(grid) if block == AUTO else block
     steps = F.pow(F.lit(2.0), F.col("bits")) - 1.0
     rows = _with_first(grid, params).withColumn("pct", scalar.dequantize_uniform(F.col("q"), F.col("clamp"), steps))
     return sequence.rebuild_multiplicative(rows, block).select(*SERIES, "t", "x_hat")
@@ -37,7 +43,7 @@ def base_decode(grid: DataFrame, params: DataFrame, block: int | None = None) ->
 
 def enhanced_encode(
     samples: DataFrame, bits: int = 16, adaptive: bool = True, mu_law: bool = True, log: bool = False, anchors: int = 0,
-    offset: bool | None = None, clamp: float = 500.0, mu: float = scalar.MU, reorder: bool = False,
+    offset: bool | None = None, clamp: float = 500.0, mu: float = scalar.MU, reorder: bool = False, block: int | str | None = AUTO,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Grid, parameters and anchors.
 
@@ -47,15 +53,16 @@ def enhanced_encode(
     changes correlate stand side by side, which changes no value and what ``neighbour_bytes`` counts.
     """
     steps = scalar.steps_of(bits)
-    clean = sanitize(samples)
+    block = block_for(samples) if block == AUTO else block
+    clean = sanitize(samples, block)
     lifted = auto_offset(clean)
     reaches = clean.groupBy(*SERIES).agg((F.min("x") <= 0).alias("__reaches"))
     wanted = F.lit(True) if offset else (F.lit(False) if offset is False and not log else F.col("__reaches"))
     offsets = lifted.join(reaches, list(SERIES)).select(*SERIES, F.when(wanted, F.col("value_offset")).otherwise(0.0).alias("value_offset"))
     shifted = clean.join(offsets, list(SERIES)).withColumn("x", F.col("x") + F.col("value_offset"))
-    prev = F.lag("x").over(series())
+    prev = F.col("__p")
     change = F.log(F.col("x") / prev) * 100.0 if log else scalar.pct_change_safe(F.col("x"), prev)
-    pct = shifted.withColumn("pct", change)
+    pct = lagged(shifted, F.col("x"), "__p", block=block).withColumn("pct", change).drop("__p")
     clamps = profile.adaptive_clamp(pct.filter("pct is not null"), cap=clamp) if adaptive else offsets.select(*SERIES, F.lit(clamp).alias("clamp"))
     quantize = (lambda c: scalar.quantize_mu_law(F.col("pct"), c, steps, mu)) if mu_law else (lambda c: scalar.quantize_uniform(F.col("pct"), c, steps))
     grid = pct.filter("pct is not null").join(clamps, list(SERIES)).select(*SERIES, "t", quantize(F.col("clamp")).alias("q"))
@@ -70,7 +77,8 @@ def enhanced_encode(
     return grid, params, kept
 
 
-def enhanced_decode(grid: DataFrame, params: DataFrame, kept: DataFrame, mu_law: bool = True, log: bool = False, anchors: int = 0, bits: int = 16, mu: float = scalar.MU, block: int | None = None) -> DataFrame:
+def enhanced_decode(grid: DataFrame, params: DataFrame, kept: DataFrame, mu_law: bool = True, log: bool = False, anchors: int = 0, bits: int = 16, mu: float = scalar.MU, block: int | str | None = AUTO) -> DataFrame:
+    block = block_for(grid) if block == AUTO else block
     steps = scalar.steps_of(bits)
     rows = _with_first(grid, params)
     back = scalar.dequantize_mu_law(F.col("q"), F.col("clamp"), steps, mu) if mu_law else scalar.dequantize_uniform(F.col("q"), F.col("clamp"), steps)

@@ -185,3 +185,28 @@ def test_stored_sizes_of_all_methods(spark):
     assert all(r["bytes"] > 0 and r["parquet_bytes"] > 0 and r["gzip_bytes"] > 0 for r in got)
     by = {(r["grid_id"], r["method"]): r for r in got}
     assert by["a", "paa"]["gzip_bytes"] < by["a", "raw"]["gzip_bytes"]
+
+
+def test_neighbours_by_pivots_are_exact_and_compare_less(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 4)) * 20
+    x = np.vstack([centres[i % 12] + rng.normal(size=4) for i in range(480)] + [np.zeros((20, 4))])
+    f = keep(spark.createDataFrame([(f"w{i:03d}", *map(float, row)) for i, row in enumerate(x)], "win_id string, a double, b double, c double, e double"))
+    want = {r["win_id"]: r["score"] for r in detect.local_outlier_factor(f, k=6).collect()}
+    pairs = [detect.pairs_compared(f, 6, 1)]
+    for cells, pivots in ((8, 1), (27, 3)):
+        got = {r["win_id"]: r["score"] for r in detect.local_outlier_factor(f, k=6, cells=cells, pivots=pivots).collect()}
+        assert all(abs(got[w] - want[w]) <= 1e-9 * want[w] for w in want) and len(got) == 500
+        pairs.append(detect.pairs_compared(f, 6, cells, pivots))
+    assert pairs[0] == 500 * 500 and pairs[0] > pairs[1] > pairs[2]
+
+
+def test_percent_grids_by_blocks(spark):
+    rng = random.Random(11)
+    s = keep(spark.createDataFrame([("g", v, t, 50 + rng.random() * 9 + (0 if v == "a" else -52)) for v in "ab" for t in range(500)], "grid_id string, var string, t long, x double"))
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert same(percent.base_encode(s, 8, block=None)[0], percent.base_encode(s, 8, block=64)[0])
+    plain, cut = percent.enhanced_encode(s, 8, block=None), percent.enhanced_encode(s, 8, block=64)
+    assert all(same(a, b) for a, b in zip(plain, cut, strict=True))
+    whole = {(r["var"], r["t"]): r["x_hat"] for r in percent.enhanced_decode(*plain, bits=8, block=None).collect()}
+    assert all(abs(whole[r["var"], r["t"]] - r["x_hat"]) < 1e-6 for r in percent.enhanced_decode(*cut, bits=8, block=50).collect())
