@@ -8,11 +8,22 @@ process, as in tests; on a cluster a machine-local folder would lose data with i
 from __future__ import annotations
 
 import tempfile
+import threading
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: ``paths`` of the tables that this thread has stored, oldest first.
+_own = threading.local()
+
+
+def _tables() -> list[str]:
+    if not hasattr(_own, "paths"):
+        _own.paths = []
+    return _own.paths
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder; sets a temporary one only if a local session names none."""
     sc = spark.sparkContext
@@ -38,10 +49,25 @@ def store(df: DataFrame) -> DataFrame:
     estimates of joins are products, which grow without bound from step to step; a table has its true size.
     """
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid4().hex}"
+    _tables().append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tables_stored() -> int:
+    """How many tables ``store`` has written in this thread and not removed."""
+    return len(_tables())
+
+
+def remove_tables(spark: SparkSession, since: int) -> None:
+    """Deletes the tables that ``store`` wrote after it had written ``since``.
+
+    For callers that have written a result that was worked out from them, and read that from then on.
+    """
+    while len(_tables()) > since:
+        remove_folder(spark, _tables().pop())
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Deletes a folder of our own, in whatever file system it is."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
