@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import common, decontaminate, hilbert, mixing, near_dedup, toxicity
-from gridloom.plans.durable import checkpoint_dir, remove_folder
+from gridloom.plans.durable import checkpoint_dir, remove_folder, remove_tables, tables_stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,13 +70,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``: the mixed corpus with each row's shard and slot.
+
+    What a stage stored for itself is deleted once its result is written; the last stage's input stays, as its
+    result is worked out when it is read.
+    """
     docs = common.documents(spark, sf_dir)
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
+        stored = tables_stored()
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            remove_tables(spark, stored)
             if k:
                 remove_folder(spark, f"{folder}/{k - 1}")
     return docs

@@ -1,13 +1,17 @@
 """Long items, items that share a window, clashing column names, clashing row keys."""
 
 import random
+import re
 import time
+from collections import Counter, defaultdict
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gridloom.llm import decontaminate, hilbert, line_frequency, near_dedup, text
+from gridloom.llm import decontaminate, hilbert, line_frequency, near_dedup, quality_gam, text, toxicity
+from gridloom.plans import durable
 
 
 @pytest.mark.parametrize("bound", [decontaminate.MAX_BROADCAST, 0])
@@ -52,7 +56,7 @@ def test_stages_keep_columns_of_any_name(spark):
     placed = hilbert.shard_documents(docs)
     assert placed.columns == [*columns, "curve", "shard", "slot"]
     assert all(tuple(r)[: len(columns)] == kept[r["text"]] for r in placed.collect())
-    assert line_frequency.remove_lines(docs).columns == columns if hasattr(line_frequency, "remove_lines") else True
+    assert line_frequency.remove_common_lines(docs).columns == columns
     assert set(columns) <= set(corpus_pipeline.mix_sources(spark, docs, "").columns)
 
 
@@ -77,3 +81,65 @@ def test_hashes_of_very_long_words_differ():
     t = text.Texts(data, np.array([0, 10000, 20000, 30000]))
     h = t.hashes(np.array([0, 10000, 20000]), np.array([10000, 20000, 30000]), 7)
     assert len(set(h.tolist())) == 3 and (h == t.hashes(np.array([0, 10000, 20000]), np.array([10000, 20000, 30000]), 7)).all()
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def shingles_of(text):
+    w = words_of(text)
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def test_recall_on_a_given_table(spark):
+    """All pairs of similarity 0.8 or more of a whole table: each must share a class, and no class lies apart."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r["doc_id"]: shingles_of(r["text"]) for r in docs.select("doc_id", "text").collect()}
+    holders = defaultdict(list)
+    for d, s in sets.items():
+        for g in s:
+            holders[g].append(d)
+    shared = Counter(pair for ds in holders.values() if len(ds) > 1 for pair in combinations(sorted(ds), 2))
+    pairs = [(a, b) for (a, b), n in shared.items() if 5 * n >= 4 * (len(sets[a]) + len(sets[b]) - n)]
+    found = {r["doc_id"]: r["class_id"] for r in near_dedup.op7_near_duplicates(docs).collect()}
+    assert len(pairs) > 20 and all(found[a] == found[b] for a, b in pairs)
+    linked = defaultdict(set)
+    for a, b in pairs:
+        linked[a].add(b)
+        linked[b].add(a)
+    for d, c in found.items():  # the class is the smallest id that links reach
+        seen, todo = {d}, [d]
+        while todo:
+            for other in linked[todo.pop()] - seen:
+                seen.add(other)
+                todo.append(other)
+        assert c == min(seen), d
+    below = sum(0.5 * (len(sets[a]) + len(sets[b]) - n) <= n < 0.8 * (len(sets[a]) + len(sets[b]) - n) for (a, b), n in shared.items())
+    print(f"{len(pairs)} pairs at 0.8 or more, all found; {below} pairs from 0.5 to below 0.8 are no near-duplicates by the contract")
+
+
+def test_empty_tables_through_models_and_stages(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([], "item_id long, text string")
+    assert quality_gam.op6_quality_gam(docs, labels).count() == 0 and toxicity.op8_toxicity(docs, labels).count() == 0
+    assert decontaminate.remove_contaminated(docs, bench).count() == 0 and decontaminate.remove_spans(docs, bench).count() == 0
+    assert near_dedup.keep_one_of_each(docs).count() == 0 and line_frequency.remove_common_lines(docs).count() == 0
+    for name, df in (("documents", docs), ("labels", labels), ("benchmark", bench)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    one = spark.createDataFrame([(None, None, None, None, None), (1, "one", "en", None, 3), (1, "one", "en", None, 3)], docs.schema)
+    got = quality_gam.op6_quality_gam(one, labels).collect() + toxicity.op8_toxicity(one, labels).collect()
+    assert len(got) == 6 and all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_pipeline_leaves_few_tables(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"v{rng.randrange(90)}" for _ in range(30)), "en", f"s{i % 2}", 60) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "v1 v2")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    before = durable.tables_stored()
+    corpus_pipeline.run(spark, str(tmp_path)).count()
+    assert durable.tables_stored() == before
