@@ -2,7 +2,8 @@
 
 Lines are normalised (A-Z lower-cased, white space reduced to single spaces) and hashed to 128 bits.  A line
 is boilerplate on a host (``source``) if more than ``FLOOR`` distinct documents of the host have it and these
-are more than ``SHARE`` of the host's documents.  Boilerplate lines are removed; a document that loses more
+are more than ``SHARE`` of the host's documents or more than ``CEILING``, so that the limit doesn't grow without
+end with the host.  Boilerplate lines are removed; a document that loses more
 than half of its words is depleted and rejected, as is one that fails the base rules.
 
 Scale: the text is read once; what remains is a row for each document with the hashes of its distinct
@@ -28,6 +29,7 @@ from gridloom.plans.durable import keep
 
 FLOOR = 10
 SHARE = 0.01
+CEILING = 100_000
 #: Most repeated ids, or hosts, whose table is broadcast (counted first).
 MAX_BROADCAST = 1_000_000
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
@@ -204,7 +206,7 @@ def _dealt(docs: DataFrame, chunk: str = "chunk", again: str = "again", whole: b
     return hosts, docs.withColumn(chunk, F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(chunks)))
 
 
-def common_lines(signatures: DataFrame, hosts: DataFrame, floor: int, share: float) -> DataFrame:
+def common_lines(signatures: DataFrame, hosts: DataFrame, floor: int, share: float, ceiling: int) -> DataFrame:
     """chunk, source, h1 and h2 of the boilerplate lines of each chunk."""
     each = signatures.groupBy("chunk").applyInArrow(_per_chunk, "chunk long, source string, h1 long, h2 long, docs long")
     several = signatures.filter("again").mapInArrow(_lines, "doc_id long, source string, h1 long, h2 long").distinct()
@@ -214,10 +216,10 @@ def common_lines(signatures: DataFrame, hosts: DataFrame, floor: int, share: flo
     hosts = hosts.withColumnRenamed("source", "__host")
     if hosts.count() <= MAX_BROADCAST:
         hosts = F.broadcast(hosts)
-    return often.join(hosts, F.col("source").eqNullSafe(F.col("__host"))).filter(F.col("total") > F.lit(share) * F.col("host_docs")).select("chunk", "source", "h1", "h2")
+    return often.join(hosts, F.col("source").eqNullSafe(F.col("__host"))).filter(F.col("total") > F.least(F.lit(share) * F.col("host_docs"), F.lit(float(ceiling)))).select("chunk", "source", "h1", "h2")
 
 
-def line_rules(docs: DataFrame, floor: int = FLOOR, share: float = SHARE) -> DataFrame:
+def line_rules(docs: DataFrame, floor: int = FLOOR, share: float = SHARE, ceiling: int = CEILING) -> DataFrame:
     """Measures, boilerplate counts and verdict for each row of ``docs`` (doc_id, text, source).
 
     Null and empty texts have no words and fail the base rules.  A null source is a host of its own.  Rows
@@ -226,7 +228,7 @@ def line_rules(docs: DataFrame, floor: int = FLOOR, share: float = SHARE) -> Dat
     """
     hosts, dealt = _dealt(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source")))
     signatures = keep(dealt.mapInArrow(_signatures, SIGNATURE))
-    hot = common_lines(signatures, hosts, floor, share)
+    hot = common_lines(signatures, hosts, floor, share, ceiling)
     out = "doc_id long, source string, " + ", ".join(f"{m} long" for m in MEASURES) + ", n_common_lines long, n_common_words long"
     judged = signatures.groupBy("chunk").cogroup(hot.groupBy("chunk")).applyInArrow(_depleted, out)
     failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
@@ -263,7 +265,7 @@ def _cleaned(*helpers: str):
     return run
 
 
-def remove_common_lines(docs: DataFrame, floor: int = FLOOR, share: float = SHARE) -> DataFrame:
+def remove_common_lines(docs: DataFrame, floor: int = FLOOR, share: float = SHARE, ceiling: int = CEILING) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``; columns unchanged, no document removed.
 
     A line goes with its line break.  Null texts stay null; counted as in ``line_rules``.
@@ -271,7 +273,7 @@ def remove_common_lines(docs: DataFrame, floor: int = FLOOR, share: float = SHAR
     chunk, again = free_name(docs, "chunk"), free_name(docs, "again")
     hosts, dealt = _dealt(docs, chunk, again, whole=True)
     place = [F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"), F.col(chunk).alias("chunk"), F.col(again).alias("again")]
-    hot = common_lines(keep(dealt.select(place).mapInArrow(_signatures, SIGNATURE)), hosts, floor, share)
+    hot = common_lines(keep(dealt.select(place).mapInArrow(_signatures, SIGNATURE)), hosts, floor, share, ceiling)
     return dealt.groupBy(chunk).cogroup(hot.groupBy("chunk")).applyInArrow(_cleaned(chunk, again), docs.schema)
 
 

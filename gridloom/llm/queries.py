@@ -55,7 +55,7 @@ l AS (SELECT doc_id, source, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+')
 n AS (SELECT doc_id, source, line, len(lw) AS k, translate(array_to_string(lw, ' '), '{UPPER}', '{LOWER}') AS nl FROM l WHERE len(lw) > 0),
 u AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup FROM n GROUP BY 1),
 c AS (SELECT source, nl, count(DISTINCT doc_id) AS c FROM n GROUP BY 1, 2), h AS (SELECT source, count(*) AS h FROM documents GROUP BY 1),
-o AS (SELECT doc_id, count(DISTINCT nl) AS lines, sum(k)::BIGINT AS words FROM n JOIN c USING (source, nl) JOIN h USING (source) WHERE c > 10 AND c > 0.01 * h GROUP BY 1),
+o AS (SELECT doc_id, count(DISTINCT nl) AS lines, sum(k)::BIGINT AS words FROM n JOIN c USING (source, nl) JOIN h USING (source) WHERE c > 10 AND c > least(0.01 * h, 100000) GROUP BY 1),
 b AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
  coalesce(u.dup, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, coalesce(o.lines, 0)::BIGINT AS n_common_lines, coalesce(o.words, 0)::BIGINT AS n_common_words
  FROM d LEFT JOIN u USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN o USING (doc_id)),

@@ -143,3 +143,14 @@ def test_pipeline_leaves_few_tables(spark, tmp_path):
     before = durable.tables_stored()
     corpus_pipeline.run(spark, str(tmp_path)).count()
     assert durable.tables_stored() == before
+
+
+def test_a_common_line_has_a_ceiling(spark):
+    """On a host of 200 documents a line of 30 is under a share of a half, but not under a ceiling of 20."""
+    rows = [(i, f"own line {i} has a few words of its own here" + ("\nterms of the site" if i < 30 else ""), "h") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for ceiling, hit in ((20, 30), (30, 0), (100_000, 0)):
+        found = line_frequency.line_rules(docs, floor=10, share=0.5, ceiling=ceiling)
+        assert found.filter("n_common_lines > 0").count() == hit
+    left = line_frequency.remove_common_lines(docs, floor=10, share=0.5, ceiling=20)
+    assert not left.filter("text like '%terms of the site%'").count() and left.count() == 200
