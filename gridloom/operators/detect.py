@@ -74,7 +74,7 @@ def window_grid(windows: DataFrame, eps: float = 0.03, mode: str = "rel") -> Dat
     from gridloom.operators import lattice
 
     samples = windows.select(F.col("win_id").alias("grid_id"), "var", F.col("pos").alias("t"), "x")
-    scales = lattice.params(samples, eps, mode)
+    scales = lattice.params(samples, eps, mode, scale=mode == "rel")
     y = asinh_scale(F.col("x"), F.col("s")) if mode == "rel" else F.col("x")
     m = samples.join(scales, ["grid_id", "var"]).withColumn("m", lattice_quantize(y, F.col("q")))
     r = F.col("m") - F.lag("m").over(Window.partitionBy("grid_id", "var").orderBy("t"))

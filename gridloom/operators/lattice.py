@@ -22,16 +22,16 @@ AUTO = "auto"
 FEW_VARIABLES = 16
 
 
-def _params(samples: DataFrame, eps: float, mode: str, rel_scale: DataFrame | None = None) -> DataFrame:
-    """q, s and the first value of each variable; only the ``rel`` mode has an ``s`` and needs medians."""
-    stats = profile.var_profile(samples, median=mode == "rel")
-    scaled = profile.derive_scale(stats, rel_scale) if mode == "rel" else stats.withColumn("s", F.lit(None).cast("double"))
+def _params(samples: DataFrame, eps: float, mode: str, rel_scale: DataFrame | None = None, scale: bool = True) -> DataFrame:
+    """q, s and the first value of each variable; without ``scale`` s is null and no median is needed."""
+    stats = profile.var_profile(samples, median=scale)
+    scaled = profile.derive_scale(stats, rel_scale) if scale else stats.withColumn("s", F.lit(None).cast("double"))
     return profile.derive_step(scaled, eps, mode).select(*SERIES, "q", "s", "x_first")
 
 
-def params(samples: DataFrame, eps: float = 1e-3, mode: str = "abs", rel_scale: DataFrame | None = None) -> DataFrame:
-    """grid_id, var, q and s from one pass over the samples."""
-    return _params(samples, eps, mode, rel_scale).select(*SERIES, "q", "s")
+def params(samples: DataFrame, eps: float = 1e-3, mode: str = "abs", rel_scale: DataFrame | None = None, scale: bool = True) -> DataFrame:
+    """grid_id, var, q and s from one pass over the samples; only the ``rel`` mode uses ``s``."""
+    return _params(samples, eps, mode, rel_scale, scale).select(*SERIES, "q", "s")
 
 
 def coordinates(samples: DataFrame, var_params: DataFrame, mode: str = "abs", tau: float = 0.0, restart_block: int | None = None, block: int | None = None) -> DataFrame:
@@ -121,7 +121,7 @@ def encode(
         raise ValueError(f"predictors must be p1 or bank, not {predictors}")
     block = block_for(samples) if block == AUTO else block
     clean = sanitize(samples, block)
-    scales = keep(_params(clean, eps, mode, rel_scale))
+    scales = keep(_params(clean, eps, mode, rel_scale, scale=mode == "rel"))
     grid = coordinates(clean, scales.drop("x_first"), mode, tau, restart_block, block)
     y0 = asinh_scale(F.col("x_first"), F.col("s")) if mode == "rel" else F.col("x_first")
     scales = scales.withColumn("m0", lattice_quantize(y0, F.col("q"))).drop("x_first")
