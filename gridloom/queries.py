@@ -615,25 +615,36 @@ def q_auto_tune_bits(spark, sf_dir):
     return _round(percent.auto_tune_bits(_prices(spark, sf_dir)))
 
 
-@_query()
+@_query("""WITH p AS (SELECT row_number() OVER (ORDER BY day) - 1 AS t, x FROM (SELECT o_orderdate::DATE AS day, sum(o_totalprice) AS x FROM orders GROUP BY 1)),
+l AS (SELECT n, ceil((SELECT max(t) + 1 FROM p) / n)::BIGINT AS len FROM (SELECT unnest([8, 16, 32, 64, 128]) AS n)),
+z AS (SELECT n, x, t // len AS seg, t % len AS tau FROM p CROSS JOIN l),
+c AS (SELECT n, seg, avg(x) AS h, coalesce(regr_slope(x, tau), 0) AS b, avg(tau) AS mid FROM z GROUP BY 1, 2),
+e AS (SELECT n, sqrt(avg((x - h) * (x - h))) AS flat, sqrt(avg((x - h - b * (tau - mid)) ** 2)) AS sloped FROM z JOIN c USING (n, seg) GROUP BY 1),
+k AS (SELECT 'a' AS curve, log10(flat) AS lx, log10(n) AS ly FROM e UNION ALL SELECT 'b', log10(sloped), log10(2 * n) FROM e),
+ends AS (SELECT max(lo) + log10(1.001) AS lo, min(hi) + log10(0.999) AS hi FROM (SELECT min(lx) AS lo, max(lx) AS hi FROM k GROUP BY curve)),
+g AS (SELECT i, lo + (hi - lo) * i / 11 AS lx FROM ends CROSS JOIN (SELECT unnest(range(12)) AS i)),
+f AS (SELECT i, g.lx, curve, max(k.lx) FILTER (WHERE k.lx <= g.lx) AS l, arg_max(ly, k.lx) FILTER (WHERE k.lx <= g.lx) AS ll, min(k.lx) FILTER (WHERE k.lx >= g.lx) AS r, arg_min(ly, k.lx) FILTER (WHERE k.lx >= g.lx) AS rl FROM g CROSS JOIN k GROUP BY 1, 2, 3),
+v AS (SELECT i, lx, max(10 ** y) FILTER (WHERE curve = 'a') AS a, max(10 ** y) FILTER (WHERE curve = 'b') AS b FROM (SELECT *, CASE WHEN l = r THEN ll ELSE ll + (rl - ll) * (lx - l) / (r - l) END AS y FROM f) GROUP BY 1, 2)
+SELECT 'orders' AS dataset, i::INT AS i, round(10 ** lx, 4) AS rmse, round(a, 4) AS ratio_a, round(b, 4) AS ratio_b, round(b / a, 4) AS advantage FROM v""")
 def q_iso_interpolate(spark, sf_dir):
     """Ratio against error of PAA beside PLA at equal errors, from five segment counts each."""
-    s = orders_daily(spark, sf_dir)
+    s = keep(orders_daily(spark, sf_dir))
     curves: dict[str, DataFrame] = {}
     for n in (8, 16, 32, 64, 128):
         for name, hat, size in (("a", segments.paa_expand(s, n), 1.0), ("b", segments.pla_expand(s, n, "ols"), 2.0)):
             one = metrics.metrics(hat).select(F.col("grid_id").alias("dataset"), "rmse", F.lit(n * size).alias("ratio"))
             curves[name] = curves[name].unionByName(one) if name in curves else one
-    return _round(runs.iso_interpolate(curves["a"], curves["b"]))
+    return _round(runs.iso_interpolate(keep(curves["a"]), keep(curves["b"])), 4)
 
 
 @_query()
 def q_summary_table(spark, sf_dir):
     """Methods on every supplier's prices, upserted, flattened and set side by side."""
-    s = _prices(spark, sf_dir)
+    s = keep(_prices(spark, sf_dir))
     grids = percent.compare_methods(s).withColumn("ratio", F.col("bytes_per_cell") / 8.0)
     base = percent.compare_baselines(s, 16).join(s.groupBy("grid_id").agg((F.count(F.lit(1)) * 8.0).alias("raw")), "grid_id").withColumn("ratio", F.col("bytes") / F.col("raw"))
     every = runs.union_methods(grids.select("grid_id", "method", "rmse", "ratio"), base.select("grid_id", "method", "rmse", "ratio")).withColumnRenamed("grid_id", "dataset")
+    every = keep(every)
     return _round(runs.summary_table(runs.flatten_runs(runs.merge_runs(every, every.filter("method = 'paa'")))))
 
 
@@ -926,8 +937,10 @@ def q_stream_encode(spark, sf_dir):
     """Residuals of the event stream with state carried from batch to batch."""
     from gridloom.streaming.streams import stream_encode
 
+    folder = f"{checkpoint_dir(spark)}/residuals-{uuid4().hex}"
     stream = _event_stream(spark, sf_dir).select(F.lit("events").alias("grid_id"), "var", F.col("event_id").alias("t"), "x")
-    return _drained(spark, stream_encode(stream, 0.01)).select("var", "t", "m", "r")
+    stream_encode(stream, 0.01, folder, block=50_000).awaitTermination()
+    return spark.read.schema("var string, t long, m long, r long").parquet(f"{folder}/out").select("var", "t", "m", "r")
 
 
 @_query(f"""WITH {SUPPLIERS}, w AS (SELECT grid_id || '/' || (t // 128) AS grid_id, t // 128 AS win, t % 128 AS t, x FROM p),

@@ -1,17 +1,20 @@
-"""Grids on streams: event-time windows, carried encoder state, and scores of windows."""
+"""Grids on streams: event-time windows, and residuals with carried encoder state."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gridloom.functions.scalar import INLINE
+from gridloom.operators.frames import SERIES
+from gridloom.plans.blockscan import BLOCK, lagged
+from gridloom.plans.durable import remove_folder
+
+#: What a batch of ``stream_encode`` hands to the next.
+CARRY = "grid_id string, var string, last long, rows long, escapes long"
 
 
 def stream_windows(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -23,26 +26,36 @@ def stream_windows(events: DataFrame, width: str = "1 hour", late: str = "10 min
     return grouped.agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum(F.col("x") * F.col("x")).alias("squares")).select("w.start", "var", "n", "mean", "lo", "hi", "squares")
 
 
-def _residuals(q: float):
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(frames)).sort_values("t")
-        m = np.rint(frame["x"].to_numpy() / q).astype(np.int64)
-        last, rows, escapes = state.get if state.exists else (int(m[0]), 0, 0)
-        r = np.diff(m, prepend=last)
-        rows, escapes = rows + len(m), escapes + int((np.abs(r) > INLINE).sum())
-        state.update((int(m[-1]), rows, escapes))
-        yield pd.DataFrame({"grid_id": key[0], "var": key[1], "t": frame["t"].to_numpy(), "m": m, "r": r, "rows": rows, "escapes": escapes})
-
-    return run
-
-
-def stream_encode(samples: DataFrame, q: float) -> DataFrame:
+def stream_encode(samples: DataFrame, q: float, folder: str, block: int = BLOCK, **options) -> StreamingQuery:
     """m, residual and running totals of a stream of samples that arrive in step order; step ``q`` is fixed.
 
-    The last coordinate and the totals of each (grid_id, var) are carried from batch to batch.
+    A micro-batch is cut into blocks of ``block`` steps, whose first rows get their predecessors by a join, so no
+    series need fit a task.  Each batch's rows go to ``folder``/out; the last coordinate and the totals of each
+    (grid_id, var) go to a table that the next batch reads.  A batch that is run again after a failure reads
+    the same table and replaces what it wrote.  A first sample has residual 0, null and non-finite ones are skipped;
+    ``rows`` and ``escapes`` are totals up to the end of the batch.
     """
-    schema = "grid_id string, var string, t long, m long, r long, rows long, escapes long"
-    return samples.groupBy("grid_id", "var").applyInPandasWithState(_residuals(q), schema, "last long, rows long, escapes long", "append", GroupStateTimeout.NoTimeout)
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        x = F.col("x").cast("double")
+        m = F.rint(x / q).cast("long").alias("m")
+        cells = batch.filter(x.isNotNull() & (F.abs(x) < float("inf"))).select(*SERIES, F.col("t").cast("long").alias("t"), m)
+        known = spark.read.schema(CARRY).parquet(f"{folder}/carry/{number - 1}") if number else spark.createDataFrame([], CARRY)
+        steps = lagged(cells, F.col("m"), "before", block=block).join(known.select(*SERIES, "last"), list(SERIES), "left")
+        steps = steps.withColumn("r", F.col("m") - F.coalesce("before", "last", "m")).select(*SERIES, "t", "m", "r")
+        found = steps.groupBy(*SERIES).agg(F.max_by("m", "t").alias("now"), F.count(F.lit(1)).alias("more"), F.count_if(F.abs("r") > INLINE).alias("beyond"))
+        totals = known.join(found, list(SERIES), "full").select(
+            *SERIES, F.coalesce("now", "last").alias("last"),
+            *[(F.coalesce(old, F.lit(0)) + F.coalesce(new, F.lit(0))).alias(old) for old, new in (("rows", "more"), ("escapes", "beyond"))],
+        )
+        totals.write.mode("overwrite").parquet(f"{folder}/carry/{number}")
+        totals = spark.read.schema(CARRY).parquet(f"{folder}/carry/{number}")
+        steps.join(totals.drop("last"), list(SERIES)).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        if number > 1:
+            remove_folder(spark, f"{folder}/carry/{number - 2}")
+
+    return samples.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).options(**options).start()
 
 
 def encode_each_batch(samples: DataFrame, sink: Callable[[DataFrame, int], None], window_rows: int, checkpoint: str, eps: float = 1e-3, **options) -> StreamingQuery:
@@ -56,10 +69,3 @@ def encode_each_batch(samples: DataFrame, sink: Callable[[DataFrame, int], None]
         sink(grid.join(var_params, ["grid_id", "var"]), number)
 
     return samples.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).options(**options).start()
-
-
-def stream_score(windows: DataFrame, rule: DataFrame, feature: str = "hi") -> DataFrame:
-    """Windows of a stream with an alarm by one threshold rule (feature, direction, cut), a row or a few."""
-    rule = F.broadcast(rule.filter(F.col("feature") == feature).select("direction", "cut").limit(1))
-    above = F.col(feature) > F.col("cut")
-    return windows.crossJoin(rule).withColumn("alarm", F.when(F.col("direction") == "above", above).otherwise(F.col(feature) < F.col("cut"))).drop("direction", "cut")

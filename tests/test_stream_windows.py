@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.scalar import CENTER
 from gridloom.operators import detect, frames, lattice
+from gridloom.streaming import streams
 from gridloom.streaming import windows as stream
 
 SCHEMA = "grid_id string, var string, t long, x double, ts timestamp"
@@ -97,3 +98,25 @@ def test_alarms_follow_the_rules_of_the_moment(spark, tmp_path):
     for k, a in got.items():
         assert math.isclose(a["v"], want[k], rel_tol=1e-9) and a["alarm"] == (a["v"] > a["cut"])
     assert {a["cut"] for a in seen[0]} == {2.0} and {a["cut"] for b in seen[1:] for a in b} <= {5.0}
+
+
+def test_residuals_of_a_stream_by_blocks(spark, tmp_path):
+    rows = [("g", v, t, float((t * 7919 + k) % 1013)) for k, v in enumerate(("hot", "b")) for t in range(0, 900 if v == "hot" else 60, 2 - k)]
+    rows += [("g", "late", 1000, 5.0), ("g", "hot", 1000, None), ("g", "hot", 1001, float("nan")), ("g", "hot", 1002, float("inf"))]
+    s = spark.createDataFrame(rows, "grid_id string, var string, t long, x double")
+    wanted, last, totals = [], {}, {}
+    for _, v, t, x in sorted((r for r in rows if r[3] is not None and abs(r[3]) < 1e300), key=lambda r: r[2]):
+        m = round(x / 0.5)
+        r = m - last.get(v, m)
+        last[v] = m
+        totals[v] = (totals.get(v, (0, 0))[0] + 1, totals.get(v, (0, 0))[1] + (abs(r) > 126))
+        wanted.append((v, t, m, r))
+    folder = str(tmp_path / "run")
+    for lo, hi in ((0, 200), (200, 333), (333, 2000)):  # a new run of the query each time
+        s.filter((F.col("t") >= lo) & (F.col("t") < hi)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        streams.stream_encode(stream, 0.5, folder, block=16).awaitTermination()
+    out = spark.read.parquet(f"{folder}/out")
+    assert sorted(tuple(r) for r in out.select("var", "t", "m", "r").collect()) == sorted(wanted)
+    final = {r["var"]: (r["rows"], r["escapes"]) for r in out.groupBy("var").agg(F.max("rows").alias("rows"), F.max("escapes").alias("escapes")).collect()}
+    assert final == totals
