@@ -3,9 +3,10 @@
 A text's features are which of the selected words and five-byte letter runs it has.  Selection keeps those
 that labelled toxic documents have far more often than chance; words of ``IDENTITY_TERMS`` and their runs are
 always among the features.  Training minimises the log loss of the labels plus a penalty on the squared
-change of the score when, in a labelled sentence, an identity term is swapped for another of its group.
-Sentences that name a group are used as they are; as many again get a term put in, so that the penalty
-works where the corpus names none.  So the score can't come to depend on which group is named.
+change of the score when, in a labelled sentence, the identity terms are swapped, half the time each for another
+of its group, else all for ``NEUTRAL``: the first kind makes terms of a group weigh alike, the second keeps that
+weight near nothing, so that a neutral mention isn't an alarm.  Sentences that name a group are used as they are;
+a share of the others get a term put in, so that the penalty works where the corpus names none.
 
 Scale: scoring is a map over documents with a table of at most ``MAX_FEATURES`` weights.  Training reads at
 most about ``SAMPLE_ROWS`` labelled documents, the documented bound; feature counts are added up in tasks and
@@ -46,6 +47,8 @@ IDENTITY_TERMS = (
     ("deaf", "blind", "disabled", "autistic", "elderly", "young", "old"),
     ("american", "mexican", "chinese", "indian", "german", "french", "spanish", "turkish", "polish", "russian"),
 )
+#: Names people of no group.
+NEUTRAL = "people"
 _GROUP = {term: group for group in IDENTITY_TERMS for term in group}
 _TERM = re.compile(r"(?<!\w)(" + "|".join(sorted(_GROUP, key=len, reverse=True)) + r")(?!\w)")
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -132,22 +135,30 @@ def _lists(sentences: list[str], known: np.ndarray, table: np.ndarray) -> list[l
     return out
 
 
+def _swapped(sentence: str, draw: int) -> str:
+    """``sentence`` with every identity term for another of its group, or all for ``NEUTRAL``."""
+
+    def other(m: re.Match) -> str:
+        terms = [x for x in _GROUP[m[1]] if x != m[1]]
+        return terms[(draw >> 33) % len(terms)]
+
+    return _TERM.sub(NEUTRAL if draw >> 63 else other, sentence)
+
+
 def swaps(text: str, draw: int, put_in: bool) -> list[tuple[str, str]]:
     """Sentences of a text with an identity term, each with the same sentence after a swap."""
     out: list[tuple[str, str]] = []
     for m in _SENTENCE.finditer(text.lower()):
         sentence, draw = m[0], (draw * 0x5851F42D4C957F2D + 1) % (1 << 64)
-        found = _TERM.search(sentence)
-        if found:
-            other = [x for x in _GROUP[found[1]] if x != found[1]]
-            out.append((sentence, sentence[: found.start()] + other[(draw >> 33) % len(other)] + sentence[found.end() :]))
+        if _TERM.search(sentence):
+            out.append((sentence, _swapped(sentence, draw)))
         elif put_in:
             group = IDENTITY_TERMS[(draw >> 40) % len(IDENTITY_TERMS)]
             a = (draw >> 20) % len(group)
             b = (a + 1 + (draw >> 50) % (len(group) - 1)) % len(group)
             words = sentence.split()
             where = (draw >> 30) % (len(words) + 1)
-            out.append(tuple(" ".join([*words[:where], term, *words[where:]]) for term in (group[a], group[b])))
+            out.append(tuple(" ".join([*words[:where], term, *words[where:]]) for term in (group[a], NEUTRAL if draw >> 63 else group[b])))
         if len(out) == SENTENCES:
             break
     return out
