@@ -125,13 +125,15 @@ def encode(
     grid = coordinates(clean, scales.drop("x_first"), mode, tau, restart_block, block)
     y0 = asinh_scale(F.col("x_first"), F.col("s")) if mode == "rel" else F.col("x_first")
     scales = scales.withColumn("m0", lattice_quantize(y0, F.col("q"))).drop("x_first")
+    if tau > 0.5:
+        grid = keep(grid)  # walked in Python, so not again for each reader
     if predictors == "p1":
-        # Nothing is read twice: sanitize's own order serves the differences, and m0 follows from the first value.
+        # Nothing else is read twice: sanitize's own order serves the differences, and m0 follows from the first value.
         chosen = sequence.residual_p1(grid, block).filter("t > 0").select(*SERIES, "t", "r")
         extra = scales.withColumn("pred", F.lit(P1)).withColumn("lag", F.lit(1))
         extra = extra.withColumn("row_pos", (F.row_number().over(Window.partitionBy("grid_id").orderBy("var")) - 1).cast("int"))
     else:
-        grid = keep(grid)
+        grid = grid if tau > 0.5 else keep(grid)
         lags = keep(profile.seasonal_lag(profile.autocorrelation(grid, "m", max_lag)))
         names = grid.select(*SERIES).distinct()
         by_name = names.withColumn("__pos", F.row_number().over(Window.partitionBy("grid_id").orderBy("var")) - 1)

@@ -154,6 +154,8 @@ def deadzone_lattice(df: DataFrame, tau: float, restart_block: int | None = None
     cells, kind = df.select("grid_id", "var", "t", "y", "q"), "grid_id string, var string, t long, y double, q double, blk long, m long"
     size = restart_block or block
     cut = cells.withColumn("blk", F.floor(F.col("t") / F.lit(size)) if size else F.lit(0).cast("long"))
+    # A stated number of parts: the rows are few bytes and much work, so they must not be merged into one task by their size.
+    cut = cut.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "grid_id", "var", "blk")
     if restart_block or not block:
         return cut.groupBy("grid_id", "var", "blk").applyInPandas(lambda f: _dead_zone(f.sort_values("t"), tau), kind).drop("blk")
     tried = cut.groupBy("grid_id", "var", "blk").applyInPandas(lambda key, f: _speculated(key, f, tau), "grid_id string, var string, blk long, other long, starts array<long>, ends array<long>")
