@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.scalar import ESCAPE, INLINE
-from gridloom.operators.metrics import classification_metrics
+from gridloom.operators import packed
+from gridloom.operators.metrics import classification_shares
 from gridloom.operators.quantiles import percentiles
 from gridloom.plans.durable import keep
 from gridloom.plans.numbering import numbered
@@ -34,45 +35,75 @@ def normal(*parts: Column | str) -> Column:
     return F.sqrt(-2.0 * F.log(1.0 - uniform(*parts, F.lit("r")))) * F.cos(2.0 * np.pi * uniform(*parts, F.lit("a")))
 
 
+def _drawn(var: Column, size: int, seed: int) -> dict[str, Column]:
+    """What is drawn for a window (win_id) and a variable, all of it hashes; magnitudes are in deviations."""
+    s = F.lit(seed)
+    u = lambda name, lo, hi: lo + (hi - lo) * uniform("win_id", var, s, F.lit(name))
+    w = lambda name, lo, hi: F.floor(lo + (hi - lo) * uniform("win_id", s, F.lit(name)))
+    return {
+        "kind": F.element_at(F.array(F.lit("spike"), F.lit("level_shift"), F.lit("variance")), (1 + F.floor(uniform("win_id", s, F.lit("kind")) * 3)).cast("int")),
+        "most": 1 + F.floor(uniform("win_id", s, F.lit("n")) * 3), "sign": F.when(uniform("win_id", var, s, F.lit("sign")) < 0.5, -1.0).otherwise(1.0),
+        "at": w("spike", size // 4, 3 * size // 4), "spread": F.floor(u("spread", 1, 4)), "spike": u("spike", 5.0, 15.0), "start": w("start", size // 4, size // 2), "shift": u("shift", 3.0, 10.0),
+        "length": w("length", 20, 50), "noise": u("noise", 3.0, 8.0),
+    }
+
+
 def inject_anomaly(windows: DataFrame, size: int = 100, seed: int = 42) -> DataFrame:
     """Each window with one anomaly (kind: spike, level_shift or variance) on one to three variables.
 
     All draws are hashes of the window, the variable and ``seed``.  Magnitudes are in units of the variable's
     deviation in the window.
     """
-    s = F.lit(seed)
-    per_var = Window.partitionBy("win_id", "var")
+    s, d = F.lit(seed), _drawn(F.col("var"), size, seed)
     names = windows.select("win_id", "var").distinct()
     rank = F.row_number().over(Window.partitionBy("win_id").orderBy(F.xxhash64("win_id", "var", s), "var"))
-    hit = names.withColumn("__rank", rank).withColumn("__hit", F.col("__rank") <= 1 + F.floor(uniform("win_id", s, F.lit("n")) * 3)).select("win_id", "var", "__hit")
-    kind = F.element_at(F.array(F.lit("spike"), F.lit("level_shift"), F.lit("variance")), (1 + F.floor(uniform("win_id", s, F.lit("kind")) * 3)).cast("int"))
-    u = lambda name, lo, hi: lo + (hi - lo) * uniform("win_id", "var", s, F.lit(name))
-    w = lambda name, lo, hi: F.floor(lo + (hi - lo) * uniform("win_id", s, F.lit(name)))
-    sign = F.when(uniform("win_id", "var", s, F.lit("sign")) < 0.5, -1.0).otherwise(1.0)
-    sd = F.stddev_pop("x").over(per_var)
-    away = F.col("pos") - w("spike", size // 4, 3 * size // 4)
-    spread = F.floor(u("spread", 1, 4))
-    spike = F.when(away == 0, 1.0).when((away > 0) & (away <= spread), 0.5 / away).when((away < 0) & (-away <= spread), 0.3 / -away).otherwise(0.0) * u("spike", 5.0, 15.0)
-    start = w("start", size // 4, size // 2)
-    shift = F.when(F.col("pos") >= start, u("shift", 3.0, 10.0)).otherwise(0.0)
-    noise = F.when((F.col("pos") >= start) & (F.col("pos") < start + w("length", 20, 50)), u("noise", 3.0, 8.0) * normal("win_id", "var", "pos", s)).otherwise(0.0)
-    add = F.when(F.col("kind") == "spike", spike * sign).when(F.col("kind") == "level_shift", shift * sign).otherwise(noise)
-    out = windows.join(hit, ["win_id", "var"]).withColumn("kind", kind)
+    hit = names.withColumn("__rank", rank).withColumn("__hit", F.col("__rank") <= d["most"]).select("win_id", "var", "__hit")
+    sd = F.stddev_pop("x").over(Window.partitionBy("win_id", "var"))
+    away = F.col("pos") - d["at"]
+    spike = F.when(away == 0, 1.0).when((away > 0) & (away <= d["spread"]), 0.5 / away).when((away < 0) & (-away <= d["spread"]), 0.3 / -away).otherwise(0.0) * d["spike"]
+    shift = F.when(F.col("pos") >= d["start"], d["shift"]).otherwise(0.0)
+    noise = F.when((F.col("pos") >= d["start"]) & (F.col("pos") < d["start"] + d["length"]), d["noise"] * normal("win_id", "var", "pos", s)).otherwise(0.0)
+    add = F.when(F.col("kind") == "spike", spike * d["sign"]).when(F.col("kind") == "level_shift", shift * d["sign"]).otherwise(noise)
+    out = windows.join(hit, ["win_id", "var"]).withColumn("kind", d["kind"])
     return out.withColumn("x", F.col("x") + F.when(F.col("__hit"), add * sd).otherwise(0.0)).drop("__hit")
 
 
+def _drawn_packed(names: list[str], size: int, seed: int):
+    """``_drawn`` of a packed window's variable as a struct, whether it is hit, and its noise by position."""
+
+    def draw(var: Column) -> Column:
+        s, d = F.lit(seed), _drawn(var, size, seed)
+        own = F.xxhash64("win_id", var, s)
+        before = lambda u: (F.xxhash64("win_id", F.lit(u), s) < own) | ((F.xxhash64("win_id", F.lit(u), s) == own) & (F.lit(u) < var))
+        hit = sum((F.when(before(u), 1).otherwise(0) for u in names), F.lit(1)) <= d["most"]
+        noise = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long")), lambda pos: d["noise"] * normal("win_id", var, pos, s))
+        numbers = [d[n].cast("double").alias(n) for n in ("sign", "at", "spread", "spike", "start", "shift", "length")]
+        return F.struct(hit.cast("double").alias("hit"), d["kind"].alias("kind"), *numbers, F.when(hit & (d["kind"] == "variance"), noise).alias("noise"))
+
+    return draw
+
+
 def labeled_windows(windows: DataFrame, size: int = 100, seed: int = 42) -> DataFrame:
-    """Every window twice: as it is (label 0) and with an anomaly (label 1)."""
+    """Every window twice: as it is (label 0) and with an anomaly (label 1).  Packed windows stay so."""
+    if packed.packed(windows):
+        return packed.labeled(windows, _drawn_packed(packed.variables_of(windows), size, seed))
     normal_ = windows.withColumn("kind", F.lit("normal")).withColumn("label", F.lit(0)).withColumn("win_id", F.concat("win_id", F.lit("/n")))
     odd = inject_anomaly(windows, size, seed).withColumn("label", F.lit(1)).withColumn("win_id", F.concat("win_id", F.lit("/a")))
     return normal_.unionByName(odd)
 
 
+def labels_of(windows: DataFrame, *beside: str) -> DataFrame:
+    """win_id, ``beside`` and the label of labelled windows, or of features of them, by the mark that ``labeled_windows`` puts on win_id."""
+    return windows.select("win_id", *beside, F.col("win_id").endswith("/a").cast("int").alias("label"))
+
+
 def window_grid(windows: DataFrame, eps: float = 0.03, mode: str = "rel") -> DataFrame:
     """The plain lattice grid of each window: win_id, var, pos, pixel and r (127 where escaped)."""
     from gridloom.functions.scalar import asinh_scale, lattice_quantize, pixel
     from gridloom.operators import lattice
 
+    if packed.packed(windows):
+        return windows.withColumns({"eps": F.lit(float(eps)), "mode": F.lit(mode)})  # worked out where it is read
     samples = windows.select(F.col("win_id").alias("grid_id"), "var", F.col("pos").alias("t"), "x")
     scales = lattice.params(samples, eps, mode, scale=mode == "rel")
     y = asinh_scale(F.col("x"), F.col("s")) if mode == "rel" else F.col("x")
@@ -89,6 +120,8 @@ def _wide(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def numeric_features(windows: DataFrame, wide: bool = True) -> DataFrame:
+    if packed.packed(windows):
+        return packed.features(windows, packed.numeric, by_var=True, wide=wide, of="values")
     steps = windows.withColumn("__d", F.abs(F.col("x") - F.lag("x").over(Window.partitionBy("win_id", "var").orderBy("pos"))))
     names = ["f_mean", "f_std", "f_range", "f_kurtosis", "f_step", "f_spread"]
     out = steps.groupBy("win_id", "var").agg(
@@ -107,6 +140,8 @@ def _entropy32(df: DataFrame, value: str) -> DataFrame:
 
 def image_features(grid: DataFrame) -> DataFrame:
     """Fourteen statistics of a window's pixels: level, texture, edges (Sobel, edges repeated), rows, columns."""
+    if packed.packed(grid):
+        return packed.features(grid, packed.image)
     t = Window.partitionBy("win_id", "var").orderBy("pos")
     v = Window.partitionBy("win_id", "pos").orderBy("var")
     p = F.col("pixel").cast("double")
@@ -123,6 +158,8 @@ def image_features(grid: DataFrame) -> DataFrame:
 
 
 def simple_features(grid: DataFrame) -> DataFrame:
+    if packed.packed(grid):
+        return packed.features(grid, packed.simple)
     step = F.abs(F.col("pixel") - F.lag("pixel").over(Window.partitionBy("win_id", "var").orderBy("pos")))
     parts = grid.withColumn("c", step).groupBy("win_id").agg(F.avg("c").alias("s_edges"), F.stddev_pop("pixel").alias("s_std"))
     return parts.join(_entropy32(grid, "pixel").withColumnRenamed("i_entropy", "s_entropy"), "win_id")
@@ -130,6 +167,8 @@ def simple_features(grid: DataFrame) -> DataFrame:
 
 def grid_features(grid: DataFrame) -> DataFrame:
     """Ten numbers that need no rebuilt value: activity, extremes and escapes of the residual grid."""
+    if packed.packed(grid):
+        return packed.features(grid, packed.grid)
     cells = grid.withColumn("dev", F.abs(F.col("pixel").cast("double") - 128.0)).withColumn("active", (F.abs(F.col("pixel") - 128) > 2).cast("double"))
     whole = cells.groupBy("win_id").agg(
         F.avg("dev").alias("g_mean"), F.stddev_pop("dev").alias("g_std"), F.max("dev").alias("g_max"), F.avg("active").alias("g_active"), F.count_if(F.col("pixel") == ESCAPE).cast("double").alias("g_escapes"),
@@ -149,6 +188,8 @@ def _trajectories(grid: DataFrame) -> DataFrame:
 
 
 def trajectory_features(grid: DataFrame) -> DataFrame:
+    if packed.packed(grid):
+        return packed.features(grid, packed.trajectory)
     t = Window.partitionBy("win_id", "var").orderBy("pos")
     path = _trajectories(grid).withColumn("__g", F.signum(F.col("tn") - F.lag("tn").over(t) + 1e-9)).withColumn("turn", F.abs(F.col("__g") - F.lag("__g").over(t)))
     by_row = path.groupBy("win_id", "var").agg(
@@ -166,6 +207,8 @@ PER_ROW = ["p_mean", "p_max", "p_active", "p_std", "p_span", "p_shift"]
 
 def per_row_features(grid: DataFrame, wide: bool = True) -> DataFrame:
     """Six numbers for each variable of a window, read off the residual grid."""
+    if packed.packed(grid):
+        return packed.features(grid, packed.per_row, by_var=True, wide=wide)
     a = F.abs("r").cast("double")
     out = _trajectories(grid).groupBy("win_id", "var").agg(
         F.avg(a).alias("p_mean"), F.max(a).alias("p_max"), F.avg((a > 2).cast("double")).alias("p_active"), F.stddev_pop(a).alias("p_std"), (F.max("tn") - F.min("tn")).alias("p_span"),
@@ -181,6 +224,13 @@ def hstack_features(*parts: DataFrame) -> DataFrame:
     return out
 
 
+def grid_and_trajectory_features(grid: DataFrame) -> DataFrame:
+    """Both sets side by side; of packed windows in one pass."""
+    if packed.packed(grid):
+        return packed.features(grid, packed.grid, packed.trajectory)
+    return hstack_features(grid_features(grid), trajectory_features(grid))
+
+
 def feature_names(features: DataFrame) -> list[str]:
     return [c for c, t in features.dtypes if t == "double"]
 
@@ -194,19 +244,26 @@ def standardise(features: DataFrame) -> DataFrame:
     return tame.crossJoin(F.broadcast(stats)).select("win_id", *[z(c).alias(c) for c in names])
 
 
-def _long(features: DataFrame) -> DataFrame:
-    return features.unpivot(["win_id"], feature_names(features), "feature", "v")
+def _long(features: DataFrame, *beside: str) -> DataFrame:
+    return features.unpivot(["win_id", *beside], feature_names(features), "feature", "v")
 
 
 def threshold_rules(features: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores of all rules: each feature above or below its percentiles 20, 25 ... 75."""
-    long = _long(features).join(labels.select("win_id", "label"), "win_id")
+    long = _long(keep(features.join(labels.select("win_id", "label"), "win_id")), "label")  # read in several passes
     shares = [p / 100 for p in range(20, 80, 5)]
     cuts = percentiles(long, ["feature"], F.col("v"), {f"c{i}": p for i, p in enumerate(shares)})
-    cuts = cuts.select("feature", F.posexplode(F.array(*[f"c{i}" for i in range(len(shares))])).alias("i", "cut"))
-    each = long.join(F.broadcast(cuts), "feature").withColumn("direction", F.explode(F.array(F.lit("above"), F.lit("below"))))
-    each = each.withColumn("predicted", F.when(F.col("direction") == "above", F.col("v") > F.col("cut")).otherwise(F.col("v") < F.col("cut")).cast("int"))
-    return classification_metrics(each, ("feature", "i", "direction", "cut"))
+    # All rules of a feature are counted in one row of sums; no cell is repeated for each rule.
+    above = {(i, d): (F.col("v") > F.col(f"c{i}")) if d == "above" else (F.col("v") < F.col(f"c{i}")) for i in range(len(shares)) for d in ("above", "below")}
+    y = F.col("label") == 1
+    sums = [F.count_if(p & y).alias(f"tp_{i}_{d}") for (i, d), p in above.items()] + [F.count_if(p & ~y).alias(f"fp_{i}_{d}") for (i, d), p in above.items()]
+    counted = long.join(F.broadcast(cuts), "feature").groupBy("feature").agg(
+        *sums, F.count_if(F.col("v").isNotNull() & y).alias("ones"), F.count_if(F.col("v").isNotNull() & ~y).alias("zeros"), F.count(F.lit(1)).alias("n"), *[F.first(f"c{i}").alias(f"c{i}") for i in range(len(shares))]
+    )
+    rule = lambda i, d: F.struct(F.lit(i).alias("i"), F.lit(d).alias("direction"), F.col(f"c{i}").alias("cut"), F.col(f"tp_{i}_{d}").alias("tp"), F.col(f"fp_{i}_{d}").alias("fp"))
+    each = counted.select("feature", "ones", "zeros", "n", F.explode(F.array(*[rule(i, d) for i, d in above])).alias("r")).select("feature", "r.*", "ones", "zeros", "n")
+    fn, right = F.col("ones") - F.col("tp"), F.col("tp") + F.col("zeros") - F.col("fp")
+    return classification_shares(each.withColumns({"fn": fn, "right": right}), ("feature", "i", "direction", "cut"))
 
 
 def threshold_search(features: DataFrame, labels: DataFrame) -> DataFrame:
@@ -216,7 +273,7 @@ def threshold_search(features: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def iqr_outliers(features: DataFrame, k: float = 1.5) -> DataFrame:
-    long = _long(features)
+    long = _long(keep(features))  # read in several passes
     q = percentiles(long, ["feature"], F.col("v"), {"q1": 0.25, "q3": 0.75})
     wide = F.col("q3") - F.col("q1")
     out = long.join(F.broadcast(q), "feature").withColumn("o", (F.col("v") < F.col("q1") - k * wide) | (F.col("v") > F.col("q3") + k * wide))
@@ -279,7 +336,7 @@ def isolation_forest(features: DataFrame, trees: int = 100, sample: int = 256, c
     2 * sample * trees small rows) is broadcast and all windows are scored in place.
     """
     names = feature_names(features)
-    rows = features.select("win_id", F.array(*[F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0)) for c in names]).alias("x"))
+    rows = keep(features.select("win_id", F.array(*[F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0)) for c in names]).alias("x")))  # read three times
     n = rows.count()
     share = sample / max(n, 1)
     taken = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: uniform("win_id", tree, F.lit(seed)) < share)  # most windows are in no tree
@@ -456,6 +513,8 @@ def detect_on_decoded(windows: DataFrame, eps: float = 0.03, **kw) -> DataFrame:
     """The same forest on statistics of the rebuilt values."""
     from gridloom.operators import lattice
 
+    if packed.packed(windows):
+        return isolation_forest(packed.features(window_grid(windows, eps, "rel"), packed.numeric, by_var=True, of="rebuilt"), **kw)
     samples = windows.select(F.col("win_id").alias("grid_id"), "var", F.col("pos").alias("t"), "x")
     hat = lattice.decode(*lattice.encode(samples, eps, "rel", "p1"), mode="rel")
     return isolation_forest(numeric_features(hat.select(F.col("grid_id").alias("win_id"), "var", F.col("t").alias("pos"), F.col("x_hat").alias("x"))), **kw)
