@@ -41,3 +41,19 @@ def test_numbers_beyond_64_bits_fail(spark):
     s = spark.createDataFrame([("a", "p", 0, 1.0), ("a", "p", 1, 1e19)], "grid_id string, var string, t long, x double")
     with pytest.raises(Exception, match="64 bits"):
         whole.compared(s, (), 4).collect()
+
+
+def test_percent_grids_of_one_variable_have_the_numbers_of_cells(spark):
+    rng = random.Random(4)
+    rows = [(g, "p", t, None if t == 7 else round(rng.uniform(low, 1e3), 2)) for g, low in (("a", 1.0), ("b", -50.0)) for t in range(240)]
+    rows += [("c", "p", t, 4.0) for t in range(9)] + [("d", "p", 0, 3.0)]
+    s = keep(spark.createDataFrame(rows, "grid_id string, var string, t long, x double").repartition(3))
+    want, got = _rows(percent._compare_beside(keep(sanitize(s)))), _rows(percent.compare_methods(s))
+    assert set(got) == set(want) and len(got) == 4 * len(percent.METHODS)
+    for k, row in got.items():
+        assert all(_same(row[c], want[k][c]) for c in row), (k, row, want[k])
+
+
+def test_methods_of_one_variable_make_no_join(spark):
+    plan = __spark_entry__.queries()["compare_methods"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
