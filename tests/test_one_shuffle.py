@@ -44,3 +44,19 @@ def test_correlation_of_pairs_makes_no_join(spark):
     found = profile.correlation_pairs(tables.supplier_grid(spark, SF))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange ") == 1
+
+
+def test_correlation_of_whole_grids_makes_no_join(spark):
+    plan = profile.correlation_wide(tables.supplier_grid(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange ") == 1
+
+
+def test_whole_grids_correlate_as_their_parts(spark):
+    s = synthetic.random_walks(spark, 3, 300, 7).withColumn("x", F.when(F.col("t") % 41 != 3, F.col("x"))).filter("t % 7 <> length(var)")
+    steps = profile.changes(s).localCheckpoint()
+    found = []
+    for rows, names in (profile.correlation_rows(steps), profile._rows_from_parts(steps)):
+        rows = {(r["grid_id"], r["row"]): r["corr"] for r in rows.collect()}
+        found.append((rows, sorted(map(tuple, names.collect()))))
+    (a, one), (b, two) = found
+    assert one == two and set(a) == set(b) and all(abs(x - y) < 1e-9 for k in a for x, y in zip(a[k], b[k], strict=True))
