@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.scalar import ESCAPE, INLINE
 from gridloom.operators import packed
 from gridloom.operators.metrics import classification_shares
+from gridloom.operators.nearest import neighbours
 from gridloom.operators.quantiles import percentiles
 from gridloom.plans.durable import keep
 from gridloom.plans.numbering import numbered
@@ -370,136 +371,47 @@ def isolation_forest(features: DataFrame, trees: int = 100, sample: int = 256, c
     return out.crossJoin(F.broadcast(cut)).select("win_id", "score", (F.col("score") > F.col("__cut")).cast("int").alias("predicted"))
 
 
-def _nearest(k: int):
-    """The ``k`` nearest of a slab's windows for each window that looks there, ties by win_id."""
-
-    def run(key: tuple, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(mine) and len(theirs):
-            theirs = theirs.sort_values("win_id")
-            x, y = np.vstack(mine["v"].to_numpy()), np.vstack(theirs["v"].to_numpy())
-            names, others = mine["win_id"].to_numpy(), theirs["win_id"].to_numpy()
-            place = dict(zip(others, range(len(others)), strict=True))
-            for start in range(0, len(x), 256):
-                part = x[start : start + 256]
-                d = np.zeros((len(part), len(y)))
-                for j in range(x.shape[1]):
-                    d += (part[:, j, None] - y[None, :, j]) ** 2
-                d = np.sqrt(d)
-                for i, name in enumerate(names[start : start + 256]):
-                    if name in place:
-                        d[i, place[name]] = np.inf
-                top = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
-                row, at = np.nonzero((d <= top[:, None]) & (d < np.inf))
-                order = np.lexsort((at, d[row, at], row))
-                row, at = row[order], at[order]
-                edge = np.searchsorted(row, np.arange(len(part)))
-                few = np.arange(len(row)) - edge[row] < k
-                row, at = row[few], at[few]
-                found.append(pd.DataFrame({"win_id": names[start + row], "other": others[at], "d": d[row, at]}))
-        return pd.concat(found) if found else pd.DataFrame({"win_id": [], "other": [], "d": []})
-
-    return run
-
-
-def _pivots(v: DataFrame, n: int) -> list[list[float]]:
-    """The origin and ``n`` - 1 windows as far from the chosen ones as any: distances to them are told apart best."""
-    found = [[0.0] * len((v.select("v").first() or [[]])[0])]
-    while len(found) < n:
-        nearest = F.least(*[_distance("v", p) for p in found]) if len(found) > 1 else _distance("v", found[0])
-        found.append(v.select(F.max_by("v", F.struct(nearest, "win_id"))).first()[0])
-    return found
-
-
-def _distance(v: str, pivot: list[float]) -> Column:
-    squares = F.zip_with(v, F.array(*map(F.lit, pivot)), lambda x, y: (x - y) * (x - y))
-    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda a, x: a + x))
-
-
-class Cells:
-    """Windows in cells by their distances to a few pivots, each cut at about equal shares."""
-
-    def __init__(self, v: DataFrame, cells: int, pivots: int):
-        """``v``: win_id and v, stored."""
-        self.pivots = _pivots(v, pivots) if cells > 1 else []
-        self.names = [f"d{i}" for i in range(len(self.pivots))]
-        far = v.select("win_id", "v", *[_distance("v", p).alias(n) for p, n in zip(self.pivots, self.names, strict=True)])
-        share = max(2, round(cells ** (1 / max(len(self.pivots), 1)))) if cells > 1 else 1
-        cuts = [i / share for i in range(1, share)]
-        self.edges = far.approxQuantile(self.names, cuts, 0.1 / share) if self.names else []
-        self.edges = [sorted(set(e)) for e in self.edges]
-        place = F.lit(0)
-        for n, edges in zip(self.names, self.edges, strict=True):
-            place = place * (len(edges) + 1) + self._slab(F.col(n), edges)
-        self.rows = keep(far.withColumn("cell", place.cast("int")))
-
-    @staticmethod
-    def _slab(d: Column, edges: list[float]) -> Column:
-        return sum((F.when(d >= e, 1).otherwise(0) for e in edges), F.lit(0))
-
-    @staticmethod
-    def _combined(places: Column, slabs: Column, base: int) -> Column:
-        """The cells of each of ``places`` with each of ``slabs`` of a further pivot."""
-        return F.flatten(F.transform(places, lambda p: F.transform(slabs, lambda i: p * base + i)))
-
-    def within(self, reach: DataFrame) -> DataFrame:
-        """win_id, v, cell and ``at`` of each occupied cell but the own one that may hold a window within ``wide``.
-
-        Two windows are at least as far apart as their distances to any pivot differ, so all pivots must allow it.
-        """
-        places = F.array(F.lit(0))
-        for n, edges in zip(self.names, self.edges, strict=True):
-            low, high = self._slab(F.col(n) - F.col("wide"), edges), self._slab(F.col(n) + F.col("wide"), edges)
-            places = self._combined(places, F.sequence(low, high), len(edges) + 1)
-        occupied = self.rows.select(F.col("cell").alias("at")).distinct()
-        return reach.withColumn("at", F.explode(places)).filter("at <> cell").join(occupied, "at", "left_semi").select("win_id", "v", "cell", "at")
-
-
-def _neighbours(v: DataFrame, k: int, cells: int, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
-    """win_id, other and d of the exact ``k`` nearest windows of each (stored) window win_id, v; and the pairs of
-    cells (cell, at, mine) that were compared, with how many windows looked there."""
-    grid = Cells(v, cells, pivots)
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        """Nearest windows for rows win_id, v, cell, at."""
-        theirs = pairs.select("cell", "at").distinct().toDF("p", "q").join(grid.rows.select("win_id", "v", F.col("cell").alias("q")), "q")
-        return pairs.toDF("win_id", "v", "p", "q").groupBy("p", "q").cogroup(theirs.groupBy("p", "q")).applyInPandas(_nearest(k), "win_id string, other string, d double")
-
-    ranked = lambda df: df.withColumn("__r", F.row_number().over(Window.partitionBy("win_id").orderBy("d", "other"))).filter(F.col("__r") <= k).drop("__r")
-    own = grid.rows.select("win_id", "v", "cell", F.col("cell").alias("at"))
-    near = keep(compared(own))
-    if not grid.names:
-        return near, own.groupBy("cell", "at").agg(F.count(F.lit(1)).alias("mine"))
-    # The distance to a cell's k-th nearest bounds the k-distance.
-    bound = near.groupBy("win_id").agg(F.count(F.lit(1)).alias("__n"), F.max("d").alias("__d")).select("win_id", F.when(F.col("__n") >= k, F.col("__d")).alias("__d"))
-    wide = F.coalesce(F.col("__d") * (1 + 1e-9) + 1e-9 * (F.greatest(*grid.names, F.lit(1.0)) + 1), F.lit(float("inf")))
-    pairs = grid.within(grid.rows.join(bound, "win_id", "left").withColumn("wide", wide))
-    return ranked(near.unionByName(compared(pairs))), own.unionByName(pairs).groupBy("cell", "at").agg(F.count(F.lit(1)).alias("mine"))
+def _vectors(features: DataFrame) -> DataFrame:
+    """win_id, ``v`` of the standardised features, and ``id``: windows by number, in order of win_id; stored."""
+    z = standardise(features)
+    return keep(numbered(z.select("win_id", F.array(*feature_names(z)).alias("v")), ["win_id"], "id"))
 
 
 def pairs_compared(features: DataFrame, k: int = 20, cells: int = 1, pivots: int = PIVOTS) -> int:
-    """How many pairs of windows ``local_outlier_factor`` compares."""
-    v = keep(standardise(features).select("win_id", F.array(*feature_names(features)).alias("v")))
-    found = _neighbours(v, k, cells, pivots)[1]
+    """How many pairs of windows meet in the search of ``local_outlier_factor`` if all windows search, copies too."""
+    found = neighbours(_vectors(features).withColumn("ask", F.lit(True)), k, cells, pivots)[1]
     sizes = found.filter("cell = at").select(F.col("at").alias("other"), F.col("mine").alias("theirs"))
     return int(found.join(sizes, found["at"] == sizes["other"]).agg(F.sum(F.col("mine") * F.col("theirs"))).first()[0] or 0)
 
 
+def _first_copies(v: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` of all windows with the same ``v``; ``ask``: there are no more.  Nobody's nearest ``k`` hold a further one."""
+    same = Window.partitionBy(F.xxhash64("v"), "v")  # numbers are sorted faster than arrays
+    ranked = v.withColumn("__r", F.row_number().over(same.orderBy("id"))).filter(F.col("__r") <= k + 1)
+    return ranked.withColumn("ask", F.max("__r").over(same) <= k).filter(F.col("__r") <= k).select("id", "v", "ask")
+
+
 def local_outlier_factor(features: DataFrame, k: int = 20, contamination: float = 0.5, cells: int = 1, pivots: int = PIVOTS) -> DataFrame:
     """Local outlier factors on standardised features; neighbours are exact whatever ``cells`` and ``pivots``.
 
-    Windows are cut into about ``cells`` cells by their distances to ``pivots`` places (the origin and windows far
-    apart).  A window's nearest in its own cell give a bound of its k-distance, and then it is compared with
-    every cell that the triangle inequality lets lie within that bound from all pivots.  A task compares two
-    cells; take more for more windows.
+    Windows are cut into ``cells`` cells by their features and their distances to ``pivots`` places (the origin and
+    windows far apart).  A window's nearest in its own cell give a bound of its k-distance, and then it is compared
+    with every cell that may hold one within that bound.  A task searches one cell; take more for more windows.
+
+    A window with ``k`` or more copies has them as nearest at distance 0, as they have copies: its density is
+    that of distance 0 and its factor 1.  Such windows are found, but don't search.
     """
-    z = standardise(features)
-    v = keep(z.select("win_id", F.array(*feature_names(z)).alias("v")))
-    near = keep(_neighbours(v, k, cells, pivots)[0])
-    reach = near.groupBy("win_id").agg(F.max("d").alias("kd"))
-    lrd = near.join(reach.select(F.col("win_id").alias("other"), "kd"), "other").groupBy("win_id").agg((1.0 / (F.avg(F.greatest("d", "kd")) + 1e-10)).alias("lrd"))
-    factor = near.join(lrd.select(F.col("win_id").alias("other"), F.col("lrd").alias("lo")), "other").groupBy("win_id").agg(F.avg("lo").alias("lo")).join(lrd, "win_id").select("win_id", (F.col("lo") / F.col("lrd")).alias("score"))
-    factor = keep(factor)
+    v = _vectors(features)
+    first = keep(_first_copies(v, k))
+    near = keep(neighbours(first, k, cells, pivots)[0])
+    edges = near.select("id", F.explode("near").alias("n")).select("id", "n.d", "n.other")
+    reach = near.select(F.col("id").alias("other"), F.array_max(F.transform("near", lambda n: n["d"])).alias("kd"))
+    beside = lambda df, name, copies: edges.join(df, "other", "left").withColumn(name, F.coalesce(name, F.lit(copies)))
+    lrd = keep(beside(reach, "kd", 0.0).groupBy("id").agg((1.0 / (F.avg(F.greatest("d", "kd")) + 1e-10)).alias("lrd")))
+    mean = beside(lrd.select(F.col("id").alias("other"), F.col("lrd").alias("lo")), "lo", 1.0 / (0.0 + 1e-10)).groupBy("id").agg(F.avg("lo").alias("lo"))
+    searched = mean.join(lrd, "id").select("id", (F.col("lo") / F.col("lrd")).alias("score"))
+    copies = v.join(first.filter("ask"), "id", "left_anti").select("id", F.lit(1.0).alias("score"))
+    factor = keep(v.select("id", "win_id").join(searched.unionByName(copies), "id").select("win_id", "score"))
     cut = percentiles(factor, [], F.col("score"), {"__cut": 1.0 - contamination})
     return factor.crossJoin(F.broadcast(cut)).select("win_id", "score", (F.col("score") > F.col("__cut")).cast("int").alias("predicted"))
 
